@@ -1,0 +1,162 @@
+"""State of one key: last good counter pair, zero run, open request.
+
+Rows arrive reduced by Spark first (one per window, chunk or frame); the state
+of a key is a handful of numbers.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from typing import Any
+
+import numpy as np
+import pandas as pd
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructType
+
+DELTA_OUT = "engine string, window_end_us long, status string, draft_tokens double, acceptance double"
+GUARD_OUT = "request_id long, finished_len long"
+LATENCY_OUT = (
+    "request_id long, ended string, wall_s double, ttft_s double, sse_chunks long, usage string"
+)
+
+
+# Built without DDL: a state worker has no session to parse it with.
+PAIR = StructType().add("accepted", DoubleType()).add("drafted", DoubleType())
+TAIL = StructType().add("run", LongType()).add("length", LongType()).add("aborted", BooleanType())
+OPEN = (
+    StructType()
+    .add("sent", LongType())
+    .add("first", LongType())
+    .add("last", LongType())
+    .add("chunks", LongType())
+    .add("usage", StringType())
+    .add("done", BooleanType())
+)
+
+
+def _in_order(rows: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
+    return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable")
+
+
+class CounterDelta(StatefulProcessor):
+    """Delta of each window to the last successful one of its engine."""
+
+    def __init__(self, min_draft: int) -> None:
+        self._min_draft = min_draft
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._pair = handle.getValueState("pair", PAIR)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        ticks = _in_order(rows, "window_end_us")
+        previous = self._pair.get() if self._pair.exists() else None
+        out = []
+        for end, kind, accepted, drafted in zip(ticks.window_end_us, ticks.kind, ticks.accepted, ticks.drafted):
+            now = (float(accepted), float(drafted)) if kind == "counter" else None
+            delta = acceptance = None
+            if previous is None:
+                status = "starting"
+            elif now is None:
+                status = "metrics-unavailable"
+            else:
+                delta = now[1] - previous[1]
+                status = "insufficient traffic" if delta < self._min_draft else "ok"
+                if status == "ok":
+                    acceptance = (now[0] - previous[0]) / delta
+            previous = now or previous
+            out.append((key[0], end, status, delta, acceptance))
+        if previous is not None:
+            self._pair.update((float(previous[0]), float(previous[1])))
+        names = ["engine", "window_end_us", "status", "draft_tokens", "acceptance"]
+        yield pd.DataFrame(out, columns=names).astype({"draft_tokens": "float64", "acceptance": "float64"})
+
+    def close(self) -> None:
+        pass
+
+
+class ZeroRun(StatefulProcessor):
+    """Length of the trailing run of token id 0; one row when it gets too long."""
+
+    def __init__(self, run: int, ttl_ms: int) -> None:
+        self._run = run
+        self._ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._tail = handle.getValueState("tail", TAIL, self._ttl_ms)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        chunks = _in_order(rows, "seq")
+        run, length, aborted = self._tail.get() if self._tail.exists() else (0, 0, False)
+        found = []
+        for ids in chunks.ids:
+            if aborted:
+                break
+            ids = np.asarray(ids, dtype="int64")
+            # Run length at each token: distance to the last non-zero one.
+            index = np.arange(1, len(ids) + 1)
+            last_other = np.maximum.accumulate(np.where(ids != 0, index, 0))
+            runs = np.where(last_other > 0, index - last_other, index + run)
+            hit = np.flatnonzero(runs >= self._run)
+            if len(hit):
+                aborted = True
+                found.append((key[0], length + int(hit[0]) + 1 - self._run + 1))
+            if len(ids):
+                run, length = int(runs[-1]), length + len(ids)
+        self._tail.update((int(run), int(length), bool(aborted)))
+        if found:
+            yield pd.DataFrame(found, columns=["request_id", "finished_len"])
+
+    def close(self) -> None:
+        pass
+
+
+class OpenRequest(StatefulProcessor):
+    """Timing of one streamed request until its end marker, or until it goes silent."""
+
+    def __init__(self, timeout_ms: int) -> None:
+        self._timeout_ms = timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._state = handle.getValueState("request", OPEN)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        frames = _in_order(rows, "seq")
+        sent, first, last, chunks, usage, done = (
+            self._state.get() if self._state.exists() else (int(frames.sent_us.iloc[0]), None, 0, 0, None, False)
+        )
+        was_done = done
+        for at, count, told, end in zip(frames.at_us, frames.chunks, frames.usage, frames.is_end):
+            if done:
+                break
+            last = max(last, int(at))
+            if count and first is None:
+                first = int(at)
+            chunks += int(count)
+            if isinstance(told, str):
+                usage = told
+            done = bool(end)
+        self._state.update((int(sent), first, int(last), int(chunks), usage, bool(done)))
+        for timer in list(self._handle.listTimers()):
+            self._handle.deleteTimer(timer)
+        self._handle.registerTimer(int(frames.at_us.max()) // 1000 + self._timeout_ms)
+        if done and not was_done:
+            yield self._row(key, "done")
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        done = self._state.get()[5]
+        out = None if done else self._row(key, "timeout")
+        self._state.clear()
+        if out is not None:
+            yield out
+
+    def _row(self, key: Any, ended: str) -> pd.DataFrame:
+        sent, first, last, chunks, usage, _ = self._state.get()
+        ttft = None if first is None else (first - sent) / 1e6
+        row = (key[0], ended, (last - sent) / 1e6, ttft, chunks, usage)
+        names = ["request_id", "ended", "wall_s", "ttft_s", "sse_chunks", "usage"]
+        return pd.DataFrame([row], columns=names).astype({"ttft_s": "float64"})
+
+    def close(self) -> None:
+        pass
