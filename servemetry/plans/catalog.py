@@ -555,7 +555,10 @@ def token0_guard(spark, sf):
         F.sequence(F.lit(0), F.floor((F.size(ids) - 1) / 5).cast("int")),
         lambda i: F.struct(i.alias("seq"), F.slice(ids, i * 5 + 1, F.lit(5)).alias("ids")),
     )
-    chunks = views.shape_token_ids(docs).select("request_id", F.explode(pairs).alias("p")).select("request_id", "p.*")
+    chunks = views.shape_token_ids(docs).select(
+        "request_id", (F.col("request_id") * 10_000_000).alias("at_us"), F.explode(pairs).alias("p")
+    )
+    chunks = chunks.select("request_id", "at_us", "p.*")
     return live.drain(live.token0_guard(chunks), "token0-guard")
 
 

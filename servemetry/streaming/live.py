@@ -50,16 +50,20 @@ def live_acceptance(
     )
 
 
-def token0_guard(chunks: DataFrame, *, run: int = TOKEN_ZERO_RUN, ttl_hours: int = 24) -> DataFrame:
+def token0_guard(
+    chunks: DataFrame, *, run: int = TOKEN_ZERO_RUN, late: str = "10 minutes", silent_s: int = 7200
+) -> DataFrame:
     """Requests whose newest ids became a run of zeros, and where to cut them.
 
-    `chunks` carries request_id, seq and ids.
+    `chunks` carries request_id, seq, at_us and ids. A request that falls silent
+    is forgotten.
     """
     return (
-        chunks.select("request_id", "seq", "ids")
+        chunks.select("request_id", "seq", "at_us", F.timestamp_micros("at_us").alias("at"), "ids")
+        .withWatermark("at", late)
         .groupBy("request_id")
         .transformWithStateInPandas(
-            ZeroRun(run, ttl_hours * 3_600_000), outputStructType=GUARD_OUT, outputMode="Append", timeMode="ProcessingTime"
+            ZeroRun(run, silent_s * 1000), outputStructType=GUARD_OUT, outputMode="Append", timeMode="EventTime"
         )
     )
 

@@ -39,6 +39,13 @@ def _in_order(rows: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable")
 
 
+def _restart_timer(handle: StatefulProcessorHandle, at_us: int, timeout_ms: int) -> None:
+    """One timer per key, moved on by every batch that has rows for it."""
+    for timer in list(handle.listTimers()):
+        handle.deleteTimer(timer)
+    handle.registerTimer(int(at_us) // 1000 + timeout_ms)
+
+
 class CounterDelta(StatefulProcessor):
     """Delta of each window to the last successful one of its engine."""
 
@@ -78,12 +85,13 @@ class CounterDelta(StatefulProcessor):
 class ZeroRun(StatefulProcessor):
     """Length of the trailing run of token id 0; one row when it gets too long."""
 
-    def __init__(self, run: int, ttl_ms: int) -> None:
+    def __init__(self, run: int, timeout_ms: int) -> None:
         self._run = run
-        self._ttl_ms = ttl_ms
+        self._timeout_ms = timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._tail = handle.getValueState("tail", TAIL, self._ttl_ms)
+        self._handle = handle
+        self._tail = handle.getValueState("tail", TAIL)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         chunks = _in_order(rows, "seq")
@@ -104,9 +112,14 @@ class ZeroRun(StatefulProcessor):
             if len(ids):
                 run, length = int(runs[-1]), length + len(ids)
         self._tail.update((int(run), int(length), bool(aborted)))
+        _restart_timer(self._handle, chunks.at_us.max(), self._timeout_ms)
         if found:
             yield pd.DataFrame(found, columns=["request_id", "finished_len"])
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self._tail.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -138,9 +151,7 @@ class OpenRequest(StatefulProcessor):
                 usage = told
             done = bool(end)
         self._state.update((int(sent), first, int(last), int(chunks), usage, bool(done)))
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
-        self._handle.registerTimer(int(frames.at_us.max()) // 1000 + self._timeout_ms)
+        _restart_timer(self._handle, frames.at_us.max(), self._timeout_ms)
         if done and not was_done:
             yield self._row(key, "done")
 
