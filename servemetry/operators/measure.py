@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import half_even
 from .keys import null_safe_join
-from .order_stats import median, nearest_rank
+from .order_stats import Rank, lower_middle, median, nearest, upper_middle, values_at_ranks
 
 MIN_RUN_S = 30
 MIN_TRIALS = 3
@@ -33,6 +33,23 @@ def refused_requests(requests: DataFrame) -> DataFrame:
     return requests.where(~F.coalesce(usable(requests), F.lit(False)))
 
 
+def _trial_totals(rated: DataFrame, cell: Sequence[str]) -> DataFrame:
+    ended = F.col("started_us") + F.col("wall_s") * 1e6
+    first = F.struct("started_us", "request_id")
+    return rated.groupBy(*cell, "trial").agg(
+        F.count("*").alias("_requests"),
+        F.sum("completion_tokens").alias("_tokens"),
+        F.sum("sse_chunks").alias("_chunks"),
+        F.max("wall_s").alias("_longest"),
+        ((F.max(ended) - F.min("started_us")) / 1e6).alias("_makespan"),
+        F.min_by("prompt_tokens", first).alias("_prompt"),
+    )
+
+
+def _aggregate_rate() -> Column:
+    return half_even(F.col("_tokens") / F.col("_longest"), 1)
+
+
 def trial_rollup(requests: DataFrame, cell: Sequence[str]) -> DataFrame:
     """Aggregate and median per-stream rate of each trial.
 
@@ -41,16 +58,10 @@ def trial_rollup(requests: DataFrame, cell: Sequence[str]) -> DataFrame:
     """
     rated = request_rate(requests)
     keys = [*cell, "trial"]
-    ended = F.col("started_us") + F.col("wall_s") * 1e6
-    totals = rated.groupBy(*keys).agg(
-        F.sum("completion_tokens").alias("_tokens"),
-        F.max("wall_s").alias("_longest"),
-        ((F.max(ended) - F.min("started_us")) / 1e6).alias("_makespan"),
-    )
     middle = median(rated, keys, "tok_s", "_median")
-    return null_safe_join(totals, middle, keys).select(
+    return null_safe_join(_trial_totals(rated, cell), middle, keys).select(
         *keys,
-        half_even(F.col("_tokens") / F.col("_longest"), 1).alias("aggregate_tok_s"),
+        _aggregate_rate().alias("aggregate_tok_s"),
         half_even(F.col("_median"), 1).alias("per_stream_median"),
         half_even(F.col("_tokens") / F.col("_makespan"), 1).alias("makespan_tok_s"),
     )
@@ -77,42 +88,62 @@ def chunk_tripwire(requests: DataFrame, cell: Sequence[str], near_one: float = 0
     )
 
 
-def ttft_percentiles(requests: DataFrame, cell: Sequence[str]) -> DataFrame:
-    return nearest_rank(requests.where(usable(requests)), cell, "ttft_s", {"ttft_p50_s": 0.50, "ttft_p95_s": 0.95})
-
-
 def cell_rollup(requests: DataFrame, cell: Sequence[str], *, drop_warmup: bool = False) -> DataFrame:
-    """The published row of each cell: medians over trials, TTFT over requests."""
+    """The published row of each cell: medians over trials, TTFT over requests.
+
+    The rates of each trial and the TTFTs of each cell go through one rank
+    search, so the requests are read three times in all: totals, histogram and
+    the rows of the wanted bins.
+    """
     if drop_warmup:
         requests = discard_warmup(requests, cell)
-    good = requests.where(usable(requests))
-    trials = trial_rollup(requests, cell)
-    # The built-in median counts equal values; these are rounded to one decimal,
-    # so what it holds stays small however many trials a cell has.
-    middles = trials.groupBy(*cell).agg(
-        F.median("per_stream_median").alias("_stream"), F.median("aggregate_tok_s").alias("_aggregate"),
-        F.count("*").alias("trials"),
+    rated = request_rate(requests)
+    per_trial = F.struct(F.col("trial"), F.lit(True).alias("_is_rate"), F.col("tok_s").alias("_value"))
+    per_cell = F.struct(
+        F.lit(None).cast("int").alias("trial"), F.lit(False).alias("_is_rate"), F.col("ttft_s").alias("_value")
     )
-    first = F.struct("trial", "started_us", "request_id")
-    sums = good.groupBy(*cell).agg(
-        F.min_by("prompt_tokens", first).alias("prompt_tokens_actual"),
-        F.count("*").alias("requests"),
-        half_even(F.sum("completion_tokens") / F.greatest(F.sum("sse_chunks"), F.lit(1)), 2).alias(
-            "tokens_per_sse_chunk"
-        ),
+    values = rated.select(*cell, F.explode(F.array(per_trial, per_cell)).alias("_x")).select(*cell, "_x.*")
+
+    def only(is_rate: bool, rank: Rank) -> Rank:
+        return lambda n: F.when(F.col("_is_rate") == is_rate, rank(n))
+
+    found = values_at_ranks(
+        values,
+        [*cell, "trial", "_is_rate"],
+        "_value",
+        {
+            "_low": only(True, lower_middle),
+            "_high": only(True, upper_middle),
+            "_p50": only(False, nearest(0.50)),
+            "_p95": only(False, nearest(0.95)),
+        },
     )
-    joined = null_safe_join(sums, middles, cell)
-    joined = null_safe_join(joined, ttft_percentiles(requests, cell), cell, "left")
-    return joined.select(
-        *cell,
-        "prompt_tokens_actual",
-        "trials",
-        "requests",
-        half_even(F.col("_stream"), 1).alias("per_stream_tok_s"),
-        half_even(F.col("_aggregate"), 1).alias("aggregate_tok_s"),
-        half_even(F.col("ttft_p50_s"), 3).alias("ttft_p50_s"),
-        half_even(F.col("ttft_p95_s"), 3).alias("ttft_p95_s"),
-        "tokens_per_sse_chunk",
+    joined = null_safe_join(found, _trial_totals(rated, cell), [*cell, "trial"], "left")
+    # The built-in median counts equal values; these are rounded to one decimal,
+    # so what it holds stays small however many trials a cell has.
+    return (
+        joined.groupBy(*cell)
+        .agg(
+            F.min_by("_prompt", "trial").alias("prompt_tokens_actual"),
+            F.count("_tokens").alias("trials"),
+            F.sum("_requests").alias("requests"),
+            F.median(half_even((F.col("_low") + F.col("_high")) / 2, 1)).alias("_stream"),
+            F.median(_aggregate_rate()).alias("_aggregate"),
+            F.max("_p50").alias("_p50"),
+            F.max("_p95").alias("_p95"),
+            (F.sum("_tokens") / F.greatest(F.sum("_chunks"), F.lit(1))).alias("_per_chunk"),
+        )
+        .select(
+            *cell,
+            "prompt_tokens_actual",
+            "trials",
+            "requests",
+            half_even(F.col("_stream"), 1).alias("per_stream_tok_s"),
+            half_even(F.col("_aggregate"), 1).alias("aggregate_tok_s"),
+            half_even(F.col("_p50"), 3).alias("ttft_p50_s"),
+            half_even(F.col("_p95"), 3).alias("ttft_p95_s"),
+            half_even(F.col("_per_chunk"), 2).alias("tokens_per_sse_chunk"),
+        )
     )
 
 

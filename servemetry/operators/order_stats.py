@@ -20,7 +20,7 @@ Rank = Callable[[Column], Column]
 
 def nearest(q: float) -> Rank:
     """Rank rint(q * (n - 1)), counted from 0."""
-    return lambda n: F.rint(F.lit(q) * (n - 1)).cast("long")
+    return lambda n: F.rint(F.lit(float(q)) * (n - 1)).cast("long")
 
 
 def lower_middle(n: Column) -> Column:
@@ -34,7 +34,8 @@ def upper_middle(n: Column) -> Column:
 def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Rank]) -> DataFrame:
     """One row per group with the value found at each named rank.
 
-    Nulls do not count; groups of nulls only are absent.
+    Nulls do not count; groups of nulls only are absent. A rank may look at the
+    key columns and be null for groups that do not want it.
     """
     binned = df.where(F.col(value).isNotNull()).select(
         *keys, F.col(value).cast("double").alias("_v"), value_bin(F.col(value)).alias("_bin")

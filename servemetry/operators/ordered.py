@@ -52,24 +52,27 @@ def running(
     summary = sliced.groupBy(*keys, _SLICE).agg(*parts)
 
     earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(1, Window.unboundedFollowing)
+    # Looking ahead is looking back along the reverse order: Spark walks such a
+    # frame once, but starts anew at every row for one that ends at the last row.
+    later = Window.partitionBy(*keys).orderBy(F.desc(_SLICE)).rowsBetween(Window.unboundedPreceding, -1)
     carried = summary.select(
         *keys,
         _SLICE,
         *[F.sum(f"_c_{out}").over(earlier).alias(f"_c_{out}") for out in all_sums],
         *[F.last(f"_c_{out}", ignorenulls=True).over(earlier).alias(f"_c_{out}") for out in all_lasts],
-        *[F.first(f"_c_{out}", ignorenulls=True).over(later).alias(f"_c_{out}") for out in nexts],
+        *[F.last(f"_c_{out}", ignorenulls=True).over(later).alias(f"_c_{out}") for out in nexts],
     )
 
     walk = Window.partitionBy(*keys, _SLICE).orderBy(*order)
     before = walk.rowsBetween(Window.unboundedPreceding, -1)
     through = walk.rowsBetween(Window.unboundedPreceding, 0)
-    after = walk.rowsBetween(1, Window.unboundedFollowing)
+    back = Window.partitionBy(*keys, _SLICE).orderBy(*[F.desc(c) for c in order])
+    after = back.rowsBetween(Window.unboundedPreceding, -1)
     local = {f"_l_{out}": F.sum(src).over(before) for out, src in sums.items()}
     local |= {f"_l_{out}": F.sum(src).over(through) for out, src in sums_through.items()}
     local |= {f"_l_{out}": F.last(src, ignorenulls=True).over(before) for out, src in lasts.items()}
     local |= {f"_l_{out}": F.last(src, ignorenulls=True).over(through) for out, src in lasts_through.items()}
-    local |= {f"_l_{out}": F.first(src, ignorenulls=True).over(after) for out, src in nexts.items()}
+    local |= {f"_l_{out}": F.last(src, ignorenulls=True).over(after) for out, src in nexts.items()}
     walked = sliced.withColumns(local).join(carried, [*keys, _SLICE])
 
     zero = F.lit(0)

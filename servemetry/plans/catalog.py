@@ -198,7 +198,7 @@ def lane_choice(spark, sf):
 
 
 def _audited(spark, sf):
-    return routing.routing_audit(views.estimated_requests(spark, sf), lane_max=8, **RULES)
+    return routing.routing_audit(views.estimated_requests(spark, sf), lane_max=4, **RULES)
 
 
 @query
@@ -482,7 +482,7 @@ def advice_sink(spark, sf):
 
 @query
 def run_compare(spark, sf):
-    cells = measure.cell_rollup(views.requests(spark, sf), CELL).withColumn("speculating", F.col("tokens_per_sse_chunk") > 3)
+    cells = measure.cell_rollup(views.requests(spark, sf), CELL).withColumn("speculating", F.col("tokens_per_sse_chunk") > 3.75)
     return reconcile.run_compare(cells.where("run = 'run-0'"), cells.where("run = 'run-1'"), ["class"])
 
 

@@ -126,12 +126,12 @@ JUDGED = """lane_load AS (SELECT r.request_id, count(o.request_id) AS lane_infli
  judged AS (SELECT *, CASE WHEN NOT starts_with(path, '/v1/') THEN 404 WHEN NOT body_ok THEN 400
     WHEN path = '/v1/chat/completions' AND draining THEN 503
     WHEN path = '/v1/chat/completions' AND derived_lane = 'depth' AND over > 0 THEN 413
-    WHEN lane_inflight >= 8 THEN 429 WHEN backend_failed THEN 502 END AS refusal_code FROM wanting)"""
+    WHEN lane_inflight >= 4 THEN 429 WHEN backend_failed THEN 502 END AS refusal_code FROM wanting)"""
 
 OUTPUTS = """outputs AS (SELECT source AS server, doc_id AS seq, CASE WHEN doc_id % 5 <> 0 THEN text END AS reasoning_content,
   CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN ' ' || chr(9) || repeat('!', doc_id % 24) || chr(10)
     ELSE text || ' ok ' || repeat('!', doc_id % 24) || chr(65533) END AS content,
-  doc_id % 170 < 20 AS restart, doc_id % 2 = 1 AS follow_up FROM documents)"""
+  doc_id % 170 < 20 AS restart, (doc_id // 20) % 2 = 1 AS follow_up FROM documents)"""
 
 RUNS = """features AS (SELECT *, coalesce(list_max(list_transform(regexp_extract_all(t, '!+'), lambda r: length(r))), 0)
     AS longest_bang_run, length(t) - length(replace(t, '!', '')) AS total_bangs,
@@ -223,7 +223,7 @@ ORDERED = "SELECT kind, name, head_value, worker_value, problem FROM diff WHERE
 INVENTORY = """head AS (SELECT c_custkey AS name, CASE WHEN c_custkey % 4 = 0 THEN '5-LOW' ELSE '2-HIGH' END AS value
   FROM customer WHERE c_custkey % 10 <> 3),
  worker AS (SELECT o_custkey AS name, min(v) AS lo, max(v) AS hi FROM (SELECT o_custkey,
-   CASE WHEN o_custkey % 3 = 0 THEN o_orderpriority ELSE '2-HIGH' END AS v FROM orders) GROUP BY ALL),
+   CASE WHEN o_custkey % 3 = 0 THEN o_orderpriority ELSE '2-HIGH' END AS v FROM orders WHERE o_custkey % 12 <> 5) GROUP BY ALL),
  diff AS (SELECT 'file' AS kind, coalesce(h.name, w.name) AS name, h.value AS head_value, w.lo AS worker_value,
    CASE WHEN h.name IS NULL THEN 'missing on head' WHEN w.name IS NULL THEN 'missing on worker'
      WHEN h.value <> w.lo OR h.value <> w.hi THEN 'mismatch' END AS problem
@@ -582,17 +582,17 @@ SELECT doc_id AS case_id, CAST(depth AS INT) AS depth_lines, CAST(pos AS DOUBLE)
   coalesce(a.thinking, b.thinking) AS thinking, coalesce(a.s, b.s) AS speculating, a.v AS left_value, b.v AS right_value,
   CASE WHEN a.run IS NULL THEN 'right only' WHEN b.run IS NULL THEN 'left only' ELSE 'paired' END AS status,
   {rounded("b.v / nullif(a.v, 0)", 2)} AS ratio FROM
-  (SELECT *, tokens_per_sse_chunk > 3 AS s, aggregate_tok_s AS v FROM cells WHERE run = 'run-0') a FULL JOIN
-  (SELECT *, tokens_per_sse_chunk > 3 AS s, aggregate_tok_s AS v FROM cells WHERE run = 'run-1') b
+  (SELECT *, tokens_per_sse_chunk > 3.75::DOUBLE AS s, aggregate_tok_s AS v FROM cells WHERE run = 'run-0') a FULL JOIN
+  (SELECT *, tokens_per_sse_chunk > 3.75::DOUBLE AS s, aggregate_tok_s AS v FROM cells WHERE run = 'run-1') b
   ON a.class IS NOT DISTINCT FROM b.class AND a.concurrency = b.concurrency AND a.thinking = b.thinking AND a.s = b.s""",
     ),
     "claim_reconcile": """WITH proof AS (SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(28, 2))) AS DOUBLE) AS v
   FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS claim_id, o_orderkey AS artifact, o_totalprice AS value, v AS artifact_value,
   CASE WHEN v IS NULL THEN 'no artifact' ELSE 'value differs' END AS problem
-FROM orders LEFT JOIN proof ON l_orderkey = o_orderkey WHERE o_orderpriority < '3' AND (v IS NULL OR abs(o_totalprice - v) > 100000)""",
+FROM orders LEFT JOIN proof ON l_orderkey = o_orderkey WHERE o_orderpriority < '4' AND (v IS NULL OR abs(o_totalprice - v) > 100000)""",
     "claims_without_artifact": """SELECT o_orderkey AS artifact, o_orderkey AS claim_id, 'M-here' AS label, o_totalprice AS value FROM orders
-WHERE o_orderpriority < '3' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""",
+WHERE o_orderpriority < '4' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""",
     "capacity_fit": """SELECT p_partkey AS model, p_size * 1.5::DOUBLE AS weights_gib, CASE
   WHEN p_size * 1.5 <= (SELECT max(10 + n_nationkey) FROM nation) THEN 'one node'
   WHEN p_size * 1.5 <= 2 * (SELECT 10 + n_nationkey FROM nation ORDER BY n_nationkey DESC LIMIT 1 OFFSET 1) THEN 'two nodes'

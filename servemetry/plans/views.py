@@ -267,7 +267,7 @@ def outputs(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.concat(F.col("text"), F.lit(" ok "), bangs, F.lit("�")))
         .alias("content"),
         (d % 170 < 20).alias("restart"),
-        (d % 2 == 1).alias("follow_up"),
+        (F.floor(d / 20) % 2 == 1).alias("follow_up"),
     )
 
 
@@ -387,7 +387,7 @@ def claims(spark: SparkSession, sf: str) -> DataFrame:
     label = F.col("o_orderpriority")
     return table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("claim_id"),
-        F.when(label < "3", "M-here").when(label < "5", "M-else").otherwise("P").alias("label"),
+        F.when(label < "4", "M-here").when(label < "5", "M-else").otherwise("P").alias("label"),
         F.col("o_totalprice").alias("value"),
         F.col("o_orderkey").alias("artifact"),
     )
@@ -414,7 +414,7 @@ def head_inventory(spark: SparkSession, sf: str) -> DataFrame:
 
 def worker_inventory(spark: SparkSession, sf: str) -> DataFrame:
     """One row per listing; a name may be listed often."""
-    return table(spark, sf, "orders").select(
+    return table(spark, sf, "orders").where(F.col("o_custkey") % 12 != 5).select(
         F.lit("file").alias("kind"), F.col("o_custkey").alias("name"), F.when(F.col("o_custkey") % 3 == 0, F.col("o_orderpriority")).otherwise("2-HIGH").alias("value")
     )
 

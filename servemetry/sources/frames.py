@@ -43,7 +43,13 @@ def sse_to_requests(frames: DataFrame) -> DataFrame:
     refused by the rate operators.
     """
     bodies = frames.select("request_id", "seq", "sent_us", "at_us", frame_body(F.col("line")).alias("body"))
-    ends = bodies.where("body = '[DONE]'").groupBy("request_id").agg(F.min("seq").alias("_end"))
+    # Only requests with frames behind their end marker have anything to cut.
+    ends = (
+        bodies.groupBy("request_id")
+        .agg(F.min(F.when(F.col("body") == "[DONE]", F.col("seq"))).alias("_end"), F.max("seq").alias("_last"))
+        .where("_end < _last")
+        .drop("_last")
+    )
     read = salted_left_join(bodies, ends, ["request_id"], ["request_id", "seq"]).where(
         "_end IS NULL OR seq <= _end"
     )
