@@ -542,31 +542,20 @@ def _event_stream(spark, sf):
 
 @query
 def live_acceptance(spark, sf):
-    advice = live.live_acceptance(views.shape_samples(_event_stream(spark, sf)), window_s=3600)
-    return live.drain(advice, "live-acceptance")
+    return live.live_acceptance(views.shape_samples(_event_stream(spark, sf)), window_s=3600)
 
 
 @query
 def token0_guard(spark, sf):
     schema = views.table(spark, sf, "documents").schema
     docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    ids = F.col("output_ids")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(ids) - 1) / 5).cast("int")),
-        lambda i: F.struct(i.alias("seq"), F.slice(ids, i * 5 + 1, F.lit(5)).alias("ids")),
-    )
-    chunks = views.shape_token_ids(docs).select(
-        "request_id", (F.col("request_id") * 10_000_000).alias("at_us"), F.explode(pairs).alias("p")
-    )
-    chunks = chunks.select("request_id", "at_us", "p.*")
-    return live.drain(live.token0_guard(chunks), "token0-guard")
+    return live.token0_guard(views.shape_token_chunks(docs))
 
 
 @query
 def first_token_latency(spark, sf):
     timed = live.first_token_latency(views.shape_frames(_event_stream(spark, sf)))
-    done = live.drain(timed, "first-token")
-    return done.withColumn("tok_s", half_even(F.col("tok_s"), 3))
+    return timed.withColumn("tok_s", half_even(F.col("tok_s"), 3))
 
 
 @query

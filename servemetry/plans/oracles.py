@@ -631,7 +631,7 @@ WHERE NOT EXISTS (SELECT 1 FROM measured m WHERE m.run = r.run AND m.prompt_toke
         select=f"""SELECT event_id AS request_id, CASE WHEN ends THEN 'done' ELSE 'timeout' END AS ended, wall_s,
   (3 * 1000 * (1 + k)) / 1e6 AS ttft_s, CAST(CASE WHEN ends THEN m ELSE m + 1 END AS BIGINT) AS sse_chunks,
   CAST(tokens AS BIGINT) AS completion_tokens, CASE WHEN tokens > 0 THEN {rounded("tokens / wall_s", 3)} END AS tok_s
-  FROM timed WHERE ends OR last_us // 1000 + 7200000 < (SELECT max(last_us) // 1000 - 600000 FROM timed)""",
+  FROM timed WHERE ends OR last_us + 7200000000 < (SELECT max(last_us) - 600000000 FROM timed)""",
     ),
     "log_signature_alert": stack(EV, LOGS, select=ALERTS.format(where="")),
     "log_signature_stream": stack(

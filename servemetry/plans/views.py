@@ -282,6 +282,20 @@ def shape_token_ids(docs: DataFrame) -> DataFrame:
     )
 
 
+def shape_token_chunks(docs: DataFrame, size: int = 5) -> DataFrame:
+    """The ids in chunks of `size`, each with the number of ids before it."""
+    ids = F.col("output_ids")
+    starts = F.sequence(F.lit(0), F.size(ids) - 1, F.lit(size))
+    chunks = F.transform(
+        starts, lambda i: F.struct(i.cast("long").alias("pos"), F.slice(ids, i + 1, F.lit(size)).alias("ids"))
+    )
+    return (
+        shape_token_ids(docs)
+        .select("request_id", (F.col("request_id") * 10_000_000).alias("at_us"), F.explode(chunks).alias("c"))
+        .select("request_id", "at_us", "c.*")
+    )
+
+
 def token_ids(spark: SparkSession, sf: str) -> DataFrame:
     return shape_token_ids(documents(spark, sf))
 

@@ -1,0 +1,55 @@
+"""Micro-batches that hand a state table on to the next one.
+
+Each step is an ordinary DataFrame job over the new rows and the state the last
+batch left. It marks the rows to report (`emit`) and those to carry on (`keep`),
+and all are written once, under the batch number: a batch that is run again
+after a failure reads the same state and overwrites its own folder.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from ..sources.storage import fresh_path
+
+Step = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def start_carrying(stream: DataFrame, step: Step, state_schema: str, folder: str) -> StreamingQuery:
+    """Run `step(batch, state)` on every micro-batch there is now."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if batch_id == 0:
+            state = spark.createDataFrame([], state_schema)
+        else:
+            state = spark.read.schema(f"{state_schema}, keep boolean").parquet(_step(folder, batch_id - 1))
+            state = state.where("keep").drop("keep")
+        step(batch, state).write.mode("overwrite").parquet(_step(folder, batch_id))
+
+    return (
+        stream.writeStream.foreachBatch(run)
+        .option("checkpointLocation", f"{folder}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def _step(folder: str, batch_id: int) -> str:
+    return f"{folder}/steps/batch={batch_id}"
+
+
+def reported(spark, folder: str) -> DataFrame:
+    """The rows all batches so far reported."""
+    return spark.read.parquet(f"{folder}/steps").where("emit")
+
+
+def drain_carrying(stream: DataFrame, step: Step, state_schema: str, label: str, folder: str | None = None) -> DataFrame:
+    """Run over everything there is now and read what was reported."""
+    spark = stream.sparkSession
+    folder = folder or fresh_path(spark, label)
+    start_carrying(stream, step, state_schema, folder).awaitTermination()
+    return reported(spark, folder)

@@ -1,106 +1,208 @@
-"""Streaming twins of the counter, guard and latency jobs, and the log alert."""
+"""Streaming twins of the counter, guard and latency jobs, and the log alert.
+
+State is a table carried from batch to batch (see `carry`), so every step runs
+the same column rules and operators as the batch jobs, on the JVM.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import partial
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quality import TOKEN_ZERO_RUN
-from ..operators.counters import MIN_DRAFT_TOKENS, recommend_k
+from ..operators.counters import MIN_DRAFT_TOKENS, counter_window_delta, recommend_k
+from ..operators.keys import salted_left_join
+from ..operators.ordered import running
 from ..sources.frames import frame_body, frame_columns, usage_tokens
-from ..sources.storage import fresh_path
-from .processors import DELTA_OUT, GUARD_OUT, LATENCY_OUT, CounterDelta, OpenRequest, ZeroRun
+from ..sources.storage import fresh_path, pin
+from .carry import drain_carrying
 
 WINDOW_S = 300
+LATE_S = 600
+SILENT_S = 7200
 # Fixed value: what a server logs when it lost its GPU.
 LOST_GPU = "ggml_cuda_init: failed"
-_STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+PAIR_STATE = "engine string, window_end_us long, kind string, accepted double, drafted double"
+RUN_STATE = "request_id long, last_other long, aborted boolean, last_us long, clock_us long"
+REQUEST_STATE = (
+    "request_id long, sent_us long, first_us long, last_us long, chunks long, usage string, done boolean, clock_us long"
+)
 
-def live_acceptance(
-    samples: DataFrame, *, window_s: int = WINDOW_S, late: str = "10 minutes", min_draft: int = MIN_DRAFT_TOKENS, **depths
-) -> DataFrame:
-    """Draft-depth advice per engine and closed window of a stream of samples.
 
-    Each window is reduced to its last scrape before any state is touched, so
-    the state step sees one row per engine and window.
-    """
+def _clock(batch: DataFrame, state: DataFrame) -> Column:
+    """Newest event time seen so far."""
+    return F.greatest(batch.select(F.max("at_us")).scalar(), state.select(F.max("clock_us")).scalar())
+
+
+# Draft-depth advice ------------------------------------------------------
+
+
+def window_ticks(samples: DataFrame, window_s: int = WINDOW_S, late: str = "10 minutes") -> DataFrame:
+    """The last scrape of each engine and closed tumbling window, reduced map-side."""
     at = F.struct("scraped_us", "sample_id")
-    ticks = (
+    return (
         samples.withColumn("at", F.timestamp_micros("scraped_us"))
         .withWatermark("at", late)
         .groupBy("engine", F.window("at", f"{window_s} seconds"))
         .agg(F.max_by(F.struct("kind", "accepted", "drafted"), at).alias("_last"))
         .select("engine", F.unix_micros("window.end").alias("window_end_us"), "_last.*")
     )
-    deltas = ticks.groupBy("engine").transformWithStateInPandas(
-        CounterDelta(min_draft), outputStructType=DELTA_OUT, outputMode="Append", timeMode="None"
+
+
+def advice_step(ticks: DataFrame, state: DataFrame, *, min_draft: int, **depths) -> DataFrame:
+    """Delta of each closed window to the last good one, and advice on it."""
+    ticks = pin(ticks)
+    known = state.withColumn("emit", F.lit(False)).unionByName(ticks.withColumn("emit", F.lit(True)))
+    shaped = known.select(
+        "engine",
+        F.col("window_end_us").alias("scraped_us"),
+        F.col("emit").cast("int").alias("sample_id"),
+        "kind",
+        "accepted",
+        "drafted",
+    )
+    told = recommend_k(counter_window_delta(shaped, min_draft), **depths).where("sample_id = 1")
+    good = known.where("kind = 'counter'").groupBy("engine").agg(
+        F.max_by(F.struct("window_end_us", "kind", "accepted", "drafted"), "window_end_us").alias("_last")
     )
-    return recommend_k(deltas, **depths).select(
+    rows = told.select(
         "engine",
-        "window_end_us",
-        F.lit(window_s).alias("window_s"),
+        F.col("scraped_us").alias("window_end_us"),
         "status",
         "draft_tokens",
-        "advice.acceptance",
-        "advice.current_k",
-        "advice.recommended_k",
-        "advice.expected_gain",
-        "advice.apply",
+        F.col("advice"),
+        F.lit(True).alias("emit"),
+        F.lit(False).alias("keep"),
+    )
+    kept = good.select("engine", "_last.*", F.lit(False).alias("emit"), F.lit(True).alias("keep"))
+    return rows.unionByName(kept, allowMissingColumns=True)
+
+
+def live_acceptance(
+    samples: DataFrame, *, window_s: int = WINDOW_S, min_draft: int = MIN_DRAFT_TOKENS, folder: str | None = None, **depths
+) -> DataFrame:
+    """Draft-depth advice per engine and closed window of a stream of samples."""
+    step = partial(advice_step, min_draft=min_draft, **depths)
+    rows = drain_carrying(window_ticks(samples, window_s), step, PAIR_STATE, "live-acceptance", folder)
+    return rows.select(
+        "engine", "window_end_us", F.lit(window_s).alias("window_s"), "status", "draft_tokens", "advice.*"
     )
 
 
-def token0_guard(
-    chunks: DataFrame, *, run: int = TOKEN_ZERO_RUN, late: str = "10 minutes", silent_s: int = 7200
+# Token-zero guard --------------------------------------------------------
+
+
+def guard_step(
+    chunks: DataFrame, state: DataFrame, *, run: int = TOKEN_ZERO_RUN, late_s: int = LATE_S, silent_s: int = SILENT_S
 ) -> DataFrame:
     """Requests whose newest ids became a run of zeros, and where to cut them.
 
-    `chunks` carries request_id, seq, at_us and ids. A request that falls silent
-    is forgotten.
+    `chunks` carries request_id, at_us, ids and pos, the number of ids before
+    the chunk. Carried state is the place of the last other id.
     """
-    return (
-        chunks.select("request_id", "seq", "at_us", F.timestamp_micros("at_us").alias("at"), "ids")
-        .withWatermark("at", late)
-        .groupBy("request_id")
-        .transformWithStateInPandas(
-            ZeroRun(run, silent_s * 1000), outputStructType=GUARD_OUT, outputMode="Append", timeMode="EventTime"
-        )
+    shape = F.array_join(F.transform("ids", lambda t: F.when(t == 0, "0").otherwise("x")), "")
+    fresh = chunks.select("request_id", "pos", "at_us", shape.alias("_shape")).withColumn(
+        "_other", F.length(F.rtrim(F.col("_shape"), F.lit("0")))
     )
+    rows = fresh.select("request_id", "pos", "at_us", "_shape", F.when(F.col("_other") > 0, F.col("pos") + F.col("_other")).alias("_other"))
+    carried = state.select(
+        "request_id",
+        F.lit(-1).cast("long").alias("pos"),
+        F.col("last_us").alias("at_us"),
+        F.lit("").alias("_shape"),
+        F.col("last_other").alias("_other"),
+    )
+    walked = running(rows.unionByName(carried), ["request_id"], ["pos"], lasts={"_before": "_other"})
+    # Zeros carried into the chunk stand in front of it; more than run - 1 add nothing.
+    ahead = F.least(F.col("pos") - F.coalesce("_before", F.lit(0)), F.lit(run - 1)).cast("int")
+    place = F.locate("0" * run, F.concat(F.repeat(F.lit("0"), F.greatest(ahead, F.lit(0))), F.col("_shape")))
+    hit = F.when((F.col("pos") >= 0) & (place > 0), F.col("pos") + place + (run - 1) - ahead)
+    seen = walked.groupBy("request_id").agg(
+        F.min(hit).alias("_hit"), F.max("_other").alias("last_other"), F.max("at_us").alias("last_us")
+    )
+    was = F.coalesce(F.col("_was"), F.lit(False))
+    told = seen.join(state.select("request_id", F.col("aborted").alias("_was")), "request_id", "left")
+    return told.select(
+        "request_id",
+        (F.col("_hit") - run + 1).cast("long").alias("finished_len"),
+        F.coalesce("last_other", F.lit(0)).cast("long").alias("last_other"),
+        (was | F.col("_hit").isNotNull()).alias("aborted"),
+        "last_us",
+        _clock(chunks, state).alias("clock_us"),
+        (~was & F.col("_hit").isNotNull()).alias("emit"),
+    ).withColumn("keep", F.col("last_us") + silent_s * 1_000_000 >= F.col("clock_us") - late_s * 1_000_000)
 
 
-def first_token_latency(frames: DataFrame, *, late: str = "10 minutes", silent_s: int = 7200) -> DataFrame:
-    """Time to first token and rate of each live request, at its end or when it falls silent."""
-    body = frame_body(F.col("line"))
-    parsed = (
-        frames.withColumn("body", body)
-        .withColumns(frame_columns(F.col("body")))
-        .select(
-            "request_id",
-            "seq",
-            "sent_us",
-            "at_us",
-            F.timestamp_micros("at_us").alias("at"),
-            "chunks",
-            "usage",
-            F.coalesce(F.col("body") == "[DONE]", F.lit(False)).alias("is_end"),
-        )
-        .withWatermark("at", late)
+def token0_guard(chunks: DataFrame, *, folder: str | None = None, **limits) -> DataFrame:
+    rows = drain_carrying(chunks, partial(guard_step, **limits), RUN_STATE, "token0-guard", folder)
+    return rows.select("request_id", "finished_len")
+
+
+# First token latency -----------------------------------------------------
+
+
+def latency_step(frames: DataFrame, state: DataFrame, *, late_s: int = LATE_S, silent_s: int = SILENT_S) -> DataFrame:
+    """Open requests, those that ended in this batch, and those fallen silent.
+
+    Frames behind the end marker do not count, in this batch or a later one.
+    """
+    parsed = frames.withColumn("_body", frame_body(F.col("line"))).withColumns(frame_columns(F.col("_body")))
+    parsed = parsed.withColumn("_end", F.coalesce(F.col("_body") == "[DONE]", F.lit(False)))
+    late = (
+        parsed.groupBy("request_id")
+        .agg(F.min(F.when(F.col("_end"), F.col("seq"))).alias("_end_at"), F.max("seq").alias("_newest"))
+        .where("_end_at < _newest")
+        .drop("_newest")
+    )
+    read = salted_left_join(parsed, late, ["request_id"], ["request_id", "seq"]).where("_end_at IS NULL OR seq <= _end_at")
+    new = read.groupBy("request_id").agg(
+        F.min("sent_us").alias("_sent"),
+        F.min(F.when(F.col("chunks") > 0, F.col("at_us"))).alias("_first"),
+        F.max("at_us").alias("_last"),
+        F.sum("chunks").alias("_chunks"),
+        F.max_by("usage", F.when(F.col("usage").isNotNull(), F.col("seq"))).alias("_usage"),
+        F.bool_or("_end").alias("_done"),
     )
-    timed = parsed.groupBy("request_id").transformWithStateInPandas(
-        OpenRequest(silent_s * 1000), outputStructType=LATENCY_OUT, outputMode="Append", timeMode="EventTime"
+    was = F.coalesce("done", F.lit(False))
+    both = state.drop("clock_us").join(new, "request_id", "full")
+    merged = both.select(
+        "request_id",
+        F.coalesce("sent_us", "_sent").alias("sent_us"),
+        F.when(was, F.col("first_us")).otherwise(F.coalesce("first_us", "_first")).alias("first_us"),
+        F.when(was, F.col("last_us")).otherwise(F.greatest("last_us", "_last")).alias("last_us"),
+        (F.coalesce("chunks", F.lit(0)) + F.when(was, 0).otherwise(F.coalesce("_chunks", F.lit(0)))).cast("long").alias("chunks"),
+        F.when(was, F.col("usage")).otherwise(F.coalesce("_usage", "usage")).alias("usage"),
+        (was | F.coalesce("_done", F.lit(False))).alias("done"),
+        was.alias("_was"),
+        _clock(frames, state).alias("clock_us"),
     )
+    silent = F.col("last_us") + silent_s * 1_000_000 < F.col("clock_us") - late_s * 1_000_000
+    ended = F.when(F.col("done") & ~F.col("_was"), "done").when(~F.col("done") & silent, "timeout")
+    return merged.withColumns({"ended": ended, "emit": ended.isNotNull(), "keep": ~silent}).drop("_was")
+
+
+def first_token_latency(frames: DataFrame, *, folder: str | None = None, **limits) -> DataFrame:
+    """Time to first token and rate of each live request, at its end or when it falls silent."""
+    rows = drain_carrying(frames, partial(latency_step, **limits), REQUEST_STATE, "first-token", folder)
+    wall = (F.col("last_us") - F.col("sent_us")) / 1e6
     tokens = usage_tokens(F.col("usage"), "completion_tokens")
-    return timed.select(
+    return rows.select(
         "request_id",
         "ended",
-        "wall_s",
-        "ttft_s",
-        "sse_chunks",
+        wall.alias("wall_s"),
+        ((F.col("first_us") - F.col("sent_us")) / 1e6).alias("ttft_s"),
+        F.col("chunks").alias("sse_chunks"),
         tokens.alias("completion_tokens"),
-        F.when((tokens > 0) & (F.col("wall_s") > 0), tokens / F.col("wall_s")).alias("tok_s"),
+        F.when((tokens > 0) & (wall > 0), tokens / wall).alias("tok_s"),
     )
 
 
+# Log alert ---------------------------------------------------------------
+
+
 def log_signature_alert(
     logs: DataFrame, *, signature: str = LOST_GPU, window: str = "24 hours", late: str = "10 minutes"
 ) -> DataFrame:
@@ -119,15 +221,9 @@ def log_signature_alert(
     )
 
 
-def use_state_store(spark: SparkSession) -> None:
-    """The state operators above need a store with several state variables."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STATE_STORE)
-
-
 def drain(stream: DataFrame, label: str, folder: str | None = None) -> DataFrame:
-    """Run a stream over everything there is now and read back what it wrote."""
+    """Append a stream to a table, over everything there is now, and read it back."""
     spark = stream.sparkSession
-    use_state_store(spark)
     folder = folder or fresh_path(spark, label)
     query = (
         stream.writeStream.outputMode("append")
