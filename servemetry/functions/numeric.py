@@ -7,9 +7,24 @@ from pyspark.sql import functions as F
 
 
 def half_even(value: Column, digits: int) -> Column:
-    """Round for output, ties to even, staying a double."""
-    scale = float(10**digits)
-    return F.rint(value * F.lit(scale)) / F.lit(scale)
+    """Round for output to `digits` decimals, as a double.
+
+    The exact binary value decides, and exact ties go to even: 0.25 gives 0.2,
+    and 0.35, which is stored a little below itself, gives 0.3. Scaling
+    alone would round 0.35 up, because 3.5 is the nearest double of the product;
+    so for an apparent tie the error of the product is worked out by splitting
+    the value in two halves whose products are exact.
+    """
+    scale = F.lit(float(10**digits))
+    value = value.cast("double")
+    scaled = value * scale
+    nearest = F.rint(scaled)
+    spread = value * F.lit(float(2**27 + 1))
+    high = spread - (spread - value)
+    error = (high * scale - scaled) + (value - high) * scale
+    tie = F.abs(scaled - nearest) == 0.5
+    whole = F.when(tie & (error > 0), scaled + 0.5).when(tie & (error < 0), scaled - 0.5).otherwise(nearest)
+    return whole / scale
 
 
 def value_bin(value: Column, resolution: int = 64) -> Column:

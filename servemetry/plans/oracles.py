@@ -10,7 +10,7 @@ from ..sources.prompts import FILLER, TASK, WORDS
 
 
 def rounded(value: str, digits: int) -> str:
-    return f"(round_even(({value}) * 1e{digits}, 0) / 1e{digits})"
+    return f"CAST(printf('%.{digits}f', CAST({value} AS DOUBLE)) AS DOUBLE)"
 
 
 def at_rank(value: str, q: float) -> str:
