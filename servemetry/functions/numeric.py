@@ -40,6 +40,17 @@ def value_bin(value: Column, resolution: int = 64) -> Column:
     return F.when(value < 0, -size).otherwise(size).cast("long")
 
 
+def order_key(major: Column, minor: Column) -> Column:
+    """One number that orders like (major, minor), for longs below 10^18.
+
+    As the ordering of min_by and max_by it keeps their buffers numeric, so that
+    they aggregate by hash; a struct would make Spark sort all rows first.
+    """
+    return (major.cast("decimal(18,0)") * F.lit("1" + "0" * 18).cast("decimal(19,0)") + minor.cast("decimal(18,0)")).cast(
+        "decimal(38,0)"
+    )
+
+
 def decimal_digits_only(raw: Column) -> Column:
     return raw.rlike(r"\A[0-9]+\z")
 

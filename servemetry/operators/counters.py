@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import half_even
+from ..functions.numeric import half_even, order_key
 from ..functions.speculation import CURRENT_K, K_SET, MAX_SEQS, STEP_COST, advice
 from .ordered import running
 
@@ -51,15 +51,27 @@ def counter_bracket(spans: DataFrame, samples: DataFrame) -> DataFrame:
         lasts={"_before": "_reading"},
         nexts={"_after": "_reading"},
     )
+
+    def of(side: int, column: str) -> Column:
+        return F.max(F.when(F.col("_side") == side, F.col(column)))
+
+    def parts(side: int, name: str) -> list[Column]:
+        counted = F.max(F.when(F.col("_side") == side, F.col(f"{name}.kind") == "counter")).alias(f"{name}_counted")
+        return [counted, *[of(side, f"{name}.{f}").alias(f"{name}_{f}") for f in _READING[1:]]]
+
+    def reading(name: str) -> Column:
+        counted = F.col(f"{name}_counted")
+        kind = F.when(counted, "counter").otherwise("gauge").alias("kind")
+        return F.when(counted.isNotNull(), F.struct(kind, *[F.col(f"{name}_{f}").alias(f) for f in _READING[1:]])).alias(name)
+
+    # The two edges of a span meet again; numbers only, so by hash.
     return (
         walked.where("_side <> 1")
         .groupBy("engine", F.col("_id").alias("span_id"))
         .agg(
-            F.max(F.when(F.col("_side") == 2, F.col("_t"))).alias("start_us"),
-            F.max(F.when(F.col("_side") == 0, F.col("_t"))).alias("end_us"),
-            F.max(F.when(F.col("_side") == 2, F.col("_before"))).alias("before"),
-            F.max(F.when(F.col("_side") == 0, F.col("_after"))).alias("after"),
+            of(2, "_t").alias("start_us"), of(0, "_t").alias("end_us"), *parts(2, "_before"), *parts(0, "_after")
         )
+        .select("engine", "span_id", "start_us", "end_us", reading("_before").alias("before"), reading("_after").alias("after"))
     )
 
 
@@ -139,8 +151,11 @@ def draft_depth_advice(ticks: DataFrame, *, min_draft: int = MIN_DRAFT_TOKENS, *
 def ticks_per_window(samples: DataFrame, window_s: int = 300) -> DataFrame:
     """The last scrape of each engine in each tumbling window, failed or not."""
     width = window_s * 1_000_000
-    at = F.struct("scraped_us", "sample_id")
-    last = samples.groupBy(
-        "engine", (F.floor(F.col("scraped_us") / width) * width + width).cast("long").alias("window_end_us")
-    ).agg(F.max_by(F.struct("scraped_us", "sample_id", "kind", "accepted", "drafted", "rate"), at).alias("_last"))
-    return last.select("engine", "window_end_us", "_last.*")
+    last = order_key(F.col("scraped_us"), F.col("sample_id"))
+    end = (F.floor(F.col("scraped_us") / width) * width + width).cast("long")
+    ticks = samples.groupBy("engine", end.alias("window_end_us")).agg(
+        *[F.max_by(c, last).alias(c) for c in ("scraped_us", "sample_id", "accepted", "drafted", "rate")],
+        F.max_by(F.col("kind") == "counter", last).alias("_counter"),
+    )
+    kind = F.when(F.col("_counter"), "counter").when(~F.col("_counter"), "gauge")
+    return ticks.withColumn("kind", kind).drop("_counter")

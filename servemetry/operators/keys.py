@@ -23,16 +23,16 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return joined.drop(*[f"_r_{k}" for k in keys])
 
 
-def salted_left_join(
-    big: DataFrame, small: DataFrame, keys: Sequence[str], spread_by: Sequence[str], salts: int = SALTS
+def salted_join(
+    big: DataFrame, small: DataFrame, keys: Sequence[str], spread_by: Sequence[str], how: str = "inner", salts: int = SALTS
 ) -> DataFrame:
-    """Left join in which the rows of one hot key spread over `salts` tasks.
+    """Inner or left join in which the rows of one hot key spread over `salts` tasks.
 
     `small` holds one row per key and is repeated once per salt.
     """
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, "_salt"], "left").drop("_salt")
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def lookup_join(
@@ -45,7 +45,4 @@ def lookup_join(
     """
     if small.limit(max_rows + 1).count() <= max_rows:
         return big.join(F.broadcast(small), list(keys), how)
-    joined = salted_left_join(big, small.withColumn("_hit", F.lit(True)), keys, spread_by)
-    if how == "inner":
-        joined = joined.where("_hit")
-    return joined.drop("_hit")
+    return salted_join(big, small, keys, spread_by, how)

@@ -1,6 +1,6 @@
 """Throughput and latency of measured requests: request, trial, cell, run.
 
-A measured request carries request_id, its cell columns, trial, started_us,
+A measured request carries request_id (a number, in order of issue), its cell columns, trial, started_us,
 wall_s, ttft_s, sse_chunks, completion_tokens and prompt_tokens.
 """
 
@@ -35,14 +35,13 @@ def refused_requests(requests: DataFrame) -> DataFrame:
 
 def _trial_totals(rated: DataFrame, cell: Sequence[str]) -> DataFrame:
     ended = F.col("started_us") + F.col("wall_s") * 1e6
-    first = F.struct("started_us", "request_id")
     return rated.groupBy(*cell, "trial").agg(
         F.count("*").alias("_requests"),
         F.sum("completion_tokens").alias("_tokens"),
         F.sum("sse_chunks").alias("_chunks"),
         F.max("wall_s").alias("_longest"),
         ((F.max(ended) - F.min("started_us")) / 1e6).alias("_makespan"),
-        F.min_by("prompt_tokens", first).alias("_prompt"),
+        F.min_by("prompt_tokens", "request_id").alias("_prompt"),
     )
 
 

@@ -52,29 +52,27 @@ def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mappi
     )
     wanted = F.array(
         *[
-            F.struct(F.lit(name).alias("name"), (rank(F.col("_total")) - F.col("_below")).alias("offset"))
-            for name, rank in ranks.items()
+            F.struct(F.lit(i).alias("rank"), (rank(F.col("_total")) - F.col("_below")).alias("offset"))
+            for i, rank in enumerate(ranks.values())
         ]
     )
     bins = placed.select(
         *keys, "_bin", F.filter(wanted, lambda w: (w["offset"] >= 0) & (w["offset"] < F.col("_n"))).alias("_want")
     ).where(F.size("_want") > 0)
 
-    equal = (
-        null_safe_join(binned, bins, [*keys, "_bin"])
-        .groupBy(*keys, "_bin", "_v")
-        .agg(F.count("*").alias("_c"), F.first("_want").alias("_want"))
-    )
-    upto = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    # _want belongs to the bin; as a grouping key it comes along without a join.
+    in_bin = [*keys, "_bin"]
+    equal = null_safe_join(binned, bins, in_bin).groupBy(*in_bin, "_v", "_want").agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(*in_bin).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = equal.withColumn("_hi", F.sum("_c").over(upto)).withColumn("_lo", F.col("_hi") - F.col("_c"))
 
-    def found(name: str) -> Column:
+    def found(i: int, name: str) -> Column:
         here = F.exists(
-            "_want", lambda w: (w["name"] == name) & (w["offset"] >= F.col("_lo")) & (w["offset"] < F.col("_hi"))
+            "_want", lambda w: (w["rank"] == i) & (w["offset"] >= F.col("_lo")) & (w["offset"] < F.col("_hi"))
         )
         return F.max(F.when(here, F.col("_v"))).alias(name)
 
-    return ranked.groupBy(*keys).agg(*[found(name) for name in ranks])
+    return ranked.groupBy(*keys).agg(*[found(i, name) for i, name in enumerate(ranks)])
 
 
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:

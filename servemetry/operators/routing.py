@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chat
+from ..functions.numeric import order_key
 from .keys import lookup_join, null_safe_join
 from .order_stats import nearest_rank
 from .ordered import running
@@ -70,14 +71,14 @@ def least_outstanding(
         .select("lane", "request_id", "at_us", "_choice.*")
     )
     loads = lookup_join(inflight_at(requests, offered, "backend"), backends, ["backend"], ["request_id"])
-    picked = loads.groupBy("lane", "request_id").agg(
-        F.min_by("backend", F.struct("inflight", "ord")).alias("_backend"), F.sum("inflight").alias("lane_inflight")
+    least = loads.groupBy("lane", "request_id").agg(
+        F.min_by("ord", order_key(F.col("inflight"), F.col("ord"))).alias("ord"), F.sum("inflight").alias("lane_inflight")
     )
-    return picked.select(
+    return lookup_join(least, backends, ["lane", "ord"], ["request_id"]).select(
         "lane",
         "request_id",
         "lane_inflight",
-        F.when(F.col("lane_inflight") < lane_max, F.col("_backend")).alias("picked_backend"),
+        F.when(F.col("lane_inflight") < lane_max, F.col("backend")).alias("picked_backend"),
     )
 
 

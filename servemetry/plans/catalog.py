@@ -554,7 +554,7 @@ def token0_guard(spark, sf):
 
 @query
 def first_token_latency(spark, sf):
-    timed = live.first_token_latency(views.shape_frames(_event_stream(spark, sf)))
+    timed = live.first_token_latency(views.shape_frames(_event_stream(spark, sf).repartition("event_id")))
     return timed.withColumn("tok_s", half_even(F.col("tok_s"), 3))
 
 

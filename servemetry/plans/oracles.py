@@ -53,7 +53,7 @@ TRIALS = f"""trials AS (SELECT run, class, concurrency, thinking, trial,
 
 CELLS = f"""cells AS (SELECT a.*, b.per_stream_tok_s, b.aggregate_tok_s, b.trials FROM
   (SELECT run, class, concurrency, thinking,
-    first(prompt_tokens ORDER BY trial, started_us, request_id) AS prompt_tokens_actual, count(*) AS requests,
+    first(prompt_tokens ORDER BY trial, request_id) AS prompt_tokens_actual, count(*) AS requests,
     {rounded(at_rank("ttft_s", 0.5), 3)} AS ttft_p50_s, {rounded(at_rank("ttft_s", 0.95), 3)} AS ttft_p95_s,
     {rounded("sum(completion_tokens) / greatest(sum(sse_chunks), 1)", 2)} AS tokens_per_sse_chunk
     FROM good GROUP BY ALL) a JOIN
@@ -625,7 +625,7 @@ WHERE NOT EXISTS (SELECT 1 FROM measured m WHERE m.run = r.run AND m.prompt_toke
     "first_token_latency": stack(
         EV,
         FRAMES,
-        """timed AS (SELECT *, at_us + (m + 5) * 1000 * (1 + k) AS last_us,
+        """timed AS (SELECT *, at_us + CASE WHEN ends AND k % 7 <> 0 THEN m + 4 ELSE m + 5 END * 1000 * (1 + k) AS last_us,
    CASE WHEN NOT ends THEN 9999 WHEN event_type = 'error' THEN 0 ELSE 16 + k END AS tokens,
    ((CASE WHEN ends THEN m + 4 ELSE m + 5 END) * 1000 * (1 + k)) / 1e6 AS wall_s FROM framed)""",
         select=f"""SELECT event_id AS request_id, CASE WHEN ends THEN 'done' ELSE 'timeout' END AS ended, wall_s,

@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash a table over the cores when it comes in fewer splits than there are.
+
+    A table of many files keeps its splits and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a zoneless UTC time, in any session zone."""
     here = F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts)
@@ -36,7 +45,7 @@ def shape_events(raw: DataFrame) -> DataFrame:
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return shape_events(table(spark, sf, "events"))
+    return shape_events(spread(table(spark, sf, "events"), "event_id"))
 
 
 def _spread(name: str, divisor: int, modulus: int) -> Column:
@@ -156,7 +165,7 @@ def shape_frames(shaped: DataFrame) -> DataFrame:
         chunks,
         F.array(frame(m + 3, last)),
         F.when(ends, F.array(frame(m + 4, F.lit("data: [DONE]")))).otherwise(F.array()),
-        F.array(frame(m + 5, F.lit(late))),
+        F.when(~ends | (k % 7 == 0), F.array(frame(m + 5, F.lit(late)))).otherwise(F.array()),
     )
     return (
         shaped.select(
@@ -220,7 +229,7 @@ def router_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"), "doc_id")
 
 
 def chat_requests(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.keys import salted_left_join
+from ..operators.keys import salted_join
 from .schemas import STREAM_FRAME
 
 _BLANK = " \t\n\r\x0b\x0c"
@@ -17,58 +17,82 @@ def frame_body(line: Column) -> Column:
     return F.when(trimmed.startswith("data:"), F.btrim(F.substr(trimmed, F.lit(6)), F.lit(_BLANK)))
 
 
-def frame_columns(body: Column) -> dict[str, Column]:
-    """Usage text and number of non-empty chunks of a frame body."""
-    frame = F.from_json(body, STREAM_FRAME)
+def usage_tokens(usage: Column, name: str) -> Column:
+    return F.coalesce(F.get_json_object(usage, f"$.{name}").try_cast("bigint"), F.lit(0))
+
+
+def with_frame_columns(frames: DataFrame) -> DataFrame:
+    """Add token counts, number of non-empty chunks and end mark of each line.
+
+    The token counts are null on a line without usage. The parsed frame is a
+    column of its own, so each line is parsed once.
+    """
     chunks = F.filter(
-        frame["choices"],
+        "_frame.choices",
         lambda c: (F.coalesce(c["delta"]["content"], F.lit("")) != "")
         | (F.coalesce(c["delta"]["reasoning_content"], F.lit("")) != ""),
     )
-    return {
-        "usage": F.when(~F.coalesce(frame["usage"], F.lit("null")).isin("null", "{}"), frame["usage"]),
-        "chunks": F.greatest(F.coalesce(F.size(chunks), F.lit(0)), F.lit(0)),
-    }
+    usage = F.col("_frame.usage")
+    told = ~F.coalesce(usage, F.lit("null")).isin("null", "{}")
+    return (
+        frames.withColumn("_body", frame_body(F.col("line")))
+        .withColumn("_frame", F.from_json("_body", STREAM_FRAME))
+        .withColumns(
+            {
+                "completion_tokens": F.when(told, usage_tokens(usage, "completion_tokens")),
+                "prompt_tokens": F.when(told, usage_tokens(usage, "prompt_tokens")),
+                "chunks": F.greatest(F.coalesce(F.size(chunks), F.lit(0)), F.lit(0)),
+                "is_end": F.coalesce(F.col("_body") == "[DONE]", F.lit(False)),
+            }
+        )
+        .drop("_body", "_frame")
+    )
 
 
-def usage_tokens(usage: Column, name: str) -> Column:
-    return F.coalesce(F.get_json_object(usage, f"$.{name}").try_cast("bigint"), F.lit(0))
+def _read(parsed: DataFrame) -> DataFrame:
+    # Numbers only: with text in its buffers Spark would sort all frames first.
+    told_at = F.when(F.col("completion_tokens").isNotNull(), F.col("seq"))
+    ends = F.min(F.when(F.col("is_end"), F.col("seq")))
+    return parsed.groupBy("request_id").agg(
+        F.min("sent_us").alias("sent_us"),
+        F.min(F.when(F.col("chunks") > 0, F.col("at_us"))).alias("first_us"),
+        F.max("at_us").alias("last_us"),
+        F.sum("chunks").alias("chunks"),
+        F.max_by("completion_tokens", told_at).alias("completion_tokens"),
+        F.max_by("prompt_tokens", told_at).alias("prompt_tokens"),
+        F.bool_or("is_end").alias("done"),
+        ends.alias("_end"),
+        (ends < F.max("seq")).alias("_overrun"),
+    )
+
+
+def read_requests(frames: DataFrame) -> DataFrame:
+    """What a client has read of each request: up to its end marker, if it came.
+
+    Frames are read once. Only requests with frames behind their end marker,
+    which a sound server never sends, are read again without those.
+    """
+    parsed = with_frame_columns(frames)
+    first = _read(parsed)
+    overrun = F.coalesce("_overrun", F.lit(False))
+    sound = first.where(~overrun)
+    cuts = first.where(overrun).select("request_id", "_end")
+    cut = salted_join(parsed, cuts, ["request_id"], ["request_id", "seq"]).where("seq <= _end").drop("_end")
+    return sound.unionByName(_read(cut)).drop("_end", "_overrun")
 
 
 def sse_to_requests(frames: DataFrame) -> DataFrame:
     """Wall time, time to first token, chunks and usage of each streamed request.
 
-    `frames` carries request_id, seq, sent_us, at_us and line. Nothing after
-    the end marker counts. A request without usage keeps zero tokens and is
-    refused by the rate operators.
+    `frames` carries request_id, seq, sent_us, at_us and line. A request without
+    usage keeps zero tokens and is refused by the rate operators.
     """
-    bodies = frames.select("request_id", "seq", "sent_us", "at_us", frame_body(F.col("line")).alias("body"))
-    # Only requests with frames behind their end marker have anything to cut.
-    ends = (
-        bodies.groupBy("request_id")
-        .agg(F.min(F.when(F.col("body") == "[DONE]", F.col("seq"))).alias("_end"), F.max("seq").alias("_last"))
-        .where("_end < _last")
-        .drop("_last")
-    )
-    read = salted_left_join(bodies, ends, ["request_id"], ["request_id", "seq"]).where(
-        "_end IS NULL OR seq <= _end"
-    )
-    parsed = read.withColumns(frame_columns(F.col("body")))
-    wall = (F.max("at_us") - F.min("sent_us")) / 1e6
-    ttft = (F.min(F.when(F.col("chunks") > 0, F.col("at_us"))) - F.min("sent_us")) / 1e6
-    requests = parsed.groupBy("request_id").agg(
-        F.min("sent_us").alias("started_us"),
-        wall.alias("wall_s"),
-        ttft.alias("ttft_s"),
-        F.sum("chunks").alias("sse_chunks"),
-        F.max_by("usage", F.when(F.col("usage").isNotNull(), F.col("seq"))).alias("_usage"),
-    )
-    return requests.select(
+    return read_requests(frames).select(
         "request_id",
-        "started_us",
-        "wall_s",
-        "ttft_s",
-        "sse_chunks",
-        usage_tokens(F.col("_usage"), "completion_tokens").alias("completion_tokens"),
-        usage_tokens(F.col("_usage"), "prompt_tokens").alias("prompt_tokens"),
+        F.col("sent_us").alias("started_us"),
+        ((F.col("last_us") - F.col("sent_us")) / 1e6).alias("wall_s"),
+        ((F.col("first_us") - F.col("sent_us")) / 1e6).alias("ttft_s"),
+        F.col("chunks").alias("sse_chunks"),
+        F.coalesce("completion_tokens", F.lit(0)).alias("completion_tokens"),
+        F.coalesce("prompt_tokens", F.lit(0)).alias("prompt_tokens"),
     )

@@ -11,11 +11,11 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import order_key
 from ..functions.quality import TOKEN_ZERO_RUN
 from ..operators.counters import MIN_DRAFT_TOKENS, counter_window_delta, recommend_k
-from ..operators.keys import salted_left_join
 from ..operators.ordered import running
-from ..sources.frames import frame_body, frame_columns, usage_tokens
+from ..sources.frames import read_requests
 from ..sources.storage import fresh_path, pin
 from .carry import drain_carrying
 
@@ -28,7 +28,8 @@ LOST_GPU = "ggml_cuda_init: failed"
 PAIR_STATE = "engine string, window_end_us long, kind string, accepted double, drafted double"
 RUN_STATE = "request_id long, last_other long, aborted boolean, last_us long, clock_us long"
 REQUEST_STATE = (
-    "request_id long, sent_us long, first_us long, last_us long, chunks long, usage string, done boolean, clock_us long"
+    "request_id long, sent_us long, first_us long, last_us long, chunks long, completion_tokens long, done boolean,"
+    " clock_us long"
 )
 
 
@@ -42,13 +43,23 @@ def _clock(batch: DataFrame, state: DataFrame) -> Column:
 
 def window_ticks(samples: DataFrame, window_s: int = WINDOW_S, late: str = "10 minutes") -> DataFrame:
     """The last scrape of each engine and closed tumbling window, reduced map-side."""
-    at = F.struct("scraped_us", "sample_id")
+    last = order_key(F.col("scraped_us"), F.col("sample_id"))
     return (
         samples.withColumn("at", F.timestamp_micros("scraped_us"))
         .withWatermark("at", late)
         .groupBy("engine", F.window("at", f"{window_s} seconds"))
-        .agg(F.max_by(F.struct("kind", "accepted", "drafted"), at).alias("_last"))
-        .select("engine", F.unix_micros("window.end").alias("window_end_us"), "_last.*")
+        .agg(
+            F.max_by(F.col("kind") == "counter", last).alias("_counter"),
+            F.max_by("accepted", last).alias("accepted"),
+            F.max_by("drafted", last).alias("drafted"),
+        )
+        .select(
+            "engine",
+            F.unix_micros("window.end").alias("window_end_us"),
+            F.when(F.col("_counter"), "counter").alias("kind"),
+            "accepted",
+            "drafted",
+        )
     )
 
 
@@ -149,32 +160,19 @@ def latency_step(frames: DataFrame, state: DataFrame, *, late_s: int = LATE_S, s
 
     Frames behind the end marker do not count, in this batch or a later one.
     """
-    parsed = frames.withColumn("_body", frame_body(F.col("line"))).withColumns(frame_columns(F.col("_body")))
-    parsed = parsed.withColumn("_end", F.coalesce(F.col("_body") == "[DONE]", F.lit(False)))
-    late = (
-        parsed.groupBy("request_id")
-        .agg(F.min(F.when(F.col("_end"), F.col("seq"))).alias("_end_at"), F.max("seq").alias("_newest"))
-        .where("_end_at < _newest")
-        .drop("_newest")
-    )
-    read = salted_left_join(parsed, late, ["request_id"], ["request_id", "seq"]).where("_end_at IS NULL OR seq <= _end_at")
-    new = read.groupBy("request_id").agg(
-        F.min("sent_us").alias("_sent"),
-        F.min(F.when(F.col("chunks") > 0, F.col("at_us"))).alias("_first"),
-        F.max("at_us").alias("_last"),
-        F.sum("chunks").alias("_chunks"),
-        F.max_by("usage", F.when(F.col("usage").isNotNull(), F.col("seq"))).alias("_usage"),
-        F.bool_or("_end").alias("_done"),
-    )
+    read = read_requests(frames)
+    new = read.withColumnsRenamed({c: f"_{c}" for c in read.columns if c != "request_id"})
     was = F.coalesce("done", F.lit(False))
     both = state.drop("clock_us").join(new, "request_id", "full")
     merged = both.select(
         "request_id",
-        F.coalesce("sent_us", "_sent").alias("sent_us"),
-        F.when(was, F.col("first_us")).otherwise(F.coalesce("first_us", "_first")).alias("first_us"),
-        F.when(was, F.col("last_us")).otherwise(F.greatest("last_us", "_last")).alias("last_us"),
+        F.coalesce("sent_us", "_sent_us").alias("sent_us"),
+        F.when(was, F.col("first_us")).otherwise(F.coalesce("first_us", "_first_us")).alias("first_us"),
+        F.when(was, F.col("last_us")).otherwise(F.greatest("last_us", "_last_us")).alias("last_us"),
         (F.coalesce("chunks", F.lit(0)) + F.when(was, 0).otherwise(F.coalesce("_chunks", F.lit(0)))).cast("long").alias("chunks"),
-        F.when(was, F.col("usage")).otherwise(F.coalesce("_usage", "usage")).alias("usage"),
+        F.when(was, F.col("completion_tokens"))
+        .otherwise(F.coalesce("_completion_tokens", "completion_tokens"))
+        .alias("completion_tokens"),
         (was | F.coalesce("_done", F.lit(False))).alias("done"),
         was.alias("_was"),
         _clock(frames, state).alias("clock_us"),
@@ -188,7 +186,7 @@ def first_token_latency(frames: DataFrame, *, folder: str | None = None, **limit
     """Time to first token and rate of each live request, at its end or when it falls silent."""
     rows = drain_carrying(frames, partial(latency_step, **limits), REQUEST_STATE, "first-token", folder)
     wall = (F.col("last_us") - F.col("sent_us")) / 1e6
-    tokens = usage_tokens(F.col("usage"), "completion_tokens")
+    tokens = F.coalesce("completion_tokens", F.lit(0))
     return rows.select(
         "request_id",
         "ended",

@@ -394,10 +394,10 @@ def test_render_turns_in_parts(spark):
 
 
 def test_salted_join_keeps_every_row(spark):
-    from servemetry.operators.keys import lookup_join, salted_left_join
+    from servemetry.operators.keys import lookup_join, salted_join
 
     big = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(300)], "k string, i int")
     small = spark.createDataFrame([("hot", 1), ("k0", 2)], "k string, v int")
-    joined = salted_left_join(big, small, ["k"], ["i"])
+    joined = salted_join(big, small, ["k"], ["i"], "left")
     assert joined.count() == 300 and joined.where("v = 1").count() == 200 and joined.where("v = 2").count() == 1
     assert rows(lookup_join(big, small, ["k"], ["i"]), "i", "v") == rows(lookup_join(big, small, ["k"], ["i"], max_rows=1), "i", "v")
