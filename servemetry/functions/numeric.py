@@ -27,11 +27,11 @@ def half_even(value: Column, digits: int) -> Column:
     return whole / scale
 
 
-def value_bin(value: Column, resolution: int = 64) -> Column:
+def value_bin(value: Column, resolution: int = 16) -> Column:
     """Histogram bin that never decreases as the value grows.
 
     Square roots are correctly rounded, so the order of two values is never
-    turned round at a bin edge. Bins are about 0.2% wide near 1.0 and get
+    turned round at a bin edge. Bins are about 0.8% wide near 1.0 and get
     relatively finer above it.
     """
     value = value.cast("double")

@@ -24,19 +24,22 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def salted_join(
-    big: DataFrame, small: DataFrame, keys: Sequence[str], spread_by: Sequence[str], how: str = "inner", salts: int = SALTS
+    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = SALTS
 ) -> DataFrame:
     """Inner or left join in which the rows of one hot key spread over `salts` tasks.
 
-    `small` holds one row per key and is repeated once per salt.
+    `small` holds one row per key and is repeated once per salt. The salt is the
+    number of the task that produced the row: equal rows differ in it, and a
+    task that is run again gives the same one. As the salt is part of the join
+    key, an aggregation behind the join combines its rows before they move on.
     """
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    salted = big.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return null_safe_join(salted, repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def lookup_join(
-    big: DataFrame, small: DataFrame, keys: Sequence[str], spread_by: Sequence[str], how: str = "inner", max_rows: int = 100_000
+    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", max_rows: int = 100_000
 ) -> DataFrame:
     """Join to a lookup table that is expected to be small.
 
@@ -45,4 +48,4 @@ def lookup_join(
     """
     if small.limit(max_rows + 1).count() <= max_rows:
         return big.join(F.broadcast(small), list(keys), how)
-    return salted_join(big, small, keys, spread_by, how)
+    return salted_join(big, small, keys, how)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_even
-from .keys import null_safe_join
+from .keys import null_safe_join, salted_join
 from .order_stats import Rank, lower_middle, median, nearest, upper_middle, values_at_ranks
 
 MIN_RUN_S = 30
@@ -69,7 +69,7 @@ def trial_rollup(requests: DataFrame, cell: Sequence[str]) -> DataFrame:
 def discard_warmup(requests: DataFrame, cell: Sequence[str]) -> DataFrame:
     """Without the first trial of each cell."""
     first = requests.groupBy(*cell).agg(F.min("trial").alias("_first"))
-    return null_safe_join(requests, first, cell).where(F.col("trial") > F.col("_first")).drop("_first")
+    return salted_join(requests, first, cell).where(F.col("trial") > F.col("_first")).drop("_first")
 
 
 def chunk_tripwire(requests: DataFrame, cell: Sequence[str], near_one: float = 0.05) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import value_bin
-from .keys import null_safe_join
+from .keys import salted_join
 
 Rank = Callable[[Column], Column]
 
@@ -61,8 +61,9 @@ def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mappi
     ).where(F.size("_want") > 0)
 
     # _want belongs to the bin; as a grouping key it comes along without a join.
+    # Salted, because one value may make up most of the rows of a bin.
     in_bin = [*keys, "_bin"]
-    equal = null_safe_join(binned, bins, in_bin).groupBy(*in_bin, "_v", "_want").agg(F.count("*").alias("_c"))
+    equal = salted_join(binned, bins, in_bin).groupBy(*in_bin, "_v", "_want").agg(F.count("*").alias("_c"))
     upto = Window.partitionBy(*in_bin).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = equal.withColumn("_hi", F.sum("_c").over(upto)).withColumn("_lo", F.col("_hi") - F.col("_c"))
 

@@ -66,15 +66,15 @@ def least_outstanding(
     arrivals = requests.select("lane", "request_id", F.col("start_us").alias("at_us"))
     choices = backends.groupBy("lane").agg(F.collect_set(F.struct("backend", "ord")).alias("_choices"))
     offered = (
-        lookup_join(arrivals, choices, ["lane"], ["request_id"])
+        lookup_join(arrivals, choices, ["lane"])
         .select("lane", "request_id", "at_us", F.explode("_choices").alias("_choice"))
         .select("lane", "request_id", "at_us", "_choice.*")
     )
-    loads = lookup_join(inflight_at(requests, offered, "backend"), backends, ["backend"], ["request_id"])
+    loads = lookup_join(inflight_at(requests, offered, "backend"), backends, ["backend"])
     least = loads.groupBy("lane", "request_id").agg(
         F.min_by("ord", order_key(F.col("inflight"), F.col("ord"))).alias("ord"), F.sum("inflight").alias("lane_inflight")
     )
-    return lookup_join(least, backends, ["lane", "ord"], ["request_id"]).select(
+    return lookup_join(least, backends, ["lane", "ord"]).select(
         "lane",
         "request_id",
         "lane_inflight",

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chat
+from ..operators.keys import lookup_join
 
 CELL = ["run", "class", "concurrency", "thinking"]
 
@@ -27,10 +28,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
-def micros(ts: Column) -> Column:
+def micros(ts: Column, spark: SparkSession) -> Column:
     """Microseconds since 1970 of a zoneless UTC time, in any session zone."""
-    here = F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts)
-    return F.unix_micros(here.cast("timestamp"))
+    if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "GMT"):
+        ts = F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts)
+    return F.unix_micros(ts.cast("timestamp"))
 
 
 def shape_events(raw: DataFrame) -> DataFrame:
@@ -39,8 +41,8 @@ def shape_events(raw: DataFrame) -> DataFrame:
         "user_id",
         "event_type",
         "value",
-        micros(F.col("ts")).alias("at_us"),
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
+        micros(F.col("ts"), raw.sparkSession).alias("at_us"),
+        F.regexp_extract("props", r'"k": *(-?[0-9]+)', 1).cast("int").alias("k"),
     )
 
 
@@ -353,12 +355,12 @@ def trials(spark: SparkSession, sf: str) -> DataFrame:
 def retrieval_cases(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as answers, with benchmark items as needles."""
     d = F.col("doc_id")
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("_item"), F.col("text").alias("needle"))
+    items = table(spark, sf, "benchmark").where("item_id < 40").select(F.col("item_id").alias("_item"), F.col("text").alias("needle"))
     kinds = F.element_at(
         F.array(*[F.lit(x) for x in ("control", "decode", "niah", "binding", "radix")]), (d % 5 + 1).cast("int")
     )
     docs = documents(spark, sf).withColumn("_item", d % 40)
-    return docs.join(items, "_item").select(
+    return lookup_join(docs, items, ["_item"]).select(
         F.col("source").alias("run"),
         F.concat_ws("/", kinds, d.cast("string")).alias("name"),
         kinds.alias("kind"),

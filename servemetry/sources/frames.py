@@ -77,7 +77,7 @@ def read_requests(frames: DataFrame) -> DataFrame:
     overrun = F.coalesce("_overrun", F.lit(False))
     sound = first.where(~overrun)
     cuts = first.where(overrun).select("request_id", "_end")
-    cut = salted_join(parsed, cuts, ["request_id"], ["request_id", "seq"]).where("seq <= _end").drop("_end")
+    cut = salted_join(parsed, cuts, ["request_id"]).where("seq <= _end").drop("_end")
     return sound.unionByName(_read(cut)).drop("_end", "_overrun")
 
 

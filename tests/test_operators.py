@@ -396,8 +396,9 @@ def test_render_turns_in_parts(spark):
 def test_salted_join_keeps_every_row(spark):
     from servemetry.operators.keys import lookup_join, salted_join
 
-    big = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(300)], "k string, i int")
-    small = spark.createDataFrame([("hot", 1), ("k0", 2)], "k string, v int")
-    joined = salted_join(big, small, ["k"], ["i"], "left")
-    assert joined.count() == 300 and joined.where("v = 1").count() == 200 and joined.where("v = 2").count() == 1
-    assert rows(lookup_join(big, small, ["k"], ["i"]), "i", "v") == rows(lookup_join(big, small, ["k"], ["i"], max_rows=1), "i", "v")
+    big = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(300)] + [(None, 300)], "k string, i int")
+    small = spark.createDataFrame([("hot", 1), ("k0", 2), (None, 3)], "k string, v int")
+    joined = salted_join(big.repartition(8), small, ["k"], "left")
+    assert joined.count() == 301 and [joined.where(f"v = {v}").count() for v in (1, 2, 3)] == [200, 1, 1]
+    known = big.where("k IS NOT NULL")
+    assert rows(lookup_join(known, small, ["k"]), "i", "v") == rows(lookup_join(known, small, ["k"], max_rows=1), "i", "v")
