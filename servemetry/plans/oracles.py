@@ -146,7 +146,7 @@ EPOCHS = """epochs AS (SELECT *, CAST(sum(CAST(restart AS INT)) OVER (PARTITION
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS suspect FROM epochs)"""
 
 TRIED = """tried AS (SELECT source AS run, doc_id AS trial,
-  CASE WHEN doc_id % 4 = 0 THEN '2ZDJ-L2BU' ELSE substr(text, 5, 12) END AS needle,
+  CASE WHEN doc_id % 4 = 0 THEN 'K7PQ-44XM' ELSE substr(text, 5, 12) END AS needle,
   CASE WHEN doc_id % 9 = 0 THEN repeat('!', 20) ELSE text END AS long_text,
   doc_id % 11 = 0 AS partner_zero FROM documents),
  flagged AS (SELECT *, CASE WHEN trial % 9 = 0 THEN 'TOKEN-ZERO' WHEN contains(long_text, needle) THEN 'ok' ELSE 'MISS' END
@@ -625,7 +625,7 @@ WHERE NOT EXISTS (SELECT 1 FROM measured m WHERE m.run = r.run AND m.prompt_toke
     "first_token_latency": stack(
         EV,
         FRAMES,
-        """timed AS (SELECT *, at_us + CASE WHEN ends AND k % 7 <> 0 THEN m + 4 ELSE m + 5 END * 1000 * (1 + k) AS last_us,
+        """timed AS (SELECT *, at_us + CASE WHEN ends THEN m + 4 ELSE m + 5 END * 1000 * (1 + k) AS last_us,
    CASE WHEN NOT ends THEN 9999 WHEN event_type = 'error' THEN 0 ELSE 16 + k END AS tokens,
    ((CASE WHEN ends THEN m + 4 ELSE m + 5 END) * 1000 * (1 + k)) / 1e6 AS wall_s FROM framed)""",
         select=f"""SELECT event_id AS request_id, CASE WHEN ends THEN 'done' ELSE 'timeout' END AS ended, wall_s,

@@ -346,7 +346,7 @@ def trials(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select(
         F.col("source").alias("run"),
         d.alias("trial"),
-        F.when(d % 4 == 0, "2ZDJ-L2BU").otherwise(F.substring("text", 5, 12)).alias("needle"),
+        F.when(d % 4 == 0, "K7PQ-44XM").otherwise(F.substring("text", 5, 12)).alias("needle"),
         F.when(d % 9 == 0, "!!!!!!!!!!!!!!!!!!!!").otherwise(F.col("text")).alias("long_text"),
         F.when(d % 11 == 0, "  !!!!!!!!!!  ").otherwise(F.col("lang")).alias("partner_text"),
     )

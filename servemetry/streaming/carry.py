@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.storage import fresh_path
 
+_ADAPTIVE = "spark.sql.adaptive.enabled"
 Step = Callable[[DataFrame, DataFrame], DataFrame]
 
 
@@ -28,7 +29,14 @@ def start_carrying(stream: DataFrame, step: Step, state_schema: str, folder: str
         else:
             state = spark.read.schema(f"{state_schema}, keep boolean").parquet(_step(folder, batch_id - 1))
             state = state.where("keep").drop("keep")
-        step(batch, state).write.mode("overwrite").parquet(_step(folder, batch_id))
+        # A stream plans without adaptive execution, as its state needs fixed
+        # partitions. The step is a job of its own and may adapt.
+        adaptive = spark.conf.get(_ADAPTIVE)
+        spark.conf.set(_ADAPTIVE, "true")
+        try:
+            step(batch, state).write.mode("overwrite").parquet(_step(folder, batch_id))
+        finally:
+            spark.conf.set(_ADAPTIVE, adaptive)
 
     return (
         stream.writeStream.foreachBatch(run)

@@ -33,9 +33,9 @@ REQUEST_STATE = (
 )
 
 
-def _clock(batch: DataFrame, state: DataFrame) -> Column:
-    """Newest event time seen so far."""
-    return F.greatest(batch.select(F.max("at_us")).scalar(), state.select(F.max("clock_us")).scalar())
+def _clock(seen: DataFrame, state: DataFrame) -> Column:
+    """Newest event time that counted so far; `seen` is pinned, one row per request."""
+    return F.greatest(seen.select(F.max("_last_us")).scalar(), state.select(F.max("clock_us")).scalar())
 
 
 # Draft-depth advice ------------------------------------------------------
@@ -132,8 +132,9 @@ def guard_step(
     place = F.locate("0" * run, F.concat(F.repeat(F.lit("0"), F.greatest(ahead, F.lit(0))), F.col("_shape")))
     hit = F.when((F.col("pos") >= 0) & (place > 0), F.col("pos") + place + (run - 1) - ahead)
     seen = walked.groupBy("request_id").agg(
-        F.min(hit).alias("_hit"), F.max("_other").alias("last_other"), F.max("at_us").alias("last_us")
+        F.min(hit).alias("_hit"), F.max("_other").alias("last_other"), F.max("at_us").alias("_last_us")
     )
+    seen = pin(seen)
     was = F.coalesce(F.col("_was"), F.lit(False))
     told = seen.join(state.select("request_id", F.col("aborted").alias("_was")), "request_id", "left")
     return told.select(
@@ -141,8 +142,8 @@ def guard_step(
         (F.col("_hit") - run + 1).cast("long").alias("finished_len"),
         F.coalesce("last_other", F.lit(0)).cast("long").alias("last_other"),
         (was | F.col("_hit").isNotNull()).alias("aborted"),
-        "last_us",
-        _clock(chunks, state).alias("clock_us"),
+        F.col("_last_us").alias("last_us"),
+        _clock(seen, state).alias("clock_us"),
         (~was & F.col("_hit").isNotNull()).alias("emit"),
     ).withColumn("keep", F.col("last_us") + silent_s * 1_000_000 >= F.col("clock_us") - late_s * 1_000_000)
 
@@ -161,7 +162,7 @@ def latency_step(frames: DataFrame, state: DataFrame, *, late_s: int = LATE_S, s
     Frames behind the end marker do not count, in this batch or a later one.
     """
     read = read_requests(frames)
-    new = read.withColumnsRenamed({c: f"_{c}" for c in read.columns if c != "request_id"})
+    new = pin(read.withColumnsRenamed({c: f"_{c}" for c in read.columns if c != "request_id"}))
     was = F.coalesce("done", F.lit(False))
     both = state.drop("clock_us").join(new, "request_id", "full")
     merged = both.select(
@@ -175,7 +176,7 @@ def latency_step(frames: DataFrame, state: DataFrame, *, late_s: int = LATE_S, s
         .alias("completion_tokens"),
         (was | F.coalesce("_done", F.lit(False))).alias("done"),
         was.alias("_was"),
-        _clock(frames, state).alias("clock_us"),
+        _clock(new, state).alias("clock_us"),
     )
     silent = F.col("last_us") + silent_s * 1_000_000 < F.col("clock_us") - late_s * 1_000_000
     ended = F.when(F.col("done") & ~F.col("_was"), "done").when(~F.col("done") & silent, "timeout")
