@@ -1,6 +1,6 @@
 """Throughput and latency of measured requests: request, trial, cell, run.
 
-A measured request carries request_id (a number, in order of issue), its cell columns, trial, started_us,
+A measured request carries request_id (a number), its cell columns, trial, started_us,
 wall_s, ttft_s, sse_chunks, completion_tokens and prompt_tokens.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import half_even
+from ..functions.numeric import half_even, order_key
 from .keys import null_safe_join, salted_join
 from .order_stats import Rank, lower_middle, median, nearest, upper_middle, values_at_ranks
 
@@ -35,13 +35,14 @@ def refused_requests(requests: DataFrame) -> DataFrame:
 
 def _trial_totals(rated: DataFrame, cell: Sequence[str]) -> DataFrame:
     ended = F.col("started_us") + F.col("wall_s") * 1e6
+    first = order_key(F.col("started_us"), F.col("request_id"))
     return rated.groupBy(*cell, "trial").agg(
         F.count("*").alias("_requests"),
         F.sum("completion_tokens").alias("_tokens"),
         F.sum("sse_chunks").alias("_chunks"),
         F.max("wall_s").alias("_longest"),
         ((F.max(ended) - F.min("started_us")) / 1e6).alias("_makespan"),
-        F.min_by("prompt_tokens", "request_id").alias("_prompt"),
+        F.min_by("prompt_tokens", first).alias("_prompt"),
     )
 
 
