@@ -33,7 +33,7 @@ def counter_scan(lines: DataFrame, scrape: Sequence[str] = SCRAPE) -> DataFrame:
     """The accepted and drafted totals of each scrape, summed over label sets."""
     line = F.col("line")
     return (
-        lines.where(line.rlike(_TOTAL))
+        lines.where(F.contains(line, F.lit("_tokens_total{")) & line.rlike(_TOTAL))
         .select(
             *scrape,
             F.regexp_extract(line, _FAMILY, 1).alias("engine_family"),

@@ -47,4 +47,5 @@ def advice_sink(advice: DataFrame, path: str) -> None:
 
 def iso_utc(micros: Column) -> Column:
     """UTC stamp as text, to the second."""
-    return F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    utc = F.to_utc_timestamp(F.timestamp_micros(micros), F.current_timezone())
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")
