@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
+from . import bpe, quality, token_counts
+
+#: Vocabulary of the token queries; operators take any path.
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,5 +21,23 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules,)}
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Digests of the token ids of every document and of the text they decode to."""
+    encoded = bpe.encode_documents(_documents(spark, sf_dir), vocabulary or public_tokenizers.path(VOCABULARY))
+    return encoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op3_section_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Tokens of every line of every document; a token across a boundary goes to the line with most of it."""
+    return token_counts.section_token_counts(
+        _documents(spark, sf_dir), vocabulary or public_tokenizers.path(VOCABULARY)
+    ).select("doc_id", F.col("section").cast("bigint").alias("section"), "start", "end", F.col("n_tokens").cast("bigint").alias("n_tokens"), "n_crossing")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_round_trip, op3_section_token_counts)}
 ORACLES: dict[str, str] = {}
