@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, token_counts
+from . import bpe, quality, secret_scan, shard_table, token_counts
 
 #: Vocabulary of the token queries; operators take any path.
 VOCABULARY = "byte_bpe_50k.json"
@@ -39,5 +39,41 @@ def op3_section_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str |
     ).select("doc_id", F.col("section").cast("bigint").alias("section"), "start", "end", F.col("n_tokens").cast("bigint").alias("n_tokens"), "n_crossing")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_round_trip, op3_section_token_counts)}
-ORACLES: dict[str, str] = {}
+def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts of the fixed patterns and all spans."""
+    found = secret_scan.secret_spans(_documents(spark, sf_dir))
+
+    def listed(spans: Column) -> Column:
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in ("assign", "access", "hex")],
+        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
+SHARDS, SLOTS = tuple(f"shard-{n:02d}" for n in range(64)), 65537
+
+
+def op7_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of every document."""
+    return shard_table.place(_documents(spark, sf_dir), "doc_id", SHARDS, slots=SLOTS)
+
+
+#: The table itself is tested apart; the twin looks the same bytes up.
+_OP7 = """
+WITH placed AS (
+    SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {slots} AS slot FROM documents
+), owned AS (SELECT '{table}' AS owners)
+SELECT doc_id, slot, printf('shard-%02d', CAST('0x' || substr(owners, CAST(slot * 4 + 1 AS BIGINT), 4) AS INTEGER)) AS shard
+FROM placed, owned
+"""
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_round_trip, op3_section_token_counts, op5_secret_spans, op7_shard_placement)}
+ORACLES = {"op7_shard_placement": _OP7.format(slots=SLOTS, table=shard_table.table_bytes(shard_table.fill_table(SHARDS, SLOTS)).hex())}
