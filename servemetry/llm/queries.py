@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, secret_scan, shard_table, token_counts
+from . import bpe, jaccard_join, quality, secret_scan, shard_table, token_counts
 
 #: Vocabulary of the token queries; operators take any path.
 VOCABULARY = "byte_bpe_50k.json"
@@ -39,6 +39,32 @@ def op3_section_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str |
     ).select("doc_id", F.col("section").cast("bigint").alias("section"), "start", "end", F.col("n_tokens").cast("bigint").alias("n_tokens"), "n_crossing")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of 3-word shingles with a similarity of 0.9 or more."""
+    return jaccard_join.similarity_components(_documents(spark, sf_dir), words=3, num=90, den=100)
+
+
+_OP4 = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS s FROM words
+), sizes AS (
+    SELECT doc_id, coalesce(len(s), 0)::BIGINT AS n_shingles FROM sets
+), grams AS (
+    SELECT doc_id, unnest(s) AS g FROM sets
+), common AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+    SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * n >= 90 * (p.n_shingles + q.n_shingles - n)
+), reach AS (
+    SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+)
+SELECT doc_id, n_shingles, (SELECT min(y) FROM reach WHERE x = doc_id) AS component_id FROM sizes
+"""
+
+
 def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts of the fixed patterns and all spans."""
     found = secret_scan.secret_spans(_documents(spark, sf_dir))
@@ -75,5 +101,5 @@ SELECT doc_id, slot, printf('shard-%02d', CAST('0x' || substr(owners, CAST(slot
 FROM placed, owned
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_round_trip, op3_section_token_counts, op5_secret_spans, op7_shard_placement)}
-ORACLES = {"op7_shard_placement": _OP7.format(slots=SLOTS, table=shard_table.table_bytes(shard_table.fill_table(SHARDS, SLOTS)).hex())}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_round_trip, op3_section_token_counts, op4_jaccard_join, op5_secret_spans, op7_shard_placement)}
+ORACLES = {"op4_jaccard_join": _OP4, "op7_shard_placement": _OP7.format(slots=SLOTS, table=shard_table.table_bytes(shard_table.fill_table(SHARDS, SLOTS)).hex())}
