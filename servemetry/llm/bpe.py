@@ -14,6 +14,7 @@ import heapq
 import json
 import re
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import regex
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from .arrow import map_blocks
 
 #: Answers of one generation that a task remembers; speed only.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 _DOUBLE_WHITE = re.compile(r"\s\s")
 
 
@@ -45,7 +46,7 @@ class Remembered(dict):
         return value
 
     def unknown(self, keys: set) -> set:
-        return {k for k in keys - self.keys() if k not in self.old}
+        return {k for k in keys if k not in self and k not in self.old}
 
     def turn(self, most: int) -> None:
         if len(self) > most:
@@ -80,10 +81,7 @@ class Encoder:
             self.ranks[self.ids[left], self.ids[right]] = len(self.product)
             self.product.append(self.ids[left + right])
         self.none = len(self.product)
-        self.longest: dict[bytes, int] = {}
-        for token in self.ids:
-            for n in (1, 2, 3):
-                self.longest[token[:n]] = max(self.longest.get(token[:n], 1), len(token) if n == 3 else min(n, len(token)))
+        self.prefixes = {token[:n] for token in self.ids for n in range(2, len(token))}
         self.pattern = regex.compile(
             r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         )
@@ -137,13 +135,18 @@ class Encoder:
         whole = self.ids.get(word)
         if whole is not None:
             return [whole]
-        out, at, end, ids, longest = [], 0, len(word), self.ids, self.longest
+        out, at, end, ids, prefixes = [], 0, len(word), self.ids, self.prefixes
         while at < end:
-            stop = min(end, at + longest.get(word[at : at + 3], 3))
-            while (i := ids.get(word[at:stop])) is None:
-                stop -= 1
-            out.append(i)
-            at = stop
+            best, here, stop = ids[word[at : at + 1]], at + 1, at + 2
+            while stop <= end:
+                part = word[at:stop]
+                if (i := ids.get(part)) is not None:
+                    best, here = i, stop
+                if part not in prefixes:
+                    break
+                stop += 1
+            out.append(best)
+            at = here
         return out
 
     def _known(self, key: int) -> bool:
@@ -152,8 +155,8 @@ class Encoder:
         wanted = [left] if right == self.size else [left, right]
         return self.merge(b"".join(self.tokens[i] for i in wanted)) == wanted
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Token ids of each word: proposals, one test of all pairs, exact merging of the rest."""
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Token ids (little-endian, 32 bits) of each word: proposals, one test of all pairs, exact merging of the rest."""
         proposals = [self.propose(w) for w in words]
         sizes = np.fromiter(map(len, proposals), dtype=np.int64, count=len(words))
         flat = np.fromiter((i for p in proposals for i in p), dtype=np.int64, count=int(sizes.sum()))
@@ -172,16 +175,18 @@ class Encoder:
             except KeyError:
                 answers[n] = self.compatible[key] = self._known(key)
         failing = np.unique(owner[inner][~answers[at]])
-        out = np.split(flat.astype("<u4"), ends[:-1] + 1) if len(words) else []
+        packed, stops = flat.astype("<u4").tobytes(), (4 * ends + 4).tolist()
+        out = [packed[a:b] for a, b in zip([0, *stops], stops, strict=False)]
         for n in failing.tolist():
-            out[n] = np.array(self.merge(words[n]), dtype="<u4")
+            ids = self.merge(words[n])
+            out[n] = pack(f"<{len(ids)}I", *ids)
         self.merged_exactly += len(failing)
         return out
 
     def _learn(self, words: set[str]) -> None:
         new = list(self.words.unknown(words))
         for word, ids in zip(new, self.encode_words([w.encode("utf-8", "surrogatepass") for w in new]), strict=True):
-            self.words[word] = ids.tobytes()
+            self.words[word] = ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.
@@ -189,9 +194,9 @@ class Encoder:
         Where no two white-space characters follow each other, every space begins a word, so a
         text is split at its spaces and what follows each space is looked up whole.
         """
-        self.words.turn(REMEMBERED)
         self.spaced.turn(REMEMBERED)
-        self.compatible.turn(REMEMBERED)
+        self.words.turn(REMEMBERED // 2)
+        self.compatible.turn(REMEMBERED // 2)
         cuts = []
         for text in texts:
             at = 0
@@ -203,7 +208,7 @@ class Encoder:
             cuts.append(None)
         loose = {w for cut in cuts if cut and cut[0] == "words" for w in cut[1]}
         spaced = self.spaced.unknown({p for cut in cuts if cut and cut[0] == "spaced" for p in cut[1][1:]})
-        inner = {p: self.pattern.findall(" " + p) for p in spaced}
+        inner = {p: self._split(p) for p in spaced}
         firsts = {cut[1][0]: self.pattern.findall(cut[1][0]) for cut in cuts if cut and cut[0] == "spaced"}
         self._learn(loose.union(*inner.values(), *firsts.values()))
         for piece, words in inner.items():
@@ -222,6 +227,15 @@ class Encoder:
                 parts.append(int(cut[1]).to_bytes(4, "little"))
         return out
 
+    def _split(self, piece: str) -> list[str]:
+        """Words of a space and a piece without spaces; most pieces are letters, and perhaps a stop."""
+        if piece.isascii():
+            if piece.isalpha():
+                return [" " + piece]
+            if piece[-1:] in (".", ",") and piece[:-1].isalpha():
+                return [" " + piece[:-1], piece[-1]]
+        return self.pattern.findall(" " + piece)
+
     def _cut(self, text: str) -> tuple:
         if _DOUBLE_WHITE.search(text):
             return ("words", self.pattern.findall(text))

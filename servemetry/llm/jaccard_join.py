@@ -292,3 +292,20 @@ def _region_links(
     everyone = own.select("pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_open") - 1)).alias("i"), F.col("block").alias("j"), "node", "grams", "settled")
     openers = own.where("not settled").select("pivot", F.col("open_block").alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)).alias("j"), "node", "grams", "settled")
     return joined(small.union(everyone).union(openers)).union(at_pivot)
+
+
+def one_of_each_group(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The document of the smallest id of each component, with all its columns.
+
+    Documents without words or id are in no group and stay. Of rows that repeat an id one stays.
+    """
+    found = pin(similarity_components(docs, words=words, num=num, den=den, id_col=id_col, text_col=text_col).where("doc_id is not null"))
+    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
+    repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    gone = dropped.withColumnRenamed("doc_id", "_gone_id")
+    if repeated.isEmpty():
+        return docs.join(gone, docs[id_col] == gone["_gone_id"], "left_anti")
+    again = pin(repeated.join(dropped, "doc_id", "left_anti").withColumnRenamed("doc_id", "_again_id"))
+    once = docs.join(again, docs[id_col] == again["_again_id"], "left_semi").dropDuplicates([id_col])
+    both = gone.union(again).withColumnRenamed("_gone_id", "_out_id")
+    return docs.join(both, docs[id_col] == both["_out_id"], "left_anti").union(once)

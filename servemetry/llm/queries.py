@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, quality, secret_scan, shard_table, token_counts
+from . import bpe, jaccard_join, license_scan, packing, quality, secret_scan, shard_table, substrings, token_counts, vector_dedup
 
 #: Vocabulary of the token queries; operators take any path.
 VOCABULARY = "byte_bpe_50k.json"
@@ -84,6 +84,11 @@ def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_packed_sequences(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Place of every piece of every document in sequences of 1,024 tokens."""
+    return packing.pack(_documents(spark, sf_dir), vocabulary or public_tokenizers.path(VOCABULARY), window=1024, end_id=0)
+
+
 SHARDS, SLOTS = tuple(f"shard-{n:02d}" for n in range(64)), 65537
 
 
@@ -101,5 +106,62 @@ SELECT doc_id, slot, printf('shard-%02d', CAST('0x' || substr(owners, CAST(slot
 FROM placed, owned
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_round_trip, op3_section_token_counts, op4_jaccard_join, op5_secret_spans, op7_shard_placement)}
-ORACLES = {"op4_jaccard_join": _OP4, "op7_shard_placement": _OP7.format(slots=SLOTS, table=shard_table.table_bytes(shard_table.fill_table(SHARDS, SLOTS)).hex())}
+
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector within its label, at a cosine of 0.93 or more."""
+    return vector_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.93)
+
+
+_OP8 = """
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM vectors a JOIN vectors b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach AS (
+    SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+), least AS (
+    SELECT x, min(y) AS component_id FROM reach GROUP BY x
+), counts AS (
+    SELECT x, count(*) AS n FROM links GROUP BY x
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON least.x = vec_id LEFT JOIN counts ON counts.x = vec_id
+"""
+
+
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document that an earlier document holds, and all that it shares."""
+    found = substrings.repeated_passages(_documents(spark, sf_dir))
+
+    def listed(spans: str) -> Column:
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["start"], s["end"])))
+
+    def words(spans: str) -> Column:
+        return F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, s: n + s["words"])
+
+    return found.select(
+        "doc_id", "n_chunks", words("removed").alias("n_removed_words"), words("shared").alias("n_shared_words"),
+        listed("removed").alias("removed"), listed("shared").alias("shared"),
+    )
+
+
+def op10_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice of every document, with its differences from the template."""
+    return license_scan.license_notices(_documents(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_bpe_round_trip, op3_section_token_counts, op4_jaccard_join, op5_secret_spans, op6_packed_sequences,
+        op7_shard_placement, op8_near_vectors, op9_repeated_passages, op10_license_notices,
+    )
+}
+ORACLES = {
+    "op4_jaccard_join": _OP4,
+    "op7_shard_placement": _OP7.format(slots=SLOTS, table=shard_table.table_bytes(shard_table.fill_table(SHARDS, SLOTS)).hex()),
+    "op8_near_vectors": _OP8,
+}
