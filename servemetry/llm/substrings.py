@@ -1,12 +1,13 @@
 """Substring deduplication by content-defined chunks.
 
-A gear hash rolls over the bytes of a text: every byte adds its gear to the doubled
-hash, so in 16 bits it depends on the last 16 bytes alone. Where its top bits are
-zero a chunk ends. Cuts follow content, so a passage is cut alike wherever it stands,
-after a shift of at most a chunk. Chunks are compared by digest; the occurrence in the
-document of the smallest id stays, later ones are repeats. Repeats count only in
-runs of adjacent chunks with at least `min_words` words, so that common phrases
-stay and a chance equality of two digests changes nothing.
+A gear hash rolls over the bytes of a text: every byte adds its gear to the hash shifted
+by four bits, so in 32 bits it depends on the last 8 bytes alone. A chunk ends where the
+hash is the largest within REACH bytes on either side. Cuts follow content, so a passage
+is cut alike wherever it stands, from at most REACH + 8 bytes after its begin to
+REACH bytes before its end, and chunks vary little in length. Chunks are compared by
+digest; the occurrence in the document of the smallest id stays, later ones are
+repeats. Repeats count only in runs of adjacent chunks with at least `min_words` words,
+so that common phrases stay and a chance equality of two digests changes nothing.
 """
 
 from __future__ import annotations
@@ -22,14 +23,16 @@ from pyspark.sql import functions as F
 from ..sources.storage import pin
 from .arrow import WHITE, map_blocks
 
-#: A chunk ends on average after 2**MASK_BITS bytes beyond the least, and at the most after MOST bytes.
-MASK_BITS, LEAST, MOST = 5, 8, 128
-MIN_WORDS = 30
+#: Bytes on either side among which a cut is the largest hash; chunks have about twice as many.
+REACH = 16
+#: Longest chunk, for stretches that repeat themselves and so have no largest hash.
+MOST = 128
+MIN_WORDS = 25
 
 
 def _gears() -> np.ndarray:
     """One gear a byte, from the byte's digest."""
-    return np.array([xxhash.xxh3_64_intdigest(bytes([b])) >> 48 for b in range(256)], dtype=np.uint16)
+    return np.array([xxhash.xxh3_64_intdigest(bytes([b])) >> 32 for b in range(256)], dtype=np.uint32)
 
 
 _GEARS = _gears()
@@ -37,25 +40,37 @@ _IS_WHITE = np.zeros(256, dtype=bool)
 _IS_WHITE[[ord(c) for c in WHITE]] = True
 
 
+def _largest_before(values: np.ndarray, reach: int) -> np.ndarray:
+    """Largest of the `reach` values (a power of two) before each."""
+    largest = np.concatenate((np.zeros(1, dtype=values.dtype), values[:-1]))
+    width = 1
+    while width < reach:
+        largest[width:] = np.maximum(largest[width:], largest[:-width])
+        width *= 2
+    return largest
+
+
 def cuts(raw: np.ndarray) -> np.ndarray:
     """Ends of the chunks, as byte positions between characters."""
     if not len(raw):
         return np.empty(0, dtype=np.int64)
     rolled = _GEARS[raw]
-    for shift in (1, 2, 4, 8):
-        rolled[shift:] += rolled[:-shift] << np.uint16(shift)
+    for back in (1, 2, 4):
+        rolled[back:] += rolled[:-back] << np.uint32(4 * back)
     begins = (raw & 0xC0) != 0x80
-    wanted = np.flatnonzero((rolled[:-1] >> np.uint16(16 - MASK_BITS) == 0) & begins[1:]) + 1
+    peak = (rolled > _largest_before(rolled, REACH)) & (rolled >= _largest_before(rolled[::-1], REACH)[::-1])
+    wanted = np.flatnonzero(peak[:-1]) + 1
     out, last, size = [], 0, len(raw)
     for cut in [*wanted.tolist(), size]:
+        while cut < size and not begins[cut]:
+            cut += 1
         while cut - last > MOST:
             last += MOST
-            while last > 0 and not begins[last]:
+            while not begins[last]:
                 last -= 1
             out.append(last)
-        if cut - last >= LEAST or cut == size:
-            if cut > last:
-                out.append(cut)
+        if cut > last:
+            out.append(cut)
             last = cut
     return np.array(out, dtype=np.int64)
 
@@ -99,16 +114,15 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     def block(keys: list, texts: list) -> tuple:
         made = [chunk(t or "") for t in texts]
-        firsts = [np.sort(np.unique(d, return_index=True)[1]) for d, _, _ in made]
-        return keys, [d for d, _, _ in made], [e for _, e, _ in made], [w for _, _, w in made], firsts
+        return keys, [d for d, _, _ in made], [e for _, e, _ in made], [w for _, _, w in made]
 
     kind = docs.schema[id_col].dataType.simpleString()
     chunks = pin(
-        map_blocks(docs, [id_col, text_col], block, f"doc_id {kind}, digests array<bigint>, ends array<int>, words array<int>, firsts array<int>")
+        map_blocks(docs, [id_col, text_col], block, f"doc_id {kind}, digests array<bigint>, ends array<int>, words array<int>")
         .withColumns({"row": F.monotonically_increasing_id(), "owner_id": F.coalesce("doc_id", F.lit(2**63 - 1))})
     )
     # One row for each digest of a document; a hot passage is summed before it moves and its join can be split.
-    each = chunks.select("row", "owner_id", F.explode(F.transform("firsts", lambda i: F.element_at("digests", i + 1))).alias("digest"))
+    each = chunks.select("row", "owner_id", F.explode(F.array_distinct("digests")).alias("digest"))
     holders = each.groupBy("digest").agg(F.min("owner_id").alias("first"), F.max("owner_id").alias("last")).where("first <> last")
     found = each.join(holders.select("digest", "first"), "digest")
     marks = found.groupBy("row").agg(
@@ -157,7 +171,8 @@ def cut_out(text: str, passages: list[tuple[int, int]]) -> str:
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """All documents with all their columns, repeated passages cut from `text_col`; those left without words go.
 
-    Documents without repeats are returned as they are, also empty ones. Rows of one id share their cuts.
+    Documents without repeats are returned as they are, also empty ones, and so are rows
+    without an id. Rows of one id share their cuts.
     """
     found = repeated_passages(docs, id_col=id_col, text_col=text_col, min_words=min_words).where(F.size("removed") > 0)
     found = found.where("doc_id is not null").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_cut_id"), F.col("removed").alias("_cut"))
