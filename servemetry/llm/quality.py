@@ -142,7 +142,7 @@ def jensen_shannon(counts: Column, reference: Column) -> Column:
         return part(p) + part(q)
 
     divergence = F.aggregate(F.zip_with(counts, reference, term), F.lit(0.0), lambda a, b: a + b) / 2
-    return F.when(total > 0, F.sqrt(F.greatest(divergence, F.lit(0.0))))
+    return F.when((total > 0) & reference.isNotNull(), F.sqrt(F.greatest(divergence, F.lit(0.0))))
 
 
 def _reference_column(lang: str, references: Mapping[str, Sequence], k: int) -> Column:

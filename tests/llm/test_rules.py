@@ -1,0 +1,274 @@
+"""Quality rules, secrets, sharding, license notices and the pipeline."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from servemetry.llm import jaccard_join, license_scan, quality, queries, secret_scan, shard_table
+
+from ..conftest import SMALL
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+LONG = "word " * 30_000
+ODD = [(1, None, None, None, None), (None, "two words", "en", "s", 9), (3, "", "en", "s", 0), (3, "", "en", "s", 0), (4, LONG, "xx", "s", len(LONG))]
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return {r["doc_id"]: r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+
+
+def brute_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    repeated = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    lines, seen = 0, set()
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            lines += line in seen
+            seen.add(line)
+    return {
+        "n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text or "")),
+        "n_dup_lines": lines, "n_repeat_words": len(repeated),
+    }
+
+
+def test_quality_counts_equal_brute_force(spark, documents):
+    for r in queries.op1_quality_rules(spark, SMALL).collect():
+        want = brute_counts(documents[r["doc_id"]]["text"])
+        assert {k: r[k] for k in want} == want
+        assert r["base_failed"] == (want["n_words"] < 50 or 100 * want["n_repeat_words"] > 50 * want["n_words"])
+        assert not (r["base_failed"] and r["kept"])
+
+
+def test_features_of_odd_texts():
+    for text in ("a\x0bb\x0cc d e", "\x1ca\x1cb \x85", "l\n\nl\nl \n \nl", "é 漢字 <b>|&", "a b c a b c", "a a a a", "\x00 #"):
+        made = quality.document_features(text, "en")
+        want = brute_counts(text)
+        assert {k: made[k] for k in want} == want
+
+
+def distance(counts, shares):
+    p, q = np.array(counts) / sum(counts), np.array(shares)
+    m = (p + q) / 2
+    return math.sqrt(max(0.0, sum(x * math.log2(x / y) for v in (p, q) for x, y in zip(v, m, strict=True) if x > 0) / 2))
+
+
+def test_verdicts_equal_brute_force(spark, documents):
+    made = {k: quality.document_features(r["text"], r["lang"]) for k, r in documents.items()}
+    failed = {k: f["n_words"] < 50 or 100 * f["n_repeat_words"] > 50 * f["n_words"] for k, f in made.items()}
+    means = {}
+    for lang in quality.COMMON_WORDS:
+        used = [f for k, f in made.items() if documents[k]["lang"] == lang and not failed[k] and f["n_words"] >= 80]
+        if len(used) >= 20:
+            means[lang] = [np.mean([np.array(f[h]) / sum(f[h]) for f in used], axis=0) for h in ("classes", "words")]
+    assert means
+    for r in queries.op1_quality_rules(spark, SMALL).collect():
+        f, mean = made[r["doc_id"]], means.get(documents[r["doc_id"]]["lang"])
+        if mean is None or f["n_words"] < 80:
+            assert r["class_distance"] is None and r["word_distance"] is None and r["kept"] == (not failed[r["doc_id"]])
+            continue
+        distances = [distance(f[h], m) for h, m in zip(("classes", "words"), mean, strict=True)]
+        assert np.allclose([r["class_distance"], r["word_distance"]], distances)
+        assert r["kept"] == (not failed[r["doc_id"]] and distances[0] <= 0.28 and distances[1] <= 0.335)
+
+
+def test_quality_agrees_with_labels(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    judged = queries.op1_quality_rules(spark, "/root/testdata/sf0.01").where("not base_failed").join(labels, "doc_id")
+    rows = judged.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    kept = {r["quality"]: r["kept"] for r in rows}
+    assert kept[1] == 1.0 and kept[0] < 0.7
+
+
+def test_quality_odd_rows(spark):
+    docs = spark.createDataFrame(ODD, DOCS).withColumns({"n_words": F.lit("clash"), "classes": F.lit(1)})
+    got = {r["doc_id"]: r for r in quality.quality_rules(docs).collect()}
+    assert len(got) == 4 and all(r["base_failed"] and not r["kept"] for r in got.values())
+    assert quality.quality_rules(docs.limit(0)).collect() == []
+    passed = quality.passing(docs)
+    assert passed.columns == docs.columns and passed.collect() == []
+
+
+def brute_base(text):
+    text = text or ""
+    found = [("assign", m.start(), m.end()) for m in re.finditer(
+        r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text
+    ) if len(m.group(2)) >= 8]
+    found += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 16]
+    found += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 32]
+    return sorted(found, key=lambda s: (s[1], secret_scan.KINDS.index(s[0])))
+
+
+def test_base_spans_equal_brute_force(spark, documents):
+    for r in queries.op5_secret_spans(spark, SMALL).collect():
+        want = brute_base(documents[r["doc_id"]]["text"])
+        listed = [f"{k}:{a}:{b}" for k, a, b in want]
+        assert r["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert [s for s in r["spans"].split(",") if s and not s.startswith("random")] == listed
+        assert [r[f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(s[0] == k for s in want) for k in ("assign", "access", "hex")]
+
+
+def test_base_spans_of_mixed_strings():
+    rng = random.Random(3)
+    parts = ["password", "PASSWD", "Api_Key", "apikey", "ſecret", "toKen", "token", "=", ": ", "'", '"', " ", "AKIA", "AKIA" + "B2" * 8, "0123456789abcdef" * 2, "abcdefgh", "x.y-z_9/+=", "é", "\n", "A" * 12]
+    for _ in range(4000):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 14)))
+        assert secret_scan.base_spans(text) == brute_base(text)
+
+
+ALPHABET = secret_scan.ALPHABETS["base62"]
+
+
+def test_random_strings_are_found_and_structured_ones_left(spark):
+    rng = random.Random(12)
+    prose = "the quick brown fox jumps over the lazy dog and runs into the wide green forest " * 12
+    rows, planted = [], {}
+    for n in range(120):
+        word = "".join(rng.choices(ALPHABET, k=rng.choice((40, 48, 64)))) if n < 40 else rng.choice(("internationalizationandlocalization", "=" * 40, "-" * 60, "a/path/to/the/file/of/the/house", "abababababababababababab"))
+        planted[n] = (len(prose) + 5, len(prose) + 5 + len(word))
+        rows.append((n, f"{prose}here {word} there"))
+    spans = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in secret_scan.secret_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(spans[n] == [planted[n]] for n in range(40)) >= 39
+    assert all(spans[n] == [] for n in range(40, 120))
+
+
+def test_battery_on_random_and_structured_symbols():
+    rng = np.random.default_rng(1)
+    chances = [secret_scan.randomness(rng.integers(0, 64, 64), 64) for _ in range(2000)]
+    assert abs(np.mean(np.array(chances) < 0.1) - 0.1) < 0.05
+    assert secret_scan.randomness(np.arange(64), 64) < 1e-3
+    assert secret_scan.randomness(np.zeros(40, dtype=int), 64) < 1e-6
+    assert secret_scan.randomness(np.tile([1, 50], 30), 64) < 1e-6
+
+
+def test_secrets_odd_rows(spark):
+    text = 'x token = "0123456789abcdef0123456789abcdef" y password: hunter2hunter2 z'
+    docs = spark.createDataFrame([*ODD, (9, text, "en", "s", len(text))], DOCS).withColumns({"spans": F.lit("clash"), "base": F.lit(1)})
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secret_scan.secret_spans(docs).collect()}
+    assert got == {1: [], None: [], 3: [], 4: [], 9: ["assign", "hex", "assign"]}
+    clean = secret_scan.without_secrets(docs)
+    assert clean.columns == docs.columns
+    texts = {r["doc_id"]: r["text"] for r in clean.collect()}
+    assert texts == {1: None, None: "two words", 3: "", 4: LONG, 9: 'x [secret]" y [secret] z'}
+    assert secret_scan.secret_spans(docs.limit(0)).collect() == []
+
+
+def test_table_is_filled_by_turns_of_preference():
+    names, slots = ["a", "b", "c"], 13
+    owner, claimed = shard_table.fill_table(names, slots), [None] * 13
+    orders = []
+    for name in names:
+        digest = hashlib.md5(name.encode()).digest()
+        start, step = int.from_bytes(digest[:8], "big") % slots, int.from_bytes(digest[8:], "big") % (slots - 1) + 1
+        orders.append([(start + k * step) % slots for k in range(slots)])
+        assert sorted(orders[-1]) == list(range(slots))
+    turn = 0
+    while None in claimed:
+        claimed[next(s for s in orders[turn % 3] if claimed[s] is None)] = turn % 3
+        turn += 1
+    assert owner == claimed
+
+
+def test_table_is_even_and_moves_little():
+    names = [f"s{n}" for n in range(20)]
+    before = shard_table.fill_table(names, 4099)
+    sizes = Counter(before)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    after = shard_table.fill_table(names[:-1], 4099)
+    moved = sum(a != b for a, b in zip(before, after, strict=True) if a != 19)
+    assert moved < 0.1 * 4099
+    double = Counter(shard_table.fill_table(names, 4099, [2] + [1] * 19))
+    assert abs(double[0] - 2 * double[1]) <= 2
+    for bad in (([], 7), (["a", "a"], 7), (["a"], 8)):
+        with pytest.raises(ValueError):
+            shard_table.fill_table(*bad)
+
+
+def test_placement_is_native_and_handles_odd_rows(spark):
+    docs = spark.createDataFrame(ODD, DOCS).withColumns({"slot": F.lit("clash"), "shard": F.lit(1), "_table_slot": F.lit(2)})
+    placed = shard_table.place(docs, "doc_id", ["a", "b"], slots=101)
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Exchange hash", plan) and "BroadcastHashJoin" in plan
+    owner = shard_table.fill_table(["a", "b"], 101)
+    rows = placed.collect()
+    assert len(rows) == 5
+    for r in rows:
+        slot = int(hashlib.md5(str(r["doc_id"] if r["doc_id"] is not None else "").encode()).hexdigest()[:15], 16) % 101
+        assert (r["slot"], r["shard"]) == (slot, "ab"[owner[slot]])
+    assert shard_table.place(docs.limit(0), "doc_id", ["a"], slots=7).collect() == []
+
+
+def test_license_lines_are_found_with_differences(spark, documents):
+    got = {}
+    for r in queries.op10_license_notices(spark, SMALL).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    exact = {t: name for name, t in license_scan.TEMPLATES.items()}
+    for key, row in documents.items():
+        text = row["text"] or ""
+        want = sorted((m.start(), name) for t, name in exact.items() for m in re.finditer(re.escape(t), text))
+        assert sorted((r["start"], r["license"]) for r in got.get(key, [])) == want
+        assert all(r["n_missing"] == r["n_added"] == 0 for r in got.get(key, []))
+
+
+def test_every_template_wins_for_its_own_wording(spark):
+    rows = [(n, f"some text\nSee: {t} Thanks.\nmore") for n, t in enumerate(license_scan.TEMPLATES.values())]
+    rows += [(50, "Licensed under the Apache License, Version 1.1."), (51, "Our license to operate was renewed with permission of the town.")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in license_scan.license_notices(docs).collect()}
+    assert [got[n]["license"] for n in range(len(license_scan.TEMPLATES))] == list(license_scan.TEMPLATES)
+    assert got[50]["license"] == "Apache-2.0" and got[50]["differences"] == "-2.0"
+    assert 51 not in got
+    assert dict(rows)[0][got[0]["start"] : got[0]["end"]] == "Licensed under the Apache License, Version 2.0"
+
+
+def test_licenses_odd_rows(spark):
+    rows = [*ODD, (7, "Released under the MIT License.\n" * 2, "en", "s", 1), (7, "Released under the MIT License.", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"license": F.lit("clash"), "start": F.lit(1)})
+    found = license_scan.license_notices(docs)
+    assert [(r["doc_id"], r["license"]) for r in found.collect()] == [(7, "MIT")] * 3
+    assert [tuple(r) for r in license_scan.licensed_documents(found).collect()] == [(7, 3, ["MIT"])]
+    assert license_scan.license_notices(docs.limit(0)).collect() == []
+
+
+def test_pipeline_stages(spark, documents, tmp_path):
+    from .test_similarity import brute_components
+    from .test_tokens import PATH, check_packing
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    columns, rows = docs.columns, {}
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SMALL).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if n < 4:
+            assert docs.columns == columns
+            rows[n] = {r["doc_id"]: r for r in docs.collect()}
+    verdicts = {r["doc_id"]: r["kept"] for r in queries.op1_quality_rules(spark, SMALL).collect()}
+    assert set(rows[0]) == {k for k, kept in verdicts.items() if kept}
+    groups = brute_components([(k, r["text"]) for k, r in rows[0].items()], 5, 80, 100)
+    assert set(rows[1]) == {c for _, c in groups.values()}
+    assert all(rows[1][k] == documents[k] for k in rows[1])
+    for k, r in rows[2].items():
+        assert set(r["text"].split()) <= set(documents[k]["text"].split()) and r["n_chars"] == len(r["text"])
+    assert set(rows[3]) == set(rows[2])
+    assert not any(brute_base(r["text"]) for r in rows[3].values())
+    unchanged = [k for k, r in rows[2].items() if not brute_base(r["text"])]
+    assert sum(rows[3][k]["text"] == rows[2][k]["text"] for k in unchanged) >= 0.99 * len(unchanged)
+    check_packing(docs.collect(), Tokenizer.from_file(PATH), {k: r["text"] for k, r in rows[3].items()})
+
+
+def test_pipeline_of_an_empty_table(spark, documents, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SMALL).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    assert docs.collect() == []
