@@ -121,10 +121,14 @@ def refusal(
 
 
 def parses_as_json(text: Column) -> Column:
-    """True when the whole string is one JSON value."""
-    wrapped = F.concat(F.lit("["), text, F.lit("]"))
-    parsed = F.from_json(wrapped, "array<string>", {"allowSingleQuotes": "false"})
-    return F.coalesce(F.size(parsed) == 1, F.lit(False))
+    """True when the whole string is one JSON value.
+
+    The text is read as the first of two elements. The second is the text's own digest: it is seen
+    only if the reader came to the end of the text with exactly one value read.
+    """
+    seal = F.md5(text.cast("binary"))
+    parsed = F.from_json(F.concat(F.lit("["), text, F.lit(',"'), seal, F.lit('"]')), "array<string>", {"allowSingleQuotes": "false"})
+    return F.coalesce((F.size(parsed) == 2) & (F.get(parsed, F.lit(1)) == seal), F.lit(False))
 
 
 def kept_tool_calls(engine_finish: Column, tool_calls: Column) -> Column:

@@ -17,7 +17,7 @@ STEP_COST = 0.08
 
 
 def accepted_len(acceptance: Column, k: Column) -> Column:
-    """Mean tokens emitted per verify step."""
+    """Expected output of one verification: the accepted drafts and the token that follows them."""
     geometric = (1.0 - F.pow(acceptance, k + 1)) / (1.0 - acceptance)
     return F.when(acceptance < 1.0, geometric).otherwise((k + 1).cast("double"))
 

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import chat
 from ..functions.numeric import decimal_digits_only, reject_reason, strict_int
 
-TURNS_PER_PART = 4096
-
-
 def estimate_turns(turns: DataFrame) -> DataFrame:
     """Prompt token estimate of chats stored one message per row."""
     return turns.groupBy("conv_id").agg(
@@ -20,18 +17,20 @@ def estimate_turns(turns: DataFrame) -> DataFrame:
     )
 
 
-def render_turns(turns: DataFrame, turns_per_part: int = TURNS_PER_PART) -> DataFrame:
-    """Chats stored one message per row, rendered in turn order.
+def render_turns(turns: DataFrame) -> DataFrame:
+    """Every turn of a chat as rendered text, one row each; nothing is collected."""
+    return turns.select("conv_id", "turn", chat.render_message(F.col("role"), F.col("text")).alias("text"))
+
+
+def render_chats(turns: DataFrame) -> DataFrame:
+    """Chats stored one message per row as one text each, in turn order.
 
-    A chat is rendered in parts of at most `turns_per_part` turns, so that no
-    task collects an unbounded chat; joining the parts in order gives the whole
-    text. Ordinary chats have one part.
+    A chat's text is one value, whatever its number of turns; where single values may become
+    too large for a row, use `render_turns`.
     """
-    message = F.struct("turn", chat.render_message(F.col("role"), F.col("text")).alias("m"))
-    return (
-        turns.groupBy("conv_id", F.floor(F.col("turn") / turns_per_part).cast("long").alias("part"))
-        .agg(F.array_sort(F.collect_list(message)).alias("_messages"))
-        .select("conv_id", "part", F.array_join(F.transform("_messages", lambda m: m["m"]), "").alias("text"))
+    listed = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    return render_turns(turns).groupBy("conv_id").agg(listed.alias("_turns")).select(
+        "conv_id", F.array_join(F.transform("_turns", lambda t: t["text"]), "").alias("text")
     )
 
 

@@ -8,9 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join that pairs null keys; each key appears once in the result."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
@@ -24,28 +21,25 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def salted_join(
-    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = SALTS
+    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", salts: int | None = None
 ) -> DataFrame:
-    """Inner or left join in which the rows of one hot key spread over `salts` tasks.
+    """Inner or left join in which the rows of one hot key spread over `salts` tasks (as many as shuffle partitions).
 
     `small` holds one row per key and is repeated once per salt. The salt is the
     number of the task that produced the row: equal rows differ in it, and a
     task that is run again gives the same one. As the salt is part of the join
     key, an aggregation behind the join combines its rows before they move on.
     """
+    salts = salts or int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = big.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return null_safe_join(salted, repeated, [*keys, "_salt"], how).drop("_salt")
 
 
-def lookup_join(
-    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", max_rows: int = 100_000
-) -> DataFrame:
-    """Join to a lookup table that is expected to be small.
+def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Ordinary equi-join to a lookup table that is expected to be small; null keys match nothing.
 
-    It is broadcast only after its rows were counted; a larger one is joined
-    with the big side salted instead.
+    Spark broadcasts it by its size in bytes (spark.sql.autoBroadcastJoinThreshold), and splits hot
+    partitions of a larger one at run time.
     """
-    if small.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(small), list(keys), how)
-    return salted_join(big, small, keys, how)
+    return big.join(small, list(keys), how)

@@ -118,7 +118,9 @@ def cell_rollup(requests: DataFrame, cell: Sequence[str], *, drop_warmup: bool =
             "_p95": only(False, nearest(0.95)),
         },
     )
-    joined = null_safe_join(found, _trial_totals(rated, cell), [*cell, "trial"], "left")
+    # Totals belong to the rows of rates: a null trial must not pair with the per-cell row.
+    totals = _trial_totals(rated, cell).withColumn("_is_rate", F.lit(True))
+    joined = null_safe_join(found, totals, [*cell, "trial", "_is_rate"], "left")
     # The built-in median counts equal values; these are rounded to one decimal,
     # so what it holds stays small however many trials a cell has.
     return (

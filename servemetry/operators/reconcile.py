@@ -42,24 +42,23 @@ def run_compare(
     )
 
 
-def claim_reconcile(claims: DataFrame, artifacts: DataFrame, tolerance: float) -> DataFrame:
+def claim_reconcile(claims: DataFrame, artifacts: DataFrame, tolerance: float, keys: Sequence[str] = ("artifact",)) -> DataFrame:
     """Claims labelled measured-here that no artifact proves.
 
-    `artifacts` may hold many values per key; they are summed before the join.
+    `artifacts` has one value per key: the artifact alone, or also its cell and metric. Values are
+    compared as doubles; `tolerance` is the largest difference still taken for equal.
     """
     here = claims.where(F.col("label") == "M-here")
-    proof = artifacts.groupBy("artifact").agg(
-        F.sum(F.col("value").cast("decimal(28,2)")).cast("double").alias("artifact_value")
-    )
-    joined = here.join(proof, "artifact", "left")
-    off = F.abs(F.col("value") - F.col("artifact_value"))
+    proof = artifacts.select(*keys, F.col("value").cast("double").alias("artifact_value"))
+    joined = here.join(proof, list(keys), "left")
+    off = F.abs(F.col("value").cast("double") - F.col("artifact_value"))
     return (
         joined.withColumn(
             "problem",
             F.when(F.col("artifact_value").isNull(), "no artifact").when(off > tolerance, "value differs"),
         )
         .where("problem IS NOT NULL")
-        .select("claim_id", "artifact", "value", "artifact_value", "problem")
+        .select("claim_id", *keys, "value", "artifact_value", "problem")
     )
 
 

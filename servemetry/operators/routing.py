@@ -76,7 +76,7 @@ def least_outstanding(
     """Backend with the fewest requests in flight at each arrival.
 
     `backends` lists lane, backend and ord; the first in order wins ties and a
-    lane that is full as a whole gives none.
+    lane that is full as a whole gives none. A request of a lane without backends has a null pick.
     """
     arrivals = requests.select("lane", "request_id", F.col("start_us").alias("at_us"))
     choices = backends.groupBy("lane").agg(F.collect_set(F.struct("backend", "ord")).alias("_choices"))
@@ -89,12 +89,15 @@ def least_outstanding(
     least = loads.groupBy("lane", "request_id").agg(
         F.min_by("ord", order_key(F.col("inflight"), F.col("ord"))).alias("ord"), F.sum("inflight").alias("lane_inflight")
     )
-    return lookup_join(least, backends, ["lane", "ord"]).select(
+    picked = lookup_join(least, backends, ["lane", "ord"]).select(
         "lane",
         "request_id",
         "lane_inflight",
         F.when(F.col("lane_inflight") < lane_max, F.col("backend")).alias("picked_backend"),
     )
+    unlisted = lookup_join(arrivals, choices.select("lane"), ["lane"], "left_anti")
+    nothing = [F.lit(None).cast(picked.schema[c].dataType).alias(c) for c in ("lane_inflight", "picked_backend")]
+    return picked.unionByName(unlisted.select("lane", "request_id", *nothing))
 
 
 def decide_lane(requests: DataFrame, **rules) -> DataFrame:

@@ -14,7 +14,7 @@ from ..operators import quality as scans
 from ..operators.order_stats import nearest_rank
 from ..sources import artifacts, exposition, logs, prompts
 from ..sources import frames as sse
-from ..sources.storage import fresh_path
+from ..sources.storage import fresh_path, pin
 from ..streaming import live
 from . import views
 from .views import CELL
@@ -362,7 +362,7 @@ def probe_gate(spark, sf):
 
 @query
 def render_chat(spark, sf):
-    return ingest.render_turns(views.conversations(spark, sf))
+    return ingest.render_chats(views.conversations(spark, sf))
 
 
 @query
@@ -412,7 +412,7 @@ def eval_set(spark, sf):
     cases = views.documents(spark, sf).select(
         F.col("doc_id").alias("case_id"), (1000 + F.col("doc_id")).alias("seed"), F.upper(F.concat("source", F.lit("-"), "lang")).alias("needle")
     )
-    made = prompts.eval_set(cases, (4, 16), (0.0, 0.5, 1.0))
+    made = prompts.eval_set(cases, (16, 64), (0.0, 0.5, 1.0))
     return made.select("case_id", "depth_lines", "position", F.length("prompt").alias("chars"), F.md5("prompt").alias("digest"))
 
 
@@ -482,13 +482,15 @@ def advice_sink(spark, sf):
 
 @query
 def run_compare(spark, sf):
-    cells = measure.cell_rollup(views.requests(spark, sf), CELL).withColumn("speculating", F.col("tokens_per_sse_chunk") > 3.75)
-    return reconcile.run_compare(cells.where("run = 'run-0'"), cells.where("run = 'run-1'"), ["class"])
+    """Every run beside the next one, the last beside the first; the rollup is made once."""
+    cells = pin(measure.cell_rollup(views.requests(spark, sf), CELL)).withColumn("speculating", F.col("tokens_per_sse_chunk") > 3.75)
+    number = F.substring("run", 5, 9).cast("int")
+    return reconcile.run_compare(cells.withColumn("pair", number), cells.withColumn("pair", (number + 7) % 8), ["pair", "class"])
 
 
 @query
 def claim_reconcile(spark, sf):
-    return reconcile.claim_reconcile(views.claims(spark, sf), views.measurements(spark, sf), 100000.0)
+    return reconcile.claim_reconcile(views.claims(spark, sf), views.measurements(spark, sf), 0.005)
 
 
 @query

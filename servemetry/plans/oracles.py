@@ -6,7 +6,7 @@ are range self-joins, counter brackets are ASOF joins.
 
 from __future__ import annotations
 
-from ..sources.prompts import FILLER, TASK, WORDS
+from ..sources.prompts import FILLER, PLANTED, QUESTION, TASK, WORDS
 
 
 def rounded(value: str, digits: int) -> str:
@@ -156,7 +156,7 @@ CASES = """cases AS (SELECT d.source AS run, (['control', 'decode', 'niah', 'bin
   CAST(1024 * pow(2, doc_id % 4) AS INT) AS depth_tokens,
   CASE WHEN doc_id % 5 >= 2 THEN CAST(doc_id % 3 AS DOUBLE) * 0.5::DOUBLE END AS position,
   CASE WHEN doc_id % 60 = 7 THEN contains(d.text, b.text) ELSE true END AS passed
-  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)"""
+  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"""
 
 RESPONSES = """responses AS (SELECT doc_id AS d, lang AS model, text AS plain,
   CASE WHEN doc_id % 3 = 0 THEN 'length' WHEN doc_id % 3 = 1 THEN 'stop' END AS engine_finish,
@@ -220,10 +220,10 @@ SETTINGS = """settings AS (SELECT o_orderpriority AS source, o_orderkey AS name,
 
 ORDERED = "SELECT kind, name, head_value, worker_value, problem FROM diff WHERE problem IS NOT NULL"
 
-INVENTORY = """head AS (SELECT c_custkey AS name, CASE WHEN c_custkey % 4 = 0 THEN '5-LOW' ELSE '2-HIGH' END AS value
-  FROM customer WHERE c_custkey % 10 <> 3),
- worker AS (SELECT o_custkey AS name, min(v) AS lo, max(v) AS hi FROM (SELECT o_custkey,
-   CASE WHEN o_custkey % 3 = 0 THEN o_orderpriority ELSE '2-HIGH' END AS v FROM orders WHERE o_custkey % 12 <> 5) GROUP BY ALL),
+INVENTORY = """head AS (SELECT CASE WHEN c_custkey % 10 = 3 THEN -c_custkey ELSE c_custkey END AS name, CASE WHEN c_custkey % 4 = 0 THEN '5-LOW' ELSE '2-HIGH' END AS value
+  FROM customer),
+ worker AS (SELECT name, min(v) AS lo, max(v) AS hi FROM (SELECT CASE WHEN o_custkey % 12 = 5 THEN o_custkey + 1000000000
+   ELSE o_custkey END AS name, CASE WHEN o_custkey % 3 = 0 THEN o_orderpriority ELSE '2-HIGH' END AS v FROM orders) GROUP BY ALL),
  diff AS (SELECT 'file' AS kind, coalesce(h.name, w.name) AS name, h.value AS head_value, w.lo AS worker_value,
    CASE WHEN h.name IS NULL THEN 'missing on head' WHEN w.name IS NULL THEN 'missing on worker'
      WHEN h.value <> w.lo OR h.value <> w.hi THEN 'mismatch' END AS problem
@@ -232,7 +232,7 @@ INVENTORY = """head AS (SELECT c_custkey AS name, CASE WHEN c_custkey % 4 = 0 TH
 REVERT = """SELECT {distinct} name FROM (SELECT CASE WHEN c_custkey % 50 = 0 THEN '' WHEN c_custkey % 7 = 0
   THEN 'own-' || c_custkey ELSE 'svc-' || c_custkey END AS name FROM customer)
 WHERE name <> '' AND NOT starts_with(name, 'own-')
-  AND name NOT IN (SELECT 'svc-' || o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"""
+  AND name NOT IN (SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'svc-' ELSE 'idle-' END || o_custkey FROM orders)"""
 
 CAPTURES = """captures AS (SELECT user_id % 10 AS node, 'incumbent-' || lpad(CAST(at_us // 60000000 AS VARCHAR), 12, '0') || '-'
   || lpad(CAST(event_id AS VARCHAR), 12, '0') AS capture, k AS containers FROM ev)"""
@@ -243,7 +243,7 @@ LOGS = """lost AS (SELECT 'container-' || (user_id % 8) AS container, at_us, (at
 ALERTS = "SELECT container, window_end_us, count(*) AS lines, min(at_us) AS first_us FROM lost {where} GROUP BY ALL"
 
 _WORD_LIST = "[" + ", ".join(f"'{w}'" for w in WORDS) + "]"
-_TASK_SQL = TASK.replace("\n", "' || chr(10) || '")
+_TASK_SQL, _QUESTION_SQL = (x.replace("\n", "' || chr(10) || '") for x in (TASK, QUESTION))
 
 FRAMES = """framed AS (SELECT *, 1 + k % 5 AS m, k % 11 <> 0 AS ends FROM ev)"""
 
@@ -498,7 +498,7 @@ ORACLES: dict[str, str] = {
         select="""SELECT node, count(*) FILTER (WHERE NOT ok) AS failures, count(*) AS probes,
   CASE WHEN bool_and(ok) THEN 'OK' WHEN bool_or(ok) THEN 'WARN' ELSE 'FAIL' END AS verdict FROM shot GROUP BY node""",
     ),
-    "render_chat": """SELECT conv_id, turn // 4096 AS part, string_agg('<|' || role || '|>' || chr(10) || coalesce(text, '') || chr(10), ''
+    "render_chat": """SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || coalesce(text, '') || chr(10), ''
   ORDER BY turn) AS text FROM conversations GROUP BY ALL""",
     "training_set": stack(
         CHAT_ROWS, select="SELECT row_id, source, length(text) AS chars, md5(text) AS digest FROM chat_rows WHERE text IS NOT NULL"
@@ -522,12 +522,12 @@ ORACLES: dict[str, str] = {
     "cold_prompts": f"""SELECT doc_id, length(p) AS chars, md5(p) AS digest FROM (SELECT doc_id, substr('cell-' || source || '-' || doc_id
   || ' ' || repeat('{FILLER}', CAST(n // 6 + 1 AS INT)), 1, n * 4 - 128) || '{_TASK_SQL}' AS p
   FROM (SELECT *, 64 * (1 + doc_id % 40) AS n FROM documents))""",
-    "eval_set": f"""WITH grid AS (SELECT doc_id, source, lang, depth, pos FROM documents, unnest([4, 16]) a(depth), unnest([0.0, 0.5, 1.0]) b(pos)),
+    "eval_set": f"""WITH grid AS (SELECT doc_id, source, lang, depth, pos FROM documents, unnest([16, 64]) a(depth), unnest([0.0, 0.5, 1.0]) b(pos)),
  hay AS (SELECT *, list_transform(range(0, depth), lambda i: 'log ' || lpad(CAST(i AS VARCHAR), 5, '0') || ': ' || array_to_string(
    list_transform(range(0, 6), lambda s: ({_WORD_LIST})[CAST('0x' || substr(md5((1000 + doc_id) || '/' || depth || ':' || i || ':' || s), 1, 8)
      AS BIGINT) % 26 + 1]), ' ')) AS lines, CAST(floor(depth * pos) AS INT) AS ahead FROM grid),
- made AS (SELECT *, array_to_string(list_concat(list_concat(lines[1:ahead], ['The passkey is ' || upper(source || '-' || lang)
-   || '. Remember it.']), lines[ahead + 1:]), chr(10)) || chr(10) || chr(10) || 'What is the passkey? Reply with the passkey only.'
+ made AS (SELECT *, array_to_string(list_concat(list_concat(lines[1:ahead], ['{PLANTED[0]}' || upper(source || '-' || lang)
+   || '{PLANTED[1]}']), lines[ahead + 1:]), chr(10)) || '{_QUESTION_SQL}'
    AS prompt FROM hay)
 SELECT doc_id AS case_id, CAST(depth AS INT) AS depth_lines, CAST(pos AS DOUBLE) AS position, length(prompt) AS chars, md5(prompt) AS digest FROM made""",
     "artifact_scan": stack(
@@ -578,19 +578,19 @@ SELECT doc_id AS case_id, CAST(depth AS INT) AS depth_lines, CAST(pos AS DOUBLE)
         GOOD,
         TRIALS,
         CELLS,
-        select=f"""SELECT coalesce(a.class, b.class) AS class, coalesce(a.concurrency, b.concurrency) AS concurrency,
+        select=f"""SELECT coalesce(a.pair, b.pair) AS pair, coalesce(a.class, b.class) AS class, coalesce(a.concurrency, b.concurrency) AS concurrency,
   coalesce(a.thinking, b.thinking) AS thinking, coalesce(a.s, b.s) AS speculating, a.v AS left_value, b.v AS right_value,
   CASE WHEN a.run IS NULL THEN 'right only' WHEN b.run IS NULL THEN 'left only' ELSE 'paired' END AS status,
   {rounded("b.v / nullif(a.v, 0)", 2)} AS ratio FROM
-  (SELECT *, tokens_per_sse_chunk > 3.75::DOUBLE AS s, aggregate_tok_s AS v FROM cells WHERE run = 'run-0') a FULL JOIN
-  (SELECT *, tokens_per_sse_chunk > 3.75::DOUBLE AS s, aggregate_tok_s AS v FROM cells WHERE run = 'run-1') b
-  ON a.class IS NOT DISTINCT FROM b.class AND a.concurrency = b.concurrency AND a.thinking = b.thinking AND a.s = b.s""",
+  (SELECT *, CAST(run[5:] AS INT) AS pair, tokens_per_sse_chunk > 3.75::DOUBLE AS s, aggregate_tok_s AS v FROM cells) a FULL JOIN
+  (SELECT *, (CAST(run[5:] AS INT) + 7) % 8 AS pair, tokens_per_sse_chunk > 3.75::DOUBLE AS s, aggregate_tok_s AS v FROM cells) b
+  ON a.pair = b.pair AND a.class IS NOT DISTINCT FROM b.class AND a.concurrency = b.concurrency AND a.thinking = b.thinking AND a.s = b.s""",
     ),
     "claim_reconcile": """WITH proof AS (SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(28, 2))) AS DOUBLE) AS v
   FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS claim_id, o_orderkey AS artifact, o_totalprice AS value, v AS artifact_value,
   CASE WHEN v IS NULL THEN 'no artifact' ELSE 'value differs' END AS problem
-FROM orders LEFT JOIN proof ON l_orderkey = o_orderkey WHERE o_orderpriority < '4' AND (v IS NULL OR abs(o_totalprice - v) > 100000)""",
+FROM orders LEFT JOIN proof ON l_orderkey = o_orderkey WHERE o_orderpriority < '4' AND (v IS NULL OR abs(o_totalprice - v) > 0.005::DOUBLE)""",
     "claims_without_artifact": """SELECT o_orderkey AS artifact, o_orderkey AS claim_id, 'M-here' AS label, o_totalprice AS value FROM orders
 WHERE o_orderpriority < '4' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""",
     "capacity_fit": """SELECT p_partkey AS model, p_size * 1.5::DOUBLE AS weights_gib, CASE

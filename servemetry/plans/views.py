@@ -19,15 +19,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash a table over the cores when it comes in fewer splits than there are.
-
-    A table of many files keeps its splits and is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def micros(ts: Column, spark: SparkSession) -> Column:
     """Microseconds since 1970 of a zoneless UTC time, in any session zone."""
     if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "GMT"):
@@ -47,7 +38,7 @@ def shape_events(raw: DataFrame) -> DataFrame:
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return shape_events(spread(table(spark, sf, "events"), "event_id"))
+    return shape_events(table(spark, sf, "events"))
 
 
 def _spread(name: str, divisor: int, modulus: int) -> Column:
@@ -117,7 +108,7 @@ def scrape_lines(spark: SparkSession, sf: str) -> DataFrame:
     counted = F.array(
         line("num_accepted_tokens_total", 'e="0"', half),
         line("num_accepted_tokens_total", 'e="1"', (F.col("accepted") - half).cast("long")),
-        line("num_accepted_tokens_created", 'e="0"', F.lit("1.787625626e+09")),
+        line("num_accepted_tokens_created", 'e="0"', F.lit("1.5e+09")),
         line("num_accepted_tokens_per_pos_total", 'e="0",position="0"', half),
         line("num_draft_tokens_total", 'e="0"', F.col("drafted").cast("long")),
         line("num_drafts_total", 'e="0"', F.lit(300)),
@@ -231,7 +222,7 @@ def router_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents"), "doc_id")
+    return table(spark, sf, "documents")
 
 
 def chat_requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -355,11 +346,12 @@ def trials(spark: SparkSession, sf: str) -> DataFrame:
 def retrieval_cases(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as answers, with benchmark items as needles."""
     d = F.col("doc_id")
-    items = table(spark, sf, "benchmark").where("item_id < 40").select(F.col("item_id").alias("_item"), F.col("text").alias("needle"))
+    benchmark = table(spark, sf, "benchmark")
+    items = benchmark.select(F.col("item_id").alias("_item"), F.col("text").alias("needle"))
     kinds = F.element_at(
         F.array(*[F.lit(x) for x in ("control", "decode", "niah", "binding", "radix")]), (d % 5 + 1).cast("int")
     )
-    docs = documents(spark, sf).withColumn("_item", d % 40)
+    docs = documents(spark, sf).withColumn("_item", d % benchmark.select(F.count("*")).scalar())
     return lookup_join(docs, items, ["_item"]).select(
         F.col("source").alias("run"),
         F.concat_ws("/", kinds, d.cast("string")).alias("name"),
@@ -419,7 +411,9 @@ def claims(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def measurements(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("artifact"), F.col("l_extendedprice").alias("value"))
+    """What each order's lines come to, one value per order."""
+    price = F.sum(F.col("l_extendedprice").cast("decimal(28,2)")).cast("double")
+    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("artifact")).agg(price.alias("value"))
 
 
 def models(spark: SparkSession, sf: str) -> DataFrame:
@@ -432,15 +426,16 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 def head_inventory(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("c_custkey")
-    return table(spark, sf, "customer").where(c % 10 != 3).select(
-        F.lit("file").alias("kind"), c.alias("name"), F.when(c % 4 == 0, "5-LOW").otherwise("2-HIGH").alias("value")
+    return table(spark, sf, "customer").select(
+        F.lit("file").alias("kind"), F.when(c % 10 == 3, -c).otherwise(c).alias("name"), F.when(c % 4 == 0, "5-LOW").otherwise("2-HIGH").alias("value")
     )
 
 
 def worker_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per listing; a name may be listed often."""
-    return table(spark, sf, "orders").where(F.col("o_custkey") % 12 != 5).select(
-        F.lit("file").alias("kind"), F.col("o_custkey").alias("name"), F.when(F.col("o_custkey") % 3 == 0, F.col("o_orderpriority")).otherwise("2-HIGH").alias("value")
+    """One row per listing; a name may be listed often, and a twelfth of the names are on this node alone."""
+    c = F.col("o_custkey")
+    return table(spark, sf, "orders").select(
+        F.lit("file").alias("kind"), F.when(c % 12 == 5, c + 1_000_000_000).otherwise(c).alias("name"), F.when(F.col("o_custkey") % 3 == 0, F.col("o_orderpriority")).otherwise("2-HIGH").alias("value")
     )
 
 
@@ -452,8 +447,8 @@ def captured_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def running_names(spark: SparkSession, sf: str) -> DataFrame:
-    ordered = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
-    return ordered.select(F.concat(F.lit("svc-"), F.col("o_custkey").cast("string")).alias("name"))
+    state = F.when(F.col("o_orderpriority") == "1-URGENT", "svc-").otherwise("idle-")
+    return table(spark, sf, "orders").select(F.concat(state, F.col("o_custkey").cast("string")).alias("name"))
 
 
 def loss_log(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,39 +7,79 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The two engine prefixes and the three series that count. The
-# series `*_created` and `*_per_pos_total` beside them must not match.
-_TOTAL = r"^(?:vllm|sglang):(?:spec_decode_)?num_(accepted|draft)_tokens_total\{[^}]*\}\s+([0-9.eE+-]+)"
-_RATE = r"^sglang:spec_accept_rate\{[^}]*\}\s+([0-9.eE+-]+)"
-_FAMILY = r"^(vllm|sglang):"
+# The engines' series. Only whole names count, so `*_created` and `*_per_pos_total`
+# beside them do not.
+ENGINES = ("vllm", "sglang")
+TOTALS = {
+    f"{engine}:{infix}num_{counted}_tokens_total": (engine, metric)
+    for engine in ENGINES
+    for infix in ("", "spec_decode_")
+    for counted, metric in (("accepted", "accepted"), ("draft", "drafted"))
+}
+RATE = "sglang:spec_accept_rate"
+
+# A sample is a name, labels in braces and a number. A quoted value may hold any character; a
+# backslash takes the next one with it.
+_QUOTED = r'"((?:[^"\\]|\\.)*)"'
+_SAMPLE = r'^([^\s{]+)(\{(?:[^"}]|"(?:[^"\\]|\\.)*")*\})\s+(\S+)'
+_LABEL = r"([A-Za-z_][A-Za-z0-9_]*)\s*=\s*" + _QUOTED
 
 SCRAPE = ("source", "scraped_us")
 
 
-def scrape_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a directory of scrapes, one file per scrape."""
+def scrape_lines(spark: SparkSession, path: str, stamp: str = r"([0-9]{10})[^/0-9]*$") -> DataFrame:
+    """Lines of a directory of scrapes, one file per scrape.
+
+    The time of a scrape is the first group of `stamp` in its file name, in seconds since 1970; where
+    the name has none, the time at which the file was last written.
+    """
+    named = F.nullif(F.regexp_extract(F.col("_metadata.file_path"), stamp, 1), F.lit("")).cast("bigint") * 1_000_000
     return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("source"),
-        F.unix_micros("_metadata.file_modification_time").alias("scraped_us"),
+        F.coalesce(named, F.unix_micros("_metadata.file_modification_time")).alias("scraped_us"),
         F.col("value").alias("line"),
     )
 
 
-def _number(line: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(line, pattern, group), F.lit("")).try_cast("double")
+def sample_name(line: Column) -> Column:
+    """Name of a sample line with labels; empty for any other line."""
+    return F.regexp_extract(line, _SAMPLE, 1)
+
+
+def sample_labels(line: Column) -> Column:
+    """Labels of a sample line as an array of (name, value), escapes resolved."""
+    braces = F.regexp_extract(line, _SAMPLE, 2)
+    names, values = (F.regexp_extract_all(braces, F.lit(_LABEL), F.lit(i)) for i in (1, 2))
+    plain = F.transform(values, lambda v: F.regexp_replace(F.replace(v, F.lit("\\n"), F.lit("\n")), r'\\(["\\])', "$1"))
+    return F.arrays_zip(names.alias("name"), plain.alias("value"))
+
+
+def sample_value(line: Column) -> Column:
+    """Number of a sample line; null if there is none."""
+    return F.nullif(F.regexp_extract(line, _SAMPLE, 3), F.lit("")).try_cast("double")
+
+
+def _told(lines: DataFrame) -> DataFrame:
+    """The lines of the series that count, with name and value; other lines keep null ones."""
+    line = F.col("line")
+    likely = F.contains(line, F.lit("_tokens_total{")) | F.startswith(line, F.lit(RATE + "{"))
+    return lines.withColumns({"_name": F.when(likely, sample_name(line)), "_value": F.when(likely, sample_value(line))})
+
+
+def _of(name: Column, part: int) -> Column:
+    """Engine (0) or metric (1) of a total's name; null for other names."""
+    found = F.lit(None).cast("string")
+    for series, told in TOTALS.items():
+        found = F.when(name == series, told[part]).otherwise(found)
+    return found
 
 
 def counter_scan(lines: DataFrame, scrape: Sequence[str] = SCRAPE) -> DataFrame:
     """The accepted and drafted totals of each scrape, summed over label sets."""
-    line = F.col("line")
     return (
-        lines.where(F.contains(line, F.lit("_tokens_total{")) & line.rlike(_TOTAL))
-        .select(
-            *scrape,
-            F.regexp_extract(line, _FAMILY, 1).alias("engine_family"),
-            F.when(F.regexp_extract(line, _TOTAL, 1) == "accepted", "accepted").otherwise("drafted").alias("metric"),
-            _number(line, _TOTAL, 2).alias("_value"),
-        )
+        _told(lines)
+        .where(F.col("_name").isin(*TOTALS))
+        .select(*scrape, _of(F.col("_name"), 0).alias("engine_family"), _of(F.col("_name"), 1).alias("metric"), "_value")
         .groupBy(*scrape, "engine_family", "metric")
         .agg(F.sum("_value").alias("value"))
     )
@@ -50,13 +90,11 @@ def scrape_readings(lines: DataFrame, scrape: Sequence[str] = SCRAPE) -> DataFra
 
     `kind` is null for a scrape that held neither.
     """
-    line = F.col("line")
-    metric = F.regexp_extract(line, _TOTAL, 1)
-    total = _number(line, _TOTAL, 2)
-    sums = lines.groupBy(*scrape).agg(
-        F.sum(F.when(metric == "accepted", total)).alias("accepted"),
-        F.sum(F.when(metric == "draft", total)).alias("drafted"),
-        F.avg(_number(line, _RATE, 1)).alias("rate"),
+    metric, value = _of(F.col("_name"), 1), F.col("_value")
+    sums = _told(lines).groupBy(*scrape).agg(
+        F.sum(F.when(metric == "accepted", value)).alias("accepted"),
+        F.sum(F.when(metric == "drafted", value)).alias("drafted"),
+        F.avg(F.when(F.col("_name") == RATE, value)).alias("rate"),
     )
     counted = F.col("accepted").isNotNull() & F.col("drafted").isNotNull()
     gauged = ~counted & F.col("rate").isNotNull()

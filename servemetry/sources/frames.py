@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.chat import parses_as_json
 from ..operators.keys import salted_join
 from .schemas import STREAM_FRAME
 
@@ -25,7 +26,7 @@ def with_frame_columns(frames: DataFrame) -> DataFrame:
     """Add token counts, number of non-empty chunks and end mark of each line.
 
     The token counts are null on a line without usage. The parsed frame is a
-    column of its own, so each line is parsed once.
+    column of its own. A line that is not one whole JSON value counts as no frame.
     """
     chunks = F.filter(
         "_frame.choices",
@@ -36,7 +37,7 @@ def with_frame_columns(frames: DataFrame) -> DataFrame:
     told = ~F.coalesce(usage, F.lit("null")).isin("null", "{}")
     return (
         frames.withColumn("_body", frame_body(F.col("line")))
-        .withColumn("_frame", F.from_json("_body", STREAM_FRAME))
+        .withColumn("_frame", F.when(parses_as_json(F.col("_body")), F.from_json("_body", STREAM_FRAME)))
         .withColumns(
             {
                 "completion_tokens": F.when(told, usage_tokens(usage, "completion_tokens")),

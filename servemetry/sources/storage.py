@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir.
 
-    Only a local session that names none gets a temporary one.
+    Only a session of one local process that names none gets a temporary one, the same throughout.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -19,9 +20,9 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="servemetry-")
+    return f"{tempfile.gettempdir()}/servemetry-{spark.sparkContext.applicationId}"
 
 
 def pin(df: DataFrame) -> DataFrame:

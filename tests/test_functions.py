@@ -153,6 +153,12 @@ def test_json_check_agrees_with_a_strict_parser(spark):
 CALLS = "finish string, calls array<struct<name:string,arguments:string>>"
 
 
+def test_text_behind_a_json_value_is_no_json(spark):
+    texts = {'{"a":1}] x': False, "1],[2": False, '{"a":1} x': False, '{"a":1}}': False, "1,2": False, '"x","y"': False, "": False, '{"a":1}': True, ' [1, {"b": "]"}] ': True, "null": True, '"q"': True}
+    got = values(spark, "s string", [(t,) for t in texts], F.col("s"), chat.parses_as_json(F.col("s")))
+    assert dict(got) == texts
+
+
 def test_tool_call_repair(spark):
     calls = [("ok", '{"a": 1}'), ("cut", '{"a": '), ("empty", ""), ("none", None)]
     rows = [("length", calls), ("stop", calls), ("length", [("cut", '{"a": ')]), ("length", None), (None, calls)]

@@ -240,6 +240,9 @@ def test_least_outstanding(spark):
     assert picked[4] == (4, "fleet-B")
     assert picked[0] == (0, "fleet-A")
     assert picked[41] == (31, "depth") and picked[42] == (32, None)
+    unlisted = routing.least_outstanding(df, spark.createDataFrame(backends[1:], "lane string, backend string, ord int"))
+    assert unlisted.count() == len(requests)
+    assert {r.picked_backend for r in unlisted.where("lane = 'depth'").collect()} == {None}
 
 
 def test_route_rollup(spark):
@@ -340,6 +343,27 @@ def test_claims(spark):
     assert rows(reconcile.claims_without_artifact(c, a), "claim_id") == [("kv",)]
 
 
+def test_claims_with_many_digits_and_cells(spark):
+    claims = [("a", 0.697, "r", "c1"), ("b", 68.1, "r", "c1"), ("c", 51.2, "r", "c4"), ("d", 0.181, "r", "c2"), ("e", 33.7, "r", "c3"), (None, 1.0, None, "c1")]
+    made = [("r", "c1", "acceptance", 0.697), ("r", "c2", "acceptance", 0.181)]
+    made += [("r", f"c{n}", "rate", v) for n, v in enumerate((68.1, 72.2, 33.6, 51.2), start=1)]
+    metric = F.when(F.col("value") < 1, "acceptance").otherwise("rate")
+    c = spark.createDataFrame([(i, "M-here", v, a, cell) for i, v, a, cell in claims], "claim_id string, label string, value double, artifact string, cell string")
+    a = spark.createDataFrame(made, "artifact string, cell string, metric string, value double")
+    found = reconcile.claim_reconcile(c.withColumn("metric", metric), a, 0.0, ["artifact", "cell", "metric"])
+    assert sorted((r.claim_id or "", r.problem) for r in found.collect()) == [("", "no artifact"), ("e", "value differs")]
+
+
+def test_cell_rollup_counts_a_null_trial_once(spark):
+    requests = [(n, "run-0", "code", 1, False, t, 1000 * n, 2.0, 0.1, 5, 20, 7) for n, t in enumerate((None, None, 1, 1))]
+    df = spark.createDataFrame(
+        requests, "request_id long, run string, class string, concurrency int, thinking boolean, trial int, started_us long, wall_s double,"
+        " ttft_s double, sse_chunks int, completion_tokens int, prompt_tokens int",
+    )
+    (row,) = measure.cell_rollup(df, ["run", "class", "concurrency", "thinking"]).collect()
+    assert (row.requests, row.trials) == (4, 2)
+
+
 def test_capacity_fit(spark):
     models = spark.createDataFrame([(f"m{w}", float(w)) for w in (156, 108, 135, 181, 164, 29, 121, 242, 243)], "model string, weights_gib double")
     nodes = spark.createDataFrame([("head", 121.0), ("worker", 121.0)], "node string, usable_gib double")
@@ -383,13 +407,15 @@ def test_latest_capture(spark):
 # Ingest ------------------------------------------------------------------
 
 
-def test_render_turns_in_parts(spark):
+def test_render_chats_of_any_length(spark):
     turns = [(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(10)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
-    whole = ingest.render_turns(df).collect()
-    parts = sorted(ingest.render_turns(df, turns_per_part=3).collect(), key=lambda r: r.part)
-    assert len(whole) == 1 and len(parts) == 4
-    assert "".join(p.text for p in parts) == whole[0].text
+    whole = ingest.render_chats(df).collect()
+    turns = sorted(ingest.render_turns(df).collect(), key=lambda r: r.turn)
+    assert len(whole) == 1 and len(turns) == 10
+    assert "".join(t.text for t in turns) == whole[0].text
+    long = spark.range(5000).selectExpr("7L AS conv_id", "id AS turn", "'user' AS role", "'x' AS text").repartition(7)
+    assert ingest.render_chats(long).selectExpr("count(*)", "max(length(text))").first() == (1, 5000 * len("<|user|>\nx\n"))
     assert whole[0].text.startswith("<|user|>\nt0\n<|assistant|>\nt1\n")
 
 
@@ -400,5 +426,10 @@ def test_salted_join_keeps_every_row(spark):
     small = spark.createDataFrame([("hot", 1), ("k0", 2), (None, 3)], "k string, v int")
     joined = salted_join(big.repartition(8), small, ["k"], "left")
     assert joined.count() == 301 and [joined.where(f"v = {v}").count() for v in (1, 2, 3)] == [200, 1, 1]
-    known = big.where("k IS NOT NULL")
-    assert rows(lookup_join(known, small, ["k"]), "i", "v") == rows(lookup_join(known, small, ["k"], max_rows=1), "i", "v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = rows(lookup_join(big, small, ["k"]), "i", "v")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows(lookup_join(big, small, ["k"]), "i", "v") == shuffled
+    assert len(shuffled) == 201
