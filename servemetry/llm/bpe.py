@@ -21,10 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 
 from .arrow import map_blocks
+from .pieces import Pieces
 
-#: Answers of one generation that a task remembers; speed only.
-REMEMBERED = 400_000
-_DOUBLE_WHITE = re.compile(r"\s\s")
+#: Answers about pairs that a task remembers before it starts afresh; speed only.
+REMEMBERED = 500_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -34,26 +34,6 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class Remembered(dict):
-    """Answers in two generations: what was not asked for since the last turn is forgotten at the next."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.old: dict = {}
-
-    def __missing__(self, key):
-        self[key] = value = self.old[key]
-        return value
-
-    def unknown(self, keys: set) -> set:
-        return {k for k in keys if k not in self and k not in self.old}
-
-    def turn(self, most: int) -> None:
-        if len(self) > most:
-            self.old = dict(self)
-            self.clear()
-
-
 class Encoder:
     """One byte-level vocabulary: merges, greedy trial, and remembered answers."""
 
@@ -86,9 +66,8 @@ class Encoder:
             r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         )
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.compatible = Remembered()
-        self.words = Remembered()
-        self.spaced = Remembered()
+        self.compatible: dict[int, bool] = {}
+        self.pieces = Pieces(self.encode_strings, list(self.special))
         self.merged_exactly = 0
 
     def merge(self, word: bytes) -> list[int]:
@@ -170,10 +149,10 @@ class Encoder:
         keys, at = np.unique(flat[inner] * (self.size + 1) + right[inner], return_inverse=True)
         answers = np.empty(len(keys), dtype=bool)
         for n, key in enumerate(keys.tolist()):
-            try:
-                answers[n] = self.compatible[key]
-            except KeyError:
-                answers[n] = self.compatible[key] = self._known(key)
+            answer = self.compatible.get(key)
+            if answer is None:
+                answer = self.compatible[key] = self._known(key)
+            answers[n] = answer
         failing = np.unique(owner[inner][~answers[at]])
         packed, stops = flat.astype("<u4").tobytes(), (4 * ends + 4).tolist()
         out = [packed[a:b] for a, b in zip([0, *stops], stops, strict=False)]
@@ -183,63 +162,33 @@ class Encoder:
         self.merged_exactly += len(failing)
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        new = list(self.words.unknown(words))
-        for word, ids in zip(new, self.encode_words([w.encode("utf-8", "surrogatepass") for w in new]), strict=True):
-            self.words[word] = ids
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers.
-
-        Where no two white-space characters follow each other, every space begins a word, so a
-        text is split at its spaces and what follows each space is looked up whole.
-        """
-        self.spaced.turn(REMEMBERED)
-        self.words.turn(REMEMBERED // 2)
-        self.compatible.turn(REMEMBERED // 2)
-        cuts = []
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.compatible) > REMEMBERED:
+            self.compatible.clear()
+        return self.pieces.encode(texts)
+
+    def encode_strings(self, texts: list[str]) -> list[bytes]:
+        """The same without remembering pieces: added tokens, then words, each distinct word once."""
+        cuts: list[list] = []
         for text in texts:
-            at = 0
+            at, parts = 0, []
             for m in self.special_pattern.finditer(text) if self.special_pattern else ():
-                cuts.append(self._cut(text[at : m.start()]))
-                cuts.append((None, self.special[m.group()]))
+                parts += [*self._words(text[at : m.start()]), self.special[m.group()]]
                 at = m.end()
-            cuts.append(self._cut(text[at:]))
-            cuts.append(None)
-        loose = {w for cut in cuts if cut and cut[0] == "words" for w in cut[1]}
-        spaced = self.spaced.unknown({p for cut in cuts if cut and cut[0] == "spaced" for p in cut[1][1:]})
-        inner = {p: self._split(p) for p in spaced}
-        firsts = {cut[1][0]: self.pattern.findall(cut[1][0]) for cut in cuts if cut and cut[0] == "spaced"}
-        self._learn(loose.union(*inner.values(), *firsts.values()))
-        for piece, words in inner.items():
-            self.spaced[piece] = b"".join([self.words[w] for w in words])
-        out, parts = [], []
-        for cut in cuts:
-            if cut is None:
-                out.append(b"".join(parts))
-                parts = []
-            elif cut[0] == "words":
-                parts.extend(map(self.words.__getitem__, cut[1]))
-            elif cut[0] == "spaced":
-                parts.extend(map(self.words.__getitem__, firsts[cut[1][0]]))
-                parts.extend(map(self.spaced.__getitem__, cut[1][1:]))
-            else:
-                parts.append(int(cut[1]).to_bytes(4, "little"))
-        return out
-
-    def _split(self, piece: str) -> list[str]:
-        """Words of a space and a piece without spaces; most pieces are letters, and perhaps a stop."""
-        if piece.isascii():
-            if piece.isalpha():
-                return [" " + piece]
-            if piece[-1:] in (".", ",") and piece[:-1].isalpha():
-                return [" " + piece[:-1], piece[-1]]
-        return self.pattern.findall(" " + piece)
-
-    def _cut(self, text: str) -> tuple:
-        if _DOUBLE_WHITE.search(text):
-            return ("words", self.pattern.findall(text))
-        return ("spaced", text.split(" "))
+            cuts.append(parts + self._words(text[at:]))
+        distinct = list({w for parts in cuts for w in parts if isinstance(w, str)})
+        ids = dict(zip(distinct, self.encode_words([w.encode("utf-8", "surrogatepass") for w in distinct]), strict=True))
+        return [b"".join([ids[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in parts]) for parts in cuts]
+
+    def _words(self, text: str) -> list[str]:
+        """Words of a text; most are a space and letters, and perhaps a stop."""
+        if text.isascii() and text[:1] == " ":
+            if text[1:].isalpha():
+                return [text]
+            if text[-1] in ".," and text[1:-1].isalpha():
+                return [text[:-1], text[-1]]
+        return self.pattern.findall(text)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of token ids; bytes that are not UTF-8 become replacement characters."""

@@ -11,8 +11,11 @@ of one length are interchangeable: a piece finds its place from its rank among t
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator, Mapping
+from functools import lru_cache
+from struct import pack as pack_ints
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +24,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
+from tokenizers import Tokenizer
 
 from ..sources.storage import pin
 from .arrow import BLOCK_ROWS
-from .bpe import encoder
+from .pieces import Pieces
 
 _PARTNERS, _STEPS = 8, 400
 
 
+@lru_cache(maxsize=4)
+def library_ids(path: str) -> Pieces:
+    """Ids by the tokenizer library, without truncation or padding; a worker process loads it once."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task has one core
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+
+    def encode_all(texts: list[str]) -> list[bytes]:
+        found = library.encode_batch_fast(texts, add_special_tokens=False)
+        return [pack_ints(f"<{len(ids)}I", *ids) for ids in (f.ids for f in found)]
+
+    return Pieces(encode_all, [t.content for t in library.get_added_tokens_decoder().values()])
+
+
 def combinations(lengths: np.ndarray, window: int, slack: int) -> list[tuple[int, ...]]:
     """Two or three of the ascending lengths whose sum lies within `slack` below the window; a few third parties for each first."""
     found = set()
@@ -125,7 +144,7 @@ def pieces(docs: DataFrame, vocabulary: str, window: int, end_id: int, id_col: s
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = to_arrow_schema(schema)
-        part, ranks, e = TaskContext.get().partitionId(), np.zeros(window + 1, dtype=np.int64), encoder(vocabulary)
+        part, ranks, e = TaskContext.get().partitionId(), np.zeros(window + 1, dtype=np.int64), library_ids(vocabulary)
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_ROWS):

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from servemetry.llm import bpe, packing, queries, token_counts
+from servemetry.llm import bpe, packing, pieces, queries, token_counts
 
 from ..conftest import SMALL
 
@@ -38,7 +38,9 @@ def test_encoder_equals_library_on_mixed_strings(library):
     parts = ["a", "the", " ", "  ", "\n", "\t", "\x1c", "\x85", " ", "　", "é", "²", "½", "漢", "😀", "'s", "'LL", "12", "_", "<|endoftext|>", "\x00", "ſ", "İ", "...", "ABC"]
     strings = ["", *("".join(rng.choices(parts, k=rng.randint(1, 30))) for _ in range(3000))]
     e = bpe.Encoder(PATH)
-    assert [ids_of(e, s) for s in strings] == [x.ids for x in library.encode_batch(strings, add_special_tokens=False)]
+    want = [x.ids for x in library.encode_batch(strings, add_special_tokens=False)]
+    assert [ids_of(e, s) for s in strings] == want
+    assert [np.frombuffer(i, dtype="<u4").tolist() for i in packing.library_ids(PATH).encode(strings)] == want
     for s in strings[:500]:
         ids = ids_of(e, s)
         assert e.decode(np.array(ids, dtype=np.int64)) == library.decode(ids, skip_special_tokens=False)
@@ -63,10 +65,14 @@ def test_most_words_are_verified_and_failing_ones_merged():
 
 def test_forgetting_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    monkeypatch.setattr(pieces, "REMEMBERED", 10)
+    monkeypatch.setattr(pieces, "SLICE", 64)
     e = bpe.Encoder(PATH)
     strings = [f"word{n} and more text{n % 7}, again" for n in range(60)] * 2
+    strings.append("x" * 500 + " y " + "z" * 90)
     for s, x in zip(strings, library.encode_batch(strings, add_special_tokens=False), strict=True):
         assert ids_of(e, s) == x.ids
+    assert [np.frombuffer(i, dtype="<u4").tolist() for i in e.encode(strings)] == [x.ids for x in library.encode_batch(strings, add_special_tokens=False)]
 
 
 def test_round_trip_query_equals_library(spark, texts, library):
