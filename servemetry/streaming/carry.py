@@ -19,8 +19,12 @@ _ADAPTIVE = "spark.sql.adaptive.enabled"
 Step = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def start_carrying(stream: DataFrame, step: Step, state_schema: str, folder: str) -> StreamingQuery:
-    """Run `step(batch, state)` on every micro-batch there is now."""
+def start_carrying(stream: DataFrame, step: Step, state_schema: str, folder: str, **trigger) -> StreamingQuery:
+    """Start a query that runs `step(batch, state)` on every micro-batch.
+
+    `trigger` is that of `DataStreamWriter.trigger`, such as processingTime="10 seconds" for a query
+    that keeps running; without one the query ends with the input there is now.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -41,7 +45,7 @@ def start_carrying(stream: DataFrame, step: Step, state_schema: str, folder: str
     return (
         stream.writeStream.foreachBatch(run)
         .option("checkpointLocation", f"{folder}/progress")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 

@@ -26,13 +26,18 @@ SILENT_S = 7200
 LOST_GPU = "ggml_cuda_init: failed"
 
 PAIR_STATE = "engine string, window_end_us long, kind string, accepted double, drafted double"
-RUN_STATE = "request_id long, last_other long, aborted boolean, last_us long, clock_us long"
+RUN_STATE = "request_id {id}, last_other long, aborted boolean, last_us long, clock_us long"
 REQUEST_STATE = (
-    "request_id long, sent_us long, first_us long, last_us long, chunks long, completion_tokens long, done boolean,"
+    "request_id {id}, sent_us long, first_us long, last_us long, chunks long, completion_tokens long, done boolean,"
     " clock_us long"
 )
 
 
+def state_of(schema: str, stream: DataFrame) -> str:
+    """A state schema whose ids have the type they have in the stream."""
+    return schema.format(id=stream.schema["request_id"].dataType.simpleString())
+
+
 def _clock(seen: DataFrame, state: DataFrame) -> Column:
     """Newest event time that counted so far; `seen` is pinned, one row per request."""
     return F.greatest(seen.select(F.max("_last_us")).scalar(), state.select(F.max("clock_us")).scalar())
@@ -149,7 +154,8 @@ def guard_step(
 
 
 def token0_guard(chunks: DataFrame, *, folder: str | None = None, **limits) -> DataFrame:
-    rows = drain_carrying(chunks, partial(guard_step, **limits), RUN_STATE, "token0-guard", folder)
+    """Aborted requests of a stream of chunks, over everything there is now; ids of any type."""
+    rows = drain_carrying(chunks, partial(guard_step, **limits), state_of(RUN_STATE, chunks), "token0-guard", folder)
     return rows.select("request_id", "finished_len")
 
 
@@ -180,12 +186,14 @@ def latency_step(frames: DataFrame, state: DataFrame, *, late_s: int = LATE_S, s
     )
     silent = F.col("last_us") + silent_s * 1_000_000 < F.col("clock_us") - late_s * 1_000_000
     ended = F.when(F.col("done") & ~F.col("_was"), "done").when(~F.col("done") & silent, "timeout")
-    return merged.withColumns({"ended": ended, "emit": ended.isNotNull(), "keep": ~silent}).drop("_was")
+    # A finished request is remembered only as long as frames may come late, so that those count nowhere.
+    stale = F.col("last_us") + late_s * 1_000_000 < F.col("clock_us") - late_s * 1_000_000
+    return merged.withColumns({"ended": ended, "emit": ended.isNotNull(), "keep": ~F.when(F.col("done"), stale).otherwise(silent)}).drop("_was")
 
 
 def first_token_latency(frames: DataFrame, *, folder: str | None = None, **limits) -> DataFrame:
     """Time to first token and rate of each live request, at its end or when it falls silent."""
-    rows = drain_carrying(frames, partial(latency_step, **limits), REQUEST_STATE, "first-token", folder)
+    rows = drain_carrying(frames, partial(latency_step, **limits), state_of(REQUEST_STATE, frames), "first-token", folder)
     wall = (F.col("last_us") - F.col("sent_us")) / 1e6
     tokens = F.coalesce("completion_tokens", F.lit(0))
     return rows.select(

@@ -50,8 +50,8 @@ def test_live_acceptance_equals_batch_on_closed_windows(spark):
     assert {"ok", "insufficient traffic", "metrics-unavailable"} <= {r.status for r in got}
 
 
-@pytest.mark.parametrize("files", [1, 5])
-def test_token0_guard_across_batches(spark, files):
+@pytest.mark.parametrize(("files", "name"), [(1, int), (5, int), (3, "req-{}".format)])
+def test_token0_guard_across_batches(spark, files, name):
     rng = random.Random(files)
     requests = {1: [0] * 16, 2: [7, 3] + [0] * 16, 3: [0] * 15 + [1] + [0] * 15, 4: [5] * 40, 5: [1] + [0] * 40 + [2]}
     requests |= {i: [0 if rng.random() < 0.9 else 9 for _ in range(rng.randint(1, 90))] for i in range(6, 60)}
@@ -60,12 +60,13 @@ def test_token0_guard_across_batches(spark, files):
         pos = 0
         while pos < len(ids):
             size = rng.randint(1, 20)
-            rows.append((rid, pos, pos * 1000, ids[pos : pos + size]))
+            rows.append((name(rid), pos, pos * 1000, ids[pos : pos + size]))
             pos += size
         ends = [n for n in range(16, len(ids) + 1) if not any(ids[n - 16 : n])]
         if ends:
-            want[rid] = ends[0] - 15
-    stream = as_stream(spark, rows, "request_id long, pos long, at_us long, ids array<long>", files, lambda r: (r[1], r[0]))
+            want[name(rid)] = ends[0] - 15
+    kind = "long" if name is int else "string"
+    stream = as_stream(spark, rows, f"request_id {kind}, pos long, at_us long, ids array<long>", files, lambda r: (r[1], r[0]))
     got = [(r.request_id, r.finished_len) for r in live.token0_guard(stream).collect()]
     assert len(got) == len(set(got)) and dict(got) == want
 
@@ -96,7 +97,7 @@ def test_first_token_latency_across_batches(spark):
 
 def test_a_repeated_batch_changes_nothing(spark):
     folder = fresh_path(spark, "repeat-test")
-    state = spark.createDataFrame([], live.REQUEST_STATE)
+    state = spark.createDataFrame([], live.REQUEST_STATE.format(id="long"))
     rng = random.Random(1)
     batch = spark.createDataFrame([f for rid in range(8) for f in frames_of(rng, rid, 0)], "request_id long, seq int, sent_us long, at_us long, line string")
     for _ in range(2):
@@ -104,6 +105,36 @@ def test_a_repeated_batch_changes_nothing(spark):
     assert carry.reported(spark, folder).count() == 6
 
 
+def test_finished_requests_leave_the_state(spark):
+    state = spark.createDataFrame([], live.REQUEST_STATE.format(id="string"))
+    schema, rng = "request_id string, seq int, sent_us long, at_us long, line string", random.Random(2)
+
+    def batch(ids, sent):
+        return spark.createDataFrame([(f"r{f[0]}", *f[1:]) for rid in ids for f in frames_of(rng, rid, sent)], schema)
+
+    def after(rows):
+        return rows.where("keep").select(state.columns)
+
+    first = live.latency_step(batch(range(8), 0), state)
+    assert after(first).count() == 8
+    later = live.latency_step(batch([100, 101], 60 * MINUTE), after(first))
+    # An hour on, the six that finished are gone, and the two that never ended wait out their silence.
+    assert {r.request_id for r in after(later).collect()} == {"r0", "r4", "r100", "r101"}
+
+
+def test_a_started_query_runs_until_stopped(spark):
+    rows = [f for rid in range(12) for f in frames_of(random.Random(rid), rid, rid * MINUTE)]
+    schema = "request_id long, seq int, sent_us long, at_us long, line string"
+    folder = fresh_path(spark, "running-test")
+    stream = as_stream(spark, rows, schema, 3, lambda r: r[3])
+    query = carry.start_carrying(stream, live.latency_step, live.state_of(live.REQUEST_STATE, stream), folder, processingTime="0 seconds")
+    try:
+        query.processAllAvailable()
+        assert query.isActive and carry.reported(spark, folder).count() == 9
+    finally:
+        query.stop()
+
+
 def test_log_signature_alert(spark):
     day = 24 * 60 * MINUTE
     rows = [("a", 5, "x ggml_cuda_init: failed y"), ("a", 9, "ggml_cuda_init: failed"), ("a", 9 + day, "ggml_cuda_init: failed"), ("b", 7, "fine")]
