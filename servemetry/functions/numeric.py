@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 def half_even(value: Column, digits: int) -> Column:
@@ -41,14 +42,28 @@ def value_bin(value: Column, resolution: int = 16) -> Column:
 
 
 def order_key(major: Column, minor: Column) -> Column:
-    """One number that orders like (major, minor), for longs below 10^18.
+    """One number that orders like (major, minor): a time or count below 10^17 and any 64-bit number.
 
     As the ordering of min_by and max_by it keeps their buffers numeric, so that
     they aggregate by hash; a struct would make Spark sort all rows first.
     """
-    return (major.cast("decimal(18,0)") * F.lit("1" + "0" * 18).cast("decimal(19,0)") + minor.cast("decimal(18,0)")).cast(
-        "decimal(38,0)"
-    )
+    apart = F.lit("2" + "0" * 19).cast("decimal(20,0)")  # more than two 64-bit numbers lie apart
+    return (major.cast("decimal(17,0)") * apart + minor.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def order_of(df: DataFrame, major: str, minor: str) -> Column:
+    """The ordering (major, minor) of a table: one number where ids are whole numbers, else a struct."""
+    if isinstance(df.schema[minor].dataType, IntegralType):
+        return order_key(F.col(major), F.col(minor))
+    return F.struct(major, minor)
+
+
+def plain_number(value: Column) -> Column:
+    """A number as text without an exponent, with at least one decimal."""
+    value = value.cast("double")
+    text = value.cast("string")
+    digits = F.regexp_replace(value.cast("decimal(38,12)").cast("string"), r"(\.[0-9]+?)0*$", "$1")
+    return F.when(F.contains(text, F.lit("E")), digits).otherwise(text)
 
 
 def decimal_digits_only(raw: Column) -> Column:

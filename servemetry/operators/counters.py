@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import half_even, order_key
+from ..functions.numeric import half_even, order_of
 from ..functions.speculation import CURRENT_K, K_SET, MAX_SEQS, STEP_COST, advice
 from .ordered import running
 
@@ -151,7 +151,7 @@ def draft_depth_advice(ticks: DataFrame, *, min_draft: int = MIN_DRAFT_TOKENS, *
 def ticks_per_window(samples: DataFrame, window_s: int = 300) -> DataFrame:
     """The last scrape of each engine in each tumbling window, failed or not."""
     width = window_s * 1_000_000
-    last = order_key(F.col("scraped_us"), F.col("sample_id"))
+    last = order_of(samples, "scraped_us", "sample_id")
     end = (F.floor(F.col("scraped_us") / width) * width + width).cast("long")
     ticks = samples.groupBy("engine", end.alias("window_end_us")).agg(
         *[F.max_by(c, last).alias(c) for c in ("scraped_us", "sample_id", "accepted", "drafted", "rate")],

@@ -1,6 +1,6 @@
 """Throughput and latency of measured requests: request, trial, cell, run.
 
-A measured request carries request_id (a number), its cell columns, trial, started_us,
+A measured request carries request_id (a number or a text), its cell columns, trial, started_us,
 wall_s, ttft_s, sse_chunks, completion_tokens and prompt_tokens.
 """
 
@@ -11,7 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import half_even, order_key
+from ..functions.numeric import half_even, order_of
+from ..sources.storage import pin
+from .counters import acceptance_delta
 from .keys import null_safe_join, salted_join
 from .order_stats import Rank, lower_middle, median, nearest, upper_middle, values_at_ranks
 
@@ -35,7 +37,7 @@ def refused_requests(requests: DataFrame) -> DataFrame:
 
 def _trial_totals(rated: DataFrame, cell: Sequence[str]) -> DataFrame:
     ended = F.col("started_us") + F.col("wall_s") * 1e6
-    first = order_key(F.col("started_us"), F.col("request_id"))
+    first = order_of(rated, "started_us", "request_id")
     return rated.groupBy(*cell, "trial").agg(
         F.count("*").alias("_requests"),
         F.sum("completion_tokens").alias("_tokens"),
@@ -149,6 +151,23 @@ def cell_rollup(requests: DataFrame, cell: Sequence[str], *, drop_warmup: bool =
     )
 
 
+def published_cells(requests: DataFrame, samples: DataFrame, cell: Sequence[str], run: Sequence[str] = ("run",)) -> DataFrame:
+    """The rollup of each cell with its run's elapsed time and the acceptance measured while it ran.
+
+    `requests` also carries the engine that served them, one per cell. A cell's span goes from its first
+    start to its last end; `samples` are the counter readings of the engines.
+    """
+    ended = F.ceil(F.col("started_us") + F.col("wall_s") * 1e6).cast("bigint")
+    extents = request_rate(requests).groupBy(*cell, "engine").agg(F.min("started_us").alias("start_us"), F.max(ended).alias("end_us"))
+    # Pinned, as the spans and the cells they belong to must get the same numbers.
+    extents = pin(extents.withColumn("span_id", F.monotonically_increasing_id()))
+    measured = acceptance_delta(extents.select("engine", "span_id", "start_us", "end_us"), samples)
+    accepted = extents.select("span_id", *cell).join(measured.select("span_id", "acceptance"), "span_id").drop("span_id")
+    elapsed = extents.groupBy(*run).agg(((F.max("end_us") - F.min("start_us")) / 1e6).alias("elapsed_s"))
+    cells = null_safe_join(cell_rollup(requests, cell), accepted, list(cell), "left")
+    return null_safe_join(cells, elapsed, list(run), "left")
+
+
 def publish_gate(
     cells: DataFrame, run: Sequence[str], *, require_acceptance: bool = True, min_elapsed_s: float = MIN_RUN_S
 ) -> DataFrame:

@@ -61,10 +61,6 @@ CELLS = f"""cells AS (SELECT a.*, b.per_stream_tok_s, b.aggregate_tok_s, b.trial
     {rounded(middle("aggregate_tok_s"), 1)} AS aggregate_tok_s, count(*) AS trials FROM trials GROUP BY ALL) b
   ON a.run = b.run AND a.class IS NOT DISTINCT FROM b.class AND a.concurrency = b.concurrency AND a.thinking = b.thinking)"""
 
-PUBLISHED = """published AS (SELECT *,
-  CASE WHEN substr(run, 5, 1) = '2' THEN 12.5::DOUBLE ELSE 60.0::DOUBLE + CAST(substr(run, 5, 1) AS INT) END AS elapsed_s,
-  CASE WHEN substr(run, 5, 1) < '6' THEN tokens_per_sse_chunk / 10 END AS acceptance FROM cells)"""
-
 SAMPLES = """samples AS (SELECT 'engine-' || (user_id % 8) AS engine, at_us AS scraped_us, event_id AS sample_id,
   CASE WHEN event_type = 'error' THEN NULL WHEN user_id % 8 >= 6 THEN 'gauge' ELSE 'counter' END AS kind,
   CASE WHEN event_type <> 'error' AND user_id % 8 < 6
@@ -81,6 +77,18 @@ BRACKETS = """read_ok AS (SELECT * FROM samples WHERE kind IS NOT NULL),
  ahead AS (SELECT s.span_id, b.kind, b.accepted, b.drafted, b.rate FROM spans s ASOF LEFT JOIN read_ok b
    ON s.engine = b.engine AND s.end_us <= b.scraped_us)"""
 
+ACCEPTANCE = """CASE WHEN b.kind = 'counter' AND a.kind = 'counter' AND a.drafted > b.drafted
+    THEN (a.accepted - b.accepted) / (a.drafted - b.drafted)
+    WHEN b.kind IS NOT NULL AND a.kind = 'gauge' AND a.rate > 0 THEN a.rate END"""
+
+PUBLISHED = f"""{SAMPLES},
+ spans AS (SELECT *, 'engine-' || run[5:] AS engine, row_number() OVER () AS span_id FROM (SELECT run, class, concurrency, thinking,
+   min(started_us) AS start_us, max(CAST(ceil(started_us + wall_s * 1e6) AS BIGINT)) AS end_us FROM good GROUP BY ALL)),
+ {BRACKETS},
+ published AS (SELECT c.*, (max(s.end_us) OVER of_run - min(s.start_us) OVER of_run) / 1e6 AS elapsed_s, {rounded(ACCEPTANCE, 3)} AS acceptance
+   FROM cells c JOIN spans s ON c.run = s.run AND c.class IS NOT DISTINCT FROM s.class AND c.concurrency = s.concurrency
+   AND c.thinking = s.thinking JOIN back b USING (span_id) JOIN ahead a USING (span_id) WINDOW of_run AS (PARTITION BY c.run))"""
+
 ROUTES = """routes AS (SELECT request_id, lane, CASE WHEN lane = 'depth' THEN 'depth'
     WHEN lane = 'fleet' AND (user_id // 3) % 2 = 0 THEN 'fleet-A' WHEN lane = 'fleet' THEN 'fleet-B'
     ELSE 'split-decode' END AS backend, start_us,
@@ -270,6 +278,7 @@ ORACLES: dict[str, str] = {
   {rounded("sum(completion_tokens) / greatest(sum(sse_chunks), 1)", 2)} AS tokens_per_sse_chunk,
   abs(sum(completion_tokens) / greatest(sum(sse_chunks), 1) - 1) <= 0.05::DOUBLE AS suspect FROM good GROUP BY ALL""",
     ),
+    "published_cells": stack(EV, REQ, GOOD, TRIALS, CELLS, PUBLISHED, select="SELECT * FROM published"),
     "publish_gate": stack(
         EV,
         REQ,
@@ -308,9 +317,7 @@ ORACLES: dict[str, str] = {
         SAMPLES,
         SPANS,
         BRACKETS,
-        select=f"""SELECT engine, span_id, {rounded('''CASE WHEN b.kind = 'counter' AND a.kind = 'counter' AND a.drafted > b.drafted
-    THEN (a.accepted - b.accepted) / (a.drafted - b.drafted)
-    WHEN b.kind IS NOT NULL AND a.kind = 'gauge' AND a.rate > 0 THEN a.rate END''', 3)} AS acceptance
+        select=f"""SELECT engine, span_id, {rounded(ACCEPTANCE, 3)} AS acceptance
   FROM spans JOIN back b USING (span_id) JOIN ahead a USING (span_id)""",
     ),
     "counter_window_delta": stack(
@@ -547,8 +554,8 @@ SELECT doc_id AS case_id, CAST(depth AS INT) AS depth_lines, CAST(pos AS DOUBLE)
         TRIALS,
         CELLS,
         PUBLISHED,
-        select="""SELECT '2024-01-31' AS date, run AS lane, 'spec' AS suite, count(*) AS cells, count(acceptance) AS with_acceptance
-  FROM published GROUP BY run""",
+        select="""SELECT run AS lane, 'spec' AS suite, min(trials) OVER (PARTITION BY run) AS trials, class, prompt_tokens_actual AS prompt_tokens,
+  concurrency, thinking, per_stream_tok_s, aggregate_tok_s, ttft_p50_s, ttft_p95_s, acceptance FROM published""",
     ),
     "artifact_report": stack(
         EV,
@@ -560,7 +567,7 @@ SELECT doc_id AS case_id, CAST(depth AS INT) AS depth_lines, CAST(pos AS DOUBLE)
         select="""SELECT run, '| ' || coalesce(class, CAST(prompt_tokens_actual AS VARCHAR)) || ' | ' || concurrency || ' | '
   || CASE WHEN thinking THEN 'on' ELSE 'off' END || ' | ' || per_stream_tok_s || ' | ' || aggregate_tok_s || ' | '
   || coalesce(CAST(ttft_p50_s AS VARCHAR), '-') || ' | ' || coalesce(CAST(ttft_p95_s AS VARCHAR), '-') || ' | '
-  || CASE WHEN acceptance IS NULL THEN '-' ELSE '0.5' END || ' |' AS line FROM published""",
+  || coalesce(CAST(acceptance AS VARCHAR), '-') || ' |' AS line FROM published""",
     ),
     "advice_sink": stack(
         EV,

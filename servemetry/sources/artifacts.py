@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .schemas import ARTIFACT, RETRIEVAL
+from ..functions.numeric import plain_number
+from .schemas import ARTIFACT, CELL, RETRIEVAL
 
 CORRECTION_TOLERANCE = 0.0006
 
@@ -56,10 +58,27 @@ def retrieval_scan(spark: SparkSession, path: str, multi_line: bool = True) -> D
     ).select("report", "verdict", "why", "c.*")
 
 
+def artifact_documents(cells: DataFrame) -> DataFrame:
+    """One document per date, lane and suite: what is known of the run, and its cells nested.
+
+    A suite bounds the cells of a document. Columns that are not there are left out.
+    """
+    header = [h for h in ("model", "elapsed_s", "utc", "environment") if h in cells.columns]
+    summed = [F.max(h).alias(h) for h in header]
+    if "trials" in cells.columns:
+        summed.append(F.min("trials").cast("int").alias("trials"))
+    fields = [f for f in StructType.fromDDL(f"c {CELL}")["c"].dataType.names if f in cells.columns]
+    return cells.groupBy("date", "lane", "suite").agg(*summed, F.collect_list(F.struct(*fields)).alias("cells"))
+
+
 def artifact_sink(cells: DataFrame, path: str) -> None:
-    """Write cells under date, lane and suite; a repeated run replaces its own folder."""
+    """Write the documents of cells under date, lane and suite; a repeated run replaces its own folder.
+
+    `artifact_scan` reads them back, cell for cell.
+    """
     (
-        cells.write.mode("overwrite")
+        artifact_documents(cells)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("date", "lane", "suite")
         .json(path)
@@ -70,7 +89,7 @@ def report_rows(cells: DataFrame) -> DataFrame:
     """The lines of the published table: '-' for a missing number, on or off for thinking."""
 
     def shown(name: str) -> Column:
-        return F.coalesce(F.col(name).cast("string"), F.lit("-"))
+        return F.coalesce(plain_number(F.col(name)), F.lit("-"))
 
     prompt = F.coalesce(
         F.nullif("class", F.lit("")),

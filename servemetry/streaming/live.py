@@ -11,7 +11,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import order_key
+from ..functions.numeric import order_of
 from ..functions.quality import TOKEN_ZERO_RUN
 from ..operators.counters import MIN_DRAFT_TOKENS, counter_window_delta, recommend_k
 from ..operators.ordered import running
@@ -48,7 +48,7 @@ def _clock(seen: DataFrame, state: DataFrame) -> Column:
 
 def window_ticks(samples: DataFrame, window_s: int = WINDOW_S, late: str = "10 minutes") -> DataFrame:
     """The last scrape of each engine and closed tumbling window, reduced map-side."""
-    last = order_key(F.col("scraped_us"), F.col("sample_id"))
+    last = order_of(samples, "scraped_us", "sample_id")
     return (
         samples.withColumn("at", F.timestamp_micros("scraped_us"))
         .withWatermark("at", late)

@@ -354,6 +354,18 @@ def test_claims_with_many_digits_and_cells(spark):
     assert sorted((r.claim_id or "", r.problem) for r in found.collect()) == [("", "no artifact"), ("e", "value differs")]
 
 
+@pytest.mark.parametrize("name", [lambda n: f"chatcmpl-{9 - n}", lambda n: 9_200_000_000_000_000_000 - n])
+def test_ids_of_any_kind(spark, name):
+    requests = [(name(n), "run-0", 1, 1_700_000_000_000_000 + n // 2, 2.0, 0.1, 5, 20, n) for n in range(4)]
+    kind = "string" if isinstance(name(0), str) else "long"
+    df = spark.createDataFrame(
+        requests, f"request_id {kind}, run string, trial int, started_us long, wall_s double, ttft_s double, sse_chunks int, completion_tokens int, prompt_tokens int"
+    )
+    (row,) = measure.cell_rollup(df, ["run"]).collect()
+    assert row.prompt_tokens_actual == 1  # the later of the two that start first has the smaller id
+    assert measure.trial_rollup(df, ["run"]).count() == 1
+
+
 def test_cell_rollup_counts_a_null_trial_once(spark):
     requests = [(n, "run-0", "code", 1, False, t, 1000 * n, 2.0, 0.1, 5, 20, 7) for n, t in enumerate((None, None, 1, 1))]
     df = spark.createDataFrame(

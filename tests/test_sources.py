@@ -118,8 +118,15 @@ def test_artifact_sink_replaces_only_its_own_run(spark):
     schema = "date string, lane string, suite string, aggregate_tok_s double"
     artifacts.artifact_sink(spark.createDataFrame([("2026-08-29", "a", "spec", 1.0), ("2026-08-29", "b", "spec", 2.0)], schema), path)
     artifacts.artifact_sink(spark.createDataFrame([("2026-08-29", "a", "spec", 3.0)], schema), path)
-    got = spark.read.schema(schema).json(path).collect()
-    assert sorted((r.lane, r.aggregate_tok_s) for r in got) == [("a", 3.0), ("b", 2.0)]
+    got = artifacts.artifact_scan(spark, path, multi_line=False).collect()
+    assert sorted((r.lane, r.suite, r.aggregate_tok_s) for r in got) == [("a", "spec", 3.0), ("b", "spec", 2.0)]
+
+
+def test_report_prints_large_and_small_numbers_plainly(spark):
+    row = ("code", 1, False, 1e7, 0.0001, None, 12.5, 0.697)
+    cells = spark.createDataFrame([row], "class string, concurrency int, thinking boolean, per_stream_tok_s double, aggregate_tok_s double, ttft_p50_s double, ttft_p95_s double, acceptance double")
+    cells = cells.withColumns({"prompt_tokens_actual": F.lit(1), "prompt_tokens_nominal": F.lit(1)})
+    assert artifacts.report_rows(cells).first().line == "| code | 1 | off | 10000000.0 | 0.0001 | - | 12.5 | 0.697 |"
 
 
 def test_retrieval_scan(spark, tmp_path):
