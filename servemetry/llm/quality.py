@@ -61,7 +61,7 @@ _CLASS_SUMS = np.zeros((256, len(CLASSES)), dtype=np.int64)
 for _byte, _class in enumerate(_class_of_byte()):
     if _class >= 0:
         _CLASS_SUMS[_byte, _class] = 1
-_STOPS = ("", ".", ",")
+_FORMS = {lang: [[(w + stop).encode() for stop in ("", ".", ",")] for w in words] for lang, words in COMMON_WORDS.items()}
 
 
 def document_features(text: str | None, lang: str | None) -> dict:
@@ -79,11 +79,11 @@ def document_features(text: str | None, lang: str | None) -> dict:
                 inside[starts + shift] = True
             repeated = int(inside.sum())
     lines = [line for line in (text or "").split("\n") if line.strip(WHITE)]
-    common = COMMON_WORDS.get(lang)
+    common = _FORMS.get(lang)
     counts = None
     if common is not None:
-        seen = Counter((text or "").lower().split())
-        counts = [sum(seen.get(w + stop, 0) for stop in _STOPS) for w in common]
+        seen = Counter(raw.lower().split())
+        counts = [sum(seen.get(form, 0) for form in forms) for forms in common]
         counts += [0] * (WORDS_PER_LANGUAGE - len(common))
         counts.append(max(0, sum(seen.values()) - sum(counts)))
     return {

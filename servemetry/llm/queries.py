@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import half_even
 from . import bpe, jaccard_join, license_scan, packing, quality, secret_scan, shard_table, substrings, token_counts, vector_dedup
 
 #: Vocabulary of the token queries; operators take any path.
@@ -18,7 +19,61 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
-    return quality.quality_rules(_documents(spark, sf_dir))
+    judged = quality.quality_rules(_documents(spark, sf_dir))
+    return judged.withColumns({c: half_even(F.col(c), 6) for c in ("class_distance", "word_distance")})
+
+
+#: Code points of the character classes, as in the lead bytes that `quality` counts.
+_CLASS_RANGES = (
+    "aeiou", "b-df-hj-np-tv-z", "A-Z", "0-9", r" \t", r"\n\r", ".,;:!?", r"\"''()\-/@\[\\\]^_`{}~+=", "#*$%&|<>",
+    r"\x{C0}-\x{27F}", r"\x{280}-\x{3FF}", r"\x{400}-\x{4FF}", r"\x{80}-\x{BF}\x{500}-\x{10FFFF}", r"\x00-\x08\x0b\x0c\x0e-\x1f\x7f",
+)
+_OP1 = """
+WITH texts AS (
+    SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents
+), windows AS (
+    SELECT rid, i, count(*) OVER (PARTITION BY rid, g) > 1 AS again
+    FROM (SELECT rid, unnest(range(1, len(w) - 1)) AS i, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS g FROM texts)
+), repeats AS (
+    SELECT rid, count(DISTINCT pos) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS pos FROM windows WHERE again) GROUP BY rid
+), counted AS (
+    SELECT rid, doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{word}')))
+        - len(list_distinct(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{word}')))) AS n_dup_lines,
+        coalesce(n, 0) AS n_repeat_words,
+        [{classes}] AS classes,
+        list_transform(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS lowered
+    FROM texts LEFT JOIN repeats USING (rid)
+), based AS (
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+), common(lang, entry, forms) AS (VALUES {common}
+), entries AS (
+    SELECT rid, lang, base_failed, n_words, 'class' AS kind, unnest(range(1, 15)) AS entry, unnest(classes) AS n FROM based
+    UNION ALL
+    SELECT rid, b.lang, base_failed, n_words, 'word', entry, len(list_filter(lowered, lambda x: list_contains(forms, x))) FROM based b JOIN common c ON b.lang = c.lang
+    UNION ALL
+    SELECT rid, b.lang, base_failed, n_words, 'word', 0, len(list_filter(lowered, lambda x: NOT list_contains(everything, x)))
+    FROM based b JOIN (SELECT lang, flatten(list(forms)) AS everything FROM common GROUP BY lang) c ON b.lang = c.lang
+), shares AS (
+    SELECT *, n / nullif(sum(n) OVER (PARTITION BY rid, kind), 0) AS p FROM entries WHERE n_words >= 80
+), means AS (
+    SELECT lang, kind, entry, avg(p) AS q FROM shares WHERE NOT base_failed AND lang IN ('de', 'en', 'es', 'fr') GROUP BY ALL HAVING count(*) >= 20
+), distances AS (
+    SELECT rid, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS d
+    FROM shares JOIN means USING (lang, kind, entry) GROUP BY ALL
+), judged AS (
+    SELECT b.*, c.d AS cd, w.d AS wd FROM based b LEFT JOIN distances c ON c.rid = b.rid AND c.kind = 'class' LEFT JOIN distances w ON w.rid = b.rid AND w.kind = 'word'
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND coalesce(cd <= 0.28::DOUBLE, true) AND coalesce(wd <= 0.335::DOUBLE, true) AS kept,
+    CAST(printf('%.6f', cd) AS DOUBLE) AS class_distance, CAST(printf('%.6f', wd) AS DOUBLE) AS word_distance
+FROM judged
+""".format(
+    word=r"[^\x20\x09-\x0D]+",
+    classes=", ".join(f"length(regexp_replace(text, '[^{c}]', '', 'g'))" for c in _CLASS_RANGES),
+    common=", ".join(f"('{lang}', {n}, ['{w}', '{w}.', '{w},'])" for lang, words in quality.COMMON_WORDS.items() for n, w in enumerate(words, start=1)),
+)
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
@@ -161,6 +216,7 @@ QUERIES = {
     )
 }
 ORACLES = {
+    "op1_quality_rules": _OP1,
     "op4_jaccard_join": _OP4,
     "op7_shard_placement": _OP7.format(slots=SLOTS, table=shard_table.table_bytes(shard_table.fill_table(SHARDS, SLOTS)).hex()),
     "op8_near_vectors": _OP8,
