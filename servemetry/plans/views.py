@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Narrow rows dealt over the shuffle partitions, before each is made into many lines of text."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def micros(ts: Column, spark: SparkSession) -> Column:
     """Microseconds since 1970 of a zoneless UTC time, in any session zone."""
     if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "GMT"):
@@ -97,7 +102,7 @@ def spans(spark: SparkSession, sf: str) -> DataFrame:
 
 def scrape_lines(spark: SparkSession, sf: str) -> DataFrame:
     """The samples as exposition text, with the neighbour series that must not match."""
-    s = samples(spark, sf)
+    s = dealt(samples(spark, sf), "sample_id")
     vllm = F.col("sample_id") % 2 == 0
     prefix = F.when(vllm, "vllm:spec_decode_").otherwise("sglang:")
     half = F.floor(F.col("accepted") / 2)
@@ -169,7 +174,7 @@ def shape_frames(shaped: DataFrame) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
-    return shape_frames(events(spark, sf))
+    return shape_frames(dealt(events(spark, sf), "event_id"))
 
 
 def _lane(number: Column) -> Column:

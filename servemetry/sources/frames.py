@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chat import parses_as_json
 from ..operators.keys import salted_join
 from .schemas import STREAM_FRAME
+from .storage import pin
 
 _BLANK = " \t\n\r\x0b\x0c"
 
@@ -22,6 +22,18 @@ def usage_tokens(usage: Column, name: str) -> Column:
     return F.coalesce(F.get_json_object(usage, f"$.{name}").try_cast("bigint"), F.lit(0))
 
 
+def whole_frame(body: Column) -> Column:
+    """The frame that a line's body holds, if the body is one whole JSON object; else null.
+
+    It is read as the first of two frames. The second carries the body's digest, which is seen only
+    if the reader came to the end of the body with exactly one value read.
+    """
+    seal = F.md5(body.cast("binary"))
+    both = F.from_json(F.concat(F.lit("["), body, F.lit(',{"usage":"'), seal, F.lit('"}]')), f"array<struct<{STREAM_FRAME}>>")
+    sealed = (F.size(both) == 2) & (F.get(both, F.lit(1))["usage"] == seal)
+    return F.when(sealed, F.get(both, F.lit(0)))
+
+
 def with_frame_columns(frames: DataFrame) -> DataFrame:
     """Add token counts, number of non-empty chunks and end mark of each line.
 
@@ -37,7 +49,7 @@ def with_frame_columns(frames: DataFrame) -> DataFrame:
     told = ~F.coalesce(usage, F.lit("null")).isin("null", "{}")
     return (
         frames.withColumn("_body", frame_body(F.col("line")))
-        .withColumn("_frame", F.when(parses_as_json(F.col("_body")), F.from_json("_body", STREAM_FRAME)))
+        .withColumn("_frame", whole_frame(F.col("_body")))
         .withColumns(
             {
                 "completion_tokens": F.when(told, usage_tokens(usage, "completion_tokens")),
@@ -70,16 +82,18 @@ def _read(parsed: DataFrame) -> DataFrame:
 def read_requests(frames: DataFrame) -> DataFrame:
     """What a client has read of each request: up to its end marker, if it came.
 
-    Frames are read once. Only requests with frames behind their end marker,
-    which a sound server never sends, are read again without those.
+    Frames are read once, and the one row of each request is pinned. Only if a request has frames behind
+    its end marker, which a sound server never sends, are frames read again, without those.
     """
     parsed = with_frame_columns(frames)
-    first = _read(parsed)
+    first = pin(_read(parsed))
     overrun = F.coalesce("_overrun", F.lit(False))
-    sound = first.where(~overrun)
     cuts = first.where(overrun).select("request_id", "_end")
+    sound = first.where(~overrun).drop("_end", "_overrun")
+    if cuts.isEmpty():
+        return sound
     cut = salted_join(parsed, cuts, ["request_id"]).where("seq <= _end").drop("_end")
-    return sound.unionByName(_read(cut)).drop("_end", "_overrun")
+    return sound.unionByName(_read(cut).drop("_end", "_overrun"))
 
 
 def sse_to_requests(frames: DataFrame) -> DataFrame:
