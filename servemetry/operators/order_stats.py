@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import value_bin
-from .keys import salted_join
+from .keys import null_safe_join, salted_join
 
 Rank = Callable[[Column], Column]
+#: Parts into which the range of a wanted bin is cut.
+PARTS = 4096
 
 
 def nearest(q: float) -> Rank:
@@ -40,13 +42,15 @@ def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mappi
     binned = df.where(F.col(value).isNotNull()).select(
         *keys, F.col(value).cast("double").alias("_v"), value_bin(F.col(value)).alias("_bin")
     )
-    counts = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"))
+    counts = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
     group = Window.partitionBy(*keys)
     below = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.select(
         *keys,
         "_bin",
         "_n",
+        "_least",
+        "_most",
         F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_below"),
         F.sum("_n").over(group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"),
     )
@@ -57,15 +61,23 @@ def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mappi
         ]
     )
     bins = placed.select(
-        *keys, "_bin", F.filter(wanted, lambda w: (w["offset"] >= 0) & (w["offset"] < F.col("_n"))).alias("_want")
+        *keys, "_bin", "_least", "_most", F.filter(wanted, lambda w: (w["offset"] >= 0) & (w["offset"] < F.col("_n"))).alias("_want")
     ).where(F.size("_want") > 0)
 
     # _want belongs to the bin; as a grouping key it comes along without a join.
     # Salted, because one value may make up most of the rows of a bin.
     in_bin = [*keys, "_bin"]
-    equal = salted_join(binned, bins, in_bin).groupBy(*in_bin, "_v", "_want").agg(F.count("*").alias("_c"))
-    upto = Window.partitionBy(*in_bin).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = equal.withColumn("_hi", F.sum("_c").over(upto)).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    equal = salted_join(binned, bins, in_bin).groupBy(*in_bin, "_v", "_want", "_least", "_most").agg(F.count("*").alias("_c"))
+    # However many values crowd into one bin, its own range is cut into PARTS: counts run within a
+    # part, and the parts of a bin are few. The cut never decreases as the value grows.
+    share = (F.col("_v") - F.col("_least")) / F.nullif(F.col("_most") - F.col("_least"), F.lit(0.0))
+    equal = equal.withColumn("_part", F.coalesce(F.floor(share * PARTS), F.lit(0))).drop("_least", "_most")
+    in_part = [*in_bin, "_part"]
+    earlier = Window.partitionBy(*in_bin).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = equal.groupBy(*in_part).agg(F.sum("_c").alias("_c")).select(*in_part, F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_ahead"))
+    upto = Window.partitionBy(*in_part).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = null_safe_join(equal.withColumn("_hi", F.sum("_c").over(upto)), parts, in_part)
+    ranked = ranked.withColumn("_hi", F.col("_hi") + F.col("_ahead")).withColumn("_lo", F.col("_hi") - F.col("_c"))
 
     def found(i: int, name: str) -> Column:
         here = F.exists(

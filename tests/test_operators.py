@@ -50,6 +50,15 @@ def test_ranks_and_medians_of_a_hot_group(spark):
 # Running values ----------------------------------------------------------
 
 
+
+def test_ranks_of_values_that_crowd_into_few_bins(spark):
+    rng = random.Random(6)
+    crowded = {"tiny": [rng.random() * 1e-8 for _ in range(3001)], "same": [0.25] * 500 + [0.25 + 1e-12] * 400, "one": [-3e-9]}
+    df = spark.createDataFrame([(k, v) for k, vs in crowded.items() for v in vs], "g string, v double")
+    got = {r.g: (r.p10, r.p50, r.p99) for r in order_stats.nearest_rank(df, ["g"], "v", {"p10": 0.1, "p50": 0.5, "p99": 0.99}).collect()}
+    assert got == {k: tuple(sorted(vs)[round(q * (len(vs) - 1))] for q in (0.1, 0.5, 0.99)) for k, vs in crowded.items()}
+
+
 @pytest.mark.parametrize("partitions", ["1", "3", "8"])
 def test_running_equals_a_plain_walk_whatever_the_slices(spark, partitions):
     rng = random.Random(11)
