@@ -20,7 +20,9 @@ it, not all its pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import pin
-from .arrow import map_blocks
+from .arrow import BLOCK_ROWS, map_blocks
 from .components import components
 
 #: Odd multipliers of the hash mixing (fixed values).
@@ -62,33 +64,49 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(grams)
 
 
-def bands(size: int, num: int, den: int) -> list[int]:
-    """Upper ends of the size bands in which a set of this size may meet a partner not smaller than itself, or itself."""
+def bands(size: int, num: int, den: int) -> list[tuple[int, int]]:
+    """The size bands (low, high) in which a set of this size may meet a partner not smaller than itself, or itself."""
     out, low, high = [], 1, 2
     while True:
         if size < high and (not out or low <= size * den // num):
-            out.append(high)
+            out.append((low, high))
         elif size < high:
             return out
         low, high = high, max(high + 1, high * 3 // 2)
 
 
+@lru_cache(maxsize=1024)
+def _classes(low: int, high: int, num: int, den: int) -> tuple[int, int]:
+    """Most differences of a linked pair whose larger set lies in the band, and the number of classes.
+
+    There are so many classes that even the smallest sets in the band nearly always fill more
+    than `most` of them: random grams fill classes * (1 - exp(-size / classes)) on average.
+    """
+    most = 2 * (high - 1) * (den - num) // (den + num)
+    smallest, classes = max(1, low * num // den), most + 1
+    while classes < 2 * most + 4:
+        empty = classes * math.exp(-smallest / classes)
+        if classes - empty >= most + 1 + 2.5 * math.sqrt(empty):
+            break
+        classes += 1 + classes // 64
+    return most, classes
+
+
 def signatures(grams: np.ndarray, num: int, den: int) -> np.ndarray:
     """Names of the first-level regions of a set, such that linked sets share one.
 
     A pair is looked for in the band of its larger set, of fewer than `high` grams. The two differ in
     at most 2 (high - 1) (den - num) / (den + num) grams. With one class more than that, some class has
-    no difference. Empty classes name no region, so there are a few more; a set in which no more
-    than that many classes are filled names every gram as well. Two such sets share a gram; and if
-    one of a linked pair is not such a set, one of its filled classes is undamaged.
+    no difference. Empty classes name no region, so there are more, see `_classes`; a set that fills no
+    more classes than a pair can have differences names every gram as well. Two such sets share a
+    gram; and if one of a linked pair is not such a set, one of its filled classes is undamaged.
     """
     out = []
     sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_mix(grams + _ODD[0]), dtype=np.uint64)))
-    for high in bands(len(grams), num, den):
-        most = 2 * (high - 1) * (den - num) // (den + num)
+    for low, high in bands(len(grams), num, den):
+        most, classes = _classes(low, high, num, den)
         if not most:
             continue  # linked sets of this band are equal
-        classes = most + 1 + (most + 1) // 16 + 2
         # The top 32 bits give the class; equal grams fall in one class in every set.
         edges = np.searchsorted((grams >> np.uint64(32)).astype(np.int64) * classes >> 32, np.arange(classes + 1))
         filled = edges[1:] > edges[:-1]
@@ -192,19 +210,45 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["pivot", "node"])
 
 
-def document_sets(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty) and its signatures."""
+def document_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n_shingles and digest of the set (null if empty)."""
 
     def block(keys: list, texts: list) -> tuple:
-        sizes, digests, names = [], [], []
-        for text in texts:
-            grams = shingles(text, words)
-            sizes.append(len(grams))
-            digests.append(xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None)
-            names.append(signatures(grams, num, den).view(np.int64) if len(grams) else None)
-        return keys, sizes, digests, names
+        sets = [shingles(t, words) for t in texts]
+        return keys, [len(g) for g in sets], [xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None for g in sets]
+
+    return map_blocks(docs, [id_col, text_col], block, "doc_id bigint, n_shingles bigint, digest binary")
+
+
+#: Sets a task remembers so as to name the regions of equal ones only once; speed only.
+REMEMBERED = 200_000
+
+
+def document_signatures(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows signature, node for the first document of each set in a task.
 
-    return map_blocks(docs, [id_col, text_col], block, "doc_id bigint, n_shingles bigint, digest binary, signatures array<bigint>")
+    Equal sets so give at most one document a task to a region, however many copies there are.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                nodes, names = [], []
+                for node, text in zip(*(c.to_pylist() for c in batch.slice(at, BLOCK_ROWS).columns), strict=True):
+                    grams = shingles(text, words)
+                    if node is None or not len(grams) or (digest := xxhash.xxh3_128_digest(grams.tobytes())) in seen:
+                        continue
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(digest)
+                    names.append(signatures(grams, num, den))
+                    nodes.append(np.full(len(names[-1]), node, dtype=np.int64))
+                if names:
+                    columns = [pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(nodes))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["signature", "node"])
+
+    return docs.select(F.col(id_col).cast("bigint"), text_col).mapInArrow(task, "signature bigint, node bigint")
 
 
 def similarity_components(
@@ -218,18 +262,20 @@ def similarity_components(
     without an id never links others; it takes the component of the documents with its set, else null.
     Ids must be integers.
     """
-    sets = pin(document_sets(docs, words, num, den, id_col, text_col))
+    sets = pin(document_sets(docs, words, id_col, text_col))
     smallest = sets.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    members = pin(sets.drop("signatures").join(smallest, "digest", "left").select("doc_id", "n_shingles", "node"))
+    members = pin(sets.join(smallest, "digest", "left").select("doc_id", "n_shingles", "node"))
 
-    chosen = sets.withColumnRenamed("doc_id", "node").join(smallest, ["digest", "node"])
-    named = chosen.select(F.explode("signatures").alias("signature"), "node")
+    named = document_signatures(docs, words, num, den, id_col, text_col)
     meetings = named.repartition("signature").sortWithinPartitions("signature", "node").mapInArrow(_meetings, "pivot bigint, node bigint")
     meetings = pin(meetings.distinct())
     links = _region_links(docs, meetings, members, words, num, den, id_col, text_col)
+    # A copy that named regions stands for its set, as does the copy of the smallest id.
+    met = meetings.select("node").union(meetings.select("pivot")).distinct().withColumnRenamed("node", "doc_id")
+    copies = members.where("doc_id <> node").join(met, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     several = members.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     same = members.join(several.select("doc_id", "low"), "doc_id").select(F.col("low").alias("a"), F.col("node").alias("b"))
-    found = components(links.union(same)).withColumnRenamed("component", "component_id")
+    found = components(links.union(copies).union(same)).withColumnRenamed("component", "component_id")
     return members.join(found, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "node", "doc_id").alias("component_id"))
 
 
@@ -237,21 +283,22 @@ def _region_links(
     docs: DataFrame, meetings: DataFrame, members: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str
 ) -> DataFrame:
     """Links (a, b) that connect what is connected inside the regions of `meetings`."""
-    nodes = meetings.select("node").union(meetings.select("pivot")).distinct()
-
-    def block(keys: list, texts: list) -> tuple:
-        return keys, [shingles(t, words).tobytes() for t in texts]
-
-    taking_part = docs.join(nodes, docs[id_col] == nodes["node"], "left_semi")
-    grams = map_blocks(taking_part, [id_col, text_col], block, "node bigint, grams binary")
-
-    sizes = members.where("doc_id = node").groupBy("node").agg((F.max("n_shingles") + DOCUMENT_WEIGHT).alias("weight"))
+    sizes = members.where("doc_id is not null").groupBy(F.col("doc_id").alias("node")).agg((F.max("n_shingles") + DOCUMENT_WEIGHT).alias("weight"))
     rows = meetings.union(meetings.select("pivot", F.col("pivot").alias("node")).distinct())
     blocks = rows.join(sizes, "node").groupBy("pivot").agg(F.ceil(F.sum("weight") / BLOCK_WEIGHT).alias("n_blocks"))
     regions = pin(rows.join(blocks, "pivot").select("pivot", "node", "n_blocks"))
-    some_large = not regions.where("n_blocks > 1").isEmpty()
-    if some_large:
-        grams = pin(grams)
+
+    def grams_of(some: DataFrame) -> DataFrame:
+        """The grams of every document of `some` regions beside its region; a document's text moves once."""
+        # A document names at most as many regions as it has grams, so the list is bounded by its text.
+        listed = some.groupBy("node").agg(F.collect_list(F.struct("pivot", "n_blocks")).alias("regions"))
+
+        def block(nodes: list, texts: list, lists: list) -> tuple:
+            return nodes, [shingles(t, words).tobytes() for t in texts], lists
+
+        met = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).alias("text")).join(listed, "node")
+        made = map_blocks(met, ["node", "text", "regions"], block, "node bigint, grams binary, regions array<struct<pivot:bigint,n_blocks:bigint>>")
+        return made.select("node", "grams", F.inline("regions"))
 
     def join_tile(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
@@ -267,12 +314,12 @@ def _region_links(
         return tiles.groupBy("pivot", "i", "j").applyInArrow(join_tile, "a bigint, b bigint")
 
     zero = F.lit(0).cast("bigint")
-    small = regions.where("n_blocks = 1").join(grams, "node").select("pivot", zero.alias("i"), zero.alias("j"), "node", "grams", F.lit(False).alias("settled"))
-    if not some_large:
+    small = grams_of(regions.where("n_blocks = 1")).select("pivot", zero.alias("i"), zero.alias("j"), "node", "grams", F.lit(False).alias("settled"))
+    if regions.where("n_blocks > 1").isEmpty():
         return joined(small)
 
     # Large regions first settle all that links with the pivot; only the others meet everyone, block by block.
-    large = regions.where("n_blocks > 1").join(grams, "node")
+    large = pin(grams_of(regions.where("n_blocks > 1")))
     centres = large.where("pivot = node").select("pivot", F.col("grams").alias("centre"))
 
     def settle(pivots: list, names: list, counts: list, sets: list, centres: list) -> tuple:
