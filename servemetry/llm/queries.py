@@ -198,7 +198,7 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, s: n + s["words"])
 
     return found.select(
-        "doc_id", "n_chunks", words("removed").alias("n_removed_words"), words("shared").alias("n_shared_words"),
+        "doc_id", words("removed").alias("n_removed_words"), words("shared").alias("n_shared_words"),
         listed("removed").alias("removed"), listed("shared").alias("shared"),
     )
 

@@ -13,6 +13,7 @@ so that common phrases stay and a chance equality of two digests changes nothing
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import pin
-from .arrow import WHITE, map_blocks
+from .arrow import BLOCK_ROWS, WHITE, map_blocks
 
 #: Bytes on either side among which a cut is the largest hash; chunks have about twice as many.
 REACH = 16
@@ -88,65 +88,91 @@ def chunk(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return digests.view(np.int64), characters[ends - 1] if len(ends) else ends, begun[ends - 1] if len(ends) else ends
 
 
-def runs(repeated: list[int], ends: list[int], words: list[int], min_words: int) -> list[tuple[int, int, int]]:
-    """Runs of adjacent chunks (ascending numbers) with at least `min_words` words: start, end, words."""
+#: A chunk of a document: number, start, end (characters, exclusive), words begun in it.
+Chunk = tuple[int, int, int, int]
+
+
+def runs(chunks: list[Chunk], min_words: int) -> list[tuple[int, int, int]]:
+    """Runs of adjacent chunks (ascending) with at least `min_words` words: start, end, words."""
     out, at = [], 0
-    while at < len(repeated):
+    while at < len(chunks):
         stop = at
-        while stop + 1 < len(repeated) and repeated[stop + 1] == repeated[stop] + 1:
+        while stop + 1 < len(chunks) and chunks[stop + 1][0] == chunks[stop][0] + 1:
             stop += 1
-        first, last = repeated[at], repeated[stop]
-        held = words[last] - (words[first - 1] if first else 0)
+        held = sum(c[3] for c in chunks[at : stop + 1])
         if held >= min_words:
-            out.append((ends[first - 1] if first else 0, ends[last], held))
+            out.append((chunks[at][1], chunks[stop][2], held))
         at = stop + 1
     return out
 
 
-def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_chunks, removed and shared (arrays of start, end, words in characters, ends exclusive).
+def document_chunks(keyed: DataFrame) -> DataFrame:
+    """One row per chunk of `keyed` (owner, text_key, text): its digest, place and whether it is the first of its digest in the text."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                columns: list[list[np.ndarray]] = [[] for _ in _CHUNK]
+                for owner, key, text in zip(*(c.to_pylist() for c in batch.slice(at, BLOCK_ROWS).columns), strict=True):
+                    digests, ends, words = chunk(text or "")
+                    size = len(digests)
+                    first = np.zeros(size, dtype=bool)
+                    first[np.unique(digests, return_index=True)[1]] = True
+                    starts, before = np.concatenate(([0], ends[:-1])), np.concatenate(([0], words[:-1]))
+                    made = (np.full(size, owner), np.full(size, key), digests, np.arange(size), starts[:size], ends, words - before[:size], first)
+                    for column, values in zip(columns, made, strict=True):
+                        column.append(values)
+                arrays = [pa.array(np.concatenate(c).astype(kind)) for c, kind in zip(columns, _CHUNK.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=list(_CHUNK))
+
+    names = {"int64": "bigint", "int32": "int", "bool": "boolean"}
+    return keyed.select("owner", "text_key", "text").mapInArrow(task, ", ".join(f"{c} {names[kind]}" for c, kind in _CHUNK.items()))
 
-    `removed` are passages that a document of a smaller id, or an earlier place of the same document,
-    holds too; `shared` are all passages that another document holds, the first holder's included.
-    Null and empty texts have no chunks. Rows of one id count as one document, and rows without an id
-    as one last document: what only they share with each other is no repeat.
-    """
 
-    def block(keys: list, texts: list) -> tuple:
-        made = [chunk(t or "") for t in texts]
-        return keys, [d for d, _, _ in made], [e for _, e, _ in made], [w for _, _, w in made]
+_CHUNK = {
+    "owner": "int64", "text_key": "int64", "digest": "int64", "n": "int32", "start": "int32", "end": "int32", "words": "int32", "first": "bool"
+}
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    chunks = pin(
-        map_blocks(docs, [id_col, text_col], block, f"doc_id {kind}, digests array<bigint>, ends array<int>, words array<int>")
-        .withColumns({"row": F.monotonically_increasing_id(), "owner_id": F.coalesce("doc_id", F.lit(2**63 - 1))})
+
+def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per row of `docs`: doc_id, removed and shared (arrays of start, end in characters, words; ends exclusive).
+
+    `removed` are passages that a document of a smaller id, or an earlier place of the same text, holds
+    too; `shared` are all passages that another document holds, the first holder's included.
+    Null and empty texts have none. Rows of one id count as one document, and rows without an id as
+    one last document: what only they share with each other is no repeat. Ids must be integers.
+
+    Texts are chunked twice and never shuffled. A digest's documents are summed before they move, so a
+    hot passage is one row a task; the join that marks its places can be split.
+    """
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumns(
+        {"owner": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)), "text_key": F.xxhash64("text")}
     )
-    # One row for each digest of a document; a hot passage is summed before it moves and its join can be split.
-    each = chunks.select("row", "owner_id", F.explode(F.array_distinct("digests")).alias("digest"))
-    holders = each.groupBy("digest").agg(F.min("owner_id").alias("first"), F.max("owner_id").alias("last")).where("first <> last")
-    found = each.join(holders.select("digest", "first"), "digest")
-    marks = found.groupBy("row").agg(
-        F.collect_list(F.when(F.col("owner_id") != F.col("first"), F.col("digest"))).alias("later"), F.collect_list("digest").alias("any")
+    chunks = document_chunks(keyed)
+    holders = chunks.where("first").groupBy("digest").agg(F.min("owner").alias("holder"), F.max("owner").alias("last")).where("holder <> last").drop("last")
+    place = ["owner", "text_key", "n", "start", "end", "words"]
+    found = chunks.join(holders, "digest").select(*place, (~F.col("first") | (F.col("owner") != F.col("holder"))).alias("later"), F.lit(True).alias("common"))
+    # Repeats inside one text need no other document.
+    within = chunks.where("not first").select(*place, F.lit(True).alias("later"), F.lit(False).alias("common"))
+    marked = found.union(within).groupBy("owner", "text_key").agg(
+        F.collect_list(F.struct("n", "start", "end", "words", "later", "common")).alias("marks")
     )
 
-    def spans(keys: list, digests: list, ends: list, words: list, later: list, anywhere: list) -> tuple:
+    def spans(owners: list, keys: list, marks: list) -> tuple:
         removed, shared = [], []
-        for d, e, w, repeats, common in zip(digests, ends, words, later, anywhere, strict=True):
-            repeats, common, seen = set(repeats or ()), set(common or ()), set()
-            numbers, both = [], []
-            for n, digest in enumerate(d):
-                if digest in repeats or digest in seen:
-                    numbers.append(n)
-                if digest in common:
-                    both.append(n)
-                seen.add(digest)
-            removed.append([dict(zip(("start", "end", "words"), r, strict=True)) for r in runs(numbers, e, w, min_words)])
-            shared.append([dict(zip(("start", "end", "words"), r, strict=True)) for r in runs(both, e, w, min_words)])
-        return keys, [len(d) for d in digests], removed, shared
+        for rows in marks:
+            places: dict[int, Chunk] = {r["n"]: (r["n"], r["start"], r["end"], r["words"]) for r in rows}
+            for out, kind in ((removed, "later"), (shared, "common")):
+                numbers = sorted({r["n"] for r in rows if r[kind]})
+                out.append([dict(zip(("start", "end", "words"), r, strict=True)) for r in runs([places[n] for n in numbers], min_words)])
+        return owners, keys, removed, shared
 
     passage = "array<struct<start:bigint,end:bigint,words:bigint>>"
-    joined = chunks.join(marks, "row", "left")
-    return map_blocks(joined, ["doc_id", "digests", "ends", "words", "later", "any"], spans, f"doc_id {kind}, n_chunks bigint, removed {passage}, shared {passage}")
+    told = map_blocks(marked, ["owner", "text_key", "marks"], spans, f"owner bigint, text_key bigint, removed {passage}, shared {passage}")
+    told = told.where((F.size("removed") > 0) | (F.size("shared") > 0))
+    none = F.array().cast(passage)
+    joined = keyed.select("doc_id", "owner", "text_key").join(told, ["owner", "text_key"], "left")
+    return joined.select("doc_id", "text_key", F.coalesce("removed", none).alias("removed"), F.coalesce("shared", none).alias("shared"))
 
 
 _WORD_EDGE = re.compile(f"[{WHITE}]")
@@ -172,19 +198,19 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """All documents with all their columns, repeated passages cut from `text_col`; those left without words go.
 
     Documents without repeats are returned as they are, also empty ones, and so are rows
-    without an id. Rows of one id share their cuts.
+    without an id.
     """
-    found = repeated_passages(docs, id_col=id_col, text_col=text_col, min_words=min_words).where(F.size("removed") > 0)
-    found = found.where("doc_id is not null").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_cut_id"), F.col("removed").alias("_cut"))
+    found = repeated_passages(docs, id_col=id_col, text_col=text_col, min_words=min_words).where((F.size("removed") > 0) & F.col("doc_id").isNotNull())
+    found = found.groupBy(F.col("doc_id").alias("_cut_id"), F.col("text_key").alias("_cut_key")).agg(F.any_value("removed").alias("_cut"))
 
     @F.arrow_udf("string")
     def shortened(texts: pa.Array, passages: pa.Array) -> pa.Array:
         return pa.array([
-            None if t is None else t if p is None else cut_out(t, [(x["start"], x["end"]) for x in p if x["end"] <= len(t)])
+            None if t is None else t if p is None else cut_out(t, [(x["start"], x["end"]) for x in p])
             for t, p in zip(texts.to_pylist(), passages.to_pylist(), strict=True)
         ], type=pa.string())
 
-    joined = docs.join(found, docs[id_col] == found["_cut_id"], "left")
+    joined = docs.join(found, (docs[id_col] == found["_cut_id"]) & (F.xxhash64(docs[text_col]) == found["_cut_key"]), "left")
     cut = joined.withColumn(text_col, shortened(F.col(text_col), F.col("_cut")))
     left = cut.where(F.col("_cut").isNull() | F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"))
     return left.select(*docs.columns)
