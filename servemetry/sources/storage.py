@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -33,6 +34,16 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Ask the driver to collect garbage, on which Spark removes shuffle files that no DataFrame refers to.
+
+    Worth it between large steps, after the result of one is pinned: otherwise its shuffles stay on the
+    executors' disks until the driver happens to collect.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
