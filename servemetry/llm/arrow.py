@@ -15,6 +15,15 @@ BLOCK_ROWS = 256
 WHITE = " \t\n\r\x0b\x0c"
 
 
+def by_blocks(one_block: Callable[..., Sequence], kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """Apply `one_block(list per column) -> list` to blocks of a column function's batch, so that few texts are Python strings at once."""
+    parts = [
+        pa.array(one_block(*[c.slice(at, BLOCK_ROWS).to_pylist() for c in columns]), type=kind)
+        for at in range(0, len(columns[0]), BLOCK_ROWS)
+    ]
+    return pa.concat_arrays(parts) if parts else pa.array([], type=kind)
+
+
 def map_blocks(
     df: DataFrame, columns: Sequence[str], block: Callable[..., Sequence[Sequence]], schema: str, rows: int = BLOCK_ROWS
 ) -> DataFrame:

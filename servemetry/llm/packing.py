@@ -42,8 +42,11 @@ def library_ids(path: str) -> Pieces:
     library.no_padding()
 
     def encode_all(texts: list[str]) -> list[bytes]:
-        found = library.encode_batch_fast(texts, add_special_tokens=False)
-        return [pack_ints(f"<{len(ids)}I", *ids) for ids in (f.ids for f in found)]
+        out: list[bytes] = []
+        for at in range(0, len(texts), 2048):  # the library's results are far larger than their ids
+            found = library.encode_batch_fast(texts[at : at + 2048], add_special_tokens=False)
+            out += [pack_ints(f"<{len(ids)}I", *ids) for ids in (f.ids for f in found)]
+        return out
 
     return Pieces(encode_all, [t.content for t in library.get_added_tokens_decoder().values()])
 

@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 
 #: Pieces a task remembers before it starts afresh (some 40 bytes each), and bytes worked on at once; speed only.
-REMEMBERED, SLICE = 2_000_000, 1 << 20
+REMEMBERED, SLICE = 1_500_000, 1 << 18
 #: Odd bases of the two hashes (fixed values).
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 _DOUBLE_WHITE = re.compile(r"\s\s")

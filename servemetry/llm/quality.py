@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import pin
-from .arrow import WHITE
+from .arrow import WHITE, by_blocks
 
 #: Common words looked for in each language (fixed values).
 COMMON_WORDS = {
@@ -100,10 +100,9 @@ def document_features(text: str | None, lang: str | None) -> dict:
 def _features(text: Column, lang: Column) -> Column:
     @F.arrow_udf(f"struct<{FEATURES.replace(' bigint', ':bigint').replace(' array', ':array')}>")
     def features(texts: pa.Array, langs: pa.Array) -> pa.Array:
-        rows = [document_features(t.as_py(), n.as_py()) for t, n in zip(texts, langs, strict=True)]
         longs = pa.list_(pa.int64())
         kinds = {k: pa.int64() for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")} | {"classes": longs, "words": longs}
-        return pa.array(rows, type=pa.struct(list(kinds.items())))
+        return by_blocks(lambda some, names: list(map(document_features, some, names)), pa.struct(list(kinds.items())), texts, langs)
 
     return features(text, lang)
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import pin
-from .arrow import map_blocks
+from .arrow import by_blocks, map_blocks
 
 #: Kinds of spans in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -261,6 +261,6 @@ def without_secrets(docs: DataFrame, *, text_col: str = "text", alpha: float = 0
 
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else redact(t, shares, needed, alpha) for t in texts.to_pylist()], type=pa.string())
+        return by_blocks(lambda block: [None if t is None else redact(t, shares, needed, alpha) for t in block], pa.string(), texts)
 
     return docs.withColumn(text_col, clean(text_col))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import BLOCK_ROWS, WHITE, map_blocks
+from .arrow import BLOCK_ROWS, WHITE, by_blocks, map_blocks
 
 #: Bytes on either side among which a cut is the largest hash; chunks have about twice as many.
 REACH = 16
@@ -205,10 +205,10 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     @F.arrow_udf("string")
     def shortened(texts: pa.Array, passages: pa.Array) -> pa.Array:
-        return pa.array([
-            None if t is None else t if p is None else cut_out(t, [(x["start"], x["end"]) for x in p])
-            for t, p in zip(texts.to_pylist(), passages.to_pylist(), strict=True)
-        ], type=pa.string())
+        def block(some: list, cuts: list) -> list:
+            return [t if t is None or p is None else cut_out(t, [(x["start"], x["end"]) for x in p]) for t, p in zip(some, cuts, strict=True)]
+
+        return by_blocks(block, pa.string(), texts, passages)
 
     joined = docs.join(found, (docs[id_col] == found["_cut_id"]) & (F.xxhash64(docs[text_col]) == found["_cut_key"]), "left")
     cut = joined.withColumn(text_col, shortened(F.col(text_col), F.col("_cut")))
