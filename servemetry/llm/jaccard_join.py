@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import pin
+from ..sources.storage import pin, release
 from .arrow import BLOCK_ROWS, map_blocks
 from .components import components
 
@@ -269,6 +269,7 @@ def similarity_components(
     named = document_signatures(docs, words, num, den, id_col, text_col)
     meetings = named.repartition("signature").sortWithinPartitions("signature", "node").mapInArrow(_meetings, "pivot bigint, node bigint")
     meetings = pin(meetings.distinct())
+    release(docs.sparkSession)
     links = _region_links(docs, meetings, members, words, num, den, id_col, text_col)
     # A copy that named regions stands for its set, as does the copy of the smallest id.
     met = meetings.select("node").union(meetings.select("pivot")).distinct().withColumnRenamed("node", "doc_id")
@@ -347,6 +348,7 @@ def one_of_each_group(docs: DataFrame, *, words: int = 5, num: int = 80, den: in
     Documents without words or id are in no group and stay. Of rows that repeat an id one stays.
     """
     found = pin(similarity_components(docs, words=words, num=num, den=den, id_col=id_col, text_col=text_col).where("doc_id is not null"))
+    release(docs.sparkSession)
     dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
     repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
     gone = dropped.withColumnRenamed("doc_id", "_gone_id")
