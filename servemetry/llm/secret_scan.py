@@ -1,7 +1,8 @@
 """Secrets in text: fixed patterns, and strings that a battery of tests finds random.
 
-The method looks at long runs of key characters. For each it infers the encoding
-(the smallest alphabet that holds the run) and asks two questions.
+The method looks at long runs of key characters, split at an inner '=', at the edges of
+fixed patterns and, where no alphabet holds them, at marks. For each part it infers the
+encoding (the smallest alphabet that holds it) and asks two questions.
 
 Is it random? Chi-squared uniformity over the alphabet, a runs test about the middle of
 the alphabet and a lag-one serial correlation, joined by Fisher's rule. A run that
@@ -121,20 +122,50 @@ def infer_encoding(run: str) -> tuple[str, np.ndarray] | None:
     return None
 
 
+def parts(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The stretches of a run that are tested: split at inner '=', then whole if an alphabet holds them.
+
+    Those with '+' or '/' and '-' or '_' may be a base64 string beside a path or name, or the other way
+    about, so each longest stretch of base64, of base64url and of neither's marks is one; these overlap.
+    """
+    for piece in _PIECE.finditer(text, start, end):
+        if infer_encoding(piece.group()):
+            yield piece.span()
+        else:
+            yield from sorted({m.span() for kind in _PARTS for m in kind.finditer(text, *piece.span())})
+
+
+_PIECE = re.compile(r"[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9+/_=-]))?")
+_PARTS = [re.compile(f"[A-Za-z0-9{marks}]+(?:=+(?![A-Za-z0-9+/_=-]))?") for marks in ("+/", "_-", "")]
+
+
 def candidates(text: str, taken: list[Span], shares: np.ndarray) -> list[tuple[int, int, float, float]]:
-    """Runs of at least BANDS[0] characters outside `taken`: start, end, bits of evidence, randomness."""
+    """Parts of runs with at least BANDS[0] characters outside `taken`: start, end, bits of evidence, randomness."""
     out = []
     for run in _RUN.finditer(text):
-        start, end = run.span()
-        if end - start < BANDS[0] or any(s < end and start < e for _, s, e in taken):
-            continue
-        found = infer_encoding(run.group())
-        if found is None or len(found[1]) < BANDS[0]:
-            continue
-        name, values = found
-        raw = np.frombuffer(run.group().rstrip("=").encode("ascii"), dtype=np.uint8)
-        bits = float(-np.log2(shares[raw]).sum() - len(raw) * math.log2(len(ALPHABETS[name])))
-        out.append((start, end, bits, randomness(values, len(ALPHABETS[name]))))
+        at, free = run.start(), []
+        for _, s, e in sorted(taken, key=lambda s: s[1]) if taken else ():
+            if s < run.end() and at < e:
+                free.append((at, s))
+                at = e
+        for start, end in [p for s, e in [*free, (at, run.end())] if e - s >= BANDS[0] for p in parts(text, s, e)]:
+            raw = np.frombuffer(text[start:end].rstrip("=").encode("ascii"), dtype=np.uint8)
+            if len(raw) < BANDS[0]:
+                continue
+            name, values = infer_encoding(text[start:end])
+            bits = float(-np.log2(shares[raw]).sum() - len(raw) * math.log2(len(ALPHABETS[name])))
+            out.append((start, end, bits, randomness(values, len(ALPHABETS[name]))))
+    return out
+
+
+def confirmed(found: list[tuple[int, int, float, float]], needed: Mapping[int, float], alpha: float) -> list[tuple[int, int]]:
+    """Start and end of the candidates that are secrets, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for start, end, bits, chance in sorted(found):
+        if chance >= alpha and bits >= needed.get(max(b for b in BANDS if b <= end - start), math.inf):
+            if out and start < out[-1][1]:
+                start, end = out[-1][0], max(end, out.pop()[1])
+            out.append((start, end))
     return out
 
 
@@ -221,27 +252,22 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     found = pin(_found(docs, character_shares(docs, text_col), id_col, text_col))
     needed = evidence_needed(found, alpha, q)
 
-    def is_secret(c: Column) -> Column:
-        bits = F.lit(None).cast("double")
-        for band, least in needed.items():
-            bits = F.when(_band(c["end"] - c["start"]) == band, least).otherwise(bits)
-        return F.coalesce((c["randomness"] >= alpha) & (c["bits"] >= bits), F.lit(False))
+    def block(keys: list, base: list, more: list) -> tuple:
+        spans = []
+        for fixed, some in zip(base, more, strict=True):
+            random = [("random", *span) for span in confirmed([tuple(c.values()) for c in some], needed, alpha)]
+            listed = sorted([tuple(s.values()) for s in fixed] + random, key=lambda s: (s[1], KINDS.index(s[0])))
+            spans.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in listed])
+        return keys, spans
 
-    rank = lambda kind: F.array_position(F.lit(list(KINDS)), kind)
-    random = F.transform(F.filter("candidates", is_secret), lambda c: F.struct(F.lit("random").alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    keyed = F.transform(F.concat("base", random), lambda s: F.struct(s["start"].alias("start"), rank(s["kind"]).alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
-    spans = F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return found.select("doc_id", spans.alias("spans"))
+    kind = found.schema["doc_id"].dataType.simpleString()
+    return map_blocks(found, ["doc_id", "base", "candidates"], block, f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def redact(text: str, shares: np.ndarray, needed: Mapping[int, float], alpha: float, mark: str = "[secret]") -> str:
     """The text with every span, overlapping ones as one, replaced by a mark."""
     base = base_spans(text)
-    spans = [(s, e) for _, s, e in base]
-    for start, end, bits, chance in candidates(text, base, shares):
-        band = max(b for b in BANDS if b <= end - start)
-        if chance >= alpha and bits >= needed.get(band, math.inf):
-            spans.append((start, end))
+    spans = [(s, e) for _, s, e in base] + confirmed(candidates(text, base, shares), needed, alpha)
     out, at = [], 0
     for start, end in sorted(spans):
         if start >= at:
