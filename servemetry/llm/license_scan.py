@@ -1,14 +1,19 @@
 """License notices in text by conditional compression.
 
-A paragraph with a cue word is compressed alone and with each template as a raw
-dictionary. What the dictionary saves, as a share of the size alone, ranks the templates:
-shared wording compresses away wherever it stands in the paragraph. The best few are
-confirmed by a word-by-word comparison, which also gives the exact differences.
+Stretches of a line with a cue word that hold enough words of a template are compressed
+alone and with each template as a raw dictionary. What the dictionary saves, as a share of
+the size alone, ranks the templates. The best few are confirmed by a word-by-word
+comparison, which also gives the exact differences. What a notice leaves of the line is
+searched again.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Mapping
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -58,6 +63,10 @@ CUES = ("licens", "licenc", "copyright", "rights", "permission", "permitted", "r
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 
+#: First and last (exclusive) word, missing words and added words.
+Notice = tuple[int, int, list[str], list[str]]
+
+
 def words_of(text: str) -> list[tuple[str, int, int]]:
     """Lower-case words with start and end."""
     return [(m.group().lower(), *m.span()) for m in _WORD.finditer(text)]
@@ -75,36 +84,115 @@ class Scanner:
             name: zstandard.ZstdCompressor(**plain, dict_data=zstandard.ZstdCompressionDict(" ".join(self.words[name]).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             for name, _ in templates
         }
+        self.counts = {name: Counter(words) for name, words in self.words.items()}
+        self.ranked = lru_cache(maxsize=4096)(self._ranked)
         self.scan = lru_cache(maxsize=4096)(self._scan)
 
-    def ranked(self, words: list[str]) -> list[tuple[float, str]]:
-        """Templates by the share of the compressed size that they save, largest first."""
-        block = " ".join(words).encode("utf-8", "surrogatepass")
-        size = len(self.alone.compress(block))
-        return sorted(((1 - len(c.compress(block)) / size, name) for name, c in self.given.items()), key=lambda x: (-x[0], x[1]))
+    def saved(self, block: str, name: str) -> float:
+        """Share of the compressed size that a template saves."""
+        data = block.encode("utf-8", "surrogatepass")
+        return 1 - len(self.given[name].compress(data)) / len(self.alone.compress(data))
+
+    def _ranked(self, block: str) -> set[str]:
+        """The `tried` templates that save most, if they save anything."""
+        data = block.encode("utf-8", "surrogatepass")
+        size = len(self.alone.compress(data))
+        best = sorted((len(c.compress(data)), name) for name, c in self.given.items())[: self.tried]
+        return {name for length, name in best if length < size}
+
+    def _aligned(self, name: str, words: list[str], lo: int, hi: int) -> Notice | None:
+        """The notice about the densest matching blocks among words lo to hi: the blocks in a row that agree best."""
+        wanted = self.words[name]
+        blocks = [b for b in SequenceMatcher(None, wanted, words[lo:hi], autojunk=False).get_matching_blocks() if b.size]
+        best = None
+        for n, begin in enumerate(blocks):
+            matched = 0
+            for block in blocks[n:]:
+                matched += block.size
+                span = block.b + block.size - begin.b
+                agreement = matched / (len(wanted) + span - matched)
+                if agreement >= self.agreement and (best is None or (agreement, matched) > best[0]):
+                    best = (agreement, matched), lo + begin.b, lo + block.b + block.size
+        if best is None:
+            return None
+        _, first, last = best
+        steps = SequenceMatcher(None, wanted, words[first:last], autojunk=False).get_opcodes()
+        missing = [w for kind, a, b, _, _ in steps if kind != "equal" for w in wanted[a:b]]
+        added = [w for kind, _, _, a, b in steps if kind != "equal" for w in words[first:last][a:b]]
+        if 1 - (len(missing) + len(added)) / (len(wanted) + len(added)) < self.agreement:
+            return None
+        return first, last, missing, added
+
+    def occurrences(self, name: str, words: list[str], lo: int, hi: int) -> list[Notice]:
+        """All notices of one template among words lo to hi, not overlapping.
+
+        A notice has at least `need` words of the template within `width` words, so only windows with that many are compared.
+        """
+        wanted = self.words[name]
+        need, width = math.ceil(self.agreement * len(wanted) - 1e-9), int(len(wanted) / self.agreement + 1e-9)
+        hits = [n for n in range(lo, hi) if words[n] in self.counts[name]]
+        out: list[Notice] = []
+        while True:
+            left, begin, held, found = dict(self.counts[name]), bisect_left(hits, lo), 0, None
+            stop = begin
+            while begin < len(hits):
+                at = hits[begin]
+                while stop < len(hits) and hits[stop] < at + width:
+                    held += left[words[hits[stop]]] > 0
+                    left[words[hits[stop]]] -= 1
+                    stop += 1
+                if held >= need and name in self.ranked(" ".join(words[at : at + width])):
+                    found = self._aligned(name, words, at, min(hi, at + 2 * width))
+                    if found:
+                        break
+                left[words[at]] += 1
+                held -= left[words[at]] > 0
+                begin += 1
+            if found is None:
+                return out
+            if found[0] - at >= need:
+                out += self.occurrences(name, words, at, found[0])
+            out.append(found)
+            lo = found[1]
 
     def _scan(self, paragraph: str) -> list[dict]:
         found = words_of(paragraph)
         words = [w for w, _, _ in found]
-        best = None
-        for saved, name in self.ranked(words)[: self.tried]:
-            wanted = self.words[name]
-            matcher = SequenceMatcher(None, wanted, words, autojunk=False)
-            blocks = [b for b in matcher.get_matching_blocks() if b.size]
-            if not blocks or saved <= 0:
+        waiting: list[tuple] = []
+        seen: set[tuple[str, int, int]] = set()
+
+        def look(name: str, lo: int, hi: int) -> None:
+            for first, last, missing, added in self.occurrences(name, words, lo, hi):
+                saved = self.saved(" ".join(words[first:last]), name)
+                if saved > 0 and (name, first, last) not in seen:
+                    seen.add((name, first, last))
+                    agreed = len(self.words[name]) - 2 * len(missing) - len(added)
+                    heapq.heappush(waiting, (-agreed, -len(self.words[name]), -saved, name, first, last, missing, added))
+
+        for name in self.words:
+            look(name, 0, len(words))
+        firsts, lasts, out = [], [], []
+        while waiting:
+            _, _, saved, name, first, last, missing, added = heapq.heappop(waiting)
+            at = bisect_right(lasts, first)
+            if at < len(firsts) and firsts[at] < last:
+                # What others left about this stretch may still hold a notice of the template.
+                width = int(len(self.words[name]) / self.agreement + 1e-9)
+                first, last = max(0, first - width), min(len(words), last + width)
+                at = bisect_right(lasts, first)
+                while first < last:
+                    end = min(last, firsts[at]) if at < len(firsts) else last
+                    look(name, first, end)
+                    first = max(first, lasts[at]) if at < len(lasts) else last
+                    at += 1
                 continue
-            first, last = blocks[0].b, blocks[-1].b + blocks[-1].size
-            steps = SequenceMatcher(None, wanted, words[first:last], autojunk=False).get_opcodes()
-            missing = [w for kind, a, b, _, _ in steps if kind != "equal" for w in wanted[a:b]]
-            added = [w for kind, _, _, a, b in steps if kind != "equal" for w in words[first:last][a:b]]
-            agreement = 1 - (len(missing) + len(added)) / (len(wanted) + len(added))
-            if agreement >= self.agreement and (best is None or (agreement, len(wanted), saved) > best[0]):
-                differences = " ".join([f"-{w}" for w in missing] + [f"+{w}" for w in added])
-                best = ((agreement, len(wanted), saved), {
-                    "license": name, "start": found[first][1], "end": found[last - 1][2], "saved": saved,
-                    "n_missing": len(missing), "n_added": len(added), "differences": differences,
-                })
-        return [best[1]] if best else []
+            firsts.insert(at, first)
+            lasts.insert(at, last)
+            out.append({
+                "license": name, "start": found[first][1], "end": found[last - 1][2], "saved": -saved,
+                "n_missing": len(missing), "n_added": len(added), "differences": " ".join([f"-{w}" for w in missing] + [f"+{w}" for w in added]),
+            })
+        return sorted(out, key=lambda n: n["start"])
 
 
 @lru_cache(maxsize=4)
@@ -121,9 +209,9 @@ def license_notices(
 ) -> DataFrame:
     """One row per notice: doc_id, license, start, end (characters, exclusive), saved, n_missing, n_added, differences.
 
-    Candidate blocks are lines with a cue word. A block gives the template that agrees best in
-    words, of the `tried` that save most, if at least `agreement` of the words agree; of equals the longer
-    one, then the one that saves more. differences lists missing words with - and added ones with +. Null
+    Candidate blocks are lines with a cue word. A block gives every stretch where at least `agreement`
+    of the words agree with a template that is among the `tried` that save most there. Of overlapping ones the one with
+    most agreeing less differing words stays, of equals the longer one, then the one that saves more. differences lists missing words with - and added ones with +. Null
     and empty texts have no notices; repeated rows are scanned each for itself. Nothing is shuffled.
     """
     fixed = tuple(sorted((templates or TEMPLATES).items()))

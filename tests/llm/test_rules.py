@@ -251,6 +251,26 @@ def test_every_template_wins_for_its_own_wording(spark):
     assert dict(rows)[0][got[0]["start"] : got[0]["end"]] == "Licensed under the Apache License, Version 2.0"
 
 
+def test_all_notices_of_one_line_are_found(spark):
+    templates = license_scan.TEMPLATES
+    filler = "and this is an ordinary sentence about the work of a town and its people "
+    rows = [
+        (1, f"{templates['MIT']} {templates['CC-BY-4.0']} {templates['BSD']}"),
+        (2, f"{filler * 30}{templates['GPL-3.0']} {filler * 30}{templates['MPL-2.0']} {filler}{templates['MIT']} {templates['MIT']}"),
+        (3, f"{filler}The work is licensed under the GNU General Public License, version 3. {filler}"),
+        (4, f"{templates['Apache-2.0-notice'].replace('agreed to', 'agreed upon')} {templates['Apache-2.0']}"),
+        (5, "Released under the MIT License. " * 40),
+    ]
+    got = {}
+    for r in license_scan.license_notices(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    names = {n: [r["license"] for r in sorted(found, key=lambda r: r["start"])] for n, found in got.items()}
+    assert names == {1: ["MIT", "CC-BY-4.0", "BSD"], 2: ["GPL-3.0", "MPL-2.0", "MIT", "MIT"], 3: ["GPL-3.0"], 4: ["Apache-2.0-notice", "Apache-2.0"], 5: ["MIT"] * 40}
+    assert all(r["n_missing"] == r["n_added"] == 0 for n in (1, 2, 5) for r in got[n])
+    assert (got[3][0]["differences"], rows[2][1][got[3][0]["start"] : got[3][0]["end"]]) == ("-this", "work is licensed under the GNU General Public License, version 3")
+    assert got[4][0]["differences"] == "-to +upon"
+
+
 def test_licenses_odd_rows(spark):
     rows = [*ODD, (7, "Released under the MIT License.\n" * 2, "en", "s", 1), (7, "Released under the MIT License.", "en", "s", 1)]
     docs = spark.createDataFrame(rows, DOCS).withColumns({"license": F.lit("clash"), "start": F.lit(1)})
