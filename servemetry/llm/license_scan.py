@@ -1,10 +1,10 @@
 """License notices in text by conditional compression.
 
-Stretches of a line with a cue word that hold enough words of a template are compressed
+Stretches of the paragraphs about a cue word that hold enough words of a template are compressed
 alone and with each template as a raw dictionary. What the dictionary saves, as a share of
 the size alone, ranks the templates. The best few are confirmed by a word-by-word
-comparison, which also gives the exact differences. What a notice leaves of the line is
-searched again.
+comparison, which also gives the exact differences. What a notice leaves of the paragraphs
+is searched again.
 """
 
 from __future__ import annotations
@@ -72,6 +72,34 @@ def words_of(text: str) -> list[tuple[str, int, int]]:
     return [(m.group().lower(), *m.span()) for m in _WORD.finditer(text)]
 
 
+def blocks(text: str, cues: tuple[str, ...]) -> list[tuple[int, int]]:
+    """Start and end of the paragraphs with a cue: adjacent lines with words, so comment marks alone make no line.
+
+    Paragraphs with cues that follow each other are one block, since long notices have several. So is the one
+    before and behind them: a notice may begin or end in a paragraph without a cue.
+    """
+    paragraphs: list[list] = []
+    at, open_ = 0, False
+    for line in text.split("\n"):
+        end = at + len(line)
+        if not _WORD.search(line):
+            open_ = False
+        elif open_:
+            paragraphs[-1][1] = end
+        else:
+            paragraphs.append([at, end])
+            open_ = True
+        at = end + 1
+    cued = [any(c in text[a:b].lower() for c in cues) for a, b in paragraphs]
+    out: list[tuple[int, int]] = []
+    for n, (start, end) in enumerate(paragraphs):
+        if any(cued[max(0, n - 1) : n + 2]):
+            if n and out and out[-1][1] == paragraphs[n - 1][1]:
+                start = out.pop()[0]
+            out.append((start, end))
+    return out
+
+
 class Scanner:
     """Compressors of all templates, and the comparison of a paragraph with the best of them."""
 
@@ -209,7 +237,7 @@ def license_notices(
 ) -> DataFrame:
     """One row per notice: doc_id, license, start, end (characters, exclusive), saved, n_missing, n_added, differences.
 
-    Candidate blocks are lines with a cue word. A block gives every stretch where at least `agreement`
+    Candidate blocks are paragraphs about a cue word, however their lines are wrapped or marked as comments. A block gives every stretch where at least `agreement`
     of the words agree with a template that is among the `tried` that save most there. Of overlapping ones the one with
     most agreeing less differing words stays, of equals the longer one, then the one that saves more. differences lists missing words with - and added ones with +. Null
     and empty texts have no notices; repeated rows are scanned each for itself. Nothing is shuffled.
@@ -222,12 +250,8 @@ def license_notices(
         for key, text in zip(keys, texts, strict=True):
             if not text or not any(c in text.lower() for c in cues):
                 continue
-            at = 0
-            for line in text.split("\n"):
-                lowered = line.lower()
-                if any(c in lowered for c in cues):
-                    rows.extend((key, n["license"], at + n["start"], at + n["end"], n["saved"], n["n_missing"], n["n_added"], n["differences"]) for n in scanner.scan(line))
-                at += len(line) + 1
+            for at, end in blocks(text, cues):
+                rows.extend((key, n["license"], at + n["start"], at + n["end"], n["saved"], n["n_missing"], n["n_added"], n["differences"]) for n in scanner.scan(text[at:end]))
         return tuple(zip(*rows, strict=True)) if rows else ((),) * 8
 
     return map_blocks(docs, [id_col, text_col], block, _ROW.format(kind=docs.schema[id_col].dataType.simpleString()))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -271,6 +272,25 @@ def test_all_notices_of_one_line_are_found(spark):
     assert got[4][0]["differences"] == "-to +upon"
 
 
+def test_wrapped_notices_are_found(spark):
+    rows = []
+    for n, (name, text) in enumerate(license_scan.TEMPLATES.items()):
+        for k, (mark, width) in enumerate((("", 40), ("# ", 70), (" * ", 60), ("// ", 25))):
+            lines = textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False)
+            rows.append((10 * n + k, name, "\n".join(["import os", "", *[mark + line for line in lines], "", "x = 1"])))
+    apart = license_scan.TEMPLATES["Apache-2.0-notice"].replace(" http", "\n#\n#     http").replace(" Unless", "\n#\n# Unless")
+    rows.append((1000, "Apache-2.0-notice", f"# {apart}"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, name string, text string")
+    got = {}
+    for r in license_scan.license_notices(docs).collect():
+        got.setdefault(r["doc_id"], []).append((r["license"], r["n_missing"], r["n_added"], r["start"], r["end"]))
+    for key, name, text in rows:
+        words = license_scan.words_of(license_scan.TEMPLATES[name])
+        found = license_scan.words_of(text)
+        first = next(i for i in range(len(found)) if [w for w, _, _ in found[i : i + len(words)]] == [w for w, _, _ in words])
+        assert got[key] == [(name, 0, 0, found[first][1], found[first + len(words) - 1][2])]
+
+
 def test_licenses_odd_rows(spark):
     rows = [*ODD, (7, "Released under the MIT License.\n" * 2, "en", "s", 1), (7, "Released under the MIT License.", "en", "s", 1)]
     docs = spark.createDataFrame(rows, DOCS).withColumns({"license": F.lit("clash"), "start": F.lit(1)})
