@@ -57,6 +57,7 @@ TEMPLATES = {
         " with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
     ),
     "proprietary": "All rights reserved. No part of this work may be reproduced without written permission.",
+    "reserved": "All rights reserved.",
 }
 #: A paragraph without any of these holds no notice.
 CUES = ("licens", "licenc", "copyright", "rights", "permission", "permitted", "redistribut")

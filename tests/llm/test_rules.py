@@ -241,6 +241,16 @@ def test_license_lines_are_found_with_differences(spark, documents):
         assert all(r["n_missing"] == r["n_added"] == 0 for r in got.get(key, []))
 
 
+def test_every_line_with_a_cue_phrase_gives_a_notice(spark, documents):
+    phrase = re.compile(r"all rights reserved|licen[sc]ed under|released under|is hereby granted|redistribution and use|waived all copyright", re.I)
+    want = sorted((k, m.start()) for k, r in documents.items() for m in phrase.finditer(r["text"] or ""))
+    found = [(r["doc_id"], r["start"], r["end"]) for r in queries.op10_license_notices(spark, SMALL).collect()]
+    assert len(want) == len(found) > 0 and sum("all rights reserved" in documents[k]["text"][at : at + 19].lower() for k, at in want) > 0
+    assert all(any(k == d and a <= at < b for d, a, b in found) for k, at in want)
+    odd = spark.createDataFrame([(1, "Copyright 2024 Some Body. ALL RIGHTS RESERVED"), (2, "the rights of all are reserved"), (3, "All rights reserved. No part of this work may be reproduced.")], "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["license"]) for r in license_scan.license_notices(odd).collect()) == [(1, "reserved"), (3, "proprietary")]
+
+
 def test_every_template_wins_for_its_own_wording(spark):
     rows = [(n, f"some text\nSee: {t} Thanks.\nmore") for n, t in enumerate(license_scan.TEMPLATES.values())]
     rows += [(50, "Licensed under the Apache License, Version 1.1."), (51, "Our license to operate was renewed with permission of the town.")]
