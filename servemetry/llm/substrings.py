@@ -4,10 +4,15 @@ A gear hash rolls over the bytes of a text: every byte adds its gear to the hash
 by four bits, so in 32 bits it depends on the last 8 bytes alone. A chunk ends where the
 hash is the largest within REACH bytes on either side. Cuts follow content, so a passage
 is cut alike wherever it stands, from at most REACH + 8 bytes after its begin to
-REACH bytes before its end, and chunks vary little in length. Chunks are compared by
-digest; the occurrence in the document of the smallest id stays, later ones are
-repeats. Repeats count only in runs of adjacent chunks with at least `min_words` words,
-so that common phrases stay and a chance equality of two digests changes nothing.
+REACH bytes before its end, and chunks vary little in length.
+
+What is compared, by digest, are windows: the shortest stretches of adjacent chunks that
+touch at least `min_words` words, from every chunk on and up to every chunk. A window is a
+repeat if one earlier document, or an earlier place, holds it whole; the occurrence in the
+document of the smallest id stays. Windows that overlap make one passage, and windows
+side by side two, so every word of a passage lies in a stretch that one document holds:
+common phrases stay, also where many follow each other. A passage that one document
+holds whole is found whole, because all its windows are.
 """
 
 from __future__ import annotations
@@ -75,17 +80,45 @@ def cuts(raw: np.ndarray) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-def chunk(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digest, end (in characters) and words begun so far, of each chunk."""
+def _chunked(text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, and of each chunk: end in bytes, end in characters, words begun so far, whether it starts inside a word."""
     data = text.encode("utf-8", "surrogatepass")
     raw = np.frombuffer(data, dtype=np.uint8)
     ends = cuts(raw)
-    starts = np.concatenate(([0], ends[:-1])).tolist() if len(ends) else []
-    digests = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(starts, ends.tolist(), strict=True)), dtype=np.uint64, count=len(ends))
-    white = _IS_WHITE[raw]
-    begun = np.cumsum(~white & np.concatenate(([True], white[:-1]))) if len(raw) else ends
+    if not len(ends):
+        return data, ends, ends, ends, ends.astype(bool)
+    black = ~_IS_WHITE[raw]
+    begun = np.cumsum(black & np.concatenate(([True], ~black[:-1])))
     characters = np.cumsum((raw & 0xC0) != 0x80)
-    return digests.view(np.int64), characters[ends - 1] if len(ends) else ends, begun[ends - 1] if len(ends) else ends
+    inside = np.concatenate(([False], black[ends[:-1]] & black[ends[:-1] - 1]))
+    return data, ends, characters[ends - 1], begun[ends - 1], inside
+
+
+def chunk(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digest, end (in characters) and words begun so far, of each chunk."""
+    data, ends, characters, begun, _ = _chunked(text)
+    digests = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)), dtype=np.uint64, count=len(ends))
+    return digests.view(np.int64), characters, begun
+
+
+def windows(text: str, min_words: int) -> tuple[np.ndarray, ...]:
+    """Digest, start, end (in characters), words begun before and up to the end, of each window in order.
+
+    Words count as touched, so that a window is the same whatever stands before it.
+    """
+    data, ends, characters, begun, inside = _chunked(text)
+    size = len(ends)
+    before = np.concatenate(([0], begun[:-1]))[:size]
+    untouched = before - inside
+    numbers = np.arange(size)
+    stops = np.maximum(np.searchsorted(begun, untouched + min_words), numbers)
+    origins = np.minimum(np.searchsorted(untouched, begun - min_words, side="right") - 1, numbers)
+    pairs = np.unique(np.concatenate(((numbers * size + stops)[stops < size], (origins * size + numbers)[origins >= 0])))
+    first, last = np.divmod(pairs, max(size, 1))
+    starts, places = np.concatenate(([0], ends)), np.concatenate(([0], characters))
+    spans = zip(starts[first].tolist(), ends[last].tolist(), strict=True)
+    digests = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in spans), dtype=np.uint64, count=len(pairs))
+    return digests.view(np.int64), places[first], characters[last], before[first], begun[last]
 
 
 #: A chunk of a document: number, start, end (characters, exclusive), words begun in it.
@@ -106,31 +139,45 @@ def runs(chunks: list[Chunk], min_words: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def document_chunks(keyed: DataFrame) -> DataFrame:
-    """One row per chunk of `keyed` (owner, text_key, text): its digest, place and whether it is the first of its digest in the text."""
+#: A window: start, end (characters, exclusive), words begun before it and up to its end.
+Window = tuple[int, int, int, int]
+
+
+def joined(held: list[Window], min_words: int) -> list[tuple[int, int, int]]:
+    """Passages of overlapping windows that begin at least `min_words` words: start, end, words."""
+    out: list[list[int]] = []
+    for start, end, before, through in sorted(held):
+        if out and start < out[-1][1]:
+            if end > out[-1][1]:
+                out[-1][1], out[-1][3] = end, through
+        else:
+            out.append([start, end, before, through])
+    return [(start, end, through - before) for start, end, before, through in out if through - before >= min_words]
+
+
+def document_windows(keyed: DataFrame, min_words: int) -> DataFrame:
+    """One row per window of `keyed` (owner, text_key, text): its digest, place and whether it is the first of its digest in the text."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_ROWS):
-                columns: list[list[np.ndarray]] = [[] for _ in _CHUNK]
+                columns: list[list[np.ndarray]] = [[] for _ in _WINDOW]
                 for owner, key, text in zip(*(c.to_pylist() for c in batch.slice(at, BLOCK_ROWS).columns), strict=True):
-                    digests, ends, words = chunk(text or "")
+                    digests, *place = windows(text or "", min_words)
                     size = len(digests)
                     first = np.zeros(size, dtype=bool)
                     first[np.unique(digests, return_index=True)[1]] = True
-                    starts, before = np.concatenate(([0], ends[:-1])), np.concatenate(([0], words[:-1]))
-                    made = (np.full(size, owner), np.full(size, key), digests, np.arange(size), starts[:size], ends, words - before[:size], first)
-                    for column, values in zip(columns, made, strict=True):
+                    for column, values in zip(columns, (np.full(size, owner), np.full(size, key), digests, *place, first), strict=True):
                         column.append(values)
-                arrays = [pa.array(np.concatenate(c).astype(kind)) for c, kind in zip(columns, _CHUNK.values(), strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=list(_CHUNK))
+                arrays = [pa.array(np.concatenate(c).astype(kind)) for c, kind in zip(columns, _WINDOW.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=list(_WINDOW))
 
     names = {"int64": "bigint", "int32": "int", "bool": "boolean"}
-    return keyed.select("owner", "text_key", "text").mapInArrow(task, ", ".join(f"{c} {names[kind]}" for c, kind in _CHUNK.items()))
+    return keyed.select("owner", "text_key", "text").mapInArrow(task, ", ".join(f"{c} {names[kind]}" for c, kind in _WINDOW.items()))
 
 
-_CHUNK = {
-    "owner": "int64", "text_key": "int64", "digest": "int64", "n": "int32", "start": "int32", "end": "int32", "words": "int32", "first": "bool"
+_WINDOW = {
+    "owner": "int64", "text_key": "int64", "digest": "int64", "start": "int32", "end": "int32", "before": "int32", "through": "int32", "first": "bool"
 }
 
 
@@ -148,31 +195,28 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumns(
         {"owner": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)), "text_key": F.xxhash64("text")}
     )
-    chunks = document_chunks(keyed)
-    holders = chunks.where("first").groupBy("digest").agg(F.min("owner").alias("holder"), F.max("owner").alias("last")).where("holder <> last").drop("last")
-    place = ["owner", "text_key", "n", "start", "end", "words"]
-    found = chunks.join(holders, "digest").select(*place, (~F.col("first") | (F.col("owner") != F.col("holder"))).alias("later"), F.lit(True).alias("common"))
+    made = document_windows(keyed, min_words)
+    holders = made.where("first").groupBy("digest").agg(F.min("owner").alias("holder"), F.max("owner").alias("last")).where("holder <> last").drop("last")
+    place = ["start", "end", "before", "through"]
+    found = made.join(holders, "digest").select("owner", "text_key", *place, (~F.col("first") | (F.col("owner") != F.col("holder"))).alias("later"), F.lit(True).alias("common"))
     # Repeats inside one text need no other document.
-    within = chunks.where("not first").select(*place, F.lit(True).alias("later"), F.lit(False).alias("common"))
-    marked = found.union(within).groupBy("owner", "text_key").agg(
-        F.collect_list(F.struct("n", "start", "end", "words", "later", "common")).alias("marks")
-    )
+    within = made.where("not first").select("owner", "text_key", *place, F.lit(True).alias("later"), F.lit(False).alias("common"))
+    marked = found.union(within).groupBy("owner", "text_key").agg(F.collect_list(F.struct(*place, "later", "common")).alias("marks"))
 
     def spans(owners: list, keys: list, marks: list) -> tuple:
         removed, shared = [], []
         for rows in marks:
-            places: dict[int, Chunk] = {r["n"]: (r["n"], r["start"], r["end"], r["words"]) for r in rows}
             for out, kind in ((removed, "later"), (shared, "common")):
-                numbers = sorted({r["n"] for r in rows if r[kind]})
-                out.append([dict(zip(("start", "end", "words"), r, strict=True)) for r in runs([places[n] for n in numbers], min_words)])
+                held = [tuple(r[c] for c in place) for r in rows if r[kind]]
+                out.append([dict(zip(("start", "end", "words"), p, strict=True)) for p in joined(held, min_words)])
         return owners, keys, removed, shared
 
     passage = "array<struct<start:bigint,end:bigint,words:bigint>>"
     told = map_blocks(marked, ["owner", "text_key", "marks"], spans, f"owner bigint, text_key bigint, removed {passage}, shared {passage}")
     told = told.where((F.size("removed") > 0) | (F.size("shared") > 0))
     none = F.array().cast(passage)
-    joined = keyed.select("doc_id", "owner", "text_key").join(told, ["owner", "text_key"], "left")
-    return joined.select("doc_id", "text_key", F.coalesce("removed", none).alias("removed"), F.coalesce("shared", none).alias("shared"))
+    listed = keyed.select("doc_id", "owner", "text_key").join(told, ["owner", "text_key"], "left")
+    return listed.select("doc_id", "text_key", F.coalesce("removed", none).alias("removed"), F.coalesce("shared", none).alias("shared"))
 
 
 _WORD_EDGE = re.compile(f"[{WHITE}]")
@@ -210,7 +254,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
         return by_blocks(block, pa.string(), texts, passages)
 
-    joined = docs.join(found, (docs[id_col] == found["_cut_id"]) & (F.xxhash64(docs[text_col]) == found["_cut_key"]), "left")
-    cut = joined.withColumn(text_col, shortened(F.col(text_col), F.col("_cut")))
+    matched = docs.join(found, (docs[id_col] == found["_cut_id"]) & (F.xxhash64(docs[text_col]) == found["_cut_key"]), "left")
+    cut = matched.withColumn(text_col, shortened(F.col(text_col), F.col("_cut")))
     left = cut.where(F.col("_cut").isNull() | F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"))
     return left.select(*docs.columns)

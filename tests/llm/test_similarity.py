@@ -224,6 +224,48 @@ def test_repeated_chunks_equal_brute_force(spark):
         assert [(s["start"], s["end"], s["words"]) for s in r["removed"]] == substrings.runs([places[n] for n in want[r["doc_id"]]], substrings.MIN_WORDS)
 
 
+def test_phrases_of_many_documents_in_a_row_are_no_passage(spark):
+    rng = random.Random(17)
+    target = passage(rng, 120)
+    ends = substrings.cuts(np.frombuffer(target.encode(), dtype=np.uint8)).tolist()
+    phrases = [target[max(0, a - 24) : b + 24] for a, b in zip([0, *ends], ends, strict=False)]
+    whole = [passage(rng, 60) for _ in range(2)]
+    rows = [(n, f"{passage(rng, 60)} {p} {passage(rng, 60)}") for n, p in enumerate(phrases)]
+    rows += [(n, f"{passage(rng, 60)} {w} {passage(rng, 60)}") for n, w in enumerate(whole, 100)]
+    rows += [(150, target), (151, f"{passage(rng, 40)} {target[:400]} {whole[0]} {whole[1]} {phrases[4]}")]
+    # Chunks of 150 in a row, of more than 25 words, have earlier holders; no stretch of 25 words has one.
+    _, stops, words = substrings.chunk(target)
+    places = list(zip(range(len(ends)), [0, *stops.tolist()], stops.tolist(), np.diff(words, prepend=0).tolist(), strict=False))
+    assert substrings.runs([places[n] for n in brute_passages(rows)[150]], substrings.MIN_WORDS)
+    found = {r["doc_id"]: r for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert not found[150]["removed"]
+    # The begin of the target stands in 150; both passages are held whole by one document each.
+    text = rows[-1][1]
+    earlier = [t for _, t in rows[:-1]]
+    assert sum(s["words"] for s in found[151]["removed"]) >= 120
+    for span in found[151]["removed"]:
+        words = text[span["start"] : span["end"]].split()[1:-1]
+        within = set()
+        for i in range(len(words) - 20):
+            if any(" ".join(words[i : i + 21]) in t for t in earlier):
+                within |= set(range(i, i + 21))
+        assert len(within) == len(words)
+
+
+def test_windows_cover_every_passage_of_enough_words():
+    rng = random.Random(23)
+    text = " ".join(rng.choices([*WORDS, "a", "I", "é", "12345678901234567890123456789"], k=3000))
+    _, ends, begun = substrings.chunk(text)
+    _, starts, stops, before, through = substrings.windows(text, 25)
+    bounds, so_far = [0, *ends.tolist()], [0, *begun.tolist()]
+    for _ in range(400):
+        i = rng.randrange(len(ends))
+        j = min(len(ends), i + rng.randint(1, 14))
+        inside = [w for w in zip(starts.tolist(), stops.tolist(), before.tolist(), through.tolist(), strict=True) if bounds[i] <= w[0] and w[1] <= bounds[j]]
+        want = [(bounds[i], bounds[j], so_far[j] - so_far[i])] if so_far[j] - so_far[i] >= 25 else []
+        assert substrings.joined(inside, 25) == want
+
+
 def test_passages_odd_rows(spark):
     rng = random.Random(2)
     text = passage(rng, 90)
