@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_even
-from . import bpe, jaccard_join, license_scan, packing, quality, secret_scan, shard_table, substrings, token_counts, vector_dedup
+from . import bpe, jaccard_join, lexical_search, license_scan, packing, quality, secret_scan, shard_table, substrings, token_counts, vector_dedup
 
 #: Vocabulary of the token queries; operators take any path.
 VOCABULARY = "byte_bpe_50k.json"
@@ -208,11 +208,41 @@ def op10_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_notices(_documents(spark, sf_dir))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that rank highest for each benchmark item."""
+    return lexical_search.ranked_search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
+_OP11 = r"""
+WITH doc_terms AS (
+    SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{term}') AS ts FROM documents
+), sized AS (
+    SELECT rid, doc_id, len(ts)::BIGINT AS n, ts FROM doc_terms WHERE len(ts) > 0
+), totals AS (
+    SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM sized
+), counted AS (
+    SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(ts) AS t FROM sized) GROUP BY ALL
+), asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{term}')) AS t FROM benchmark
+), weights AS (
+    SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counted, totals GROUP BY t
+), lengths AS (
+    SELECT rid, doc_id, 10 + (90 * n * n_docs) // n_terms AS m FROM sized, totals
+), scores AS (
+    SELECT item_id, rid, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM asked JOIN counted USING (t) JOIN weights USING (t) JOIN lengths USING (rid) GROUP BY item_id, rid
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, rid) AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+""".format(term=r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_bpe_round_trip, op3_section_token_counts, op4_jaccard_join, op5_secret_spans, op6_packed_sequences,
-        op7_shard_placement, op8_near_vectors, op9_repeated_passages, op10_license_notices,
+        op7_shard_placement, op8_near_vectors, op9_repeated_passages, op10_license_notices, op11_ranked_search,
     )
 }
 ORACLES = {
@@ -220,4 +250,5 @@ ORACLES = {
     "op4_jaccard_join": _OP4,
     "op7_shard_placement": _OP7.format(slots=SLOTS, table=shard_table.table_bytes(shard_table.fill_table(SHARDS, SLOTS)).hex()),
     "op8_near_vectors": _OP8,
+    "op11_ranked_search": _OP11,
 }
