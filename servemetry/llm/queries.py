@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_even
-from . import bpe, jaccard_join, lexical_search, license_scan, packing, quality, secret_scan, shard_table, substrings, token_counts, vector_dedup
+from . import bpe, conversation_trie, jaccard_join, lexical_search, license_scan, packing, quality, secret_scan, shard_table, substrings, token_counts, vector_dedup
 
 #: Vocabulary of the token queries; operators take any path.
 VOCABULARY = "byte_bpe_50k.json"
@@ -238,11 +238,55 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 1
 """.format(term=r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return conversation_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+_OP12 = """
+WITH turns AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+        coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL
+), cuts AS (
+    SELECT conv_id, n, xor(list_reduce(
+        list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+        lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)
+    ), 4294967295) % 9 AS h
+    FROM (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id)
+), rebuilt AS (
+    SELECT c.conv_id, pos AS d, role, text FROM cuts c JOIN turns p ON p.conv_id = c.conv_id - c.conv_id % 5 AND pos <= h
+    UNION ALL
+    SELECT conv_id, least(c.h, coalesce(p.n, 0)) + pos - c.h, role, text
+    FROM turns JOIN cuts c USING (conv_id) LEFT JOIN (SELECT conv_id AS head, n FROM cuts) p ON p.head = conv_id - conv_id % 5 WHERE pos > c.h
+), keyed AS (
+    SELECT conv_id, 0 AS d, '' AS key, 0 AS size FROM cuts
+    UNION ALL
+    SELECT conv_id, d, md5(string_agg(md5(concat(length(role), ':', role, text)), '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d)), strlen(text) FROM rebuilt
+), linked AS (
+    SELECT *, lag(key) OVER w AS above, d = max(d) OVER (PARTITION BY conv_id) AS ends FROM keyed WINDOW w AS (PARTITION BY conv_id ORDER BY d)
+), nodes AS (
+    SELECT key, any_value(d) AS depth, any_value(above) AS above, count(*) AS n, min(conv_id) AS conv_id, any_value(size) AS size,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+    FROM linked GROUP BY key
+), children AS (
+    SELECT above AS key, count(*) AS kids FROM nodes WHERE above IS NOT NULL GROUP BY above
+), subtrees AS (
+    SELECT a.key, sum((u.n - 1) * u.size)::BIGINT AS saved, count(*) FILTER (WHERE kids IS NULL) AS leaves
+    FROM nodes u LEFT JOIN children c ON c.key = u.key JOIN keyed a ON a.conv_id = u.conv_id AND a.d <= u.depth GROUP BY a.key
+)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, v.n AS n_convs, coalesce(kids, 0) AS n_children,
+    leaves AS n_leaves, saved AS saved_tokens, v.ends_sha256
+FROM nodes v JOIN subtrees USING (key) LEFT JOIN children c ON c.key = v.key LEFT JOIN nodes p ON p.key = v.above
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_bpe_round_trip, op3_section_token_counts, op4_jaccard_join, op5_secret_spans, op6_packed_sequences,
         op7_shard_placement, op8_near_vectors, op9_repeated_passages, op10_license_notices, op11_ranked_search,
+        op12_prefix_trie,
     )
 }
 ORACLES = {
@@ -251,4 +295,5 @@ ORACLES = {
     "op7_shard_placement": _OP7.format(slots=SLOTS, table=shard_table.table_bytes(shard_table.fill_table(SHARDS, SLOTS)).hex()),
     "op8_near_vectors": _OP8,
     "op11_ranked_search": _OP11,
+    "op12_prefix_trie": _OP12,
 }
