@@ -1,11 +1,13 @@
 """Ranked lexical search over posting lists cut into blocks of similar documents.
 
 Documents are read once into narrow rows: the terms of theirs that any item asks for, and how often
-they hold each. Shards of these rows become posting lists; a long list is clustered by the similarity
-of its documents, and each cluster is a block with the largest impact of every term that any of its
-documents holds. The sum of weight times largest impact over an item's terms bounds the score of
-every document of the block. The most promising blocks of an item give a floor, the score of its
-k-th best document so far; blocks whose bound is below the floor are skipped, all others scored.
+they hold each. The documents of an item's rarest terms give its floor, the score of the k-th best of
+them. A document that reaches the floor holds one of the item's strong terms, those that are left when
+weak ones are taken away as long as their largest impacts add up to less. Shards of the narrow rows
+become posting lists of the strong terms; a long list is clustered by the similarity of its documents,
+and each cluster is a block with the largest impact of every term that any of its documents holds. The
+sum of weight times largest impact over an item's terms bounds the score of every document of the
+block: blocks whose bound is below the floor are skipped, the documents of all others are scored.
 
 The items are a stated set of queries. They are dealt into blocks of bounded text, and each such
 block makes one search over all documents.
@@ -17,6 +19,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from heapq import heappush, heappushpop
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..sources.storage import pin
+from ..sources.storage import fresh_path
 from .arrow import map_blocks
 
 #: Bytes of item text searched for at once.
 ITEM_BYTES = 1 << 22
 #: Documents and postings of one shard, and documents a block is meant to hold.
 SHARD_DOCS, SHARD_POSTINGS, BLOCK_DOCS = 8192, 400_000, 128
-#: Entries gathered at once for summaries; speed only.
-_GATHERED = 2_000_000
+#: Documents that the rarest terms of an item are to hold together, for its floor.
+LEAD_DOCS = 64
 #: Dimensions of the random projection by which documents of a list are compared.
 _SKETCH = 16
 _BLOCK = "term int, docs array<bigint>, coordinates array<int>, maxima array<int>"
@@ -59,9 +62,8 @@ def weight(n_docs: int, df: int) -> int:
     return math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df + 1)))
 
 
-def impacts(tf: np.ndarray, n: Sequence[int], n_docs: int, n_terms: int) -> np.ndarray:
-    """What each posting adds to a score per unit of weight: its count against its document's length, below 10^6."""
-    m = np.array([10 + (90 * x * n_docs) // n_terms for x in n], dtype=np.int64)
+def impacts(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """What each posting adds to a score per unit of weight, below 10^6; m is the length of its document beside the mean."""
     return (1_000_000_000 * tf) // (1000 * tf + 8 * m)
 
 
@@ -84,34 +86,36 @@ class Scorer:
     """Weighted sums of one vector of impacts for some items at once."""
 
     def __init__(self, lists: Sequence[np.ndarray], weights: np.ndarray):
-        self.lists, self.weights = lists, weights
         self.vector = np.zeros(len(weights), dtype=np.int64)
-        self.of_term: dict[int, list[int]] = {}
-        for item, own in enumerate(lists):
-            for t in own.tolist():
-                self.of_term.setdefault(t, []).append(item)
-        self.gathers: dict[int, tuple] = {}
-
-    def _gather(self, items: Sequence[int]) -> tuple:
-        index = np.concatenate([self.lists[i] for i in items])
-        starts = np.cumsum([0, *[len(self.lists[i]) for i in items[:-1]]])
-        return np.asarray(items), index, starts, self.weights[index]
-
-    def _sums(self, gather: tuple, coordinates: np.ndarray, values: np.ndarray) -> np.ndarray:
+        self.sizes = np.array([len(own) for own in lists], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.terms = np.concatenate([np.zeros(0, dtype=np.int64), *lists])
+        self.weights = weights[self.terms]
+
+    def sums(self, items: np.ndarray, coordinates: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The sum of each item, all of which have terms."""
+        sizes = self.sizes[items]
+        at = _of_rows(self.starts[items], sizes)
         self.vector[coordinates] = values
-        out = np.add.reduceat(self.vector[gather[1]] * gather[3], gather[2])
+        out = np.add.reduceat(self.vector[self.terms[at]] * self.weights[at], np.cumsum(sizes) - sizes)
         self.vector[coordinates] = 0
         return out
 
-    def for_term(self, term: int, coordinates: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All items that ask for `term`, and their sums."""
-        gather = self.gathers.get(term)
-        if gather is None:
-            gather = self.gathers[term] = self._gather(self.of_term[term])
-        return gather[0], self._sums(gather, coordinates, values)
 
-    def for_items(self, items: Sequence[int], coordinates: np.ndarray, values: np.ndarray) -> np.ndarray:
-        return self._sums(self._gather(items), coordinates, values)
+def items_of(lists: Sequence[Sequence[int]]) -> dict[int, np.ndarray]:
+    """The items that name each term."""
+    found: dict[int, list[int]] = {}
+    for item, own in enumerate(lists):
+        for t in own:
+            found.setdefault(int(t), []).append(item)
+    return {t: np.array(items, dtype=np.int64) for t, items in found.items()}
+
+
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """The rows of `df`, fixed in the shared folder in columns."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def forward(docs: DataFrame, vocabulary: Mapping[bytes, int], id_col: str, text_col: str) -> DataFrame:
@@ -129,8 +133,8 @@ def forward(docs: DataFrame, vocabulary: Mapping[bytes, int], id_col: str, text_
         return keys, sizes, found, counts
 
     kind = docs.schema[id_col].dataType.simpleString()
-    made = map_blocks(docs, [id_col, text_col], block, f"doc_id {kind}, n bigint, terms array<int>, tfs array<bigint>", rows=64)
-    return pin(made.withColumn("row", F.monotonically_increasing_id()))
+    made = map_blocks(docs, [id_col, text_col], block, f"doc_id {kind}, n bigint, terms array<int>, tfs array<int>", rows=64)
+    return _written(made.withColumn("row", F.monotonically_increasing_id()), "lexical-narrow")
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -139,16 +143,28 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], column.flatten().to_numpy(zero_copy_only=False)
 
 
+def _postings(batch: pa.RecordBatch, n_docs: int, n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, terms and impacts of narrow rows, one document after the other."""
+    offsets, found = _lists(batch.column("terms"))
+    _, tf = _lists(batch.column("tfs"))
+    sizes = np.diff(offsets)
+    m = np.array([10 + (90 * n * n_docs) // n_terms for n in batch.column("n").to_pylist()], dtype=np.int64)
+    return sizes, found.astype(np.int64), impacts(tf.astype(np.int64), np.repeat(m, sizes))
+
+
 def _of_rows(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Positions of the entries of rows that begin at `starts`, one row after the other."""
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
-def shard_blocks(rows: np.ndarray, ptr: np.ndarray, term: np.ndarray, impact: np.ndarray, weights: np.ndarray) -> Iterator[tuple]:
+def shard_blocks(
+    rows: np.ndarray, ptr: np.ndarray, term: np.ndarray, impact: np.ndarray, weights: np.ndarray, coordinates: Mapping[int, np.ndarray]
+) -> Iterator[tuple]:
     """(term, rows, coordinates, maxima) of every block of a shard of documents.
 
-    rows: document numbers; ptr, term, impact: their postings, one document after the other. A list of
-    more than BLOCK_DOCS documents is clustered about evenly spread documents of its own.
+    rows: document numbers; ptr, term, impact: their postings, one document after the other; coordinates:
+    the terms to have lists, each with the terms that its summaries cover. A list of more than BLOCK_DOCS
+    documents is clustered about evenly spread documents of its own.
     """
     sizes = np.diff(ptr)
     owner = np.repeat(np.arange(len(rows)), sizes)
@@ -163,37 +179,35 @@ def shard_blocks(rows: np.ndarray, ptr: np.ndarray, term: np.ndarray, impact: np
     by_term = np.argsort(term, kind="stable")
     doc, listed = owner[by_term], term[by_term]
     bounds = np.flatnonzero(np.diff(listed, prepend=-1))
-    ends = np.append(bounds[1:], len(listed))
-    cluster = np.zeros(len(listed), dtype=np.int64)
-    for low, high in zip(bounds[ends - bounds > BLOCK_DOCS].tolist(), ends[ends - bounds > BLOCK_DOCS].tolist(), strict=True):
-        own = doc[low:high]
-        seeds = own[np.linspace(0, len(own) - 1, -(-len(own) // BLOCK_DOCS)).astype(np.int64)]
-        cluster[low:high] = (sketch[own] @ sketch[seeds].T).argmax(axis=1)
-    order = np.lexsort((cluster, listed))
-    doc, listed, cluster = doc[order], listed[order], cluster[order]
-    first = np.flatnonzero((np.diff(listed, prepend=-1) != 0) | (np.diff(cluster, prepend=-1) != 0))
-    last = np.append(first[1:], len(doc))
-    entries = np.concatenate(([0], np.cumsum(sizes[doc])))
-    term_bits = max(1, int(len(weights)).bit_length())
-    at = 0
-    while at < len(first):
-        to = max(at + 1, int(np.searchsorted(entries[last], entries[first[at]] + _GATHERED, side="right")))
-        part = doc[first[at] : last[to - 1]]
-        block = np.repeat(np.arange(to - at), last[at:to] - first[at:to])
-        where = _of_rows(ptr[part], sizes[part])
-        keys = np.repeat(block, sizes[part])
-        keys = np.sort((((keys << term_bits) | term[where]) << 20) | impact[where])
-        heads = keys >> 20
-        keys = keys[np.append(heads[1:] != heads[:-1], True)]
-        coordinates, maxima, blocks = (keys >> 20) & ((1 << term_bits) - 1), keys & 0xFFFFF, keys >> (20 + term_bits)
-        cuts = np.searchsorted(blocks, np.arange(to - at + 1))
-        for n in range(to - at):
-            yield int(listed[first[at + n]]), rows[doc[first[at + n] : last[at + n]]], coordinates[cuts[n] : cuts[n + 1]], maxima[cuts[n] : cuts[n + 1]]
-        at = to
-
-
-def blocks(narrow: DataFrame, weights: np.ndarray, n_docs: int, n_terms: int) -> DataFrame:
-    """The posting lists of all documents in blocks with their summaries; fixed."""
+    covered = np.zeros(len(weights), dtype=bool)
+    for low, high in zip(bounds.tolist(), [*bounds[1:].tolist(), len(listed)], strict=True):
+        wanted = coordinates.get(int(listed[low]))
+        if wanted is None:
+            continue
+        own, cluster = doc[low:high], np.zeros(high - low, dtype=np.int64)
+        if len(own) > BLOCK_DOCS:
+            seeds = own[np.linspace(0, len(own) - 1, -(-len(own) // BLOCK_DOCS)).astype(np.int64)]
+            cluster = (sketch[own] @ sketch[seeds].T).argmax(axis=1)
+            order = np.argsort(cluster, kind="stable")
+            own, cluster = own[order], cluster[order]
+        # Each entry as one number, so that the last of a cluster and term is its maximum.
+        where = _of_rows(ptr[own], sizes[own])
+        covered[wanted] = True
+        inside = covered[term[where]]
+        covered[wanted] = False
+        where, part = where[inside], np.repeat(cluster, sizes[own])[inside]
+        keys = np.sort((part * len(weights) + term[where]) << 20 | impact[where])
+        cells = keys >> 20
+        last = np.append(cells[1:] != cells[:-1], True)
+        cells, maxima = cells[last], keys[last] & 0xFFFFF
+        for n in np.unique(cluster).tolist():
+            a, b = np.searchsorted(cells, (n * len(weights), (n + 1) * len(weights)))
+            c, d = np.searchsorted(cluster, (n, n + 1))
+            yield int(listed[low]), rows[own[c:d]], cells[a:b] - n * len(weights), maxima[a:b]
+
+
+def blocks(narrow: DataFrame, weights: np.ndarray, coordinates: Mapping[int, np.ndarray], n_docs: int, n_terms: int) -> DataFrame:
+    """The posting lists of the terms of `coordinates` over all documents, in blocks with their summaries; fixed."""
 
     schema = StructType.fromDDL(_BLOCK)
 
@@ -206,7 +220,7 @@ def blocks(narrow: DataFrame, weights: np.ndarray, n_docs: int, n_terms: int) ->
             held.clear()
             ptr = np.concatenate(([0], np.cumsum(sizes)))
             some: list[tuple] = []
-            for one in shard_blocks(rows, ptr, found, values, weights):
+            for one in shard_blocks(rows, ptr, found, values, weights, coordinates):
                 some.append(one)
                 if len(some) == 2048:
                     yield batch_of(some)
@@ -226,12 +240,8 @@ def blocks(narrow: DataFrame, weights: np.ndarray, n_docs: int, n_terms: int) ->
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                n = part.column("n").to_pylist()
-                offsets, found = _lists(part.column("terms"))
-                _, tf = _lists(part.column("tfs"))
-                sizes = np.diff(offsets)
-                lengths = [x for x, size in zip(n, sizes.tolist(), strict=True) for _ in range(size)] if len(found) else []
-                held.append((part.column("row").to_numpy(), sizes, found.astype(np.int64), impacts(tf.astype(np.int64), lengths, n_docs, n_terms)))
+                sizes, found, values = _postings(part, n_docs, n_terms)
+                held.append((part.column("row").to_numpy(), sizes, found, values))
                 docs, postings = docs + part.num_rows, postings + len(found)
                 if docs >= SHARD_DOCS or postings >= SHARD_POSTINGS:
                     yield from made()
@@ -239,81 +249,130 @@ def blocks(narrow: DataFrame, weights: np.ndarray, n_docs: int, n_terms: int) ->
         if held:
             yield from made()
 
-    return pin(narrow.where(F.size("terms") > 0).select("row", "n", "terms", "tfs").mapInArrow(task, schema))
+    return _written(narrow.where(F.size("terms") > 0).select("row", "n", "terms", "tfs").mapInArrow(task, schema), "lexical-blocks")
+
 
+def _record(rows: Sequence[tuple], schema: StructType) -> pa.RecordBatch:
+    target = to_arrow_schema(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
 
-def promising(found: DataFrame, lists: Sequence[np.ndarray], weights: np.ndarray, most: int) -> DataFrame:
-    """(item, docs) of the `most` blocks of each item with the highest bounds."""
-    schema = StructType.fromDDL("item int, bound bigint, docs array<bigint>")
+
+def floors_and_maxima(
+    narrow: DataFrame, lists: Sequence[np.ndarray], lead: Mapping[int, np.ndarray], weights: np.ndarray, k: int, n_docs: int, n_terms: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """For each item the k-th best score of documents that hold one of its lead terms, 1 if there are fewer; each term's largest impact.
+
+    A task hands on k scores an item and one impact a term.
+    """
+    schema = StructType.fromDDL("item int, term int, value bigint")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, scorer = to_arrow_schema(schema), Scorer(lists, weights)
-        best: dict[int, list] = {}
+        scorer, most = Scorer(lists, weights), np.zeros(len(weights), dtype=np.int64)
+        best: dict[int, list[int]] = {}
+        leads = np.zeros(len(weights), dtype=bool)
+        leads[list(lead)] = True
         for batch in batches:
-            offsets, coordinates = _lists(batch.column("coordinates"))
-            _, maxima = _lists(batch.column("maxima"))
-            for n, term in enumerate(batch.column("term").to_pylist()):
-                own = slice(offsets[n], offsets[n + 1])
-                items, bounds = scorer.for_term(term, coordinates[own], maxima[own])
-                docs = None
-                for item, bound in zip(items.tolist(), bounds.tolist(), strict=True):
-                    so_far = best.setdefault(item, [])
-                    if len(so_far) < most or bound > so_far[-1][0]:
-                        docs = batch.column("docs")[n].as_py() if docs is None else docs
-                        so_far.append((bound, docs))
-                        so_far.sort(key=lambda x: -x[0])
-                        del so_far[most:]
-        rows = [(item, bound, docs) for item, own in best.items() for bound, docs in own]
+            sizes, found, values = _postings(batch, n_docs, n_terms)
+            np.maximum.at(most, found, values)
+            ends = np.cumsum(sizes)
+            hits = np.flatnonzero(leads[found])
+            docs = np.searchsorted(ends, hits, side="right")
+            for n, low, high in zip(*_runs(docs), strict=True):
+                items = np.unique(np.concatenate([lead[t] for t in found[hits[low:high]].tolist()]))
+                own = slice(ends[n] - sizes[n], ends[n])
+                for item, score in zip(items.tolist(), scorer.sums(items, found[own], values[own]).tolist(), strict=True):
+                    heap = best.setdefault(item, [])
+                    (heappush if len(heap) < k else heappushpop)(heap, score)
+        rows = [(item, None, score) for item, heap in best.items() for score in heap]
+        rows += [(None, t, most[t]) for t in np.flatnonzero(most).tolist()]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
+            yield _record(rows, schema)
+
+    found = narrow.where(F.size("terms") > 0).select("n", "terms", "tfs").mapInArrow(task, schema).persist()
+    floors, maxima = np.ones(len(lists), dtype=np.int64), np.zeros(len(weights), dtype=np.int64)
+    order = Window.partitionBy("item").orderBy(F.desc("value"))
+    for r in found.where("item IS NOT NULL").withColumn("place", F.row_number().over(order)).where(F.col("place") == k).collect():
+        floors[r["item"]] = max(1, r["value"])
+    for r in found.where("term IS NOT NULL").groupBy("term").agg(F.max("value").alias("value")).collect():
+        maxima[r["term"]] = r["value"]
+    found.unpersist()
+    return floors, maxima
+
+
+def _runs(values: np.ndarray) -> tuple[list, list, list]:
+    """Value, start and end of each run of equal values."""
+    first = np.flatnonzero(np.diff(values, prepend=-1))
+    return values[first].tolist(), first.tolist(), [*first[1:].tolist(), len(values)]
+
+
+def lead_terms(own: np.ndarray, df: Mapping[int, int]) -> list[int]:
+    """The rarest terms of an item that occur at all, until they hold LEAD_DOCS documents."""
+    out, docs = [], 0
+    for t in sorted((t for t in own.tolist() if df.get(t)), key=lambda t: (df[t], t)):
+        out.append(t)
+        docs += df[t]
+        if docs >= LEAD_DOCS:
+            break
+    return out
+
 
-    order = Window.partitionBy("item").orderBy(F.desc("bound"), "docs")
-    return found.mapInArrow(task, schema).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select(F.array("item").alias("items"), "docs")
+def strong_terms(own: np.ndarray, floor: int, weights: np.ndarray, maxima: np.ndarray) -> list[int]:
+    """The terms of an item one of which every document holds whose score reaches the floor."""
+    ordered = own[np.argsort(weights[own] * maxima[own], kind="stable")]
+    return ordered[np.cumsum(weights[ordered] * maxima[ordered]) >= floor].tolist()
 
 
-def unskipped(found: DataFrame, lists: Sequence[np.ndarray], weights: np.ndarray, floors: np.ndarray) -> DataFrame:
-    """(items, docs) of every block, with the items for which its bound reaches the floor."""
-    schema = StructType.fromDDL("items array<int>, docs array<bigint>")
+def unskipped(found: DataFrame, lists: Sequence[np.ndarray], strong: Mapping[int, np.ndarray], weights: np.ndarray, floors: np.ndarray) -> DataFrame:
+    """(row, items) of the documents of every block whose bound reaches the floor of an item that its term is strong for."""
+    schema = StructType.fromDDL("row bigint, items array<int>")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, scorer = to_arrow_schema(schema), Scorer(lists, weights)
         for batch in batches:
             offsets, coordinates = _lists(batch.column("coordinates"))
             _, maxima = _lists(batch.column("maxima"))
-            rows = []
+            ends, docs = _lists(batch.column("docs"))
+            rows, asked = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
             for n, term in enumerate(batch.column("term").to_pylist()):
-                own = slice(offsets[n], offsets[n + 1])
-                items, bounds = scorer.for_term(term, coordinates[own], maxima[own])
-                left = items[bounds >= floors[items]]
-                if len(left):
-                    rows.append((left.tolist(), batch.column("docs")[n].as_py()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
+                own, items = slice(offsets[n], offsets[n + 1]), strong[term]
+                left = items[scorer.sums(items, coordinates[own], maxima[own]) >= floors[items]]
+                here = docs[ends[n] : ends[n + 1]]
+                rows.append(np.repeat(here, len(left)))
+                asked.append(np.tile(left, len(here)))
+            # Lists of one shard follow each other, so most repeats of a document and item meet here.
+            row, item = np.concatenate(rows), np.concatenate(asked)
+            order = np.lexsort((item, row))
+            row, item = row[order], item[order]
+            new = np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]))[: len(row)]
+            row, item = row[new], item[new]
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            cuts = pa.array(np.append(first, len(row)).astype(np.int32))
+            grouped = pa.ListArray.from_arrays(cuts, pa.array(item.astype(np.int32))).cast(target.field("items").type)
+            yield pa.RecordBatch.from_arrays([pa.array(row[first]), grouped], schema=target)
 
     return found.mapInArrow(task, schema)
 
 
-def scored(candidates: DataFrame, narrow: DataFrame, items: Items, weights: np.ndarray, floors: np.ndarray, n_docs: int, n_terms: int) -> DataFrame:
-    """(item, doc_id, row, score) of candidates (items, docs) whose exact score reaches the floor."""
-    wanted = candidates.select("items", F.explode("docs").alias("row")).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+def scored(candidates: DataFrame, narrow: DataFrame, lists: Sequence[np.ndarray], weights: np.ndarray, floors: np.ndarray, n_docs: int, n_terms: int) -> DataFrame:
+    """(item, doc_id, row, score) of candidates (row, items) whose exact score reaches the floor."""
+    wanted = candidates.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
     schema = StructType.fromDDL(f"item int, doc_id {kind}, row bigint, score bigint")
-    lists = items.lists
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, scorer = to_arrow_schema(schema), Scorer(lists, weights)
+        scorer = Scorer(lists, weights)
         for batch in batches:
-            offsets, found = _lists(batch.column("terms"))
-            _, tf = _lists(batch.column("tfs"))
-            rows = []
-            asked, keys, numbers, lengths = (batch.column(c).to_pylist() for c in ("items", "doc_id", "row", "n"))
-            for n, own in enumerate(asked):
-                at = slice(offsets[n], offsets[n + 1])
-                counts = tf[at].astype(np.int64)
-                scores = scorer.for_items(own, found[at], impacts(counts, [lengths[n]], n_docs, n_terms))
-                rows += [(i, keys[n], numbers[n], s) for i, s in zip(own, scores.tolist(), strict=True) if s >= floors[i]]
+            sizes, found, values = _postings(batch, n_docs, n_terms)
+            offsets, asked = _lists(batch.column("items"))
+            ends, rows = np.cumsum(sizes), []
+            keys, numbers = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
+            for n in range(batch.num_rows):
+                items, own = asked[offsets[n] : offsets[n + 1]], slice(ends[n] - sizes[n], ends[n])
+                scores = scorer.sums(items, found[own], values[own])
+                good = scores >= floors[items]
+                rows += [(i, keys[n], numbers[n], s) for i, s in zip(items[good].tolist(), scores[good].tolist(), strict=True)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
+                yield _record(rows, schema)
 
     joined = narrow.join(wanted, "row").select("row", "doc_id", "n", "terms", "tfs", "items")
     return joined.mapInArrow(task, schema)
@@ -324,23 +383,23 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(docs: DataFrame, items: Items, *, k: int = 10, promising_blocks: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def search(docs: DataFrame, items: Items, *, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(item, rank, doc_id, score): the k best documents of each item, `item` being its place in `items`."""
     narrow = forward(docs, items.vocabulary, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     n_docs, n_terms = narrow.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
-    if not n_docs or not items.vocabulary:
-        return docs.sparkSession.createDataFrame([], f"item int, rank int, doc_id {kind}, score bigint")
     # At most one row per term of the items reaches the driver.
     df = dict(narrow.select(F.explode("terms").alias("term")).groupBy("term").count().collect())
+    if not df:
+        return docs.sparkSession.createDataFrame([], f"item int, rank int, doc_id {kind}, score bigint")
     weights = np.array([weight(n_docs, df.get(t, 0)) for t in range(len(items.vocabulary))], dtype=np.int64)
-    found = blocks(narrow, weights, n_docs, n_terms)
-    floors = np.ones(len(items.ids), dtype=np.int64)
-    first = _ranked(scored(promising(found, items.lists, weights, promising_blocks), narrow, items, weights, floors, n_docs, n_terms), k)
-    for r in first.where(F.col("rank") == k).select("item", "score").collect():
-        floors[r["item"]] = r["score"]
-    left = unskipped(found, items.lists, weights, floors)
-    return _ranked(scored(left, narrow, items, weights, floors, n_docs, n_terms), k).select("item", "rank", "doc_id", "score")
+    lead = items_of([lead_terms(own, df) for own in items.lists])
+    floors, maxima = floors_and_maxima(narrow, items.lists, lead, weights, k, n_docs, n_terms)
+    strong = items_of([strong_terms(own, floor, weights, maxima) for own, floor in zip(items.lists, floors.tolist(), strict=True)])
+    coordinates = {t: np.unique(np.concatenate([items.lists[i] for i in own.tolist()])) for t, own in strong.items()}
+    found = blocks(narrow, weights, coordinates, n_docs, n_terms)
+    left = unskipped(found, items.lists, strong, weights, floors)
+    return _ranked(scored(left, narrow, items.lists, weights, floors, n_docs, n_terms), k).select("item", "rank", "doc_id", "score")
 
 
 def ranked_search(
@@ -354,7 +413,7 @@ def ranked_search(
     Each row of `items` is an item of its own, also where ids are repeated or null; one without terms, and
     any item over an empty table, gives no rows. Other columns of either table play no part.
     """
-    asked = pin(items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")))
+    asked = _written(items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), "lexical-items")
     size = asked.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     parts = max(1, -(-size // ITEM_BYTES))
     spark, item_kind = docs.sparkSession, items.schema[item_col].dataType.simpleString()
