@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_even
-from . import bpe, conversation_trie, jaccard_join, lexical_search, license_scan, packing, quality, secret_scan, shard_table, substrings, token_counts, vector_dedup
+from . import bpe, conversation_trie, jaccard_join, lexical_search, license_scan, packing, quality, quality_classifier, secret_scan, shard_table, substrings, token_counts, vector_dedup
 
 #: Vocabulary of the token queries; operators take any path.
 VOCABULARY = "byte_bpe_50k.json"
@@ -281,12 +281,17 @@ FROM nodes v JOIN subtrees USING (key) LEFT JOIN children c ON c.key = v.key LEF
 """
 
 
+def op13_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels outside the held-out fold."""
+    return quality_classifier.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_bpe_round_trip, op3_section_token_counts, op4_jaccard_join, op5_secret_spans, op6_packed_sequences,
         op7_shard_placement, op8_near_vectors, op9_repeated_passages, op10_license_notices, op11_ranked_search,
-        op12_prefix_trie,
+        op12_prefix_trie, op13_quality_scores,
     )
 }
 ORACLES = {
