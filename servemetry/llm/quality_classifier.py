@@ -121,7 +121,7 @@ def held_out(id_col: str | Column, folds: int = 5) -> Column:
 
 
 def examples(docs: DataFrame, labels: DataFrame, most: int, shards: int, id_col: str, text_col: str, label_col: str, folds: int) -> DataFrame:
-    """(shard, place, label, slots, values) of at most `most` labelled rows outside the held-out fold, by a hash of their ids; fixed.
+    """(label, slots, values) of at most `most` labelled rows outside the held-out fold, by a hash of their ids; fixed, a partition a shard.
 
     Ids with a null or another label than 0 and 1, with labels that disagree, or without a document teach nothing.
     """
@@ -141,12 +141,13 @@ def examples(docs: DataFrame, labels: DataFrame, most: int, shards: int, id_col:
         return places, marks, [s.astype(np.int32) for s, _ in vectors], [v.astype(np.float32) for _, v in vectors]
 
     made = map_blocks(texts, ["place", "label", "text"], block, schema, rows=64)
-    return pin(made.withColumn("shard", F.pmod("place", F.lit(shards)).cast("int")))
+    shard = F.pmod("place", F.lit(shards)).cast("int").alias("shard")
+    return pin(made.select("*", shard).repartitionById(shards, "shard").sortWithinPartitions("place", "label").select("label", "slots", "values"))
 
 
 def train(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    max_examples: int = 16_384, shards: int = 4, rounds: int = 8, folds: int = 5, rates: Rates = Rates(),
+    max_examples: int = 8192, shards: int = 4, rounds: int = 5, folds: int = 5, rates: Rates = Rates(),
 ) -> np.ndarray:
     """Weights of the slots, float32, from a bounded sample of labelled rows.
 
@@ -154,30 +155,32 @@ def train(
     examples all weights are 0 and every score is a half.
     """
     rows = examples(docs, labels, max_examples, shards, id_col, text_col, label_col, folds)
-    schema = StructType.fromDDL("slot int, z double, n double")
-    z, n = np.zeros(SLOTS), np.zeros(SLOTS)
-    dealt = rows.repartitionById(shards, "shard").sortWithinPartitions("place", "label")
+    schema = StructType.fromDDL("z binary, n binary")
+    z, n = np.zeros(SLOTS, dtype=np.float32), np.zeros(SLOTS, dtype=np.float32)
     for _ in range(rounds):
         start = (z, n)
 
         def one_shard(batches: Iterator[pa.RecordBatch], start: tuple = start) -> Iterator[pa.RecordBatch]:
-            own_z, own_n, seen = start[0].copy(), start[1].copy(), False
+            own_z, own_n, seen = start[0].astype(np.float64), start[1].astype(np.float64), False
             for batch in batches:
-                for label, slots, values in zip(*[batch.column(c).to_pylist() for c in ("label", "slots", "values")], strict=True):
-                    learn(own_z, own_n, label, np.array(slots, dtype=np.int64), np.array(values), rates)
+                offsets = batch.column("slots").offsets.to_numpy()
+                slots = batch.column("slots").flatten().to_numpy().astype(np.int64)
+                values = batch.column("values").flatten().to_numpy().astype(np.float64)
+                cuts = (offsets - offsets[0]).tolist()
+                for label, low, high in zip(batch.column("label").to_pylist(), cuts, cuts[1:], strict=False):
+                    learn(own_z, own_n, label, slots[low:high], values[low:high], rates)
                     seen = True
             if seen:
-                changed = np.flatnonzero(own_n != start[1])
-                arrays = [pa.array(changed.astype(np.int32)), pa.array(own_z[changed] - start[0][changed]), pa.array(own_n[changed] - start[1][changed])]
-                yield pa.RecordBatch.from_arrays(arrays, schema=to_arrow_schema(schema))
-
-        # A slot moves by the mean over the shards that saw it: at most SLOTS rows reach the driver.
-        moved = dealt.select("label", "slots", "values").mapInArrow(one_shard, schema).groupBy("slot").agg(F.avg("z").alias("z"), F.avg("n").alias("n"))
-        table = moved.toArrow()
-        at = table.column("slot").to_numpy()
-        z, n = z.copy(), n.copy()
-        z[at] += table.column("z").to_numpy()
-        n[at] += table.column("n").to_numpy()
+                state = [pa.array([x.astype(np.float32).tobytes()], type=pa.binary()) for x in (own_z, own_n)]
+                yield pa.RecordBatch.from_arrays(state, schema=to_arrow_schema(schema))
+
+        # Two arrays of SLOTS numbers a shard reach the driver, however many examples there are.
+        states = [tuple(np.frombuffer(x, dtype=np.float32) for x in r) for r in rows.mapInArrow(one_shard, schema).collect()]
+        if not states:
+            break
+        # A slot moves by the mean over the shards that saw it.
+        moved = np.maximum(1, sum((own_n != n).astype(np.float32) for _, own_n in states))
+        z, n = z + sum(own_z - z for own_z, _ in states) / moved, n + sum(own_n - n for _, own_n in states) / moved
     return rates.weights(z, n).astype(np.float32)
 
 
@@ -207,7 +210,7 @@ def _hasher() -> Hasher:
 
 def classify(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    threshold: float = 0.3, folds: int = 5, max_examples: int = 16_384,
+    threshold: float = 0.3, folds: int = 5, max_examples: int = 8192,
 ) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1, higher where label 1 is likelier), predicted.
 
