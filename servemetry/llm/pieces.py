@@ -2,9 +2,10 @@
 
 Where no two white-space characters follow each other, a byte-level tokenizer cuts a word
 before every space, so the ids of a text are those of its pieces, each beginning at a
-space, one after the other. A block of texts is one byte buffer: pieces are named by two
-polynomial hashes of 64 bits, new names are encoded once, and the ids of all pieces are
-gathered at once.
+space, one after the other. A block of texts is one byte buffer: pieces are looked up by a
+polynomial hash of 64 bits, new ones are encoded once, and the ids of all pieces are
+gathered at once. The bytes of every piece are compared with those that its hash stands
+for; where two pieces share one, the slice is encoded without hashes.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-#: Pieces a task remembers before it starts afresh (some 40 bytes each), and bytes worked on at once; speed only.
-REMEMBERED, SLICE = 1_500_000, 1 << 18
-#: Odd bases of the two hashes (fixed values).
-_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+#: Pieces a task remembers before it starts afresh (some 50 bytes each), and bytes worked on at once; speed only.
+REMEMBERED, SLICE = 400_000, 1 << 18
+#: Odd base of the hash (fixed value).
+_BASE = 0x9E3779B97F4A7C15
 _DOUBLE_WHITE = re.compile(r"\s\s")
 
 
@@ -32,16 +33,15 @@ class Pieces:
 
     def __init__(self, encode_all: Callable[[list[str]], Sequence[bytes]], added: Sequence[str]):
         self.encode_all, self.added = encode_all, list(added)
-        self.powers = [_powers(b, SLICE + 1) for b in _BASES]
-        self.inverses = [_powers(pow(b, -1, 1 << 64), SLICE + 1) for b in _BASES]
-        self._forget()
+        self.powers, self.inverses = _powers(_BASE, SLICE + 1), _powers(pow(_BASE, -1, 1 << 64), SLICE + 1)
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Give up what is remembered."""
         self.names = np.empty(0, dtype=np.uint64)
-        self.checks = np.empty(0, dtype=np.uint64)
-        self.starts = np.empty(0, dtype=np.int64)
-        self.counts = np.empty(0, dtype=np.int64)
-        self.ids = np.empty(0, dtype=np.uint32)
+        self.begins, self.sizes = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self.starts, self.counts = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self.text, self.ids = np.empty(0, dtype=np.uint8), np.empty(0, dtype=np.uint32)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.
@@ -81,36 +81,54 @@ class Pieces:
         if last - first > SLICE:
             (ids,) = self.encode_all([raw[first:last].tobytes().decode("utf-8", "surrogatepass")])
             return ids, np.array([len(ids) // 4])
-        values = raw[first:last].astype(np.uint64) + np.uint64(1)
-        low, high = starts - first, stops - first
-        hashes = []
-        for powers, inverses in zip(self.powers, self.inverses, strict=True):
-            sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(values * powers[: len(values)], dtype=np.uint64)))
-            hashes.append((sums[high] - sums[low]) * inverses[low])
-        names, where, each = np.unique(hashes[0], return_index=True, return_inverse=True)
-        checks = hashes[1][where]
+        text, low, high = raw[first:last], starts - first, stops - first
+        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * self.powers[: len(text)], dtype=np.uint64)))
+        names, where, each = np.unique((sums[high] - sums[low]) * self.inverses[low], return_index=True, return_inverse=True)
+        sizes, stands = high - low, where[each]
+        if not _alike(text, low, sizes, text, low[stands], sizes[stands]):
+            return self._plainly(text, low, high)
         at = np.searchsorted(self.names, names)
         known = np.zeros(len(names), dtype=bool)
         inside = at < len(self.names)
-        known[inside] = (self.names[at[inside]] == names[inside]) & (self.checks[at[inside]] == checks[inside])
+        known[inside] = self.names[at[inside]] == names[inside]
+        old = where[known]
+        if not _alike(text, low[old], sizes[old], self.text, self.begins[at[known]], self.sizes[at[known]]):
+            return self._plainly(text, low, high)
         if not known.all():
             if len(self.names) > REMEMBERED:
-                self._forget()
+                self.forget()
                 known[:] = False
                 at[:] = 0
             new = np.flatnonzero(~known)
-            data = raw[first:last].tobytes()
-            found = self.encode_all([data[low[w] : high[w]].decode("utf-8", "surrogatepass") for w in where[new].tolist()])
-            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-            begun = len(self.ids) + np.cumsum(sizes) - sizes
+            fresh = where[new]
+            data = text.tobytes()
+            found = self.encode_all([data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(low[fresh].tolist(), high[fresh].tolist(), strict=True)])
+            counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+            begun, written = len(self.ids) + np.cumsum(counts) - counts, len(self.text) + np.cumsum(sizes[fresh]) - sizes[fresh]
             self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(found), dtype="<u4")))
-            self.names, self.checks = np.insert(self.names, at[new], names[new]), np.insert(self.checks, at[new], checks[new])
-            self.starts, self.counts = np.insert(self.starts, at[new], begun), np.insert(self.counts, at[new], sizes)
+            self.text = np.concatenate((self.text, text[_spread(low[fresh], sizes[fresh])]))
+            self.names = np.insert(self.names, at[new], names[new])
+            self.begins, self.sizes = np.insert(self.begins, at[new], written), np.insert(self.sizes, at[new], sizes[fresh])
+            self.starts, self.counts = np.insert(self.starts, at[new], begun), np.insert(self.counts, at[new], counts)
             at = np.searchsorted(self.names, names)
-            # A name that stands for another piece (its check differs) precedes or follows the new one.
-            at += (self.checks[at] != checks) & (at + 1 < len(self.names))
         piece = at[each]
         n = self.counts[piece]
-        upto = np.cumsum(n)
-        gathered = self.ids[np.repeat(self.starts[piece] - (upto - n), n) + np.arange(int(upto[-1]) if len(upto) else 0)]
-        return gathered.astype("<u4").tobytes(), n
+        return self.ids[_spread(self.starts[piece], n)].astype("<u4").tobytes(), n
+
+    def _plainly(self, text: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The same by the pieces themselves."""
+        data = text.tobytes()
+        words = [data[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+        distinct = list(dict.fromkeys(words))
+        ids = dict(zip(distinct, self.encode_all([w.decode("utf-8", "surrogatepass") for w in distinct]), strict=True))
+        return b"".join([ids[w] for w in words]), np.array([len(ids[w]) // 4 for w in words], dtype=np.int64)
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of stretches that begin at `starts`, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def _alike(a: np.ndarray, a_starts: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_sizes: np.ndarray) -> bool:
+    """Whether all stretches of `a` have the bytes of those of `b`."""
+    return bool((a_sizes == b_sizes).all()) and bool((a[_spread(a_starts, a_sizes)] == b[_spread(b_starts, b_sizes)]).all())
