@@ -80,8 +80,9 @@ def section_token_counts(
     """One row per section: doc_id, section, start, end, n_tokens (double), n_crossing.
 
     Sections come from `sections_col` (array of structs name, start, end) or else from `sections_of`.
-    They may leave gaps; they are put in order, and each must end before the next begins. Null
-    texts and documents with no or null sections give no rows; an empty text gives sections without
+    They may leave gaps; they are put in order, and each must end before the next begins: where given
+    sections of a document overlap, or have a null bound or one after the other, all of its rows have
+    null counts. Null texts and documents with no or null sections give no rows; an empty text gives sections without
     tokens; repeated rows are counted each on its own. Texts are not shuffled.
     """
     if rule not in RULES:
@@ -95,9 +96,10 @@ def section_token_counts(
             if text is None:
                 continue
             found = [(s["name"], s["start"], s["end"]) for s in given[n] or [] if s is not None] if given is not None else sections_of(text)
-            found = sorted(found, key=lambda s: (s[1], s[2]))
-            if any(a[2] > b[1] for a, b in zip(found, found[1:], strict=False)):
-                raise ValueError(f"sections of document {key} overlap")
+            found = sorted(found, key=lambda s: (s[1] is not None, s[1] or 0, s[2] or 0))
+            if any(s[1] is None or s[2] is None or s[1] > s[2] for s in found) or any(a[2] > b[1] for a, b in zip(found, found[1:], strict=False)):
+                out.extend((key, *s, None, None) for s in found)
+                continue
             low, high = (np.array([s[k] for s in found], dtype=np.int64) for k in (1, 2))
             counts, crossing = allocate(*token_spans(e, text, np.frombuffer(ids[n], dtype="<u4").astype(np.int64)), low, high, rule)
             out.extend((key, *s, c, x) for s, c, x in zip(found, counts.tolist(), crossing.tolist(), strict=True))

@@ -53,6 +53,21 @@ def test_encoder_equals_library_on_long_words(library):
     assert [ids_of(e, w) for w in words] == [x.ids for x in library.encode_batch(words, add_special_tokens=False)]
 
 
+def test_pieces_whose_hashes_collide(library):
+    """Thue-Morse words of 1,024 letters and more have the hash of their complements."""
+    e = bpe.Encoder(PATH)
+    for size in (1024, 2048):
+        word = "a"
+        while len(word) < size:
+            word += word.translate({97: 98, 98: 97})
+        other = word.translate({97: 98, 98: 97})
+        texts = [f"x {word} {other} y", f"x {other} y", f"{word}", f"a {word} b", "plain text", f"{other} {word}"]
+        want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+        for encode in (e.encode, packing.library_ids(PATH).encode):
+            assert [np.frombuffer(i, dtype="<u4").tolist() for i in encode(texts)] == want
+            assert [np.frombuffer(encode([t])[0], dtype="<u4").tolist() for t in reversed(texts)] == want[::-1]
+
+
 def test_most_words_are_verified_and_failing_ones_merged():
     e = bpe.Encoder(PATH)
     words = [b" the", b" reading", b" zzzthe", b" unbelievably"]
@@ -162,6 +177,13 @@ def test_sections_of_a_table_and_odd_rows(spark):
     joined = token_counts.with_sections(docs.drop("start"), spans)
     named = token_counts.section_token_counts(joined, PATH, sections_col="sections", rule="first").collect()
     assert sorted(r["section"] for r in named) == ["a", "b"]
+    bad = spans.union(spark.createDataFrame([(4, "o", 15, 30), (None, "x", None, 3)], spans.schema))
+    joined = token_counts.with_sections(spark.createDataFrame(ODD, DOCS), bad)
+    marked = token_counts.section_token_counts(joined, PATH, sections_col="sections").collect()
+    assert sorted((r["section"], r["n_tokens"]) for r in marked) == [("a", None), ("b", None), ("o", None)]
+    nulls = joined.where("doc_id = 4").withColumn("sections", F.expr("array(null, struct(null as start, 5L as end, 'n' as name), struct(0L as start, 9L as end, 'm' as name))"))
+    marked = token_counts.section_token_counts(nulls, PATH, sections_col="sections").collect()
+    assert sorted((r["section"], r["n_tokens"]) for r in marked) == [("m", None), ("n", None)]
     with pytest.raises(ValueError):
         token_counts.section_token_counts(docs, PATH, rule="last")
 
