@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import count, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +25,13 @@ def by_blocks(one_block: Callable[..., Sequence], kind: pa.DataType, *columns: p
     return pa.concat_arrays(parts) if parts else pa.array([], type=kind)
 
 
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """`n` names that no column of `df` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    names = (f"_scratch_{i}" for i in count())
+    return list(islice((name for name in names if name not in taken), n))
+
+
 def map_blocks(
     df: DataFrame, columns: Sequence[str], block: Callable[..., Sequence[Sequence]], schema: str, rows: int = BLOCK_ROWS
 ) -> DataFrame:

@@ -7,7 +7,8 @@ is cut alike wherever it stands, from at most REACH + 8 bytes after its begin to
 REACH bytes before its end, and chunks vary little in length.
 
 What is compared, by digest, are windows: the shortest stretches of adjacent chunks that
-touch at least `min_words` words, from every chunk on and up to every chunk. A window is a
+touch at least `min_words` words, from every chunk on and up to every chunk. Every chunk is
+hashed once; the digest of a window is mixed from those of its chunks. A window is a
 repeat if one earlier document, or an earlier place, holds it whole; the occurrence in the
 document of the smallest id stays. Windows that overlap make one passage, and windows
 side by side two, so every word of a passage lies in a stretch that one document holds:
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import BLOCK_ROWS, WHITE, by_blocks, map_blocks
+from .arrow import BLOCK_ROWS, WHITE, by_blocks, free_names, map_blocks
 
 #: Bytes on either side among which a cut is the largest hash; chunks have about twice as many.
 REACH = 16
@@ -94,11 +95,28 @@ def _chunked(text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.n
     return data, ends, characters[ends - 1], begun[ends - 1], inside
 
 
-def chunk(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digest, end (in characters) and words begun so far, of each chunk."""
-    data, ends, characters, begun, _ = _chunked(text)
-    digests = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)), dtype=np.uint64, count=len(ends))
-    return digests.view(np.int64), characters, begun
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def stretch_digests(chunks: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Digest of each stretch of chunks first..last, from the two longest runs of 2^k chunks at its ends and its length.
+
+    Level k holds the digests of all runs of 2^k chunks, so the work is the number of chunks times the
+    logarithm of the longest stretch, however long the chunks are.
+    """
+    sizes = last - first + 1
+    out, level, width = np.zeros(len(first), dtype=np.uint64), chunks, 1
+    while True:
+        here = np.flatnonzero((sizes >= width) & (sizes < 2 * width))
+        ends = _mix(level[first[here]] + np.uint64(0x9E3779B97F4A7C15)) + level[last[here] - width + 1]
+        out[here] = _mix(ends + sizes[here].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        if not len(sizes) or int(sizes.max()) < 2 * width:
+            return out
+        level = _mix(_mix(level[:-width] + np.uint64(width)) + level[width:])
+        width *= 2
 
 
 def windows(text: str, min_words: int) -> tuple[np.ndarray, ...]:
@@ -115,30 +133,13 @@ def windows(text: str, min_words: int) -> tuple[np.ndarray, ...]:
     origins = np.minimum(np.searchsorted(untouched, begun - min_words, side="right") - 1, numbers)
     pairs = np.unique(np.concatenate(((numbers * size + stops)[stops < size], (origins * size + numbers)[origins >= 0])))
     first, last = np.divmod(pairs, max(size, 1))
-    starts, places = np.concatenate(([0], ends)), np.concatenate(([0], characters))
-    spans = zip(starts[first].tolist(), ends[last].tolist(), strict=True)
-    digests = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in spans), dtype=np.uint64, count=len(pairs))
+    places = np.concatenate(([0], characters))
+    hashed = (xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False))
+    chunks = np.fromiter(hashed, dtype=np.uint64, count=size)
+    digests = stretch_digests(chunks, first, last) if len(pairs) else chunks[:0]
     return digests.view(np.int64), places[first], characters[last], before[first], begun[last]
 
 
-#: A chunk of a document: number, start, end (characters, exclusive), words begun in it.
-Chunk = tuple[int, int, int, int]
-
-
-def runs(chunks: list[Chunk], min_words: int) -> list[tuple[int, int, int]]:
-    """Runs of adjacent chunks (ascending) with at least `min_words` words: start, end, words."""
-    out, at = [], 0
-    while at < len(chunks):
-        stop = at
-        while stop + 1 < len(chunks) and chunks[stop + 1][0] == chunks[stop][0] + 1:
-            stop += 1
-        held = sum(c[3] for c in chunks[at : stop + 1])
-        if held >= min_words:
-            out.append((chunks[at][1], chunks[stop][2], held))
-        at = stop + 1
-    return out
-
-
 #: A window: start, end (characters, exclusive), words begun before it and up to its end.
 Window = tuple[int, int, int, int]
 
@@ -199,9 +200,9 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     holders = made.where("first").groupBy("digest").agg(F.min("owner").alias("holder"), F.max("owner").alias("last")).where("holder <> last").drop("last")
     place = ["start", "end", "before", "through"]
     found = made.join(holders, "digest").select("owner", "text_key", *place, (~F.col("first") | (F.col("owner") != F.col("holder"))).alias("later"), F.lit(True).alias("common"))
-    # Repeats inside one text need no other document.
+    # Repeats inside one text need no other document. Marks of rows with one owner and text are the same, and one set.
     within = made.where("not first").select("owner", "text_key", *place, F.lit(True).alias("later"), F.lit(False).alias("common"))
-    marked = found.union(within).groupBy("owner", "text_key").agg(F.collect_list(F.struct(*place, "later", "common")).alias("marks"))
+    marked = found.union(within).groupBy("owner", "text_key").agg(F.collect_set(F.struct(*place, "later", "common")).alias("marks"))
 
     def spans(owners: list, keys: list, marks: list) -> tuple:
         removed, shared = [], []
@@ -239,13 +240,14 @@ def cut_out(text: str, passages: list[tuple[int, int]]) -> str:
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """All documents with all their columns, repeated passages cut from `text_col`; those left without words go.
+    """All documents with all their columns, whatever their names, repeated passages cut from `text_col`; those left without words go.
 
-    Documents without repeats are returned as they are, also empty ones, and so are rows
-    without an id.
+    Documents without repeats are returned as they are, also empty and null ones, and so are rows
+    without an id. Repeated rows of one id are cut alike.
     """
     found = repeated_passages(docs, id_col=id_col, text_col=text_col, min_words=min_words).where((F.size("removed") > 0) & F.col("doc_id").isNotNull())
-    found = found.groupBy(F.col("doc_id").alias("_cut_id"), F.col("text_key").alias("_cut_key")).agg(F.any_value("removed").alias("_cut"))
+    own_id, own_key, own_cut = free_names(docs, 3)
+    found = found.groupBy(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)).agg(F.any_value("removed").alias(own_cut))
 
     @F.arrow_udf("string")
     def shortened(texts: pa.Array, passages: pa.Array) -> pa.Array:
@@ -254,7 +256,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
         return by_blocks(block, pa.string(), texts, passages)
 
-    matched = docs.join(found, (docs[id_col] == found["_cut_id"]) & (F.xxhash64(docs[text_col]) == found["_cut_key"]), "left")
-    cut = matched.withColumn(text_col, shortened(F.col(text_col), F.col("_cut")))
-    left = cut.where(F.col("_cut").isNull() | F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"))
+    matched = docs.join(found, (F.col(id_col) == F.col(own_id)) & (F.xxhash64(text_col) == F.col(own_key)), "left")
+    cut = matched.withColumn(text_col, shortened(F.col(text_col), F.col(own_cut)))
+    left = cut.where(F.col(own_cut).isNull() | F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"))
     return left.select(*docs.columns)

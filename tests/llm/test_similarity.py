@@ -2,11 +2,13 @@
 
 import random
 import re
+import time
 from itertools import combinations
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from check import rows_of
@@ -190,38 +192,106 @@ def test_passages_are_found_wherever_they_stand(spark):
     assert all(set(left[k].split()) <= set(WORDS) for k, _ in rows)
 
 
+def plain_chunks(text):
+    """Ends of the chunks in bytes, byte by byte from the definition."""
+    data = text.encode()
+    gear = [xxhash.xxh3_64_intdigest(bytes([b])) >> 32 for b in range(256)]
+    rolled = [sum(gear[data[i - k]] << 4 * k for k in range(min(8, i + 1))) % 2**32 for i in range(len(data))]
+    near = substrings.REACH
+    wanted = [
+        i + 1 for i in range(len(data) - 1)
+        if rolled[i] > max(rolled[max(0, i - near) : i], default=0) and rolled[i] >= max(rolled[i + 1 : i + 1 + near], default=0)
+    ]
+    begins = [b & 0xC0 != 0x80 for b in data] + [True]
+    out, last = [], 0
+    for cut in [*wanted, len(data)] if data else []:
+        while not begins[cut]:
+            cut += 1
+        while cut - last > substrings.MOST:
+            last += substrings.MOST
+            while not begins[last]:
+                last -= 1
+            out.append(last)
+        if cut > last:
+            out.append(cut)
+            last = cut
+    return data, [0, *out]
+
+
+def plain_windows(text, min_words=substrings.MIN_WORDS):
+    """(start, end in bytes) of the shortest stretches of chunks that touch enough words, from and up to each chunk."""
+    data, edges = plain_chunks(text)
+    touched = lambda i, j: len(data[edges[i] : edges[j]].split())
+    found, size = set(), len(edges) - 1
+    for i in range(size):
+        j = next((j for j in range(i + 1, size + 1) if touched(i, j) >= min_words), None)
+        if j:
+            found.add((edges[i], edges[j]))
+        k = next((k for k in range(i, -1, -1) if touched(k, i + 1) >= min_words), None)
+        if k is not None:
+            found.add((edges[k], edges[i + 1]))
+    return data, sorted(found)
+
+
 def brute_passages(rows):
-    chunked = {}
-    for key, text in rows:
-        raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
-        ends = substrings.cuts(raw).tolist()
-        chunked[key] = [raw[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
-        assert b"".join(chunked[key]).decode() == (text or "")
-        [c.decode() for c in chunked[key]]  # cuts fall between characters
-    first = {}
-    for key in sorted(chunked):
-        for c in chunked[key]:
-            first.setdefault(c, key)
+    """Passages (start, end in characters) of each text that one earlier document holds, and those that any other holds."""
+    held = {key: plain_windows(text or "") for key, text in rows}
+    owners = {}
+    for key in sorted(held):
+        data, spans = held[key]
+        for a, b in spans:
+            owners.setdefault(data[a:b], {}).setdefault(key, a)
     out = {}
-    for key, cs in chunked.items():
-        seen, repeated = set(), []
-        for n, c in enumerate(cs):
-            if first[c] != key or c in seen:
-                repeated.append(n)
-            seen.add(c)
-        out[key] = repeated
+    for key, (data, spans) in held.items():
+        kinds = []
+        for later in (True, False):
+            marked = [
+                (a, b) for a, b in spans
+                if (min(owners[data[a:b]]) < key or owners[data[a:b]][key] < a if later else len(owners[data[a:b]]) > 1)
+            ]
+            joined = []
+            for a, b in marked:
+                if joined and a < joined[-1][1]:
+                    joined[-1][1] = max(b, joined[-1][1])
+                else:
+                    joined.append([a, b])
+            begun = lambda a, b: sum(1 for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", data) if a <= m.start() < b)  # noqa: B023, E731
+            kinds.append([(len(data[:a].decode()), len(data[:b].decode()), begun(a, b)) for a, b in joined if begun(a, b) >= substrings.MIN_WORDS])
+        out[key] = kinds
     return out
 
 
-def test_repeated_chunks_equal_brute_force(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    want = brute_passages(rows)
-    for r in substrings.repeated_passages(docs).collect():
-        text = dict(rows)[r["doc_id"]] or ""
-        digests, ends, words = substrings.chunk(text)
-        places = list(zip(range(len(ends)), [0, *ends.tolist()], ends.tolist(), np.diff(words, prepend=0).tolist(), strict=False))
-        assert [(s["start"], s["end"], s["words"]) for s in r["removed"]] == substrings.runs([places[n] for n in want[r["doc_id"]]], substrings.MIN_WORDS)
+def test_repeated_passages_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("length(text) < 6000")
+    rng = random.Random(31)
+    shared = [passage(rng, n) for n in (24, 26, 40, 90, 200)]
+    made = [(10_000 + n, " ".join([passage(rng, rng.randint(0, 40)), *rng.choices(shared, k=rng.randint(0, 3)), passage(rng, rng.randint(0, 40))])) for n in range(40)]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(made, "doc_id bigint, text string"))
+    want = brute_passages([tuple(r) for r in docs.collect()])
+    got = {r["doc_id"]: [[(s["start"], s["end"], s["words"]) for s in r[k]] for k in ("removed", "shared")] for r in substrings.repeated_passages(docs).collect()}
+    assert got == want
+    assert sum(bool(k[0]) for k in want.values()) > 30
+
+
+def test_digests_of_stretches_tell_orders_and_lengths_apart():
+    rng = np.random.default_rng(3)
+    chunks = rng.integers(0, 3, 80).astype(np.uint64)
+    first, last = (x.ravel() for x in np.meshgrid(np.arange(80), np.arange(80), indexing="ij"))
+    first, last = first[first <= last], last[first <= last]
+    digests = substrings.stretch_digests(chunks, first, last)
+    by_content = {}
+    for a, b, d in zip(first.tolist(), last.tolist(), digests.tolist(), strict=True):
+        by_content.setdefault(tuple(chunks[a : b + 1].tolist()), set()).add(d)
+    assert all(len(d) == 1 for d in by_content.values())
+    assert len({d for own in by_content.values() for d in own}) == len(by_content)
+
+
+def test_windows_of_very_long_words_take_linear_time():
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choices("abcdefgh", k=100_000)) for _ in range(30))
+    started = time.perf_counter()
+    digests, *_ = substrings.windows(text, 25)
+    assert len(digests) > 10_000 and time.perf_counter() - started < 20
 
 
 def test_phrases_of_many_documents_in_a_row_are_no_passage(spark):
@@ -233,10 +303,8 @@ def test_phrases_of_many_documents_in_a_row_are_no_passage(spark):
     rows = [(n, f"{passage(rng, 60)} {p} {passage(rng, 60)}") for n, p in enumerate(phrases)]
     rows += [(n, f"{passage(rng, 60)} {w} {passage(rng, 60)}") for n, w in enumerate(whole, 100)]
     rows += [(150, target), (151, f"{passage(rng, 40)} {target[:400]} {whole[0]} {whole[1]} {phrases[4]}")]
-    # Chunks of 150 in a row, of more than 25 words, have earlier holders; no stretch of 25 words has one.
-    _, stops, words = substrings.chunk(target)
-    places = list(zip(range(len(ends)), [0, *stops.tolist()], stops.tolist(), np.diff(words, prepend=0).tolist(), strict=False))
-    assert substrings.runs([places[n] for n in brute_passages(rows)[150]], substrings.MIN_WORDS)
+    # Every chunk of 150 has an earlier holder; no stretch of 25 words has one.
+    assert all(any(target[a:b] in t for _, t in rows[:-2]) for a, b in zip([0, *ends], ends, strict=False))
     found = {r["doc_id"]: r for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert not found[150]["removed"]
     # The begin of the target stands in 150; both passages are held whole by one document each.
@@ -255,12 +323,13 @@ def test_phrases_of_many_documents_in_a_row_are_no_passage(spark):
 def test_windows_cover_every_passage_of_enough_words():
     rng = random.Random(23)
     text = " ".join(rng.choices([*WORDS, "a", "I", "é", "12345678901234567890123456789"], k=3000))
-    _, ends, begun = substrings.chunk(text)
+    data, edges = plain_chunks(text)
     _, starts, stops, before, through = substrings.windows(text, 25)
-    bounds, so_far = [0, *ends.tolist()], [0, *begun.tolist()]
+    words = [m.start() for m in re.finditer(rb"\S+", data)]
+    bounds, so_far = [len(data[:e].decode()) for e in edges], [sum(w < e for w in words) for e in edges]
     for _ in range(400):
-        i = rng.randrange(len(ends))
-        j = min(len(ends), i + rng.randint(1, 14))
+        i = rng.randrange(len(edges) - 1)
+        j = min(len(edges) - 1, i + rng.randint(1, 14))
         inside = [w for w in zip(starts.tolist(), stops.tolist(), before.tolist(), through.tolist(), strict=True) if bounds[i] <= w[0] and w[1] <= bounds[j]]
         want = [(bounds[i], bounds[j], so_far[j] - so_far[i])] if so_far[j] - so_far[i] >= 25 else []
         assert substrings.joined(inside, 25) == want
@@ -270,7 +339,7 @@ def test_passages_odd_rows(spark):
     rng = random.Random(2)
     text = passage(rng, 90)
     rows = [(1, None), (2, ""), (3, text), (3, text), (None, text), (None, text), (4, text + " " + text), (5, "x" * 100_000), (6, "é漢😀 " * 4000)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"owner": F.lit("clash"), "digest": F.lit(1), "_text": F.lit(0)})
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"owner": F.lit("clash"), "digest": F.lit(1), "_cut": F.lit(0), "_cut_id": F.lit(0), "_scratch_0": F.lit(0)})
     found = [(r["doc_id"], bool(r["removed"])) for r in substrings.repeated_passages(docs).collect()]
     assert sorted(found, key=str) == sorted(
         [(1, False), (2, False), (3, False), (3, False), (None, True), (None, True), (4, True), (5, False), (6, True)], key=str
@@ -286,9 +355,12 @@ def test_passages_odd_rows(spark):
 def test_chunks_resist_shifts():
     rng = random.Random(9)
     text = passage(rng, 2000)
-    plain, _, _ = substrings.chunk(text)
-    shifted, _, _ = substrings.chunk("an insertion " + text)
-    assert len(set(plain.tolist()) & set(shifted.tolist())) >= len(set(plain.tolist())) - 4
+    chunks = []
+    for data in (text.encode(), b"an insertion " + text.encode()):
+        ends = substrings.cuts(np.frombuffer(data, dtype=np.uint8)).tolist()
+        assert [0, *ends] == plain_chunks(data.decode())[1]
+        chunks.append({data[a:b] for a, b in zip([0, *ends], ends, strict=False)})
+    assert len(chunks[0] & chunks[1]) >= len(chunks[0]) - 4
 
 
 def vectors_frame(spark, rows):
