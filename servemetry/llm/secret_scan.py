@@ -141,13 +141,18 @@ _PARTS = [re.compile(f"[A-Za-z0-9{marks}]+(?:=+(?![A-Za-z0-9+/_=-]))?") for mark
 
 def candidates(text: str, taken: list[Span], shares: np.ndarray) -> list[tuple[int, int, float, float]]:
     """Parts of runs with at least BANDS[0] characters outside `taken`: start, end, bits of evidence, randomness."""
-    out = []
+    out, spans, passed = [], sorted((s, e) for _, s, e in taken), 0
+    reach = np.maximum.accumulate([e for _, e in spans]).tolist()
     for run in _RUN.finditer(text):
         at, free = run.start(), []
-        for _, s, e in sorted(taken, key=lambda s: s[1]) if taken else ():
-            if s < run.end() and at < e:
+        while passed < len(spans) and reach[passed] <= at:  # runs ascend, so these touch no later one either
+            passed += 1
+        near = passed
+        while near < len(spans) and (s := spans[near][0]) < run.end():
+            if at < spans[near][1]:
                 free.append((at, s))
-                at = e
+                at = spans[near][1]
+            near += 1
         for start, end in [p for s, e in [*free, (at, run.end())] if e - s >= BANDS[0] for p in parts(text, s, e)]:
             raw = np.frombuffer(text[start:end].rstrip("=").encode("ascii"), dtype=np.uint8)
             if len(raw) < BANDS[0]:
