@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import pin, release
-from .arrow import BLOCK_ROWS, map_blocks
+from .arrow import BLOCK_ROWS, free_names, map_blocks
 from .components import components
 
 #: Odd multipliers of the hash mixing (fixed values).
@@ -349,12 +349,11 @@ def one_of_each_group(docs: DataFrame, *, words: int = 5, num: int = 80, den: in
     """
     found = pin(similarity_components(docs, words=words, num=num, den=den, id_col=id_col, text_col=text_col).where("doc_id is not null"))
     release(docs.sparkSession)
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    gone = dropped.withColumnRenamed("doc_id", "_gone_id")
+    (out_id,) = free_names(docs, 1)
+    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias(out_id)).distinct()
+    repeated = found.groupBy(F.col("doc_id").alias(out_id)).count().where("count > 1").select(out_id)
     if repeated.isEmpty():
-        return docs.join(gone, docs[id_col] == gone["_gone_id"], "left_anti")
-    again = pin(repeated.join(dropped, "doc_id", "left_anti").withColumnRenamed("doc_id", "_again_id"))
-    once = docs.join(again, docs[id_col] == again["_again_id"], "left_semi").dropDuplicates([id_col])
-    both = gone.union(again).withColumnRenamed("_gone_id", "_out_id")
-    return docs.join(both, docs[id_col] == both["_out_id"], "left_anti").union(once)
+        return docs.join(dropped, F.col(id_col) == F.col(out_id), "left_anti")
+    again = pin(repeated.join(dropped, out_id, "left_anti"))
+    once = docs.join(again, F.col(id_col) == F.col(out_id), "left_semi").dropDuplicates([id_col])
+    return docs.join(dropped.union(again), F.col(id_col) == F.col(out_id), "left_anti").union(once)
