@@ -1,16 +1,18 @@
 """Quality rules: counts of words, symbols and repeats, and divergence from the language.
 
 The verdict compares two histograms of a document, its character classes and its
-common words, with the reference of its language by Jensen-Shannon distance. The
-references are the mean histograms of all documents of a language that pass the
-base rules, so they follow the corpus. Their number is bounded by the configured
-languages, whatever the data hold.
+common words, with the reference of its language by Jensen-Shannon distance. A
+reference is the mean histogram of all documents of a language that pass the base
+rules and, with the weight of PRIOR_DOCS documents, of a shipped one, so it follows
+the corpus at any size. Every language code of two or three letters has a reference
+of classes, the configured languages one of words as well; there are at most 18,252
+codes, whatever the data hold.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import pin
-from .arrow import WHITE, by_blocks
+from .arrow import BLOCK_ROWS, WHITE, by_blocks
 
 #: Common words looked for in each language (fixed values).
 COMMON_WORDS = {
@@ -38,6 +40,17 @@ FEATURES = (
     "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint,"
     " classes array<bigint>, words array<bigint>"
 )
+#: Documents that a shipped reference counts as, and what a language is.
+PRIOR_DOCS, LANGUAGE = 5, "[a-z]{2,3}"
+#: Shipped shares of the classes in running text, in the order of CLASSES (fixed values, rough shares of written language).
+CLASS_PRIOR = {
+    "en": (0.30, 0.46, 0.025, 0.005, 0.165, 0.005, 0.022, 0.012, 0.002, 0.002, 0.0005, 0.0005, 0.0005, 0.0005),
+    "de": (0.29, 0.46, 0.045, 0.005, 0.145, 0.005, 0.020, 0.010, 0.002, 0.017, 0.0005, 0.0005, 0.0005, 0.0005),
+    "fr": (0.33, 0.40, 0.020, 0.005, 0.160, 0.005, 0.020, 0.015, 0.002, 0.035, 0.0005, 0.0005, 0.0005, 0.0005),
+    "es": (0.35, 0.40, 0.020, 0.005, 0.165, 0.005, 0.020, 0.010, 0.002, 0.022, 0.0005, 0.0005, 0.0005, 0.0005),
+}
+#: Shipped share of the common words together; the single words follow a power law in the order listed.
+WORD_PRIOR = 0.3
 _SCRATCH = "_quality"
 
 
@@ -67,14 +80,19 @@ _FORMS = {lang: [[(w + stop).encode() for stop in ("", ".", ",")] for w in words
 def document_features(text: str | None, lang: str | None) -> dict:
     """Counts of one text; a null text counts as one without words."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    words = raw.split()
+    split = raw.split()
+    numbers: dict[bytes, int] = {}
+    words = np.fromiter((numbers.setdefault(w, len(numbers)) for w in split), dtype=np.int64, count=len(split))
+    n_words, word_chars = len(split), len(b"".join(split).decode("utf-8", "surrogatepass"))
+    del split
     repeated = 0
-    if len(words) > 3:
-        windows = list(zip(words, words[1:], words[2:], strict=False))
-        if len(set(windows)) < len(windows):
-            times = Counter(windows)
-            inside = np.zeros(len(words), dtype=bool)
-            starts = np.flatnonzero([times[w] > 1 for w in windows])
+    if n_words > 3:
+        # Windows as numbers: each pair of words gets one, then each pair and third word.
+        pairs = np.unique(words[:-1] * len(numbers) + words[1:], return_inverse=True)[1]
+        windows, at, times = np.unique(pairs[:-1] * len(numbers) + words[2:], return_inverse=True, return_counts=True)
+        if len(windows) < n_words - 2:
+            inside = np.zeros(n_words, dtype=bool)
+            starts = np.flatnonzero(times[at] > 1)
             for shift in range(3):
                 inside[starts + shift] = True
             repeated = int(inside.sum())
@@ -82,13 +100,15 @@ def document_features(text: str | None, lang: str | None) -> dict:
     common = _FORMS.get(lang)
     counts = None
     if common is not None:
-        seen = Counter(raw.lower().split())
+        seen: Counter[bytes] = Counter()
+        for word, n in zip(numbers, np.bincount(words, minlength=len(numbers)).tolist(), strict=True):
+            seen[word.lower()] += n
         counts = [sum(seen.get(form, 0) for form in forms) for forms in common]
         counts += [0] * (WORDS_PER_LANGUAGE - len(common))
-        counts.append(max(0, sum(seen.values()) - sum(counts)))
+        counts.append(max(0, n_words - sum(counts)))
     return {
-        "n_words": len(words),
-        "word_chars": len(b"".join(words).decode("utf-8", "surrogatepass")),
+        "n_words": n_words,
+        "word_chars": word_chars,
         "n_symbols": sum((text or "").count(c) for c in "#*$%&|<>"),
         "n_dup_lines": len(lines) - len(set(lines)),
         "n_repeat_words": repeated,
@@ -112,22 +132,39 @@ def _base_failed(features: str) -> Column:
     return (f["n_words"] < 50) | (100 * f["n_repeat_words"] > 50 * f["n_words"])
 
 
-def language_references(featured: DataFrame, lang: str, features: str, min_words: int, min_docs: int) -> dict[str, tuple]:
-    """Mean histograms of each configured language, over all its documents that pass the base rules.
+def _shares(values: Sequence[float]) -> list[float]:
+    return [v / sum(values) for v in values]
+
+
+def shipped_reference(lang: str) -> tuple[list[float] | None, list[float] | None]:
+    """The shipped shares of classes and of common words (none for a language without them)."""
+    if lang not in COMMON_WORDS:
+        return None, None
+    ranks = [1 / (n + 3) if n < len(COMMON_WORDS[lang]) else 0.0 for n in range(WORDS_PER_LANGUAGE)]
+    return _shares(CLASS_PRIOR[lang]), [WORD_PRIOR * r for r in _shares(ranks)] + [1 - WORD_PRIOR]
+
 
-    One map-side combined sum per entry; at most one row per configured language reaches the driver.
+def language_references(featured: DataFrame, lang: str, features: str, min_words: int) -> dict[str, tuple]:
+    """Reference histograms of each language, over all its documents that pass the base rules.
+
+    One map-side combined sum per entry; at most one row per language code reaches the driver.
     """
     f = F.col(features)
     sizes = {"classes": len(CLASSES), "words": WORDS_PER_LANGUAGE + 1}
-    usable = featured.where(F.col(lang).isin(*COMMON_WORDS) & ~_base_failed(features) & (f["n_words"] >= min_words))
+    usable = featured.where(F.col(lang).rlike(f"^{LANGUAGE}$") & ~_base_failed(features) & (f["n_words"] >= min_words))
     totals = {k: F.aggregate(f[k], F.lit(0).cast("bigint"), lambda a, b: a + b) for k in sizes}
-    sums = [F.avg(f[k][i] / totals[k]).alias(f"{k}_{i}") for k, n in sizes.items() for i in range(n)]
-    rows = usable.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n"), *sums).collect()
-    return {
-        r["lang"]: tuple([float(r[f"{k}_{i}"]) for i in range(n)] for k, n in sizes.items())
-        for r in rows
-        if r["n"] >= min_docs
-    }
+    sums = [F.sum(f[k][i] / totals[k]).alias(f"{k}_{i}") for k, n in sizes.items() for i in range(n)]
+    out = {}
+    for r in usable.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n"), *sums).collect():
+        blended = []
+        for (k, size), prior in zip(sizes.items(), shipped_reference(r["lang"]), strict=True):
+            held = [r[f"{k}_{i}"] for i in range(size)]
+            if prior is not None:
+                blended.append([(h + PRIOR_DOCS * p) / (r["n"] + PRIOR_DOCS) for h, p in zip(held, prior, strict=True)])
+            else:
+                blended.append([h / r["n"] for h in held] if k == "classes" else None)
+        out[r["lang"]] = tuple(blended)
+    return out
 
 
 def jensen_shannon(counts: Column, reference: Column) -> Column:
@@ -147,7 +184,8 @@ def jensen_shannon(counts: Column, reference: Column) -> Column:
 def _reference_column(lang: str, references: Mapping[str, Sequence], k: int) -> Column:
     found = F.lit(None).cast("array<double>")
     for name in sorted(references):
-        found = F.when(F.col(lang) == name, F.array(*[F.lit(x) for x in references[name][k]])).otherwise(found)
+        if references[name][k] is not None:
+            found = F.when(F.col(lang) == name, F.array(*[F.lit(x) for x in references[name][k]])).otherwise(found)
     return found
 
 
@@ -162,17 +200,17 @@ def _judged(featured: DataFrame, lang: str, features: str, references: Mapping,
 
 def quality_rules(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    min_words: int = 80, min_docs: int = 20, max_class_distance: float = 0.28, max_word_distance: float = 0.335,
+    min_words: int = 80, max_class_distance: float = 0.28, max_word_distance: float = 0.335,
 ) -> DataFrame:
     """One row per document with its counts, distances and verdict.
 
     A null or empty text has no words and fails the base rules. A document whose language is null
-    or has no reference, or that is shorter than `min_words`, has null distances and is judged by
-    the base rules alone. Repeated rows are judged alike, each on its own row; ids may be null.
+    or no code of two or three letters, or that is shorter than `min_words`, has null distances and is
+    judged by the base rules alone; one of a language without common words has a null word distance. Repeated rows are judged alike, each on its own row; ids may be null.
     The counts are fixed in reliable storage, so texts are read once.
     """
     featured = pin(docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("_lang"), _features(F.col(text_col), F.col(lang_col)).alias(_SCRATCH)))
-    references = language_references(featured, "_lang", _SCRATCH, min_words, min_docs)
+    references = language_references(featured, "_lang", _SCRATCH, min_words)
     judged = _judged(featured, "_lang", _SCRATCH, references, min_words, max_class_distance, max_word_distance)
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return judged.select(
@@ -183,13 +221,48 @@ def quality_rules(
 
 def passing(
     docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
-    min_words: int = 80, min_docs: int = 20, max_class_distance: float = 0.28, max_word_distance: float = 0.335,
+    min_words: int = 80, max_class_distance: float = 0.28, max_word_distance: float = 0.335,
 ) -> DataFrame:
-    """The documents that pass the rules, with all their columns.
+    """The documents that pass the rules, with all their columns, whatever their names.
 
+    The rules are those of `quality_rules`, so null and empty texts go; repeated rows stay or go together.
     Texts are read twice, once for the references and once for the verdict, and are not shuffled.
     """
-    featured = docs.withColumn(_SCRATCH, _features(F.col(text_col), F.col(lang_col)))
-    references = language_references(featured, lang_col, _SCRATCH, min_words, min_docs)
-    judged = _judged(featured, lang_col, _SCRATCH, references, min_words, max_class_distance, max_word_distance)
-    return judged.where("_kept").select(*docs.columns)
+    narrow = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    featured = pin(narrow.select("lang", _features(F.col("text"), F.col("lang")).alias("features")).where(F.col("lang").rlike(f"^{LANGUAGE}$")))
+    references = language_references(featured, "lang", "features", min_words)
+    text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {lang: tuple(None if r is None else np.array(r) for r in own) for lang, own in references.items()}
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                texts, langs = part.column(text_at).to_pylist(), part.column(lang_at).to_pylist()
+                kept = [
+                    passes(document_features(t, lang), known.get(lang, (None, None)), min_words, max_class_distance, max_word_distance)
+                    for t, lang in zip(texts, langs, strict=True)
+                ]
+                yield part.filter(pa.array(kept, type=pa.bool_()))
+
+    return docs.mapInArrow(task, docs.schema)
+
+
+def distance(counts: Sequence[int], reference: np.ndarray) -> float:
+    """Jensen-Shannon distance of a histogram of counts and one of shares, as in `jensen_shannon`."""
+    p = np.array(counts, dtype=float)
+    if not p.sum():
+        return 0.0
+    p /= p.sum()
+    middle = (p + reference) / 2
+    parts = [x[x > 0] @ np.log2(x[x > 0] / middle[x > 0]) for x in (p, reference)]
+    return float(np.sqrt(max(0.0, sum(parts) / 2)))
+
+
+def passes(features: dict, references: tuple, min_words: int, max_class_distance: float, max_word_distance: float) -> bool:
+    """The verdict on one document."""
+    n = features["n_words"]
+    if n < 50 or 100 * features["n_repeat_words"] > 50 * n:
+        return False
+    kinds = zip(("classes", "words"), references, (max_class_distance, max_word_distance), strict=True)
+    return n < min_words or all(r is None or distance(features[k], r) <= most for k, r, most in kinds)

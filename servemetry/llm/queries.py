@@ -57,8 +57,10 @@ WITH texts AS (
     FROM based b JOIN (SELECT lang, flatten(list(forms)) AS everything FROM common GROUP BY lang) c ON b.lang = c.lang
 ), shares AS (
     SELECT *, n / nullif(sum(n) OVER (PARTITION BY rid, kind), 0) AS p FROM entries WHERE n_words >= 80
+), shipped(lang, kind, entry, share) AS (VALUES {shipped}
 ), means AS (
-    SELECT lang, kind, entry, avg(p) AS q FROM shares WHERE NOT base_failed AND lang IN ('de', 'en', 'es', 'fr') GROUP BY ALL HAVING count(*) >= 20
+    SELECT lang, kind, entry, CASE WHEN any_value(share) IS NULL THEN avg(p) ELSE (sum(p) + {prior} * any_value(share)) / (count(*) + {prior}) END AS q
+    FROM shares LEFT JOIN shipped USING (lang, kind, entry) WHERE NOT base_failed AND regexp_full_match(lang, '{code}') GROUP BY ALL
 ), distances AS (
     SELECT rid, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS d
     FROM shares JOIN means USING (lang, kind, entry) GROUP BY ALL
@@ -72,6 +74,14 @@ FROM judged
 """.format(
     word=r"[^\x20\x09-\x0D]+",
     classes=", ".join(f"length(regexp_replace(text, '[^{c}]', '', 'g'))" for c in _CLASS_RANGES),
+    prior=quality.PRIOR_DOCS,
+    code=quality.LANGUAGE,
+    shipped=", ".join(
+        f"('{lang}', '{kind}', {entry}, {share!r}::DOUBLE)"
+        for lang in quality.COMMON_WORDS
+        for kind, shares, numbers in zip(("class", "word"), quality.shipped_reference(lang), (range(1, 15), [*range(1, 21), 0]), strict=True)
+        for entry, share in zip(numbers, shares, strict=True)
+    ),
     common=", ".join(f"('{lang}', {n}, ['{w}', '{w}.', '{w},'])" for lang, words in quality.COMMON_WORDS.items() for n, w in enumerate(words, start=1)),
 )
 
