@@ -159,3 +159,25 @@ def ticks_per_window(samples: DataFrame, window_s: int = 300) -> DataFrame:
     )
     kind = F.when(F.col("_counter"), "counter").when(~F.col("_counter"), "gauge")
     return ticks.withColumn("kind", kind).drop("_counter")
+
+
+def series_increase(samples: DataFrame, keys: Sequence[str] = ("source",)) -> DataFrame:
+    """How much each metric grew since the scrape before, per scrape, counted series by series.
+
+    `samples` carries the keys, scraped_us, metric, series and value, one row a series and scrape. A value below
+    the one before is a restart: the series began at 0 again, and the others are not touched by it. The first
+    value of a series starts it and adds nothing. `restarts` counts the series that began again.
+    """
+    walked = running(samples.withColumn("_value", F.col("value")), [*keys, "series"], ["scraped_us"], lasts={"_before": "_value"})
+    grown = F.when(F.col("value") >= F.col("_before"), F.col("value") - F.col("_before")).when(F.col("_before").isNotNull(), F.col("value"))
+    return walked.groupBy(*keys, "scraped_us", "metric").agg(
+        F.coalesce(F.sum(grown), F.lit(0.0)).alias("increase"), F.count_if(F.col("value") < F.col("_before")).alias("restarts")
+    )
+
+
+def series_acceptance(samples: DataFrame, keys: Sequence[str] = ("source",)) -> DataFrame:
+    """Accepted over drafted tokens since the scrape before, from `series_increase`; null where nothing was drafted."""
+    both = series_increase(samples, keys).groupBy(*keys, "scraped_us").agg(
+        *[F.sum(F.when(F.col("metric") == m, F.col("increase"))).alias(m) for m in ("accepted", "drafted")], F.sum("restarts").alias("restarts")
+    )
+    return both.withColumn("acceptance", half_even(F.when(F.col("drafted") > 0, F.col("accepted") / F.col("drafted")), 6))

@@ -91,6 +91,27 @@ def degeneration_scan(outputs: DataFrame) -> DataFrame:
     return sticky_poison(zero).where("is_loop OR suspect OR token_zero")
 
 
+# Fixed value: what a server logs when it lost its GPU.
+LOST_GPU = "ggml_cuda_init: failed"
+DAY_US = 86_400_000_000
+
+
+def trailing_lines(logs: DataFrame, *, signature: str = LOST_GPU, span_us: int = DAY_US) -> DataFrame:
+    """At each time a container logs the signature: how often it did in the `span_us` up to then, both ends included.
+
+    `logs` carries container, at and line. A container is suspect from a time told here until `span_us` later.
+    A line counts when it comes and is taken back when it leaves the span, so a container with most of the lines
+    is walked in slices, not as one window.
+    """
+    hits = logs.where(F.contains("line", F.lit(signature))).groupBy("container", F.unix_micros("at").alias("_t")).agg(F.count("*").alias("_n"))
+    edge = lambda t, side, n: F.struct(t.alias("_t"), F.lit(side).alias("_side"), n.alias("_n"))
+    t, n = F.col("_t"), F.col("_n")
+    # What leaves at an instant still counts for it, so arrivals come first.
+    edges = hits.select("container", F.explode(F.array(edge(t, 0, n), edge(t + span_us, 1, -n))).alias("_e")).select("container", "_e.*")
+    walked = running(edges, ["container"], ["_t", "_side"], sums_through={"lines": "_n"})
+    return walked.where("_side = 0").select("container", F.col("_t").alias("at_us"), F.col("lines").cast("long").alias("lines"))
+
+
 def corruption_verdicts(trials: DataFrame) -> DataFrame:
     """TOKEN-ZERO, ok or MISS per trial, and whether the trial counts as bad."""
     long_zero = quality.is_token_zero(F.col("long_text"))

@@ -98,6 +98,18 @@ def gauge_fallback(spark, sf):
     return readings.withColumn("rate", half_even(F.col("rate"), 4))
 
 
+@query
+def series_increase(spark, sf):
+    samples = exposition.series_samples(views.worker_scrape_lines(spark, sf))
+    return counters.series_increase(samples)
+
+
+@query
+def series_acceptance(spark, sf):
+    samples = exposition.series_samples(views.worker_scrape_lines(spark, sf))
+    return counters.series_acceptance(samples)
+
+
 @query
 def counter_bracket(spark, sf):
     brackets = counters.counter_bracket(views.spans(spark, sf), views.samples(spark, sf))
@@ -531,10 +543,31 @@ def live_acceptance(spark, sf):
 
 
 @query
-def token0_guard(spark, sf):
+def scrape_advice(spark, sf):
+    """Advice from a stream of scrape text, appended as JSON lines and read back."""
+    samples = views.shape_samples(_event_stream(spark, sf))
+    lines = views.shape_scrape_lines(samples).withColumnRenamed("source", "engine")
+    path = fresh_path(spark, "scrape-advice")
+    told = live.scrape_advice(lines, window_s=3600)
+    live.start_advice(lines, f"{path}/rows", f"{path}/progress", window_s=3600).awaitTermination()
+    return spark.read.schema(told.schema).json(f"{path}/rows")
+
+
+def _document_stream(spark, sf):
     schema = views.table(spark, sf, "documents").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    return live.token0_guard(views.shape_token_chunks(docs))
+    return spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+
+
+@query
+def token0_guard(spark, sf):
+    return live.token0_guard(views.shape_token_chunks(views.shape_outputs(_document_stream(spark, sf))))
+
+
+@query
+def suspect_stream(spark, sf):
+    """The guard on every output's ids, and behind it the marks of each server."""
+    chunks = views.shape_token_chunks(views.shape_outputs(_document_stream(spark, sf)))
+    return live.drain(live.suspect_stream(chunks), "suspects")
 
 
 @query
@@ -543,6 +576,11 @@ def first_token_latency(spark, sf):
     return timed.withColumn("tok_s", half_even(F.col("tok_s"), 3))
 
 
+@query
+def log_signature_trailing(spark, sf):
+    return scans.trailing_lines(views.container_logs(spark, sf))
+
+
 @query
 def log_signature_alert(spark, sf):
     return live.log_signature_alert(views.container_logs(spark, sf))

@@ -245,10 +245,17 @@ WHERE name <> '' AND NOT starts_with(name, 'own-')
 CAPTURES = """captures AS (SELECT user_id % 10 AS node, 'incumbent-' || lpad(CAST(at_us // 60000000 AS VARCHAR), 12, '0') || '-'
   || lpad(CAST(event_id AS VARCHAR), 12, '0') AS capture, k AS containers FROM ev)"""
 
-LOGS = """lost AS (SELECT 'container-' || (user_id % 8) AS container, at_us, (at_us // 86400000000 + 1) * 86400000000
-  AS window_end_us FROM ev WHERE event_type = 'error' AND k < 10)"""
+LOGS = """lost AS (SELECT 'container-' || (user_id % 8) AS container, at_us FROM ev WHERE event_type = 'error' AND k < 10)"""
 
-ALERTS = "SELECT container, window_end_us, count(*) AS lines, min(at_us) AS first_us FROM lost {where} GROUP BY ALL"
+ALERTS = """SELECT container, told_us, count(*) AS lines, max(at_us) AS last_us FROM
+  (SELECT container, at_us, (at_us // 3600000000 + unnest(range(1, 25))) * 3600000000 AS told_us FROM lost) {where} GROUP BY ALL"""
+
+WHOLE_TEXT = "SELECT seq, rtrim(coalesce(reasoning_content, '') || coalesce(content, ''), chr(10) || chr(65533)) AS t FROM outputs"
+
+SERIES = """series AS (SELECT 'engine-' || (user_id % 8) AS source, event_id * 1000000 AS scraped_us, unnest(['accepted', 'accepted', 'drafted', 'drafted']) AS metric,
+   unnest([0, 1, 0, 1]) AS worker, CAST(unnest([event_id * 6 + k, event_id % 400 * 2 + k, event_id * 9 + 2 * k, event_id % 400 * 4 + 2 * k]) AS DOUBLE) AS value FROM ev),
+ lagged AS (SELECT *, lag(value) OVER (PARTITION BY source, metric, worker ORDER BY scraped_us) AS before FROM series),
+ grown AS (SELECT *, value < before AS again, CASE WHEN before IS NULL THEN NULL WHEN value < before THEN value ELSE value - before END AS grown FROM lagged)"""
 
 _WORD_LIST = "[" + ", ".join(f"'{w}'" for w in WORDS) + "]"
 _TASK_SQL, _QUESTION_SQL = (x.replace("\n", "' || chr(10) || '") for x in (TASK, QUESTION))
@@ -440,9 +447,11 @@ ORACLES: dict[str, str] = {
     ),
     "repeat_run_features": stack(OUTPUTS, RUNS, select="SELECT seq, longest_bang_run, total_bangs, replacement_chars, is_loop FROM looped"),
     "token_zero_outputs": stack(OUTPUTS, RUNS, select="SELECT seq, token_zero FROM looped"),
-    "token_zero_tail": """SELECT doc_id AS request_id, n AS tokens, looping, CASE WHEN looping THEN n - 15 END AS finished_len FROM
-  (SELECT doc_id, CAST(1 + doc_id % 5 + doc_id % 24 + CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 0 END AS INT) AS n,
-    doc_id % 24 >= 16 AND doc_id % 6 <> 0 AS looping FROM documents)""",
+    "token_zero_tail": stack(
+        OUTPUTS,
+        select=f"""SELECT seq AS request_id, CAST(length(t) AS INT) AS tokens, right(t, 16) = repeat('!', 16) AS looping,
+  CAST(CASE WHEN right(t, 16) = repeat('!', 16) THEN length(t) - 15 END AS INT) AS finished_len FROM ({WHOLE_TEXT})""",
+    ),
     "sticky_poison": stack(OUTPUTS, RUNS, EPOCHS, select="SELECT server, seq, epoch, is_loop, suspect FROM suspects"),
     "poison_outcomes": stack(
         OUTPUTS,
@@ -628,7 +637,24 @@ WHERE NOT EXISTS (SELECT 1 FROM measured m WHERE m.run = r.run AND m.prompt_toke
   CASE WHEN a IS NOT NULL THEN 5 END AS current_k, recommended_k, expected_gain, apply
   FROM deltas LEFT JOIN advised ON pid = sample_id""",
     ),
-    "token0_guard": "SELECT doc_id AS request_id, 2 + doc_id % 5 AS finished_len FROM documents WHERE doc_id % 24 >= 16",
+    "scrape_advice": stack(
+        EV,
+        SAMPLES,
+        ticks(3600, True),
+        DELTAS,
+        TICK_ADVICE,
+        advised("a", ADVICE_COLUMNS),
+        select=f"""SELECT engine, window_end_us, 3600 AS window_s, status,
+  CASE WHEN status IN ('ok', 'insufficient traffic') THEN drafted - pd END AS draft_tokens, {rounded("a", 3)} AS acceptance,
+  CASE WHEN a IS NOT NULL THEN 5 END AS current_k, recommended_k, expected_gain, apply
+  FROM deltas LEFT JOIN advised ON pid = sample_id""",
+    ),
+    "token0_guard": stack(
+        OUTPUTS,
+        select=f"""SELECT seq AS request_id, CAST(instr(t, repeat('!', 16)) AS BIGINT) AS finished_len
+  FROM ({WHOLE_TEXT}) WHERE contains(t, repeat('!', 16))""",
+    ),
+    "suspect_stream": stack(OUTPUTS, RUNS, EPOCHS, select="SELECT server, seq, epoch, is_loop, suspect FROM suspects"),
     "first_token_latency": stack(
         EV,
         FRAMES,
@@ -639,9 +665,23 @@ WHERE NOT EXISTS (SELECT 1 FROM measured m WHERE m.run = r.run AND m.prompt_toke
   (3 * 1000 * (1 + k)) / 1e6 AS ttft_s, CAST(CASE WHEN ends THEN m ELSE m + 1 END AS BIGINT) AS sse_chunks,
   CAST(tokens AS BIGINT) AS completion_tokens, CASE WHEN tokens > 0 THEN {rounded("tokens / wall_s", 3)} END AS tok_s
   FROM timed WHERE ends OR last_us + 7200000000 < (SELECT max(last_us) - 600000000 FROM timed)""",
+    ),
+    "log_signature_trailing": stack(
+        EV,
+        LOGS,
+        select="""SELECT DISTINCT container, at_us, count(*) OVER (PARTITION BY container ORDER BY to_timestamp(at_us / 1e6)
+    RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) AS lines FROM lost""",
     ),
     "log_signature_alert": stack(EV, LOGS, select=ALERTS.format(where="")),
     "log_signature_stream": stack(
-        EV, LOGS, select=ALERTS.format(where="WHERE window_end_us <= (SELECT max(at_us) // 1000 * 1000 - 600000000 FROM lost)")
+        EV, LOGS, select=ALERTS.format(where="WHERE told_us <= (SELECT max(at_us) // 1000 * 1000 - 600000000 FROM lost)")
+    ),
+    "series_increase": stack(EV, SERIES, select="SELECT source, scraped_us, metric, sum(coalesce(grown, 0)) AS increase, count(*) FILTER (WHERE again) AS restarts FROM grown GROUP BY ALL"),
+    "series_acceptance": stack(
+        EV,
+        SERIES,
+        select=f"""SELECT source, scraped_us, accepted, drafted, restarts, CASE WHEN drafted > 0 THEN {rounded("accepted / drafted", 6)} END AS acceptance
+  FROM (SELECT source, scraped_us, sum(coalesce(grown, 0)) FILTER (WHERE metric = 'accepted') AS accepted,
+    sum(coalesce(grown, 0)) FILTER (WHERE metric = 'drafted') AS drafted, count(*) FILTER (WHERE again) AS restarts FROM grown GROUP BY ALL)""",
     ),
 }

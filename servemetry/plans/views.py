@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import chat
+from ..functions import chat, quality
 from ..operators.keys import lookup_join
 
 CELL = ["run", "class", "concurrency", "thinking"]
@@ -101,8 +101,11 @@ def spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scrape_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return shape_scrape_lines(dealt(samples(spark, sf), "sample_id"))
+
+
+def shape_scrape_lines(s: DataFrame) -> DataFrame:
     """The samples as exposition text, with the neighbour series that must not match."""
-    s = dealt(samples(spark, sf), "sample_id")
     vllm = F.col("sample_id") % 2 == 0
     prefix = F.when(vllm, "vllm:spec_decode_").otherwise("sglang:")
     half = F.floor(F.col("accepted") / 2)
@@ -128,6 +131,20 @@ def scrape_lines(spark: SparkSession, sf: str) -> DataFrame:
     return s.select(F.col("engine").alias("source"), "scraped_us", F.explode(lines).alias("line"))
 
 
+def worker_scrape_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Scrapes of engines of two workers each, of which the second starts again with every 400th scrape; labels in either order."""
+    e = dealt(events(spark, sf), "event_id")
+    n, k = F.col("event_id"), F.col("k")
+
+    def line(counted: str, worker: int, value: Column) -> Column:
+        labels = F.when(n % 2 == 0, f'worker="{worker}",zone="a b"').otherwise(f'zone="a b",worker="{worker}"')
+        return F.concat(F.lit(f"vllm:spec_decode_num_{counted}_tokens_total{{"), labels, F.lit("} "), value.cast("string"))
+
+    again = n % 400
+    lines = F.array(line("accepted", 0, n * 6 + k), line("accepted", 1, again * 2 + k), line("draft", 0, n * 9 + 2 * k), line("draft", 1, again * 4 + 2 * k))
+    return e.select(F.concat(F.lit("engine-"), (F.col("user_id") % 8).cast("string")).alias("source"), (n * 1_000_000).alias("scraped_us"), F.explode(lines).alias("line"))
+
+
 def shape_frames(shaped: DataFrame) -> DataFrame:
     k = F.col("k")
     m = 1 + k % 5
@@ -262,10 +279,10 @@ def estimated_requests(spark: SparkSession, sf: str) -> DataFrame:
     return asked.withColumn("prompt_tokens", chat.prompt_tokens(F.col("messages"))).drop("messages")
 
 
-def outputs(spark: SparkSession, sf: str) -> DataFrame:
+def shape_outputs(docs: DataFrame) -> DataFrame:
     d = F.col("doc_id")
     bangs = F.repeat(F.lit("!"), (d % 24).cast("int"))
-    return documents(spark, sf).select(
+    return docs.select(
         F.col("source").alias("server"),
         d.alias("seq"),
         F.when(d % 5 != 0, F.col("text")).alias("reasoning_content"),
@@ -278,33 +295,35 @@ def outputs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def shape_token_ids(docs: DataFrame) -> DataFrame:
-    d = F.col("doc_id")
-    head = F.transform(F.sequence(F.lit(1).cast("long"), 1 + d % 5), lambda x: x * 7 + d)
-    zeros = F.array_repeat(F.lit(0).cast("long"), (d % 24).cast("int"))
-    ids = F.concat(head, zeros)
-    last = F.array(F.lit(1).cast("long"))
-    return docs.select(
-        d.alias("request_id"), F.when(d % 6 == 0, F.concat(ids, last)).otherwise(ids).alias("output_ids")
-    )
+def outputs(spark: SparkSession, sf: str) -> DataFrame:
+    return shape_outputs(documents(spark, sf))
+
+
+#: Ids in one chunk of a streamed output.
+CHUNK_IDS = 256
 
 
-def shape_token_chunks(docs: DataFrame, size: int = 5) -> DataFrame:
-    """The ids in chunks of `size`, each with the number of ids before it."""
+def shape_token_ids(outputs: DataFrame) -> DataFrame:
+    """Outputs as ids, one a character, with '!' as id 0; a last mark or line feed is left out."""
+    text = F.rtrim(quality.full_text(F.col("reasoning_content"), F.col("content")), F.lit("\n�"))
+    ids = F.when(text == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(text, ""), lambda c: F.ascii(c) - F.ascii(F.lit("!"))))
+    return outputs.select(F.col("seq").alias("request_id"), "server", "seq", "restart", ids.alias("output_ids"))
+
+
+def shape_token_chunks(outputs: DataFrame, size: int = CHUNK_IDS) -> DataFrame:
+    """The ids in chunks of `size`, each with the number of ids before it; an output without ids is one empty chunk."""
     ids = F.col("output_ids")
-    starts = F.sequence(F.lit(0), F.size(ids) - 1, F.lit(size))
+    starts = F.sequence(F.lit(0), F.greatest(F.size(ids) - 1, F.lit(0)), F.lit(size))
     chunks = F.transform(
-        starts, lambda i: F.struct(i.cast("long").alias("pos"), F.slice(ids, i + 1, F.lit(size)).alias("ids"))
-    )
-    return (
-        shape_token_ids(docs)
-        .select("request_id", (F.col("request_id") * 10_000_000).alias("at_us"), F.explode(chunks).alias("c"))
-        .select("request_id", "at_us", "c.*")
+        starts, lambda i: F.struct(i.cast("long").alias("pos"), F.slice(ids, i + 1, F.lit(size)).alias("ids"), (i + size >= F.size(ids)).alias("is_last"))
     )
+    told = ["request_id", "server", "seq", "restart"]
+    exploded = shape_token_ids(outputs).select(*told, ((F.col("seq") + 1) * 10_000_000).alias("at_us"), F.explode(chunks).alias("c"))
+    return exploded.select(*told, "at_us", "c.*")
 
 
 def token_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return shape_token_ids(documents(spark, sf))
+    return shape_token_ids(outputs(spark, sf))
 
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:

@@ -27,18 +27,32 @@ _LABEL = r"([A-Za-z_][A-Za-z0-9_]*)\s*=\s*" + _QUOTED
 SCRAPE = ("source", "scraped_us")
 
 
-def scrape_lines(spark: SparkSession, path: str, stamp: str = r"([0-9]{10})[^/0-9]*$") -> DataFrame:
-    """Lines of a directory of scrapes, one file per scrape.
+def _lines(read: DataFrame, stamp: str) -> DataFrame:
+    file = F.col("_metadata.file_path")
+    named = F.nullif(F.regexp_extract(file, stamp, 1), F.lit("")).cast("bigint") * 1_000_000
+    return read.select(
+        file.alias("source"),
+        F.regexp_extract(file, "([^/]+)/[^/]*$", 1).alias("engine"),
+        F.coalesce(named, F.unix_micros("_metadata.file_modification_time")).alias("scraped_us"),
+        F.col("value").alias("line"),
+    )
+
+
+_STAMP = r"([0-9]{10})[^/0-9]*$"
+
+
+def scrape_lines(spark: SparkSession, path: str, stamp: str = _STAMP) -> DataFrame:
+    """Lines of folders of scrapes, one file per scrape; the folder of a file names its engine.
 
     The time of a scrape is the first group of `stamp` in its file name, in seconds since 1970; where
     the name has none, the time at which the file was last written.
     """
-    named = F.nullif(F.regexp_extract(F.col("_metadata.file_path"), stamp, 1), F.lit("")).cast("bigint") * 1_000_000
-    return spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("source"),
-        F.coalesce(named, F.unix_micros("_metadata.file_modification_time")).alias("scraped_us"),
-        F.col("value").alias("line"),
-    )
+    return _lines(spark.read.option("recursiveFileLookup", True).text(path), stamp)
+
+
+def scrape_line_stream(spark: SparkSession, path: str, stamp: str = _STAMP, **options) -> DataFrame:
+    """The same as a stream that sees each new file; `options` are those of Spark's file source."""
+    return _lines(spark.readStream.options(recursiveFileLookup=True, **options).text(path), stamp)
 
 
 def sample_name(line: Column) -> Column:
@@ -54,6 +68,15 @@ def sample_labels(line: Column) -> Column:
     return F.arrays_zip(names.alias("name"), plain.alias("value"))
 
 
+def label_map(line: Column) -> Column:
+    """Labels of a sample line as a map; of a name given twice the last value counts."""
+    labels = sample_labels(line)
+    names, values = F.transform(labels, lambda x: x["name"]), F.transform(labels, lambda x: x["value"])
+    later = F.filter(F.sequence(F.lit(1), F.size(names)), lambda i: ~F.array_contains(F.slice(names, i + 1, F.size(names)), F.get(names, i - 1)))
+    kept = F.when(F.size(names) > 0, later).otherwise(F.array().cast("array<int>"))
+    return F.map_from_arrays(F.transform(kept, lambda i: F.get(names, i - 1)), F.transform(kept, lambda i: F.get(values, i - 1)))
+
+
 def sample_value(line: Column) -> Column:
     """Number of a sample line; null if there is none."""
     return F.nullif(F.regexp_extract(line, _SAMPLE, 3), F.lit("")).try_cast("double")
@@ -105,3 +128,14 @@ def scrape_readings(lines: DataFrame, scrape: Sequence[str] = SCRAPE) -> DataFra
         F.when(counted, F.col("drafted")).alias("drafted"),
         F.when(gauged, F.col("rate")).alias("rate"),
     )
+
+
+def series_samples(lines: DataFrame, scrape: Sequence[str] = SCRAPE) -> DataFrame:
+    """The accepted and drafted totals of each scrape series by series: metric, labels (a map), series (their text in order of name), value."""
+    labelled = _told(lines).where(F.col("_name").isin(*TOTALS)).withColumn("labels", label_map(F.col("line")))
+    in_order = F.array_sort(F.map_entries("labels"))
+    series = F.array_join(F.transform(in_order, lambda x: F.concat(x["key"], F.lit("="), F.to_json(F.array(x["value"])))), ",")
+    return labelled.select(
+        *scrape, _of(F.col("_name"), 0).alias("engine_family"), _of(F.col("_name"), 1).alias("metric"), "labels",
+        F.concat("_name", F.lit("{"), series, F.lit("}")).alias("series"), F.col("_value").alias("value"),
+    )

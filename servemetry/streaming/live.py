@@ -1,52 +1,60 @@
-"""Streaming twins of the counter, guard and latency jobs, and the log alert.
+"""Streams: draft-depth advice, the token-zero guard with its marks, first-token latency, the log alert.
 
-State is a table carried from batch to batch (see `carry`), so every step runs
-the same column rules and operators as the batch jobs, on the JVM.
+Windows, duplicates and watermarks are Spark's own; what a window cannot hold stands in Spark's keyed state
+(`transformWithState`), so a batch touches the keys it has rows for and a restarted query goes on from its
+checkpoint. Lines and token ids are reduced to numbers by column rules before they reach a state.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from collections.abc import Iterator
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.numeric import order_of
 from ..functions.quality import TOKEN_ZERO_RUN
-from ..operators.counters import MIN_DRAFT_TOKENS, counter_window_delta, recommend_k
-from ..operators.ordered import running
-from ..sources.frames import read_requests
-from ..sources.storage import fresh_path, pin
-from .carry import drain_carrying
+from ..operators.counters import MIN_DRAFT_TOKENS, recommend_k
+from ..operators.quality import LOST_GPU
+from ..sources.exposition import scrape_readings
+from ..sources.frames import with_frame_columns
+from ..sources.storage import fresh_path
 
 WINDOW_S = 300
-LATE_S = 600
+LATE = "10 minutes"
 SILENT_S = 7200
-# Fixed value: what a server logs when it lost its GPU.
-LOST_GPU = "ggml_cuda_init: failed"
 
-PAIR_STATE = "engine string, window_end_us long, kind string, accepted double, drafted double"
-RUN_STATE = "request_id {id}, last_other long, aborted boolean, last_us long, clock_us long"
-REQUEST_STATE = (
-    "request_id {id}, sent_us long, first_us long, last_us long, chunks long, completion_tokens long, done boolean,"
-    " clock_us long"
-)
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def state_of(schema: str, stream: DataFrame) -> str:
-    """A state schema whose ids have the type they have in the stream."""
-    return schema.format(id=stream.schema["request_id"].dataType.simpleString())
+def _keyed(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, time: str = "None") -> DataFrame:
+    """`processor` over the rows of each key, appending; its state needs the RocksDB store."""
+    spark = stream.sparkSession
+    if "RocksDB" not in spark.conf.get(_STORE, ""):
+        spark.conf.set(_STORE, _ROCKSDB)
+    return stream.groupBy(key).transformWithState(processor, schema, "Append", time)
+
+
+class _Processor(StatefulProcessor):
+    """A processor whose only state is one value."""
+
+    state: str
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", self.state)
 
-def _clock(seen: DataFrame, state: DataFrame) -> Column:
-    """Newest event time that counted so far; `seen` is pinned, one row per request."""
-    return F.greatest(seen.select(F.max("_last_us")).scalar(), state.select(F.max("clock_us")).scalar())
+    def close(self) -> None:
+        pass
 
 
 # Draft-depth advice ------------------------------------------------------
 
 
-def window_ticks(samples: DataFrame, window_s: int = WINDOW_S, late: str = "10 minutes") -> DataFrame:
+def window_ticks(samples: DataFrame, window_s: int = WINDOW_S, late: str = LATE) -> DataFrame:
     """The last scrape of each engine and closed tumbling window, reduced map-side."""
     last = order_of(samples, "scraped_us", "sample_id")
     return (
@@ -58,142 +66,254 @@ def window_ticks(samples: DataFrame, window_s: int = WINDOW_S, late: str = "10 m
             F.max_by("accepted", last).alias("accepted"),
             F.max_by("drafted", last).alias("drafted"),
         )
-        .select(
-            "engine",
-            F.unix_micros("window.end").alias("window_end_us"),
-            F.when(F.col("_counter"), "counter").alias("kind"),
-            "accepted",
-            "drafted",
-        )
+        .select("engine", F.unix_micros("window.end").alias("window_end_us"), F.col("_counter").alias("counted"), "accepted", "drafted")
     )
 
 
-def advice_step(ticks: DataFrame, state: DataFrame, *, min_draft: int, **depths) -> DataFrame:
-    """Delta of each closed window to the last good one, and advice on it."""
-    ticks = pin(ticks)
-    known = state.withColumn("emit", F.lit(False)).unionByName(ticks.withColumn("emit", F.lit(True)))
-    shaped = known.select(
-        "engine",
-        F.col("window_end_us").alias("scraped_us"),
-        F.col("emit").cast("int").alias("sample_id"),
-        "kind",
-        "accepted",
-        "drafted",
-    )
-    told = recommend_k(counter_window_delta(shaped, min_draft), **depths).where("sample_id = 1")
-    good = known.where("kind = 'counter'").groupBy("engine").agg(
-        F.max_by(F.struct("window_end_us", "kind", "accepted", "drafted"), "window_end_us").alias("_last")
-    )
-    rows = told.select(
-        "engine",
-        F.col("scraped_us").alias("window_end_us"),
-        "status",
-        "draft_tokens",
-        F.col("advice"),
-        F.lit(True).alias("emit"),
-        F.lit(False).alias("keep"),
-    )
-    kept = good.select("engine", "_last.*", F.lit(False).alias("emit"), F.lit(True).alias("keep"))
-    return rows.unionByName(kept, allowMissingColumns=True)
+class WindowDelta(_Processor):
+    """The delta of each closed window to the engine's last counters, which are the state.
 
+    A window without counters keeps them, so the next delta spans it. The engine's first window only
+    starts the series.
+    """
 
-def live_acceptance(
-    samples: DataFrame, *, window_s: int = WINDOW_S, min_draft: int = MIN_DRAFT_TOKENS, folder: str | None = None, **depths
-) -> DataFrame:
-    """Draft-depth advice per engine and closed window of a stream of samples."""
-    step = partial(advice_step, min_draft=min_draft, **depths)
-    rows = drain_carrying(window_ticks(samples, window_s), step, PAIR_STATE, "live-acceptance", folder)
-    return rows.select(
-        "engine", "window_end_us", F.lit(window_s).alias("window_s"), "status", "draft_tokens", "advice.*"
+    state = "accepted double, drafted double"
+    rows = "engine {key}, window_end_us long, status string, draft_tokens double, acceptance double"
+
+    def __init__(self, min_draft: float):
+        self.min_draft = min_draft
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        before = self.held.get()
+        for r in sorted(rows, key=lambda r: r.window_end_us):
+            moved = r.drafted - before[1] if before and r.counted else None
+            status, acceptance = "ok", None
+            if before is None:
+                status = "starting"
+            elif moved is None:
+                status = "metrics-unavailable"
+            elif moved < self.min_draft:
+                status = "insufficient traffic"
+            else:
+                acceptance = (r.accepted - before[0]) / moved
+            yield Row(engine=key[0], window_end_us=r.window_end_us, status=status, draft_tokens=moved, acceptance=acceptance)
+            if r.counted:
+                before = (r.accepted, r.drafted)
+                self.held.update(before)
+
+
+def advice_stream(ticks: DataFrame, *, window_s: int = WINDOW_S, min_draft: float = MIN_DRAFT_TOKENS, **depths) -> DataFrame:
+    """Draft-depth advice per engine and closed window, as a stream."""
+    schema = WindowDelta.rows.format(key=ticks.schema["engine"].dataType.simpleString())
+    told = recommend_k(_keyed(ticks, "engine", WindowDelta(min_draft), schema), **depths)
+    return told.select("engine", "window_end_us", F.lit(window_s).alias("window_s"), "status", "draft_tokens", "advice.*")
+
+
+def live_acceptance(samples: DataFrame, *, window_s: int = WINDOW_S, late: str = LATE, folder: str | None = None, **rules) -> DataFrame:
+    """Advice on a stream of samples, over everything there is now."""
+    return drain(advice_stream(window_ticks(samples, window_s, late), window_s=window_s, **rules), "live-acceptance", folder)
+
+
+def scrape_ticks(lines: DataFrame, window_s: int = WINDOW_S, late: str = LATE) -> DataFrame:
+    """Window ticks from a stream of scrape lines (engine, scraped_us, line).
+
+    A line that is delivered again while its scrape may still come late counts once. The series of a
+    scrape are summed when its window closes, and the window's last scrape is its tick.
+    """
+    timed = lines.select("engine", "scraped_us", "line", F.timestamp_micros("scraped_us").alias("at"))
+    once = timed.withWatermark("at", late).dropDuplicatesWithinWatermark(["engine", "scraped_us", "line"])
+    windowed = once.withColumn("window", F.window("at", f"{window_s} seconds"))
+    readings = scrape_readings(windowed, ("engine", "window", "scraped_us"))
+    return (
+        readings.groupBy("engine", "window")
+        .agg(
+            F.max_by(F.coalesce(F.col("kind") == "counter", F.lit(False)), "scraped_us").alias("counted"),
+            F.max_by("accepted", "scraped_us").alias("accepted"),
+            F.max_by("drafted", "scraped_us").alias("drafted"),
+        )
+        .select("engine", F.unix_micros("window.end").alias("window_end_us"), "counted", "accepted", "drafted")
     )
 
 
-# Token-zero guard --------------------------------------------------------
+def scrape_advice(lines: DataFrame, *, window_s: int = WINDOW_S, late: str = LATE, **rules) -> DataFrame:
+    """Advice on a stream of scrape lines."""
+    return advice_stream(scrape_ticks(lines, window_s, late), window_s=window_s, **rules)
 
 
-def guard_step(
-    chunks: DataFrame, state: DataFrame, *, run: int = TOKEN_ZERO_RUN, late_s: int = LATE_S, silent_s: int = SILENT_S
-) -> DataFrame:
-    """Requests whose newest ids became a run of zeros, and where to cut them.
+def start_advice(lines: DataFrame, path: str, progress: str, *, trigger: dict | None = None, **rules) -> StreamingQuery:
+    """Append advice on scrape lines to JSON files under `path`, each engine and window exactly once.
 
-    `chunks` carries request_id, at_us, ids and pos, the number of ids before
-    the chunk. Carried state is the place of the last other id.
+    `progress` keeps the query's place: started again after a failure it goes on there, and the files'
+    own log tells readers which of them count. `trigger` is that of `DataStreamWriter.trigger`; without
+    one the query ends with the input there is now.
     """
+    advice = scrape_advice(lines, **rules)
+    return (
+        advice.writeStream.outputMode("append").format("json").option("path", path).option("checkpointLocation", progress)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
+# Token-zero guard --------------------------------------------------------
+
+
+def zero_runs(chunks: DataFrame, run: int = TOKEN_ZERO_RUN) -> DataFrame:
+    """Chunks (request_id, pos, ids, ...) with numbers instead of ids: size, zeros in front and behind, place of the first run inside."""
     shape = F.array_join(F.transform("ids", lambda t: F.when(t == 0, "0").otherwise("x")), "")
-    fresh = chunks.select("request_id", "pos", "at_us", shape.alias("_shape")).withColumn(
-        "_other", F.length(F.rtrim(F.col("_shape"), F.lit("0")))
+    place = F.locate("0" * run, F.col("_shape"))
+    kept = [c for c in chunks.columns if c != "ids"]
+    return chunks.withColumn("_shape", shape).select(
+        *kept,
+        F.size("ids").alias("size"),
+        (F.size("ids") - F.length(F.ltrim(F.col("_shape"), F.lit("0")))).alias("front"),
+        (F.size("ids") - F.length(F.rtrim(F.col("_shape"), F.lit("0")))).alias("behind"),
+        F.when(place > 0, place + run - 1).alias("inside"),
     )
-    rows = fresh.select("request_id", "pos", "at_us", "_shape", F.when(F.col("_other") > 0, F.col("pos") + F.col("_other")).alias("_other"))
-    carried = state.select(
-        "request_id",
-        F.lit(-1).cast("long").alias("pos"),
-        F.col("last_us").alias("at_us"),
-        F.lit("").alias("_shape"),
-        F.col("last_other").alias("_other"),
-    )
-    walked = running(rows.unionByName(carried), ["request_id"], ["pos"], lasts={"_before": "_other"})
-    # Zeros carried into the chunk stand in front of it; more than run - 1 add nothing.
-    ahead = F.least(F.col("pos") - F.coalesce("_before", F.lit(0)), F.lit(run - 1)).cast("int")
-    place = F.locate("0" * run, F.concat(F.repeat(F.lit("0"), F.greatest(ahead, F.lit(0))), F.col("_shape")))
-    hit = F.when((F.col("pos") >= 0) & (place > 0), F.col("pos") + place + (run - 1) - ahead)
-    seen = walked.groupBy("request_id").agg(
-        F.min(hit).alias("_hit"), F.max("_other").alias("last_other"), F.max("at_us").alias("_last_us")
-    )
-    seen = pin(seen)
-    was = F.coalesce(F.col("_was"), F.lit(False))
-    told = seen.join(state.select("request_id", F.col("aborted").alias("_was")), "request_id", "left")
-    return told.select(
-        "request_id",
-        (F.col("_hit") - run + 1).cast("long").alias("finished_len"),
-        F.coalesce("last_other", F.lit(0)).cast("long").alias("last_other"),
-        (was | F.col("_hit").isNotNull()).alias("aborted"),
-        F.col("_last_us").alias("last_us"),
-        _clock(seen, state).alias("clock_us"),
-        (~was & F.col("_hit").isNotNull()).alias("emit"),
-    ).withColumn("keep", F.col("last_us") + silent_s * 1_000_000 >= F.col("clock_us") - late_s * 1_000_000)
 
 
-def token0_guard(chunks: DataFrame, *, folder: str | None = None, **limits) -> DataFrame:
-    """Aborted requests of a stream of chunks, over everything there is now; ids of any type."""
-    rows = drain_carrying(chunks, partial(guard_step, **limits), state_of(RUN_STATE, chunks), "token0-guard", folder)
-    return rows.select("request_id", "finished_len")
+class ZeroRun(_Processor):
+    """Where a request's first run of zeros ends; state are the zeros that stand at its end so far.
 
+    `every` reports each request at its last chunk (`is_last`), looping or not; else only those that loop,
+    as soon as they do. State that no chunk has touched for `keep_ms` of event time is cleared by its timer.
+    """
 
-# First token latency -----------------------------------------------------
+    state = "zeros long, finished long, last_ms long"
+    rows = "request_id {key}, server string, seq long, restart boolean, finished_len long"
+
+    def __init__(self, run: int, every: bool, keep_ms: int):
+        self.run, self.every, self.keep_ms = run, every, keep_ms
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        zeros, finished, last_ms = self.held.get() or (0, None, 0)
+        last = None
+        for r in sorted(rows, key=lambda r: r.pos):
+            end, last_ms = None, max(last_ms, r.at_us // 1000)
+            if finished is None:
+                ahead = min(zeros, self.run - 1)
+                end = self.run - ahead if ahead and ahead + r.front >= self.run else r.inside
+            zeros = zeros + r.size if r.front == r.size else r.behind
+            if end is not None:
+                finished = r.pos + end - self.run + 1
+            if (r.is_last if self.every else end is not None):
+                last = r
+        if last is not None:
+            yield Row(request_id=key[0], server=last.server, seq=last.seq, restart=last.restart, finished_len=finished)
+        self.held.update((zeros, finished, last_ms))
+        self.handle.registerTimer(last_ms + self.keep_ms)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        held = self.held.get()
+        if held is not None and expiredTimerInfo.getExpiryTimeInMs() >= held[2] + self.keep_ms:
+            self.held.clear()
+        yield from ()
+
+
+class Suspects(_Processor):
+    """Outputs of a server that follow a looping one since its last restart; the epoch and whether one looped are the state."""
+
+    state = "epoch long, poisoned boolean"
+    rows = "server string, seq long, epoch long, is_loop boolean, suspect boolean"
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        epoch, poisoned = self.held.get() or (0, False)
+        for r in sorted(rows, key=lambda r: r.seq):
+            if r.restart:
+                epoch, poisoned = epoch + 1, False
+            loops = r.finished_len is not None
+            yield Row(server=key[0], seq=r.seq, epoch=epoch, is_loop=loops, suspect=poisoned)
+            poisoned = poisoned or loops
+        self.held.update((epoch, poisoned))
+
+
+def _guarded(chunks: DataFrame, run: int, every: bool, silent_s: int, late: str) -> DataFrame:
+    known = {c: F.lit(None).cast(kind) for c, kind in (("server", "string"), ("seq", "long"), ("restart", "boolean"), ("is_last", "boolean")) if c not in chunks.columns}
+    shaped = zero_runs(chunks.withColumns(known | {"at": F.timestamp_micros("at_us")}), run).withWatermark("at", late)
+    schema = ZeroRun.rows.format(key=chunks.schema["request_id"].dataType.simpleString())
+    return _keyed(shaped, "request_id", ZeroRun(run, every, silent_s * 1000), schema, "EventTime")
+
+
+def token0_guard(
+    chunks: DataFrame, *, run: int = TOKEN_ZERO_RUN, silent_s: int = SILENT_S, late: str = LATE, folder: str | None = None
+) -> DataFrame:
+    """Requests that looped, each once, and where to cut them, over everything there is now.
 
+    `chunks` carries request_id of any type, pos (ids before the chunk), at_us and ids. A request's chunks
+    come in order of pos from batch to batch.
+    """
+    found = _guarded(chunks, run, False, silent_s, late).select("request_id", "finished_len")
+    return drain(found, "token0-guard", folder)
 
-def latency_step(frames: DataFrame, state: DataFrame, *, late_s: int = LATE_S, silent_s: int = SILENT_S) -> DataFrame:
-    """Open requests, those that ended in this batch, and those fallen silent.
 
-    Frames behind the end marker do not count, in this batch or a later one.
+def suspect_stream(chunks: DataFrame, *, run: int = TOKEN_ZERO_RUN, silent_s: int = SILENT_S, late: str = LATE) -> DataFrame:
+    """Marks of all outputs, as a stream: the guard, and behind it what each server did before.
+
+    `chunks` also carry server, seq (the order of a server's outputs, in which they end), restart and is_last.
     """
-    read = read_requests(frames)
-    new = pin(read.withColumnsRenamed({c: f"_{c}" for c in read.columns if c != "request_id"}))
-    was = F.coalesce("done", F.lit(False))
-    both = state.drop("clock_us").join(new, "request_id", "full")
-    merged = both.select(
-        "request_id",
-        F.coalesce("sent_us", "_sent_us").alias("sent_us"),
-        F.when(was, F.col("first_us")).otherwise(F.coalesce("first_us", "_first_us")).alias("first_us"),
-        F.when(was, F.col("last_us")).otherwise(F.greatest("last_us", "_last_us")).alias("last_us"),
-        (F.coalesce("chunks", F.lit(0)) + F.when(was, 0).otherwise(F.coalesce("_chunks", F.lit(0)))).cast("long").alias("chunks"),
-        F.when(was, F.col("completion_tokens"))
-        .otherwise(F.coalesce("_completion_tokens", "completion_tokens"))
-        .alias("completion_tokens"),
-        (was | F.coalesce("_done", F.lit(False))).alias("done"),
-        was.alias("_was"),
-        _clock(new, state).alias("clock_us"),
-    )
-    silent = F.col("last_us") + silent_s * 1_000_000 < F.col("clock_us") - late_s * 1_000_000
-    ended = F.when(F.col("done") & ~F.col("_was"), "done").when(~F.col("done") & silent, "timeout")
-    # A finished request is remembered only as long as frames may come late, so that those count nowhere.
-    stale = F.col("last_us") + late_s * 1_000_000 < F.col("clock_us") - late_s * 1_000_000
-    return merged.withColumns({"ended": ended, "emit": ended.isNotNull(), "keep": ~F.when(F.col("done"), stale).otherwise(silent)}).drop("_was")
+    ended = _guarded(chunks, run, True, silent_s, late)
+    return _keyed(ended, "server", Suspects(), Suspects.rows)
 
 
-def first_token_latency(frames: DataFrame, *, folder: str | None = None, **limits) -> DataFrame:
-    """Time to first token and rate of each live request, at its end or when it falls silent."""
-    rows = drain_carrying(frames, partial(latency_step, **limits), state_of(REQUEST_STATE, frames), "first-token", folder)
+# First token latency -----------------------------------------------------
+
+
+class OpenRequest(_Processor):
+    """A request from its frames; state is what has been read of it.
+
+    It ends with its end marker, or when the watermark is `silent_ms` past its last frame. A finished
+    request is remembered until the watermark passes its last frame, so that frames behind the marker
+    count nowhere; its timer then removes it.
+    """
+
+    state = "sent long, first long, last long, chunks long, tokens long, done boolean"
+    rows = "request_id {key}, ended string, sent_us long, first_us long, last_us long, chunks long, completion_tokens long"
+
+    def __init__(self, silent_ms: int):
+        self.silent_ms = silent_ms
+
+    def _row(self, key: Any, ended: str, held: tuple) -> Row:
+        sent, first, last, chunks, tokens, _ = held
+        return Row(request_id=key[0], ended=ended, sent_us=sent, first_us=first, last_us=last, chunks=chunks, completion_tokens=tokens)
+
+    def _expiry(self, held: tuple) -> int:
+        return held[2] // 1000 + (1 if held[5] else self.silent_ms)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        before = self.held.get()
+        if before is not None and before[5]:
+            return
+        sent, first, last, chunks, tokens, done = before or (None, None, None, 0, None, False)
+        for r in sorted(rows, key=lambda r: r.seq):
+            sent = r.sent_us if sent is None else min(sent, r.sent_us)
+            last = r.at_us if last is None else max(last, r.at_us)
+            if r.chunks:
+                chunks, first = chunks + r.chunks, r.at_us if first is None else min(first, r.at_us)
+            tokens = tokens if r.completion_tokens is None else r.completion_tokens
+            if r.is_end:
+                done = True
+                break
+        held = (sent, first, last, chunks, tokens, done)
+        if done:
+            yield self._row(key, "done", held)
+        self.held.update(held)
+        self.handle.registerTimer(self._expiry(held))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        held = self.held.get()
+        # A timer that later frames have overtaken does nothing.
+        if held is not None and expiredTimerInfo.getExpiryTimeInMs() >= self._expiry(held):
+            if not held[5]:
+                yield self._row(key, "timeout", held)
+            self.held.clear()
+
+
+def latency_stream(frames: DataFrame, *, late: str = LATE, silent_s: int = SILENT_S) -> DataFrame:
+    """Time to first token and rate of each live request, at its end or when it falls silent, as a stream."""
+    parsed = with_frame_columns(frames).select(
+        "request_id", "seq", "sent_us", "at_us", "chunks", "completion_tokens", "is_end", F.timestamp_micros("at_us").alias("at")
+    )
+    schema = OpenRequest.rows.format(key=frames.schema["request_id"].dataType.simpleString())
+    rows = _keyed(parsed.withWatermark("at", late), "request_id", OpenRequest(silent_s * 1000), schema, "EventTime")
     wall = (F.col("last_us") - F.col("sent_us")) / 1e6
     tokens = F.coalesce("completion_tokens", F.lit(0))
     return rows.select(
@@ -207,30 +327,28 @@ def first_token_latency(frames: DataFrame, *, folder: str | None = None, **limit
     )
 
 
+def first_token_latency(frames: DataFrame, *, folder: str | None = None, **limits) -> DataFrame:
+    """The same over everything there is now; ids of any type."""
+    return drain(latency_stream(frames, **limits), "first-token", folder)
+
+
 # Log alert ---------------------------------------------------------------
 
 
-def log_signature_alert(
-    logs: DataFrame, *, signature: str = LOST_GPU, window: str = "24 hours", late: str = "10 minutes"
-) -> DataFrame:
-    """Containers that logged the signature, per window; for tables and streams alike."""
+def log_signature_alert(logs: DataFrame, *, signature: str = LOST_GPU, window: str = "24 hours", slide: str = "1 hour", late: str = LATE) -> DataFrame:
+    """Containers that logged the signature within the `window` before each full `slide`; a closed window is told once."""
     return (
         logs.where(F.contains("line", F.lit(signature)))
         .withWatermark("at", late)
-        .groupBy("container", F.window("at", window))
-        .agg(F.count("*").alias("lines"), F.min("at").alias("first_at"))
-        .select(
-            "container",
-            F.unix_micros("window.end").alias("window_end_us"),
-            "lines",
-            F.unix_micros("first_at").alias("first_us"),
-        )
+        .groupBy("container", F.window("at", window, slide))
+        .agg(F.count("*").alias("lines"), F.max("at").alias("last_at"))
+        .select("container", F.unix_micros("window.end").alias("told_us"), "lines", F.unix_micros("last_at").alias("last_us"))
     )
 
 
 def drain(stream: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """Append a stream to a table, over everything there is now, and read it back."""
-    spark = stream.sparkSession
+    spark: SparkSession = stream.sparkSession
     folder = folder or fresh_path(spark, label)
     query = (
         stream.writeStream.outputMode("append")
