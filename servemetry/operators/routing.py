@@ -16,6 +16,14 @@ from ..functions.numeric import order_key
 from .keys import lookup_join, null_safe_join
 from .order_stats import nearest_rank
 from .ordered import running
+from ..sources.storage import pin
+
+_ROW = "_request_row"
+
+
+def _numbered(requests: DataFrame) -> DataFrame:
+    """The rows, fixed, each with a number of its own, as ids may be null or given twice."""
+    return requests if _ROW in requests.columns else pin(requests.withColumn(_ROW, F.monotonically_increasing_id()))
 
 
 def inflight_at(holds: DataFrame, probes: DataFrame, resource: str = "lane") -> DataFrame:
@@ -23,9 +31,10 @@ def inflight_at(holds: DataFrame, probes: DataFrame, resource: str = "lane") ->
 
     `holds` carries the resource, request_id, start_us and end_us; `probes` the
     resource, request_id and at_us. At one instant releases come first, then
-    arrivals by id; a request never counts itself. A hold of no length never
-    occupies anything.
+    arrivals by id and row; a request never counts itself. A hold of no length never
+    occupies anything. Where both have the row numbers of `_numbered`, each probe keeps its own.
     """
+    row = [_ROW] if _ROW in holds.columns and _ROW in probes.columns else []
     held = holds.where("end_us > start_us").select(
         resource,
         F.explode(
@@ -35,18 +44,20 @@ def inflight_at(holds: DataFrame, probes: DataFrame, resource: str = "lane") ->
             )
         ).alias("_e"),
         F.col("request_id").alias("_id"),
+        *row,
         F.lit(1).alias("_sub"),
     )
     asked = probes.select(
         resource,
         F.struct(F.col("at_us").alias("_t"), F.lit(1).alias("_kind"), F.lit(0).alias("_delta")).alias("_e"),
         F.col("request_id").alias("_id"),
+        *row,
         F.lit(0).alias("_sub"),
     )
-    events = held.unionByName(asked).select(resource, "_e._t", "_e._kind", "_e._delta", "_id", "_sub")
-    counted = running(events, [resource], ["_t", "_kind", "_id", "_sub"], sums={"inflight": "_delta"})
+    events = held.unionByName(asked).select(resource, "_e._t", "_e._kind", "_e._delta", "_id", *row, "_sub")
+    counted = running(events, [resource], ["_t", "_kind", "_id", *row, "_sub"], sums={"inflight": "_delta"})
     return counted.where("_kind = 1 AND _sub = 0").select(
-        resource, F.col("_id").alias("request_id"), F.col("_t").alias("at_us"), F.col("inflight").cast("long").alias("inflight")
+        resource, F.col("_id").alias("request_id"), *row, F.col("_t").alias("at_us"), F.col("inflight").cast("long").alias("inflight")
     )
 
 
@@ -77,16 +88,18 @@ def least_outstanding(
 
     `backends` lists lane, backend and ord; the first in order wins ties and a
     lane that is full as a whole gives none. A request of a lane without backends has a null pick.
+    Rows that share an id, or have none, are requests of their own.
     """
-    arrivals = requests.select("lane", "request_id", F.col("start_us").alias("at_us"))
+    requests = _numbered(requests)
+    arrivals = requests.select("lane", "request_id", _ROW, F.col("start_us").alias("at_us"))
     choices = backends.groupBy("lane").agg(F.collect_set(F.struct("backend", "ord")).alias("_choices"))
     offered = (
         lookup_join(arrivals, choices, ["lane"])
-        .select("lane", "request_id", "at_us", F.explode("_choices").alias("_choice"))
-        .select("lane", "request_id", "at_us", "_choice.*")
+        .select("lane", "request_id", _ROW, "at_us", F.explode("_choices").alias("_choice"))
+        .select("lane", "request_id", _ROW, "at_us", "_choice.*")
     )
     loads = lookup_join(inflight_at(requests, offered, "backend"), backends, ["backend"])
-    least = loads.groupBy("lane", "request_id").agg(
+    least = loads.groupBy("lane", "request_id", _ROW).agg(
         F.min_by("ord", order_key(F.col("inflight"), F.col("ord"))).alias("ord"), F.sum("inflight").alias("lane_inflight")
     )
     picked = lookup_join(least, backends, ["lane", "ord"]).select(
@@ -101,10 +114,15 @@ def least_outstanding(
 
 
 def decide_lane(requests: DataFrame, **rules) -> DataFrame:
-    """Add the lane and rule the policy gives, from what was in flight on depth."""
-    depth = requests.where("lane = 'depth'").select("lane", "request_id", "start_us", "end_us")
-    probes = requests.select(F.lit("depth").alias("lane"), "request_id", F.col("start_us").alias("at_us"))
-    load = inflight_at(depth, probes).select("request_id", F.col("inflight").alias("depth_inflight"))
+    """Add the lane and rule the policy gives, from what was in flight on depth; every row keeps its own, also where ids repeat or are null."""
+    numbered = _numbered(requests)
+    return _decided(numbered, **rules).drop(_ROW)
+
+
+def _decided(requests: DataFrame, **rules) -> DataFrame:
+    depth = requests.where("lane = 'depth'").select("lane", "request_id", _ROW, "start_us", "end_us")
+    probes = requests.select(F.lit("depth").alias("lane"), "request_id", _ROW, F.col("start_us").alias("at_us"))
+    load = inflight_at(depth, probes).select(_ROW, F.col("inflight").alias("depth_inflight"))
     choice = chat.lane_choice(
         chat.requested_lane(F.col("model"), F.col("header_lane")),
         F.col("prompt_tokens"),
@@ -114,7 +132,7 @@ def decide_lane(requests: DataFrame, **rules) -> DataFrame:
     passthrough = F.struct(F.lit("depth").alias("lane"), F.lit("passthrough").alias("rule"))
     routed = F.when(chat.is_generate_path(F.col("path")), choice).otherwise(passthrough)
     return (
-        requests.join(load, "request_id")
+        requests.join(load, _ROW)
         .withColumn("_routed", routed)
         .withColumn("derived_lane", F.col("_routed.lane"))
         .withColumn("derived_rule", F.col("_routed.rule"))
@@ -126,10 +144,15 @@ def decide_lane(requests: DataFrame, **rules) -> DataFrame:
 def admission(
     decided: DataFrame, *, ceiling: int = chat.DEPTH_CEILING, lane_max: int = chat.LANE_MAX_INFLIGHT
 ) -> DataFrame:
-    """Add the typed refusal, and by how much a too large request overshoots."""
-    holds = decided.select("lane", "request_id", "start_us", "end_us")
-    probes = decided.select(F.col("derived_lane").alias("lane"), "request_id", F.col("start_us").alias("at_us"))
-    load = inflight_at(holds, probes).select("request_id", F.col("inflight").alias("lane_inflight"))
+    """Add the typed refusal, and by how much a too large request overshoots; every row keeps its own."""
+    numbered = _numbered(decided)
+    return _admitted(numbered, ceiling, lane_max).drop(_ROW)
+
+
+def _admitted(decided: DataFrame, ceiling: int, lane_max: int) -> DataFrame:
+    holds = decided.select("lane", "request_id", _ROW, "start_us", "end_us")
+    probes = decided.select(F.col("derived_lane").alias("lane"), "request_id", _ROW, F.col("start_us").alias("at_us"))
+    load = inflight_at(holds, probes).select(_ROW, F.col("inflight").alias("lane_inflight"))
     refused = chat.refusal(
         F.col("path"),
         F.col("body_ok"),
@@ -144,7 +167,7 @@ def admission(
     )
     over = F.col("prompt_tokens") + chat.requested_max_tokens(F.col("max_tokens")) - ceiling
     return (
-        decided.join(load, "request_id")
+        decided.join(load, _ROW)
         .withColumn("_refused", refused)
         .withColumn("refusal_code", F.col("_refused.code"))
         .withColumn("refusal_kind", F.col("_refused.kind"))
@@ -161,7 +184,7 @@ def routing_audit(
     **rules,
 ) -> DataFrame:
     """One row per request: recorded against derived lane, and any refusal."""
-    judged = admission(decide_lane(requests, **rules), ceiling=ceiling, lane_max=lane_max)
+    judged = _admitted(_decided(_numbered(requests), **rules), ceiling, lane_max).drop(_ROW)
     return judged.withColumn("mismatch", ~F.col("lane").eqNullSafe(F.col("derived_lane")))
 
 

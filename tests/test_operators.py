@@ -454,3 +454,16 @@ def test_salted_join_keeps_every_row(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert rows(lookup_join(big, small, ["k"]), "i", "v") == shuffled
     assert len(shuffled) == 201
+
+
+def test_requests_that_share_an_id_or_have_none_keep_their_rows(spark):
+    columns = "request_id long, lane string, backend string, start_us long, end_us long, header_lane string, model string, path string, body_ok boolean, draining boolean, backend_failed boolean, max_tokens long, prompt_tokens long"
+    made = [(rid, lane, backend, at, at + 100, None, "m", "/v1/chat/completions", True, False, False, 10, 5)
+            for rid, lane, backend, at in ((1, "depth", "depth", 10), (1, "depth", "depth", 20), (None, "depth", "depth", 30), (None, "fleet", "fleet-A", 40), (2, "fleet", "fleet-B", 50))]
+    asked = spark.createDataFrame(made, columns)
+    audited = routing.routing_audit(asked, lane_max=4, split_enabled=True, fleet_enabled=True).collect()
+    assert sorted((r.start_us, r.depth_inflight, r.lane_inflight) for r in audited) == [(10, 0, 0), (20, 1, 1), (30, 2, 2), (40, 3, 3), (50, 3, 3)]
+    assert sorted(r.start_us for r in routing.admission(routing.decide_lane(asked)).collect()) == [10, 20, 30, 40, 50]
+    backends = spark.createDataFrame([("depth", "depth", 0), ("fleet", "fleet-A", 0), ("fleet", "fleet-B", 1)], "lane string, backend string, ord int")
+    picked = [(str(r.request_id), r.lane, r.lane_inflight, r.picked_backend) for r in routing.least_outstanding(asked, backends, lane_max=12).collect()]
+    assert sorted(picked) == [("1", "depth", 0, "depth"), ("1", "depth", 1, "depth"), ("2", "fleet", 1, "fleet-B"), ("None", "depth", 2, "depth"), ("None", "fleet", 0, "fleet-A")]
