@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_even
+from ..sources.storage import pin
 from .keys import null_safe_join
+from .ordered import running
 
 # The prompt sizes, concurrencies and classes of each suite.
 SUITES: Mapping[str, Mapping[str, Sequence]] = {
@@ -83,6 +85,28 @@ def capacity_fit(models: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def capacity_nodes(models: DataFrame, nodes: DataFrame) -> DataFrame:
+    """How many nodes hold each model whole, and the smallest of them (the first by name among equals).
+
+    Models and nodes are walked together in the order of size, in slices, so neither side is joined with all
+    of the other. A model of no known size has nulls; one that no node holds has 0 and no node.
+    """
+    own = models.select("model", "weights_gib").withColumn("_row", F.monotonically_increasing_id())
+    own = pin(own)
+    asked = own.where("weights_gib IS NOT NULL").select(
+        F.col("weights_gib").cast("double").alias("_at"), F.lit(0).alias("_side"), F.col("_row"), F.lit(None).cast("string").alias("_node"), F.lit(0).alias("_one")
+    )
+    # A node of just the size holds the model, so models come first.
+    sized = nodes.where("usable_gib IS NOT NULL").select(
+        F.col("usable_gib").cast("double").alias("_at"), F.lit(1).alias("_side"), F.lit(-1).cast("long").alias("_row"), F.col("node").cast("string").alias("_node"), F.lit(1).alias("_one")
+    )
+    events = asked.unionByName(sized).withColumns({"_all": F.lit(0), "_name": F.coalesce("_node", F.lit(""))})
+    walked = running(events, ["_all"], ["_at", "_side", "_name", "_row"], sums={"_below": "_one"}, nexts={"smallest_node": "_node"})
+    total = sized.select(F.count("*")).scalar()
+    found = walked.where("_side = 0").select("_row", (total - F.col("_below")).cast("long").alias("nodes_fitting"), "smallest_node")
+    return own.join(found, "_row", "left").drop("_row")
+
+
 def inventory_diff(head: DataFrame, worker: DataFrame) -> DataFrame:
     """Names missing on either node or recorded with different values.
 

@@ -498,6 +498,11 @@ def capacity_fit(spark, sf):
     return reconcile.capacity_fit(views.models(spark, sf), views.nodes(spark, sf))
 
 
+@query
+def capacity_nodes(spark, sf):
+    return reconcile.capacity_nodes(views.models(spark, sf), views.nodes(spark, sf))
+
+
 @query
 def inventory_diff(spark, sf):
     return reconcile.inventory_diff(views.head_inventory(spark, sf), views.worker_inventory(spark, sf))

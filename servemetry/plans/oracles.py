@@ -613,6 +613,8 @@ WHERE o_orderpriority < '4' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineit
   WHEN p_size * 1.5 <= (SELECT max(10 + n_nationkey) FROM nation) THEN 'one node'
   WHEN p_size * 1.5 <= 2 * (SELECT 10 + n_nationkey FROM nation ORDER BY n_nationkey DESC LIMIT 1 OFFSET 1) THEN 'two nodes'
   ELSE 'does not fit' END AS fit FROM part""",
+    "capacity_nodes": """SELECT p_partkey AS model, p_size * 1.5::DOUBLE AS weights_gib, count(n_name) AS nodes_fitting,
+  arg_min(n_name, n_nationkey) AS smallest_node FROM part LEFT JOIN nation ON 10 + n_nationkey >= p_size * 1.5 GROUP BY ALL""",
     "inventory_diff": stack(INVENTORY, select=ORDERED),
     "revert_plan": REVERT.format(distinct=""),
     "revert_difference": REVERT.format(distinct="DISTINCT"),

@@ -467,3 +467,12 @@ def test_requests_that_share_an_id_or_have_none_keep_their_rows(spark):
     backends = spark.createDataFrame([("depth", "depth", 0), ("fleet", "fleet-A", 0), ("fleet", "fleet-B", 1)], "lane string, backend string, ord int")
     picked = [(str(r.request_id), r.lane, r.lane_inflight, r.picked_backend) for r in routing.least_outstanding(asked, backends, lane_max=12).collect()]
     assert sorted(picked) == [("1", "depth", 0, "depth"), ("1", "depth", 1, "depth"), ("2", "fleet", 1, "fleet-B"), ("None", "depth", 2, "depth"), ("None", "fleet", 0, "fleet-A")]
+
+
+def test_capacity_counts_nodes_and_names_the_smallest(spark):
+    nodes = spark.createDataFrame([("b", 20.0), ("a", 20.0), ("c", 50.0), ("d", 10.0), ("e", None)], "node string, usable_gib double")
+    models = spark.createDataFrame([(1, 5.0), (2, 10.0), (3, 10.5), (4, 20.0), (5, 50.0), (6, 51.0), (7, None), (4, 20.0)], "model long, weights_gib double")
+    got = sorted(((r.model, r.nodes_fitting, r.smallest_node) for r in reconcile.capacity_nodes(models, nodes).collect()))
+    assert got == [(1, 4, "d"), (2, 4, "d"), (3, 3, "a"), (4, 3, "a"), (4, 3, "a"), (5, 1, "c"), (6, 0, None), (7, None, None)]
+    alone = reconcile.capacity_nodes(models, nodes.limit(0)).collect()
+    assert {(r.nodes_fitting, r.smallest_node) for r in alone if r.model != 7} == {(0, None)}
