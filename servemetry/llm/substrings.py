@@ -7,8 +7,9 @@ is cut alike wherever it stands, from at most REACH + 8 bytes after its begin to
 REACH bytes before its end, and chunks vary little in length.
 
 What is compared, by digest, are windows: the shortest stretches of adjacent chunks that
-touch at least `min_words` words, from every chunk on and up to every chunk. Every chunk is
-hashed once; the digest of a window is mixed from those of its chunks. A window is a
+touch at least `min_words` words, from every chunk on and up to every chunk. The digest of a
+window of more than LONG bytes is mixed from those of its chunks, so that each byte is hashed
+a bounded number of times. A window is a
 repeat if one earlier document, or an earlier place, holds it whole; the occurrence in the
 document of the smallest id stays. Windows that overlap make one passage, and windows
 side by side two, so every word of a passage lies in a stretch that one document holds:
@@ -34,6 +35,8 @@ REACH = 16
 #: Longest chunk, for stretches that repeat themselves and so have no largest hash.
 MOST = 128
 MIN_WORDS = 25
+#: Bytes of a window that is hashed as it is.
+LONG = 4096
 
 
 def _gears() -> np.ndarray:
@@ -134,9 +137,13 @@ def windows(text: str, min_words: int) -> tuple[np.ndarray, ...]:
     pairs = np.unique(np.concatenate(((numbers * size + stops)[stops < size], (origins * size + numbers)[origins >= 0])))
     first, last = np.divmod(pairs, max(size, 1))
     places = np.concatenate(([0], characters))
-    hashed = (xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False))
-    chunks = np.fromiter(hashed, dtype=np.uint64, count=size)
-    digests = stretch_digests(chunks, first, last) if len(pairs) else chunks[:0]
+    starts = np.concatenate(([0], ends))
+    spans = zip(starts[first].tolist(), ends[last].tolist(), strict=True)
+    digests = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) if b - a <= LONG else 0 for a, b in spans), dtype=np.uint64, count=len(pairs))
+    long = np.flatnonzero(ends[last] - starts[first] > LONG)
+    if len(long):
+        hashed = (xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(starts[:-1].tolist(), ends.tolist(), strict=True))
+        digests[long] = stretch_digests(np.fromiter(hashed, dtype=np.uint64, count=size), first[long], last[long])
     return digests.view(np.int64), places[first], characters[last], before[first], begun[last]
 
 
