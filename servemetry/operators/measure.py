@@ -71,8 +71,8 @@ def trial_rollup(requests: DataFrame, cell: Sequence[str]) -> DataFrame:
 
 def discard_warmup(requests: DataFrame, cell: Sequence[str]) -> DataFrame:
     """Without the first trial of each cell."""
-    first = requests.groupBy(*cell).agg(F.min("trial").alias("_first"))
-    return salted_join(requests, first, cell).where(F.col("trial") > F.col("_first")).drop("_first")
+    first = pin(requests.groupBy(*cell).agg(F.min("trial").alias("_first"), F.count("*").alias("_n")))
+    return salted_join(requests, first, cell, "_n").where(F.col("trial") > F.col("_first")).drop("_first")
 
 
 def chunk_tripwire(requests: DataFrame, cell: Sequence[str], near_one: float = 0.05) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import value_bin
+from ..sources.storage import pin
 from .keys import null_safe_join, salted_join
 
 Rank = Callable[[Column], Column]
@@ -61,13 +62,13 @@ def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mappi
         ]
     )
     bins = placed.select(
-        *keys, "_bin", "_least", "_most", F.filter(wanted, lambda w: (w["offset"] >= 0) & (w["offset"] < F.col("_n"))).alias("_want")
+        *keys, "_bin", "_n", "_least", "_most", F.filter(wanted, lambda w: (w["offset"] >= 0) & (w["offset"] < F.col("_n"))).alias("_want")
     ).where(F.size("_want") > 0)
 
     # _want belongs to the bin; as a grouping key it comes along without a join.
-    # Salted, because one value may make up most of the rows of a bin.
+    # Salted, because one value may make up most of the rows of a bin; pinned, as the join reads the few bins more than once.
     in_bin = [*keys, "_bin"]
-    equal = salted_join(binned, bins, in_bin).groupBy(*in_bin, "_v", "_want", "_least", "_most").agg(F.count("*").alias("_c"))
+    equal = salted_join(binned, pin(bins), in_bin, "_n").groupBy(*in_bin, "_v", "_want", "_least", "_most").agg(F.count("*").alias("_c"))
     # However many values crowd into one bin, its own range is cut into PARTS: counts run within a
     # part, and the parts of a bin are few. The cut never decreases as the value grows.
     share = (F.col("_v") - F.col("_least")) / F.nullif(F.col("_most") - F.col("_least"), F.lit(0.0))

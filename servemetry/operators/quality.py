@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chat, quality
 from ..functions.numeric import half_even
+from ..sources.storage import pin
 from .ordered import running
 
 
@@ -39,7 +40,8 @@ def sticky_poison(outputs: DataFrame) -> DataFrame:
             "_loop_at": F.when(F.col("is_loop"), F.col("seq")),
         }
     )
-    slim = marked.drop("reasoning_content", "content")
+    # Pinned, as the range bounds of the walk are sampled and the texts should be searched once.
+    slim = pin(marked.drop("reasoning_content", "content"))
     walked = running(
         slim,
         ["server"],

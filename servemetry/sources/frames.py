@@ -76,6 +76,7 @@ def _read(parsed: DataFrame) -> DataFrame:
         F.bool_or("is_end").alias("done"),
         ends.alias("_end"),
         (ends < F.max("seq")).alias("_overrun"),
+        F.count("*").alias("_n"),
     )
 
 
@@ -88,12 +89,12 @@ def read_requests(frames: DataFrame) -> DataFrame:
     parsed = with_frame_columns(frames)
     first = pin(_read(parsed))
     overrun = F.coalesce("_overrun", F.lit(False))
-    cuts = first.where(overrun).select("request_id", "_end")
-    sound = first.where(~overrun).drop("_end", "_overrun")
+    cuts = first.where(overrun).select("request_id", "_end", "_n")
+    sound = first.where(~overrun).drop("_end", "_overrun", "_n")
     if cuts.isEmpty():
         return sound
-    cut = salted_join(parsed, cuts, ["request_id"]).where("seq <= _end").drop("_end")
-    return sound.unionByName(_read(cut).drop("_end", "_overrun"))
+    cut = salted_join(parsed, cuts, ["request_id"], "_n").where("seq <= _end").drop("_end")
+    return sound.unionByName(_read(cut).drop("_end", "_overrun", "_n"))
 
 
 def sse_to_requests(frames: DataFrame) -> DataFrame:

@@ -444,8 +444,9 @@ def test_salted_join_keeps_every_row(spark):
     from servemetry.operators.keys import lookup_join, salted_join
 
     big = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(300)] + [(None, 300)], "k string, i int")
-    small = spark.createDataFrame([("hot", 1), ("k0", 2), (None, 3)], "k string, v int")
-    joined = salted_join(big.repartition(8), small, ["k"], "left")
+    small = spark.createDataFrame([("hot", 1, 200), ("k0", 2, 1), (None, 3, 1)], "k string, v int, n long")
+    joined = salted_join(big.repartition(8), small, ["k"], "n", "left")
+    assert joined.columns == ["k", "i", "v"]
     assert joined.count() == 301 and [joined.where(f"v = {v}").count() for v in (1, 2, 3)] == [200, 1, 1]
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -456,6 +457,24 @@ def test_salted_join_keeps_every_row(spark):
     assert len(shuffled) == 201
 
 
+def test_salted_join_repeats_hot_keys_only(spark):
+    """With 20,000 shuffle partitions the repeated rows are fewer than twice that, whatever the number of keys."""
+    from servemetry.operators import keys
+
+    tasks, n = 20_000, 50_000
+    small = spark.range(n).select(F.col("id").alias("k"), F.when(F.col("id") == 7, n).otherwise(1).alias("n"))
+    big = spark.range(2 * n).select(F.when(F.col("id") < n, 7).otherwise(F.col("id") - n).alias("k")).repartition(16)
+    before, made = keys.null_safe_join, []
+    keys.null_safe_join = lambda left, right, *rest: made.append(right) or before(left, right, *rest)
+    try:
+        joined = keys.salted_join(big, small, ["k"], "n", tasks=tasks)
+    finally:
+        keys.null_safe_join = before
+    hot, repeated = (df.count() for df in made)
+    assert hot == 1 and n < repeated <= n + tasks
+    assert joined.count() == 2 * n and joined.where("k = 7").count() == n + 1
+
+
 def test_requests_that_share_an_id_or_have_none_keep_their_rows(spark):
     columns = "request_id long, lane string, backend string, start_us long, end_us long, header_lane string, model string, path string, body_ok boolean, draining boolean, backend_failed boolean, max_tokens long, prompt_tokens long"
     made = [(rid, lane, backend, at, at + 100, None, "m", "/v1/chat/completions", True, False, False, 10, 5)
