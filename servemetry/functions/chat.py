@@ -35,6 +35,39 @@ def prompt_tokens(messages: Column) -> Column:
     )
 
 
+def one_json_value(text: Column) -> Column:
+    """The text as a variant if it is one whole JSON value, else null; so is an object that has a key twice.
+
+    Read as the first of two elements, as in `parses_as_json`.
+    """
+    seal = F.md5(text.cast("binary"))
+    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), seal, F.lit('"]')))
+    return F.when(F.try_variant_get(both, "$[1]", "string") == seal, F.try_variant_get(both, "$[0]", "variant"))
+
+
+def json_kind(value: Column) -> Column:
+    """What a variant holds: 'STRING', 'OBJECT', 'ARRAY', a kind of number, 'BOOLEAN' or 'VOID' (a JSON null); null for no variant."""
+    return F.substring_index(F.schema_of_variant(value), "<", 1)
+
+
+def content_tokens(content: Column) -> Column:
+    """Token estimate of one message whose content is a variant: a text by its length, anything else, or none, at a flat rate."""
+    return message_tokens(F.try_variant_get(content, "$", "string"), F.coalesce(json_kind(content) == "STRING", F.lit(False)))
+
+
+def body_tokens(body: Column) -> Column:
+    """Token estimate of a request body, a JSON text; content may be of any JSON type.
+
+    A body without messages has 0. Null if the body is not one whole JSON object, or its messages are no list of objects.
+    """
+    whole = one_json_value(body)
+    messages = F.try_variant_get(whole, "$.messages", "variant")
+    listed = F.try_variant_get(messages, "$", "array<variant>")
+    total = F.aggregate(listed, F.lit(0).cast("long"), lambda n, m: n + content_tokens(F.try_variant_get(m, "$.content", "variant")))
+    sound = (json_kind(messages) == "ARRAY") & F.forall(listed, lambda m: F.coalesce(json_kind(m) == "OBJECT", F.lit(False)))
+    return F.when(json_kind(whole) == "OBJECT", F.when(messages.isNull(), F.lit(0).cast("long")).when(sound, total))
+
+
 def lane_suffix(model: Column) -> Column:
     """What follows the last '@' of a model name; null when there is no '@'."""
     return F.when(F.contains(model, F.lit("@")), F.substring_index(model, "@", -1))

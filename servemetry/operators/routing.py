@@ -61,20 +61,25 @@ def inflight_at(holds: DataFrame, probes: DataFrame, resource: str = "lane") ->
     )
 
 
-def inflight_at_arrival(requests: DataFrame, resource: str = "lane") -> DataFrame:
-    """Requests in flight on the same resource when each request arrives.
-
-    As `inflight_at` with the requests as their own probes, in two rows per
-    request: its arrival is both the question and the start of its hold.
-    """
+def arrival_events(requests: DataFrame, resource: str = "lane") -> DataFrame:
+    """Each arrival, which is also the start of its hold, and the release of each hold that lasts: time, kind, change of the load."""
     lasts = F.col("end_us") > F.col("start_us")
     arrival = F.struct(
         F.col("start_us").alias("_t"), F.lit(1).alias("_kind"), F.when(lasts, 1).otherwise(0).alias("_delta")
     )
     release = F.struct(F.col("end_us").alias("_t"), F.lit(0).alias("_kind"), F.lit(-1).alias("_delta"))
-    events = requests.select(
+    return requests.select(
         resource, F.col("request_id").alias("_id"), F.explode(F.array_compact(F.array(arrival, F.when(lasts, release)))).alias("_e")
     ).select(resource, "_id", "_e.*")
+
+
+def inflight_at_arrival(requests: DataFrame, resource: str = "lane") -> DataFrame:
+    """Requests in flight on the same resource when each request arrives.
+
+    As `inflight_at` with the requests as their own probes, in two rows per
+    request: its arrival is both the question and the start of its hold.
+    """
+    events = arrival_events(requests, resource)
     counted = running(events, [resource], ["_t", "_kind", "_id"], sums={"inflight": "_delta"})
     return counted.where("_kind = 1").select(
         resource, F.col("_id").alias("request_id"), F.col("_t").alias("at_us"), F.col("inflight").cast("long").alias("inflight")

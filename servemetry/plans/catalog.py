@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chat, quality, speculation
 from ..functions.numeric import half_even
-from ..operators import counters, ingest, measure, reconcile, routing
+from ..operators import counters, history, ingest, measure, measured, reconcile, routing
 from ..operators import quality as scans
 from ..operators.order_stats import nearest_rank
 from ..sources import artifacts, exposition, logs, prompts
@@ -79,6 +79,12 @@ def published_cells(spark, sf):
     return _published_cells(spark, sf)
 
 
+@query
+def measured_cells(spark, sf):
+    """The published cells from frames and scrape text."""
+    return measured.measured_cells(views.calls(spark, sf), views.frames(spark, sf), views.scrape_lines(spark, sf), CELL)
+
+
 @query
 def publish_gate(spark, sf):
     return measure.publish_gate(_published_cells(spark, sf), ["run"])
@@ -188,6 +194,11 @@ def message_token_estimate(spark, sf):
     return asked.select("request_id", chat.prompt_tokens(F.col("messages")).alias("prompt_tokens"))
 
 
+@query
+def body_token_estimate(spark, sf):
+    return views.request_bodies(spark, sf).select("request_id", chat.body_tokens(F.col("body")).alias("prompt_tokens"))
+
+
 @query
 def model_lane_split(spark, sf):
     model = F.col("model")
@@ -237,6 +248,17 @@ def inflight_at_arrival(spark, sf):
     return routing.inflight_at_arrival(views.routes(spark, sf))
 
 
+@query
+def inflight_history(spark, sf):
+    """The last day's in-flight counts from a history of two batches that overlap in time."""
+    routes, path = views.routes(spark, sf), fresh_path(spark, "history")
+    for batch in range(2):
+        history.append_history(routes.where(F.col("request_id") % 2 == batch), path, batch)
+    latest = routes.select(F.max("start_us")).first()[0] or 0
+    day = latest // history.DAY * history.DAY
+    return history.inflight_between(spark, path, day, day + history.DAY)
+
+
 @query
 def least_outstanding(spark, sf):
     return routing.least_outstanding(views.routes(spark, sf), views.backends(spark), lane_max=12)
@@ -595,3 +617,12 @@ def log_signature_alert(spark, sf):
 def log_signature_stream(spark, sf):
     alerts = live.log_signature_alert(views.shape_container_logs(_event_stream(spark, sf)))
     return live.drain(alerts, "log-alerts")
+
+
+@query
+def live_routes(spark, sf):
+    """The router log written as JSON lines, read as a stream."""
+    path = fresh_path(spark, "router-log")
+    logs.router_log_sink(views.router_log(spark, sf), path)
+    told = live.drain(live.live_routes(logs.router_log_stream(spark, path)), "live-routes")
+    return told.withColumn("mean_ms", half_even(F.col("mean_ms"), 3))

@@ -262,6 +262,18 @@ _TASK_SQL, _QUESTION_SQL = (x.replace("\n", "' || chr(10) || '") for x in (TASK,
 
 FRAMES = """framed AS (SELECT *, 1 + k % 5 AS m, k % 11 <> 0 AS ends FROM ev)"""
 
+READ = """req AS (SELECT event_id AS request_id, 'run-' || (user_id % 8) AS run, nullif(event_type, 'view') AS class,
+  CAST(1 + (user_id // 8) % 4 AS INT) AS concurrency, (user_id // 32) % 2 = 1 AS thinking, CAST(event_id % 3 AS INT) AS trial,
+  at_us AS started_us, ((CASE WHEN ends THEN m + 4 ELSE m + 5 END) * 1000 * (1 + k)) / 1e6 AS wall_s, (3 * 1000 * (1 + k)) / 1e6 AS ttft_s,
+  CASE WHEN ends THEN m ELSE m + 1 END AS sse_chunks, CASE WHEN NOT ends THEN 9999 WHEN event_type = 'error' THEN 0 ELSE 16 + k END AS completion_tokens,
+  CAST(CASE WHEN NOT ends OR event_type = 'error' THEN 0 ELSE 64 * (1 + user_id % 8) END AS BIGINT) AS prompt_tokens FROM framed)"""
+
+# Two gauges a scrape, the second half of the first, written with two and three decimals.
+SCRAPED = PUBLISHED.replace(
+    SAMPLES,
+    SAMPLES.replace("samples AS", "made AS", 1) + ",\n samples AS (SELECT * REPLACE ((round(rate, 2) + round(rate / 2, 3)) / 2 AS rate) FROM made)",
+)
+
 CELL_COLUMNS = """run, class, concurrency, thinking, prompt_tokens_actual, trials, requests, per_stream_tok_s,
   aggregate_tok_s, ttft_p50_s, ttft_p95_s, tokens_per_sse_chunk"""
 
@@ -286,6 +298,7 @@ ORACLES: dict[str, str] = {
   abs(sum(completion_tokens) / greatest(sum(sse_chunks), 1) - 1) <= 0.05::DOUBLE AS suspect FROM good GROUP BY ALL""",
     ),
     "published_cells": stack(EV, REQ, GOOD, TRIALS, CELLS, PUBLISHED, select="SELECT * FROM published"),
+    "measured_cells": stack(EV, FRAMES, READ, GOOD, TRIALS, CELLS, SCRAPED, select="SELECT * FROM published"),
     "publish_gate": stack(
         EV,
         REQ,
@@ -379,6 +392,9 @@ ORACLES: dict[str, str] = {
     "prompt_token_estimate": """SELECT conv_id, CAST(sum(CASE WHEN text IS NULL THEN 256 ELSE length(text) // 4 END) AS BIGINT)
   AS prompt_tokens, count(*) AS messages FROM conversations GROUP BY conv_id""",
     "message_token_estimate": stack(ASKED, select="SELECT request_id, prompt_tokens FROM asked"),
+    "body_token_estimate": """SELECT doc_id AS request_id, CAST(CASE doc_id % 9 WHEN 0 THEN length(text) // 4 WHEN 1 THEN 256 WHEN 3 THEN 256 + 256 + 2
+  WHEN 2 THEN 256 + length(text) // 4 WHEN 4 THEN 256 + length(text) // 4 WHEN 5 THEN 256 + length(text) // 4 WHEN 6 THEN 0
+  WHEN 7 THEN CASE WHEN doc_id % 2 = 0 THEN length(text) // 4 END END AS BIGINT) AS prompt_tokens FROM documents WHERE text IS NOT NULL""",
     "model_lane_split": stack(ASKED, SUFFIXED, select="SELECT request_id, model, suffix, served_model, requested FROM suffixed"),
     "lane_choice": stack(
         ASKED,
@@ -415,6 +431,13 @@ ORACLES: dict[str, str] = {
         select="""SELECT r.lane, r.request_id, r.start_us AS at_us, count(o.request_id) AS inflight FROM routes r LEFT JOIN routes o
   ON o.lane = r.lane AND (o.start_us < r.start_us OR (o.start_us = r.start_us AND o.request_id < r.request_id))
   AND o.end_us > r.start_us GROUP BY ALL""",
+    ),
+    "inflight_history": stack(
+        EV,
+        ROUTES,
+        select="""SELECT r.lane, r.request_id, r.start_us AS at_us, count(o.request_id) AS inflight FROM routes r LEFT JOIN routes o
+  ON o.lane = r.lane AND (o.start_us < r.start_us OR (o.start_us = r.start_us AND o.request_id < r.request_id)) AND o.end_us > r.start_us
+  WHERE r.start_us >= (SELECT max(start_us) // 86400000000 * 86400000000 FROM routes) GROUP BY ALL""",
     ),
     "least_outstanding": stack(
         EV,
@@ -678,6 +701,15 @@ WHERE NOT EXISTS (SELECT 1 FROM measured m WHERE m.run = r.run AND m.prompt_toke
     "log_signature_stream": stack(
         EV, LOGS, select=ALERTS.format(where="WHERE told_us <= (SELECT max(at_us) // 1000 * 1000 - 600000000 FROM lost)")
     ),
+    "live_routes": stack(
+        EV,
+        ROUTES,
+        f"""told AS (SELECT lane, backend, rule, (start_us // 1000000 // 300 + 1) * 300000000 AS window_end_us, count(*) AS requests,
+  count(*) FILTER (WHERE status BETWEEN 200 AND 299) AS ok, count(*) FILTER (WHERE status BETWEEN 400 AND 499) AS client_errors,
+  count(*) FILTER (WHERE status BETWEEN 500 AND 599) AS server_errors, {rounded("sum(ms) / count(ms)", 3)} AS mean_ms, max(ms) AS longest_ms
+  FROM routes GROUP BY ALL)""",
+        select="SELECT * FROM told WHERE window_end_us <= (SELECT max(start_us) // 1000000 * 1000000 - 600000000 FROM routes)",
+    ),
     "series_increase": stack(EV, SERIES, select="SELECT source, scraped_us, metric, sum(coalesce(grown, 0)) AS increase, count(*) FILTER (WHERE again) AS restarts FROM grown GROUP BY ALL"),
     "series_acceptance": stack(
         EV,

@@ -274,6 +274,39 @@ def chat_requests(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def request_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Chat requests as JSON text whose content is a text, a list, an object, a number, null or missing; some are broken."""
+    d, text = F.col("doc_id"), F.col("text")
+    said = F.to_json(F.array(text))
+    quoted = F.substring(said, F.lit(2), F.length(said) - 2)
+
+    def body(*contents: str | Column) -> Column:
+        parts = [F.concat(F.lit('{"role":"user","content":'), F.lit(c) if isinstance(c, str) else c, F.lit("}")) for c in contents]
+        return F.concat(F.lit('{"model":"m","messages":['), F.concat_ws(",", *parts), F.lit("]}"))
+
+    shapes = [
+        body(quoted),
+        body(F.concat(F.lit('[{"type":"text","text":'), quoted, F.lit("}]"))),
+        body('{"url":"x"}', quoted),
+        body("12345678", "true", '"12345678"'),
+        body("null", quoted),
+        F.concat(F.lit('{"messages":[{"role":"user"},{"content":'), quoted, F.lit("}]}")),
+        F.lit('{"model":"m"}'),
+        F.concat(body(quoted), F.when(d % 2 == 0, "").otherwise(" {}")),
+        F.when(d % 2 == 0, '{"messages":null}').otherwise('{"messages":["text"]}'),
+    ]
+    chosen = F.lit(None).cast("string")
+    for i, shape in enumerate(shapes):
+        chosen = F.when(d % len(shapes) == i, shape).otherwise(chosen)
+    return documents(spark, sf).where("text IS NOT NULL").select(d.alias("request_id"), chosen.alias("body"))
+
+
+def calls(spark: SparkSession, sf: str) -> DataFrame:
+    """What each streamed request was asked for; run k was served by engine k."""
+    engine = F.replace("run", F.lit("run-"), F.lit("engine-"))
+    return requests(spark, sf).select("request_id", engine.alias("engine"), *CELL, "trial")
+
+
 def estimated_requests(spark: SparkSession, sf: str) -> DataFrame:
     asked = chat_requests(spark, sf)
     return asked.withColumn("prompt_tokens", chat.prompt_tokens(F.col("messages"))).drop("messages")

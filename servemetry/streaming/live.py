@@ -346,6 +346,30 @@ def log_signature_alert(logs: DataFrame, *, signature: str = LOST_GPU, window: s
     )
 
 
+# Router log --------------------------------------------------------------
+
+
+def live_routes(log: DataFrame, *, window_s: int = WINDOW_S, late: str = LATE, keys: tuple[str, ...] = ("lane", "backend", "rule")) -> DataFrame:
+    """What each route did in each closed window of arrivals: requests, status mix, mean and longest time.
+
+    `log` is a stream of logged decisions with their start (`sources.logs.router_log_stream`). A request is logged when it ends,
+    so one that takes longer than `late` beyond the newest arrival seen is not counted.
+    """
+    mix = {"ok": (200, 299), "client_errors": (400, 499), "server_errors": (500, 599)}
+    return (
+        log.withColumn("at", F.timestamp_micros("start_us"))
+        .withWatermark("at", late)
+        .groupBy(*keys, F.window("at", f"{window_s} seconds"))
+        .agg(
+            F.count("*").alias("requests"),
+            *[F.count_if(F.col("status").between(*codes)).alias(name) for name, codes in mix.items()],
+            (F.sum("ms") / F.count("ms")).alias("mean_ms"),
+            F.max("ms").alias("longest_ms"),
+        )
+        .select(*keys, F.unix_micros("window.end").alias("window_end_us"), "requests", *mix, "mean_ms", "longest_ms")
+    )
+
+
 def drain(stream: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """Append a stream to a table, over everything there is now, and read it back."""
     spark: SparkSession = stream.sparkSession

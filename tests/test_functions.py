@@ -63,6 +63,33 @@ def test_prompt_tokens_floor_per_message(spark):
     assert [g[0] for g in got] == [1, 256, 10000, 0, 0]
 
 
+def test_body_tokens_of_content_of_any_json_type(spark):
+    def body(*contents):
+        return json.dumps({"messages": [{"role": "user", "content": c} for c in contents]})
+
+    want = {
+        body("abcdefg", "abc"): 1,
+        body([{"type": "text", "text": "x" * 4000}], {"text": "abcd"}, 12345678, True, None): 5 * 256,
+        body("12345678", "[1, 2]", "null", '"q\\\n"'): 2 + 1 + 1 + 1,
+        body("\U0001f600" * 9, "é" * 4): 2 + 1,
+        body("x" * 400_000): 100_000,
+        '{"messages":[{"role":"user"},{}]}': 512,
+        body(): 0,
+        "{}": 0,
+        '{"messages":null}': None,
+        '{"messages":"abcd"}': None,
+        '{"messages":["abcd"]}': None,
+        '{"messages":[{"content":"abcd"},null]}': None,
+        body("abcd") + " x": None,
+        body("abcd") + ',"y"': None,
+        '{"messages":[{"content":"abcd","content":[1]}]}': None,
+        '["messages"]': None,
+        "": None,
+    }
+    got = values(spark, "b string", [*[(b,) for b in want], (None,)], chat.body_tokens(F.col("b")))
+    assert [g[0] for g in got] == [*want.values(), None]
+
+
 def test_model_lane_split(spark):
     rows = [("m@split", "fleet"), ("m", "fleet"), ("a@b@depth", None), ("m@unknown", "fleet"), ("m@", None), ("m", None)]
     model, header = F.col("model"), F.col("header")

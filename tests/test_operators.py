@@ -6,7 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from servemetry.operators import counters, ingest, measure, order_stats, quality, reconcile, routing
+from servemetry.operators import counters, history, ingest, measure, order_stats, quality, reconcile, routing
 from servemetry.operators.ordered import running
 
 
@@ -239,6 +239,30 @@ def test_inflight_with_ties_and_empty_requests(spark):
     assert got == brute_inflight(requests)
 
 
+def test_history_gives_the_counts_of_the_whole_log(spark, tmp_path):
+    """Late, overlapping and repeated batches; holds that begin days before or end in the same instant as others begin."""
+    rng = random.Random(12)
+    requests = []
+    for i in range(900):
+        start = rng.randint(0, 5 * 24 * 60) * 60_000_000
+        requests.append((i, rng.choice(["depth", "fleet"]), start, start + rng.choice([0, 60_000_000, 7_200_000_000, 2 * history.DAY])))
+    df = spark.createDataFrame(requests, "request_id long, lane string, start_us long, end_us long")
+    path = str(tmp_path / "history")
+    for batch in (2, 0, 1, 0):
+        history.append_history(df.where(f"request_id % 3 = {batch}"), path, batch)
+    whole, starts = brute_inflight(requests), {r[0]: r[2] for r in requests}
+    for from_us, to_us in ((0, 6 * history.DAY), (4 * history.DAY, 5 * history.DAY), (3 * history.DAY + 60_000_000, 3 * history.DAY + 5_000_000_000)):
+        got = {r.request_id: r.inflight for r in history.inflight_between(spark, path, from_us, to_us).collect()}
+        assert got == {i: n for i, n in whole.items() if from_us <= starts[i] < to_us}
+    # A day opens the events of that day and one row an hour, lane and batch of the time before.
+    read = history.history_events(spark, path, 4 * history.DAY, 5 * history.DAY)
+    assert read.count() == sum(4 * history.DAY <= t < 5 * history.DAY for _, _, s, e in requests for t in ((s, e) if e > s else (s,)))
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "day#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert spark.read.parquet(f"{path}/changes").count() <= 3 * 2 * 24 * 8
+    assert {r.lane: r.load for r in history.history_load(spark, path, 0).collect()} == {}
+
+
 def test_least_outstanding(spark):
     requests = [(i, "fleet", "fleet-A", 0, 100) for i in range(3)] + [(3, "fleet", "fleet-B", 0, 100), (4, "fleet", "fleet-A", 50, 60)]
     requests += [(10 + i, "depth", "depth", i, 1000) for i in range(33)]

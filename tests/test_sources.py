@@ -194,3 +194,29 @@ def test_needle_position(spark):
     made = prompts.eval_set(cases, [4], [0.0, 0.5, 1.0]).orderBy("position").collect()
     places = [[i for i, line in enumerate(r.prompt.split("\n")) if "word is 2ZDJ" in line] for r in made]
     assert places == [[0], [2], [4]]
+
+
+def test_measured_cells_from_text(spark):
+    from servemetry.operators.measured import measured_cells
+
+    def sent(rid, at, tokens, chunks):
+        said = ['data: {"choices":[{"delta":{"content":"a"}}]}'] * chunks + [f'data: {{"choices":[],"usage":{{"completion_tokens":{tokens},"prompt_tokens":9}}}}', "data: [DONE]"]
+        return [(rid, i, at, at + (i + 1) * 1_000_000, line) for i, line in enumerate(said)]
+
+    calls = [(1, "e0", "r", 0), (2, "e0", "r", 1), (3, "e0", "r", 2), (4, "e0", "r", 0)]  # nothing came back for 4
+    frames = [f for rid, at, n, c in ((1, 0, 40, 2), (2, 20_000_000, 60, 4), (3, 60_000_000, 50, 3), (9, 0, 7, 1)) for f in sent(rid, at, n, c)]
+
+    def scrape(at, accepted, drafted):
+        return [("e0", at, f'vllm:spec_decode_num_{name}_tokens_total{{w="0"}} {n}') for name, n in (("accepted", accepted), ("draft", drafted))]
+
+    lines = scrape(0, 10, 20) + scrape(30_000_000, 1, 2) + scrape(66_000_000, 70, 100) + scrape(90_000_000, 0, 0)
+    cells = measured_cells(
+        spark.createDataFrame(calls, "request_id long, engine string, run string, trial int"),
+        spark.createDataFrame(frames, "request_id long, seq int, sent_us long, at_us long, line string"),
+        spark.createDataFrame(lines, "source string, scraped_us long, line string"),
+        ["run"],
+    ).collect()
+    (cell,) = cells
+    # Rates 40 / 4, 60 / 6 and 50 / 5; from the reading at 0 s to the one at 66 s, just after the end at 65 s.
+    assert (cell.trials, cell.requests, cell.prompt_tokens_actual, cell.per_stream_tok_s, cell.aggregate_tok_s) == (3, 3, 9, 10.0, 10.0)
+    assert (cell.ttft_p50_s, cell.tokens_per_sse_chunk, cell.elapsed_s, cell.acceptance) == (1.0, 16.67, 65.0, 0.75)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from servemetry.operators import counters, quality
-from servemetry.sources import exposition
+from servemetry.sources import exposition, logs
 from servemetry.sources import frames as sse
 from servemetry.sources.storage import fresh_path
 from servemetry.streaming import live
@@ -232,3 +232,22 @@ def test_labels_and_restarts_are_per_series(spark):
     got = {r.scraped_us: (r.increase, r.restarts) for r in counters.series_increase(samples).collect()}
     # The restart of one worker between 2 and 3 costs nothing but its own lost tokens.
     assert got == {1: (0.0, 0), 2: (90.0, 0), 3: (30.0, 1), 4: (15.0, 0)}
+
+
+def test_live_routes_equal_the_batch(spark):
+    rng = random.Random(8)
+    rows = [(START // 1_000_000 + 20 * i, rng.choice(["depth", "fleet"]), "b", "default", "/v1", rng.choice([200, 404, 500, None]), rng.choice([5, 70, None])) for i in range(300)]
+    schema = "ts long, lane string, backend string, rule string, path string, status int, ms long"
+    stream = logs.with_end(as_stream(spark, rows, schema, 5, lambda r: r[0]))
+    got = live.drain(live.live_routes(stream), "routes-test").collect()
+    want = {}
+    for ts, lane, _, _, _, status, ms in rows:
+        n = want.setdefault((lane, (ts // 300 + 1) * 300_000_000), [0, 0, 0, 0, []])
+        n[0] += 1
+        if status:
+            n[{200: 1, 404: 2, 500: 3}[status]] += 1
+        n[4] += [ms] if ms is not None else []
+    newest = rows[-1][0] * 1_000_000 - 10 * MINUTE
+    closed = {k: (*n[:4], sum(n[4]) / len(n[4]) if n[4] else None, max(n[4], default=None)) for k, n in want.items() if k[1] <= newest}
+    assert {(r.lane, r.window_end_us): (r.requests, r.ok, r.client_errors, r.server_errors, r.mean_ms, r.longest_ms) for r in got} == closed
+    assert len(got) == len(closed) > 20
