@@ -48,7 +48,13 @@ def library_ids(path: str) -> Pieces:
             out += [pack_ints(f"<{len(ids)}I", *ids) for ids in (f.ids for f in found)]
         return out
 
-    return Pieces(encode_all, [t.content for t in library.get_added_tokens_decoder().values()])
+    # A byte-level vocabulary writes each byte as one character. Added tokens stand for no bytes of a piece.
+    vocabulary = library.get_vocab(with_added_tokens=True)
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    widths = np.zeros(max(vocabulary.values(), default=-1) + 1, dtype=np.int64)
+    for token, n in vocabulary.items():
+        widths[n] = 0 if token in added else len(token)
+    return Pieces(encode_all, added, widths)
 
 
 def combinations(lengths: np.ndarray, window: int, slack: int) -> list[tuple[int, ...]]:

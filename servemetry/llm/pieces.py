@@ -17,6 +17,8 @@ import numpy as np
 
 #: Pieces a task remembers before it starts afresh (some 50 bytes each), and bytes worked on at once; speed only.
 REMEMBERED, SLICE = 400_000, 1 << 18
+#: Pieces that are encoded as one text; speed only.
+JOINED = 512
 #: Odd base of the hash (fixed value).
 _BASE = 0x9E3779B97F4A7C15
 _DOUBLE_WHITE = re.compile(r"\s\s")
@@ -29,10 +31,14 @@ def _powers(base: int, size: int) -> np.ndarray:
 
 
 class Pieces:
-    """Ids of texts by `encode_all`, a function from strings to their ids as little-endian 32-bit bytes."""
+    """Ids of texts by `encode_all`, a function from strings to their ids as little-endian 32-bit bytes.
 
-    def __init__(self, encode_all: Callable[[list[str]], Sequence[bytes]], added: Sequence[str]):
-        self.encode_all, self.added = encode_all, list(added)
+    With `widths`, the number of bytes that each id stands for, new pieces are encoded many at a time, as one
+    text, and its ids are cut where a piece's bytes end. If they can't be cut there, each piece is encoded for itself.
+    """
+
+    def __init__(self, encode_all: Callable[[list[str]], Sequence[bytes]], added: Sequence[str], widths: np.ndarray | None = None):
+        self.encode_all, self.added, self.widths = encode_all, list(added), widths
         self.powers, self.inverses = _powers(_BASE, SLICE + 1), _powers(pow(_BASE, -1, 1 << 64), SLICE + 1)
         self.forget()
 
@@ -101,11 +107,9 @@ class Pieces:
                 at[:] = 0
             new = np.flatnonzero(~known)
             fresh = where[new]
-            data = text.tobytes()
-            found = self.encode_all([data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(low[fresh].tolist(), high[fresh].tolist(), strict=True)])
-            counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+            found, counts = self._fresh(text, low[fresh], high[fresh])
             begun, written = len(self.ids) + np.cumsum(counts) - counts, len(self.text) + np.cumsum(sizes[fresh]) - sizes[fresh]
-            self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(found), dtype="<u4")))
+            self.ids = np.concatenate((self.ids, found))
             self.text = np.concatenate((self.text, text[_spread(low[fresh], sizes[fresh])]))
             self.names = np.insert(self.names, at[new], names[new])
             self.begins, self.sizes = np.insert(self.begins, at[new], written), np.insert(self.sizes, at[new], sizes[fresh])
@@ -115,6 +119,33 @@ class Pieces:
         n = self.counts[piece]
         return self.ids[_spread(self.starts[piece], n)].astype("<u4").tobytes(), n
 
+    def _fresh(self, text: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new pieces, one after the other, and how many each has."""
+        data, joined = text.tobytes(), np.zeros(len(low), dtype=bool)
+        counts, parts = np.zeros(len(low), dtype=np.int64), []
+        if self.widths is not None:
+            # Only pieces that begin at a space and end in no white space, so that no white space meets another. Of the
+            # characters beyond ASCII that means those of two bytes from U+00C0 on.
+            last, lead = text[high - 1], text[np.maximum(high - 2, low)]
+            likely = np.flatnonzero((text[low] == 0x20) & (((last > 0x20) & (last < 0x7F)) | ((last >= 0x80) & (lead >= 0xC3) & (lead <= 0xDF))))
+            groups = [likely[at : at + JOINED] for at in range(0, len(likely), JOINED)]
+            texts = [text[_spread(low[g], high[g] - low[g])].tobytes().decode("utf-8", "surrogatepass") for g in groups]
+            for g, ids in zip(groups, self.encode_all(texts), strict=True):
+                ids = np.frombuffer(ids, dtype="<u4")
+                ends, wanted = np.cumsum(self.widths[ids]), np.cumsum(high[g] - low[g])
+                at = np.searchsorted(ends, wanted)
+                if len(ends) and ends[-1] == wanted[-1] and (ends[at] == wanted).all():
+                    joined[g] = True
+                    counts[g] = np.diff(at + 1, prepend=0)
+                    parts.append((g, ids))
+        alone = np.flatnonzero(~joined)
+        found = self.encode_all([data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(low[alone].tolist(), high[alone].tolist(), strict=True)])
+        counts[alone] = [len(ids) // 4 for ids in found]
+        out, begun = np.empty(int(counts.sum()), dtype=np.uint32), np.cumsum(counts) - counts
+        for g, ids in [*parts, (alone, np.frombuffer(b"".join(found), dtype="<u4"))]:
+            out[_spread(begun[g], counts[g])] = ids
+        return out, counts
+
     def _plainly(self, text: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The same by the pieces themselves."""
         data = text.tobytes()

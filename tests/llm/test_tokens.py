@@ -53,6 +53,22 @@ def test_encoder_equals_library_on_long_words(library):
     assert [ids_of(e, w) for w in words] == [x.ids for x in library.encode_batch(words, add_special_tokens=False)]
 
 
+def test_new_pieces_joined_or_alone_give_the_library_ids(library):
+    """Odd white space, added tokens and letters of one to four bytes at the ends of pieces; widths that do not add up change nothing."""
+    rng = random.Random(21)
+    some = ["a", "the", " ", " ", "\n", "\t", "\x1c", "\u00a0", "\u0085", "\u2003", "\u3000", "\u00e9", "\u0301", "\u07ff", "\u0800", "\U0001f600", "'s", "12", "!", "<|endoftext|>", "<|"]
+    strings = ["".join(rng.choice(some) for _ in range(rng.randint(0, 40))) for _ in range(4000)] + [" " + "x" * 5000, "", " "]
+    want = [e.ids for e in library.encode_batch(strings, add_special_tokens=False)]
+    joined = packing.library_ids(PATH)
+    for widths in (joined.widths, None, np.ones_like(joined.widths), np.zeros_like(joined.widths)):
+        e = pieces.Pieces(joined.encode_all, joined.added, widths)
+        assert [np.frombuffer(i, dtype="<u4").tolist() for i in e.encode(strings)] == want
+    seen = []
+    e = pieces.Pieces(lambda texts: seen.append(len(texts)) or joined.encode_all(texts), joined.added, joined.widths)
+    e.encode([" ".join(f"w{i}" for i in range(3 * pieces.JOINED))])
+    assert max(seen) <= 3  # as three texts, and the first piece alone
+
+
 def test_pieces_whose_hashes_collide(library):
     """Thue-Morse words of 1,024 letters and more have the hash of their complements."""
     e = bpe.Encoder(PATH)
