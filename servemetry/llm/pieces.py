@@ -16,9 +16,9 @@ from collections.abc import Callable, Sequence
 import numpy as np
 
 #: Pieces a task remembers before it starts afresh (some 50 bytes each), and bytes worked on at once; speed only.
-REMEMBERED, SLICE = 400_000, 1 << 18
+REMEMBERED, SLICE = 800_000, 1 << 18
 #: Pieces that are encoded as one text; speed only.
-JOINED = 512
+JOINED = 256
 #: Odd base of the hash (fixed value).
 _BASE = 0x9E3779B97F4A7C15
 _DOUBLE_WHITE = re.compile(r"\s\s")
@@ -44,9 +44,9 @@ class Pieces:
 
     def forget(self) -> None:
         """Give up what is remembered."""
-        self.names = np.empty(0, dtype=np.uint64)
-        self.begins, self.sizes = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        self.starts, self.counts = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        # Names ascend and slots tell where a name's piece stands: its bytes in text and its ids in ids.
+        self.names, self.slots = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        self.begins, self.starts = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
         self.text, self.ids = np.empty(0, dtype=np.uint8), np.empty(0, dtype=np.uint32)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -54,9 +54,10 @@ class Pieces:
 
         Texts with white space beside white space, or that may hold an added token, are encoded whole.
         """
-        whole = [bool(_DOUBLE_WHITE.search(t)) or any(a in t for a in self.added) for t in texts]
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        whole = [(w and bool(_DOUBLE_WHITE.search(t))) or any(a in t for a in self.added) for t, w in zip(texts, _may_have_double_white(raw), strict=True)]
         out = iter(self.encode_all([t for t, w in zip(texts, whole, strict=True) if w]))
-        split = iter(self._split([t.encode("utf-8", "surrogatepass") for t, w in zip(texts, whole, strict=True) if not w]))
+        split = iter(self._split([r for r, w in zip(raw, whole, strict=True) if not w]))
         return [next(out) if w else next(split) for w in whole]
 
     def _split(self, texts: list[bytes]) -> list[bytes]:
@@ -98,7 +99,8 @@ class Pieces:
         inside = at < len(self.names)
         known[inside] = self.names[at[inside]] == names[inside]
         old = where[known]
-        if not _alike(text, low[old], sizes[old], self.text, self.begins[at[known]], self.sizes[at[known]]):
+        slot = self.slots[at[known]]
+        if not _alike(text, low[old], sizes[old], self.text, self.begins[slot], self.begins[slot + 1] - self.begins[slot]):
             return self._plainly(text, low, high)
         if not known.all():
             if len(self.names) > REMEMBERED:
@@ -108,16 +110,18 @@ class Pieces:
             new = np.flatnonzero(~known)
             fresh = where[new]
             found, counts = self._fresh(text, low[fresh], high[fresh])
-            begun, written = len(self.ids) + np.cumsum(counts) - counts, len(self.text) + np.cumsum(sizes[fresh]) - sizes[fresh]
-            self.ids = np.concatenate((self.ids, found))
-            self.text = np.concatenate((self.text, text[_spread(low[fresh], sizes[fresh])]))
-            self.names = np.insert(self.names, at[new], names[new])
-            self.begins, self.sizes = np.insert(self.begins, at[new], written), np.insert(self.sizes, at[new], sizes[fresh])
-            self.starts, self.counts = np.insert(self.starts, at[new], begun), np.insert(self.counts, at[new], counts)
-            at = np.searchsorted(self.names, names)
-        piece = at[each]
-        n = self.counts[piece]
-        return self.ids[_spread(self.starts[piece], n)].astype("<u4").tobytes(), n
+            slots = len(self.begins) - 1 + np.arange(len(new))
+            self.ids, self.text = np.concatenate((self.ids, found)), np.concatenate((self.text, text[_spread(low[fresh], sizes[fresh])]))
+            self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(counts)))
+            self.begins = np.concatenate((self.begins, self.begins[-1] + np.cumsum(sizes[fresh])))
+            at = at + np.cumsum(~known) - ~known
+            kept = np.ones(len(self.names) + len(new), dtype=bool)
+            kept[at[new]] = False
+            self.names, self.slots = _merged(kept, self.names, names[new]), _merged(kept, self.slots, slots)
+        slot = self.slots[at]
+        start = self.starts[slot]
+        n = (self.starts[slot + 1] - start)[each]
+        return self.ids[_spread(start[each], n)].astype("<u4").tobytes(), n
 
     def _fresh(self, text: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of new pieces, one after the other, and how many each has."""
@@ -155,6 +159,29 @@ class Pieces:
         return b"".join([ids[w] for w in words]), np.array([len(ids[w]) // 4 for w in words], dtype=np.int64)
 
 
+#: Bytes of white space, and those that begin a white-space character beyond ASCII.
+_WHITE, _LEADS = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_WHITE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def _may_have_double_white(texts: list[bytes]) -> list[bool]:
+    """False only for texts in which no two white-space characters follow each other."""
+    raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    white, leads = _WHITE[raw], _LEADS[raw]
+    leads[1:] |= white[1:] & white[:-1]
+    out = np.zeros(len(texts), dtype=bool)
+    out[np.searchsorted(np.cumsum([len(t) for t in texts]), np.flatnonzero(leads), side="right")] = True
+    return out.tolist()
+
+
+def _merged(kept: np.ndarray, old: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Old values where `kept`, new ones elsewhere, each in their order."""
+    out = np.empty(len(kept), dtype=old.dtype)
+    out[kept], out[~kept] = old, new
+    return out
+
+
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Positions of stretches that begin at `starts`, one after the other."""
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
