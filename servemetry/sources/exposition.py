@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +19,10 @@ TOTALS = {
 RATE = "sglang:spec_accept_rate"
 
 # A sample is a name, labels in braces and a number. A quoted value may hold any character; a
-# backslash takes the next one with it.
-_QUOTED = r'"((?:[^"\\]|\\.)*)"'
-_SAMPLE = r'^([^\s{]+)(\{(?:[^"}]|"(?:[^"\\]|\\.)*")*\})\s+(\S+)'
+# backslash takes the next one with it. No character can be read in two ways, so nothing need be given
+# back (`++`, `*+`): a run of characters is one step, and long labels are no deep recursion.
+_QUOTED = r'"((?:[^"\\]++|\\.)*+)"'
+_SAMPLE = r'^([^\s{]++)(\{(?:[^"}]++|"(?:[^"\\]++|\\.)*+")*+\})\s++(\S++)'
 _LABEL = r"([A-Za-z_][A-Za-z0-9_]*)\s*=\s*" + _QUOTED
 
 SCRAPE = ("source", "scraped_us")
@@ -60,26 +61,41 @@ def sample_name(line: Column) -> Column:
     return F.regexp_extract(line, _SAMPLE, 1)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` evaluated once, however often and in whatever lambdas `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sample_labels(line: Column) -> Column:
     """Labels of a sample line as an array of (name, value), escapes resolved."""
-    braces = F.regexp_extract(line, _SAMPLE, 2)
-    names, values = (F.regexp_extract_all(braces, F.lit(_LABEL), F.lit(i)) for i in (1, 2))
-    plain = F.transform(values, lambda v: F.regexp_replace(F.replace(v, F.lit("\\n"), F.lit("\n")), r'\\(["\\])', "$1"))
-    return F.arrays_zip(names.alias("name"), plain.alias("value"))
+
+    def read(braces: Column) -> Column:
+        names, values = (F.regexp_extract_all(braces, F.lit(_LABEL), F.lit(i)) for i in (1, 2))
+        plain = F.transform(values, lambda v: F.when(F.contains(v, F.lit("\\")), _unescaped(v)).otherwise(v))
+        return F.arrays_zip(names.alias("name"), plain.alias("value"))
+
+    return _once(F.regexp_extract(line, _SAMPLE, 2), read)
+
+
+def _unescaped(value: Column) -> Column:
+    return F.regexp_replace(F.replace(value, F.lit("\\n"), F.lit("\n")), r'\\(["\\])', "$1")
 
 
 def label_map(line: Column) -> Column:
     """Labels of a sample line as a map; of a name given twice the last value counts."""
-    labels = sample_labels(line)
-    names, values = F.transform(labels, lambda x: x["name"]), F.transform(labels, lambda x: x["value"])
-    later = F.filter(F.sequence(F.lit(1), F.size(names)), lambda i: ~F.array_contains(F.slice(names, i + 1, F.size(names)), F.get(names, i - 1)))
-    kept = F.when(F.size(names) > 0, later).otherwise(F.array().cast("array<int>"))
-    return F.map_from_arrays(F.transform(kept, lambda i: F.get(names, i - 1)), F.transform(kept, lambda i: F.get(values, i - 1)))
+
+    def last_of_each(labels: Column) -> Column:
+        later = F.filter(labels, lambda x, i: ~F.exists(F.slice(labels, i + 2, F.size(labels)), lambda y: y["name"] == x["name"]))
+        return F.map_from_entries(later)
+
+    # Bound first: inside a lambda the expressions of the line would run again for every label.
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    return _once(F.coalesce(sample_labels(line), none), last_of_each)
 
 
 def sample_value(line: Column) -> Column:
     """Number of a sample line; null if there is none."""
-    return F.nullif(F.regexp_extract(line, _SAMPLE, 3), F.lit("")).try_cast("double")
+    return F.regexp_extract(line, _SAMPLE, 3).try_cast("double")
 
 
 def _told(lines: DataFrame) -> DataFrame:
@@ -133,7 +149,7 @@ def scrape_readings(lines: DataFrame, scrape: Sequence[str] = SCRAPE) -> DataFra
 def series_samples(lines: DataFrame, scrape: Sequence[str] = SCRAPE) -> DataFrame:
     """The accepted and drafted totals of each scrape series by series: metric, labels (a map), series (their text in order of name), value."""
     labelled = _told(lines).where(F.col("_name").isin(*TOTALS)).withColumn("labels", label_map(F.col("line")))
-    in_order = F.array_sort(F.map_entries("labels"))
+    in_order = F.sort_array(F.map_entries("labels"))
     series = F.array_join(F.transform(in_order, lambda x: F.concat(x["key"], F.lit("="), F.to_json(F.array(x["value"])))), ",")
     return labelled.select(
         *scrape, _of(F.col("_name"), 0).alias("engine_family"), _of(F.col("_name"), 1).alias("metric"), "labels",

@@ -234,6 +234,19 @@ def test_labels_and_restarts_are_per_series(spark):
     assert got == {1: (0.0, 0), 2: (90.0, 0), 3: (30.0, 1), 4: (15.0, 0)}
 
 
+def test_a_line_is_parsed_once_for_its_labels(spark):
+    name, wide = "vllm:num_accepted_tokens_total", "x" * 30_000
+    many = ",".join(f'l{i % 20}="{i}"' for i in range(30))
+    rows = [("e", at, f"{name}{{{labels}}} {at}") for labels in (f'w="{wide}"', many) for at in (1, 2)] + [("e", 3, f'{name}{{w="{wide}}} 3')]
+    samples = exposition.series_samples(spark.createDataFrame(rows, "source string, scraped_us long, line string"))
+    got = samples.collect()
+    assert len(got) == 4 and {len(r.labels) for r in got} == {1, 20}
+    assert all(r.labels == {"w": wide} or r.labels == {f"l{i % 20}": str(i) for i in range(30)} for r in got)
+    assert {(r.scraped_us, r.increase) for r in counters.series_increase(samples).collect()} == {(1, 0.0), (2, 2.0)}
+    plan = samples._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2
+
+
 def test_live_routes_equal_the_batch(spark):
     rng = random.Random(8)
     rows = [(START // 1_000_000 + 20 * i, rng.choice(["depth", "fleet"]), "b", "default", "/v1", rng.choice([200, 404, 500, None]), rng.choice([5, 70, None])) for i in range(300)]
