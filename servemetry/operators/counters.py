@@ -168,7 +168,8 @@ def series_increase(samples: DataFrame, keys: Sequence[str] = ("source",)) -> Da
     the one before is a restart: the series began at 0 again, and the others are not touched by it. The first
     value of a series starts it and adds nothing. `restarts` counts the series that began again.
     """
-    walked = running(samples.withColumn("_value", F.col("value")), [*keys, "series"], ["scraped_us"], lasts={"_before": "_value"})
+    needed = samples.select(*keys, "scraped_us", "metric", "series", "value", F.col("value").alias("_value"))
+    walked = running(needed, [*keys, "series"], ["scraped_us"], lasts={"_before": "_value"})
     grown = F.when(F.col("value") >= F.col("_before"), F.col("value") - F.col("_before")).when(F.col("_before").isNotNull(), F.col("value"))
     return walked.groupBy(*keys, "scraped_us", "metric").agg(
         F.coalesce(F.sum(grown), F.lit(0.0)).alias("increase"), F.count_if(F.col("value") < F.col("_before")).alias("restarts")
