@@ -257,54 +257,96 @@ def suspect_stream(chunks: DataFrame, *, run: int = TOKEN_ZERO_RUN, silent_s: in
 # First token latency -----------------------------------------------------
 
 
-class OpenRequest(_Processor):
-    """A request from its frames; state is what has been read of it.
+class OpenRequests(StatefulProcessor):
+    """The requests of a bucket from their frames; state is one row for each that is open or lately finished.
 
-    It ends with its end marker, or when the watermark is `silent_ms` past its last frame. A finished
+    A request ends with its end marker, or when the watermark is `silent_ms` past its last frame. A finished
     request is remembered until the watermark passes its last frame, so that frames behind the marker
-    count nowhere; its timer then removes it.
+    count nowhere. A bucket has one timer, for the first of its requests that falls due: the store is asked
+    a few times for a bucket and not for each request.
     """
 
-    state = "sent long, first long, last long, chunks long, tokens long, done boolean"
+    state = "request_id {key}, sent long, first long, last long, chunks long, tokens long, done boolean"
     rows = "request_id {key}, ended string, sent_us long, first_us long, last_us long, chunks long, completion_tokens long"
 
-    def __init__(self, silent_ms: int):
-        self.silent_ms = silent_ms
+    def __init__(self, silent_ms: int, key: str):
+        self.silent_ms, self.key = silent_ms, key
 
-    def _row(self, key: Any, ended: str, held: tuple) -> Row:
-        sent, first, last, chunks, tokens, _ = held
-        return Row(request_id=key[0], ended=ended, sent_us=sent, first_us=first, last_us=last, chunks=chunks, completion_tokens=tokens)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", self.state.format(key=self.key))
+        self.due = handle.getValueState("due", "at_ms long")
+
+    def close(self) -> None:
+        pass
+
+    def _row(self, ended: str, held: tuple) -> Row:
+        name, sent, first, last, chunks, tokens, _ = held
+        return Row(request_id=name, ended=ended, sent_us=sent, first_us=first, last_us=last, chunks=chunks, completion_tokens=tokens)
 
     def _expiry(self, held: tuple) -> int:
-        return held[2] // 1000 + (1 if held[5] else self.silent_ms)
+        return held[3] // 1000 + (1 if held[6] else self.silent_ms)
+
+    def _keep(self, held: list[tuple], fired: int | None = None) -> None:
+        """Store the requests and set the timer to the first that falls due; the timer that has `fired` is gone by itself."""
+        told = self.due.get()
+        told = told[0] if told else None
+        now = min(map(self._expiry, held), default=None)
+        if told is not None and told not in (now, fired):
+            self.handle.deleteTimer(told)
+        if held:
+            self.held.put(held)
+            if now != told:
+                self.handle.registerTimer(now)
+                self.due.update((now,))
+        else:
+            self.held.clear()
+            self.due.clear()
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        before = self.held.get()
-        if before is not None and before[5]:
-            return
-        sent, first, last, chunks, tokens, done = before or (None, None, None, 0, None, False)
-        for r in sorted(rows, key=lambda r: r.seq):
-            sent = r.sent_us if sent is None else min(sent, r.sent_us)
-            last = r.at_us if last is None else max(last, r.at_us)
-            if r.chunks:
-                chunks, first = chunks + r.chunks, r.at_us if first is None else min(first, r.at_us)
-            tokens = tokens if r.completion_tokens is None else r.completion_tokens
-            if r.is_end:
+        # Any type of id can be told by its text.
+        held = {repr(h[0]): tuple(h) for h in self.held.get()}
+        came: dict[str, list] = {}
+        for r in rows:
+            name = repr(r.request_id)
+            before = held.get(name)
+            if before is None or not before[6]:
+                came.setdefault(name, []).append((r.seq, r.request_id, r.sent_us, r.at_us, r.chunks, r.completion_tokens, r.is_end))
+        for name, frames in came.items():
+            held[name] = now = self._read(held.get(name), frames)
+            if now[6]:
+                yield self._row("done", now)
+        if came:
+            self._keep(list(held.values()))
+
+    def _read(self, before: tuple | None, frames: list[tuple]) -> tuple:
+        _, sent, first, last, chunks, tokens, done = before or (None, None, None, None, 0, None, False)
+        for _, _, sent_us, at_us, n, told, is_end in sorted(frames, key=lambda f: f[0]):
+            sent = sent_us if sent is None else min(sent, sent_us)
+            last = at_us if last is None else max(last, at_us)
+            if n:
+                chunks, first = chunks + n, at_us if first is None else min(first, at_us)
+            tokens = tokens if told is None else told
+            if is_end:
                 done = True
                 break
-        held = (sent, first, last, chunks, tokens, done)
-        if done:
-            yield self._row(key, "done", held)
-        self.held.update(held)
-        self.handle.registerTimer(self._expiry(held))
+        return (frames[0][1], sent, first, last, chunks, tokens, done)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        held = self.held.get()
-        # A timer that later frames have overtaken does nothing.
-        if held is not None and expiredTimerInfo.getExpiryTimeInMs() >= self._expiry(held):
-            if not held[5]:
-                yield self._row(key, "timeout", held)
-            self.held.clear()
+        # All that a timer of their own would have told of by now.
+        fired, passed = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        kept = []
+        for h in map(tuple, self.held.get()):
+            at = self._expiry(h)
+            if at > fired and at >= passed:
+                kept.append(h)
+            elif not h[6]:
+                yield self._row("timeout", h)
+        self._keep(kept, fired)
+
+
+#: Buckets of requests; a stream's checkpoint holds it, so it must stay.
+REQUEST_BUCKETS = 2048
 
 
 def latency_stream(frames: DataFrame, *, late: str = LATE, silent_s: int = SILENT_S) -> DataFrame:
@@ -312,8 +354,9 @@ def latency_stream(frames: DataFrame, *, late: str = LATE, silent_s: int = SILEN
     parsed = with_frame_columns(frames).select(
         "request_id", "seq", "sent_us", "at_us", "chunks", "completion_tokens", "is_end", F.timestamp_micros("at_us").alias("at")
     )
-    schema = OpenRequest.rows.format(key=frames.schema["request_id"].dataType.simpleString())
-    rows = _keyed(parsed.withWatermark("at", late), "request_id", OpenRequest(silent_s * 1000), schema, "EventTime")
+    key = frames.schema["request_id"].dataType.simpleString()
+    dealt = parsed.withWatermark("at", late).withColumn("bucket", F.pmod(F.xxhash64("request_id"), F.lit(REQUEST_BUCKETS)).cast("int"))
+    rows = _keyed(dealt, "bucket", OpenRequests(silent_s * 1000, key), OpenRequests.rows.format(key=key), "EventTime")
     wall = (F.col("last_us") - F.col("sent_us")) / 1e6
     tokens = F.coalesce("completion_tokens", F.lit(0))
     return rows.select(

@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from servemetry.operators import counters, quality
@@ -181,6 +182,78 @@ def test_first_token_latency_across_batches(spark):
         assert (r.wall_s, r.ttft_s, r.sse_chunks, r.completion_tokens) == (twin.wall_s, twin.ttft_s, twin.sse_chunks, twin.completion_tokens)
 
 
+class CountedStore:
+    """A state handle that counts what the store is asked."""
+
+    def __init__(self):
+        self.asked, self.timers = 0, set()
+
+    def getListState(self, name, schema):
+        return CountedStore.Held(self, [])
+
+    def getValueState(self, name, schema):
+        return CountedStore.Held(self, None)
+
+    def registerTimer(self, at):
+        self.asked += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.asked += 1
+        self.timers.remove(at)
+
+    class Held:
+        def __init__(self, store, empty):
+            self.store, self.empty, self.value = store, empty, empty
+
+        def get(self):
+            self.store.asked += 1
+            return self.value
+
+        def put(self, value):
+            self.store.asked += 1
+            self.value = value
+
+        update = put
+
+        def clear(self):
+            self.put(self.empty)
+
+
+def test_a_bucket_asks_the_store_a_few_times(spark):
+    store, bucket = CountedStore(), live.OpenRequests(7200_000, "long")
+    bucket.init(store)
+    ids = [None, *range(500)]
+    columns = ("request_id", "seq", "sent_us", "at_us", "chunks", "completion_tokens", "is_end")
+    frames = [Row(**dict(zip(columns, (i, n, 0, (i or 0) * 1000 + n, 1, None, n == 1 and i is not None and i % 2 == 0)))) for n in (1, 0) for i in ids]
+    told = list(bucket.handleInputRows((1,), iter(frames), None))
+    assert sorted(r.request_id for r in told) == list(range(0, 500, 2)) and {(r.ended, r.chunks) for r in told} == {("done", 2)}
+    assert store.asked < 10 and store.timers == {1}
+    # Frames behind the marker count nowhere; those of an open request move its end.
+    late = [Row(**dict(zip(columns, (i, 2, 0, 900_000, 1, None, False)))) for i in (0, 1)]
+    assert list(bucket.handleInputRows((1,), iter(late), None)) == []
+
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getExpiryTimeInMs(self):
+            return self.ms
+
+        getCurrentWatermarkInMs = getExpiryTimeInMs
+
+    def fire(ms):
+        due = [t for t in store.timers if t <= ms]
+        store.timers -= set(due)
+        return [r for t in due for r in bucket.handleExpiredTimer((1,), At(ms), At(t))]
+
+    assert fire(600) == [] and store.timers == {7200_000}  # what had ended is forgotten
+    # The open ones fall silent: the null id first, the one that had a later frame last.
+    assert [r.request_id for r in fire(7200_002)] == [None] and store.timers == {7200_003}
+    assert sorted(r.request_id for r in fire(7200_800)) == list(range(3, 500, 2))
+    assert [(r.request_id, r.ended, r.chunks) for r in fire(7200_900)] == [(1, "timeout", 3)] and not store.timers
+
+
 def test_requests_leave_the_state_and_a_restart_goes_on(spark, tmp_path):
     rng, path = random.Random(2), str(tmp_path / "frames")
     stream = spark.readStream.schema(FRAME).parquet(path) if (add_file(spark, path, [f for rid in range(1, 9) for f in frames_of(rng, rid, 0)], FRAME) or True) else None
