@@ -14,6 +14,10 @@ are equal: every distinct projection on a class is the centre of a region of rad
 that meet under one pivot are a region, which is joined by document pivots, windows
 and recursion. No link is lost (see `signatures`), nothing is sampled or capped.
 
+Many documents share a projection but little else. So before the grams of a region move, its
+members meet as sketches of a few bits a gram, which bound the differences of two sets from
+below (see `sketch`); what they leave apart cannot link and goes its own way.
+
 Documents with equal sets are one node. What a region reports are links that connect
 it, not all its pairs.
 """
@@ -21,13 +25,13 @@ it, not all its pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import pin, release
@@ -39,6 +43,8 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x2
 #: Weight of one block of a region, in n-grams and DOCUMENT_WEIGHT for each document. Larger
 #: regions are cut into blocks that meet in pairs, so a task holds two blocks or one long document.
 BLOCK_WEIGHT, DOCUMENT_WEIGHT = 100_000, 100
+#: The same for sketches, in bytes and SKETCH_ROW for each document.
+SKETCH_BLOCK, SKETCH_ROW = 150_000, 100
 _DIRECT, _PIVOTS = 24, 8
 
 
@@ -117,6 +123,24 @@ def signatures(grams: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """The size of a set, and for each class of its grams whether their number is odd, at 2 to 4 classes a gram.
+
+    A gram that only one of two sets holds changes one bit, so the bits in which two sketches differ are
+    at most as many as the grams in which the sets do. The number of classes is a power of two, and the
+    halves of a sketch combined by exclusive or are the sketch with half as many.
+    """
+    bits = 1 << max(6, (2 * len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return len(grams).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
 class Region:
     """The exact join of some sets: pivots, windows, recursion; keeps what connects them."""
 
@@ -128,6 +152,10 @@ class Region:
         self.parent: dict[int, int] = {}
         self.links: list[tuple[int, int]] = []
 
+    @classmethod
+    def of(cls, names: list[int], grams: list[bytes], num: int, den: int) -> Region:
+        return cls(names, [np.frombuffer(g, dtype=np.uint64) for g in grams], num, den)
+
     def root(self, name: int) -> int:
         while (up := self.parent.get(name, name)) != name:
             self.parent[name] = self.parent.get(up, up)
@@ -192,6 +220,35 @@ class Region:
                 self.compare(i, later)
 
 
+class SketchRegion(Region):
+    """Connects the members of a region that may link by their sketches: all that do link, and few others."""
+
+    def __init__(self, names: list[int], sketches: list[bytes], num: int, den: int):
+        self.names, self.num, self.den = names, num, den
+        words = [np.frombuffer(s, dtype=np.uint64) for s in sketches]
+        self.sizes = np.array([int(w[0]) for w in words], dtype=np.int64)
+        self.bits = [w[1:] for w in words]
+        self.parent: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
+
+    def join(self, items: np.ndarray) -> None:
+        """Compare each item with all later ones of as many classes, and with those of more that have a fitting size."""
+        lengths = np.array([len(self.bits[i]) for i in items.tolist()])
+        for length in np.unique(lengths).tolist():
+            own = items[lengths == length]
+            larger = items[lengths > length]
+            larger = larger[self.den * self.sizes[own].max() >= self.num * self.sizes[larger]]
+            both = np.concatenate((own, larger))
+            bits = np.stack([_folded(self.bits[i], length) for i in both.tolist()])
+            sizes = self.sizes[both]
+            for at, i in enumerate(own.tolist()):
+                low, high = np.minimum(sizes[at + 1 :], sizes[at]), np.maximum(sizes[at + 1 :], sizes[at])
+                later = np.flatnonzero(self.den * low >= self.num * high) + at + 1
+                apart = np.bitwise_count(bits[later] ^ bits[at]).sum(axis=1, dtype=np.int64)
+                for j in both[later[(self.den + self.num) * apart <= (self.den - self.num) * (sizes[later] + sizes[at])]].tolist():
+                    self.unite(self.names[i], self.names[j])
+
+
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows in the order of signature and node: each node that shares a signature, with the smallest such node."""
     last_signature = last_pivot = None
@@ -211,13 +268,14 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def document_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles and digest of the set (null if empty)."""
+    """doc_id, n_shingles, digest and sketch of the set (both null if empty)."""
 
     def block(keys: list, texts: list) -> tuple:
         sets = [shingles(t, words) for t in texts]
-        return keys, [len(g) for g in sets], [xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None for g in sets]
+        digests = [xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None for g in sets]
+        return keys, [len(g) for g in sets], digests, [sketch(g) if len(g) else None for g in sets]
 
-    return map_blocks(docs, [id_col, text_col], block, "doc_id bigint, n_shingles bigint, digest binary")
+    return map_blocks(docs, [id_col, text_col], block, "doc_id bigint, n_shingles bigint, digest binary, sketch binary")
 
 
 #: Sets a task remembers so as to name the regions of equal ones only once; speed only.
@@ -270,6 +328,9 @@ def similarity_components(
     meetings = named.repartition("signature").sortWithinPartitions("signature", "node").mapInArrow(_meetings, "pivot bigint, node bigint")
     meetings = pin(meetings.distinct())
     release(docs.sparkSession)
+    sketches = sets.where("doc_id is not null and sketch is not null").select(F.col("doc_id").alias("node"), "sketch").distinct()
+    meetings = pin(_possible(meetings, sketches, num, den))
+    release(docs.sparkSession)
     links = _region_links(docs, meetings, members, words, num, den, id_col, text_col)
     # A copy that named regions stands for its set, as does the copy of the smallest id.
     met = meetings.select("node").union(meetings.select("pivot")).distinct().withColumnRenamed("node", "doc_id")
@@ -280,14 +341,99 @@ def similarity_components(
     return members.join(found, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "node", "doc_id").alias("component_id"))
 
 
+def _blocks(members: DataFrame, weight: Column, block_weight: int) -> DataFrame:
+    """pivot and the number of blocks of its region, from the weights of its members."""
+    return members.groupBy("pivot").agg(F.ceil(F.sum(weight) / block_weight).alias("n_blocks"))
+
+
+def _met(table: pa.Table, kind: Callable[..., Region], num: int, den: int) -> Region:
+    """The region of one tile, its members compared."""
+    table = table.sort_by("node")
+    names = table.column("node").to_pylist()
+    region = kind(names, table.column("content").to_pylist(), num, den)
+    settled = [n for n, s in zip(names, table.column("settled").to_pylist(), strict=True) if s]
+    for n in settled:
+        region.unite(settled[0], n, link=False)
+    region.join(np.arange(len(names)))
+    return region
+
+
+def _alone(small: DataFrame) -> DataFrame:
+    """Regions of one block (pivot, node, content) as tiles."""
+    zero = F.lit(0).cast("bigint")
+    return small.select("pivot", zero.alias("i"), zero.alias("j"), "node", "content", F.lit(False).alias("settled"))
+
+
+def _by_blocks(large: DataFrame, linked: Callable[[bytes, bytes], bool], weight: Column, block_weight: int) -> tuple[DataFrame, DataFrame]:
+    """Tiles of larger regions (pivot, node, n_blocks, content; pinned), and links (a, b) with their pivots.
+
+    They first settle all that is linked with the pivot; only the others meet everyone, block by block.
+    """
+    centres = large.where("pivot = node").select("pivot", F.col("content").alias("centre"))
+
+    def settle(pivots: list, names: list, counts: list, contents: list, centres: list) -> tuple:
+        return pivots, names, counts, contents, [linked(a, b) for a, b in zip(contents, centres, strict=True)]
+
+    columns = ["pivot", "node", "n_blocks", "content", "centre"]
+    judged = pin(map_blocks(large.join(centres, "pivot"), columns, settle, "pivot bigint, node bigint, n_blocks bigint, content binary, settled boolean"))
+    at_pivot = judged.where("settled and pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    open_blocks = _blocks(judged.where("not settled"), weight, block_weight).withColumnRenamed("n_blocks", "n_open")
+    own = judged.join(open_blocks, "pivot").withColumns({
+        "block": F.pmod(F.xxhash64("node"), F.col("n_blocks")), "open_block": F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_open")),
+    })
+    everyone = own.select("pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_open") - 1)).alias("i"), F.col("block").alias("j"), "node", "content", "settled")
+    openers = own.where("not settled").select("pivot", F.col("open_block").alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)).alias("j"), "node", "content", "settled")
+    return everyone.union(openers), at_pivot
+
+
+def _with_pivots(meetings: DataFrame) -> DataFrame:
+    return meetings.union(meetings.select("pivot", F.col("pivot").alias("node")).distinct())
+
+
+def _possible(meetings: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Smaller regions, again as rows pivot, node: the parts of each region that its members' sketches connect.
+
+    Linked documents stay together. A part is named by its smallest member, so regions that hold the same
+    part give it once. Parts of regions of several blocks are joined across these regions.
+    """
+    weight = F.octet_length("content") + SKETCH_ROW
+    rows = _with_pivots(meetings).join(sketches.withColumnRenamed("sketch", "content"), "node")
+    sized = pin(rows.join(_blocks(rows, weight, SKETCH_BLOCK), "pivot").select("pivot", "node", "n_blocks", "content"))
+
+    def parts(table: pa.Table) -> pa.Table:
+        region = _met(table, SketchRegion, num, den)
+        pairs = {(root, n) for n in region.names if (root := region.root(n)) != n}
+        return pa.table({"pivot": pa.array([a for a, _ in pairs], pa.int64()), "node": pa.array([b for _, b in pairs], pa.int64())})
+
+    found = _alone(sized.where("n_blocks = 1")).groupBy("pivot", "i", "j").applyInArrow(parts, "pivot bigint, node bigint")
+    large = sized.where("n_blocks > 1")
+    if large.isEmpty():
+        return found.distinct()
+
+    def near(a: bytes, b: bytes) -> bool:
+        pair = SketchRegion([0, 1], [a, b], num, den)
+        pair.join(np.arange(2))
+        return bool(pair.links)
+
+    def links(table: pa.Table) -> pa.Table:
+        return _links_of(_met(table, SketchRegion, num, den))
+
+    tiles, at_pivot = _by_blocks(large, near, weight, SKETCH_BLOCK)
+    across = components(tiles.groupBy("pivot", "i", "j").applyInArrow(links, "a bigint, b bigint").union(at_pivot))
+    return found.union(across.where("node <> component").select(F.col("component").alias("pivot"), "node")).distinct()
+
+
+def _links_of(region: Region) -> pa.Table:
+    return pa.table({"a": pa.array([a for a, _ in region.links], pa.int64()), "b": pa.array([b for _, b in region.links], pa.int64())})
+
+
 def _region_links(
     docs: DataFrame, meetings: DataFrame, members: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str
 ) -> DataFrame:
     """Links (a, b) that connect what is connected inside the regions of `meetings`."""
     sizes = members.where("doc_id is not null").groupBy(F.col("doc_id").alias("node")).agg((F.max("n_shingles") + DOCUMENT_WEIGHT).alias("weight"))
-    rows = meetings.union(meetings.select("pivot", F.col("pivot").alias("node")).distinct())
-    blocks = rows.join(sizes, "node").groupBy("pivot").agg(F.ceil(F.sum("weight") / BLOCK_WEIGHT).alias("n_blocks"))
-    regions = pin(rows.join(blocks, "pivot").select("pivot", "node", "n_blocks"))
+    rows = _with_pivots(meetings)
+    regions = pin(rows.join(_blocks(rows.join(sizes, "node"), F.col("weight"), BLOCK_WEIGHT), "pivot").select("pivot", "node", "n_blocks"))
 
     def grams_of(some: DataFrame) -> DataFrame:
         """The grams of every document of `some` regions beside its region; a document's text moves once."""
@@ -298,48 +444,26 @@ def _region_links(
             return nodes, [shingles(t, words).tobytes() for t in texts], lists
 
         met = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).alias("text")).join(listed, "node")
-        made = map_blocks(met, ["node", "text", "regions"], block, "node bigint, grams binary, regions array<struct<pivot:bigint,n_blocks:bigint>>")
-        return made.select("node", "grams", F.inline("regions"))
+        made = map_blocks(met, ["node", "text", "regions"], block, "node bigint, content binary, regions array<struct<pivot:bigint,n_blocks:bigint>>")
+        return made.select("node", "content", F.inline("regions"))
 
     def join_tile(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
-        names = table.column("node").to_pylist()
-        region = Region(names, [np.frombuffer(g, dtype=np.uint64) for g in table.column("grams").to_pylist()], num, den)
-        settled = [n for n, s in zip(names, table.column("settled").to_pylist(), strict=True) if s]
-        for n in settled:
-            region.unite(settled[0], n, link=False)
-        region.join(np.arange(len(names)))
-        return pa.table({"a": pa.array([a for a, _ in region.links], pa.int64()), "b": pa.array([b for _, b in region.links], pa.int64())})
+        return _links_of(_met(table, Region.of, num, den))
 
     def joined(tiles: DataFrame) -> DataFrame:
         return tiles.groupBy("pivot", "i", "j").applyInArrow(join_tile, "a bigint, b bigint")
 
-    zero = F.lit(0).cast("bigint")
-    small = grams_of(regions.where("n_blocks = 1")).select("pivot", zero.alias("i"), zero.alias("j"), "node", "grams", F.lit(False).alias("settled"))
+    small = _alone(grams_of(regions.where("n_blocks = 1")))
     if regions.where("n_blocks > 1").isEmpty():
         return joined(small)
 
-    # Large regions first settle all that links with the pivot; only the others meet everyone, block by block.
-    large = pin(grams_of(regions.where("n_blocks > 1")))
-    centres = large.where("pivot = node").select("pivot", F.col("grams").alias("centre"))
+    def linked(a: bytes, b: bytes) -> bool:
+        x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return den * common >= num * (len(x) + len(y) - common)
 
-    def settle(pivots: list, names: list, counts: list, sets: list, centres: list) -> tuple:
-        def linked(a: bytes, b: bytes) -> bool:
-            x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            return den * common >= num * (len(x) + len(y) - common)
-
-        return pivots, names, counts, sets, [linked(a, b) for a, b in zip(sets, centres, strict=True)]
-
-    judged = pin(map_blocks(large.join(centres, "pivot"), ["pivot", "node", "n_blocks", "grams", "centre"], settle, "pivot bigint, node bigint, n_blocks bigint, grams binary, settled boolean"))
-    at_pivot = judged.where("settled and pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    open_blocks = judged.where("not settled").groupBy("pivot").agg(F.ceil(F.sum(F.octet_length("grams") / 8 + DOCUMENT_WEIGHT) / BLOCK_WEIGHT).alias("n_open"))
-    own = judged.join(open_blocks, "pivot").withColumns({
-        "block": F.pmod(F.xxhash64("node"), F.col("n_blocks")), "open_block": F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_open")),
-    })
-    everyone = own.select("pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_open") - 1)).alias("i"), F.col("block").alias("j"), "node", "grams", "settled")
-    openers = own.where("not settled").select("pivot", F.col("open_block").alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)).alias("j"), "node", "grams", "settled")
-    return joined(small.union(everyone).union(openers)).union(at_pivot)
+    tiles, at_pivot = _by_blocks(pin(grams_of(regions.where("n_blocks > 1"))), linked, F.octet_length("content") / 8 + DOCUMENT_WEIGHT, BLOCK_WEIGHT)
+    return joined(small.union(tiles)).union(at_pivot)
 
 
 def one_of_each_group(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -138,6 +138,55 @@ def test_region_recursion_equals_brute_force():
     assert {n: region.root(n) for n in range(len(texts))} == {n: c for n, (_, c) in want.items()}
 
 
+@pytest.mark.parametrize("block", [100_000, 400])
+def test_regions_on_sketches_equal_brute_force(spark, monkeypatch, block):
+    """Small blocks of sketches settle every region at its pivot and compare it tile by tile."""
+    monkeypatch.setattr(jaccard_join, "SKETCH_BLOCK", block)
+    rng = random.Random(block)
+    texts = copies(rng, 6, 14, (40, 90), 8) + copies(rng, 8, 5, (3, 14), 2) + copies(rng, 3, 6, (200, 700), 60)
+    rows = list(enumerate(texts, start=10))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for num, den in ((80, 100), (1, 2)):
+        found = jaccard_join.similarity_components(docs, words=2, num=num, den=den)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == brute_components(rows, 2, num, den)
+
+
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100), (1, 2)])
+def test_sketches_connect_all_linked_sets(num, den):
+    rng = np.random.default_rng(den + num)
+    alone = 0
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**64, int(rng.integers(1, 900)), dtype=np.uint64))
+        for share in (0, den / 4 / num, 1, 1):
+            drop = int(len(a) * rng.uniform(0, 0.5)) if share == 1 else int(len(a) * share)
+            b = np.unique(np.concatenate((rng.choice(a, len(a) - drop, replace=False), rng.integers(0, 2**64, int(rng.integers(0, drop + 2)), dtype=np.uint64))))
+            common = len(np.intersect1d(a, b))
+            pair = jaccard_join.SketchRegion([1, 2], [jaccard_join.sketch(a), jaccard_join.sketch(b)], num, den)
+            pair.join(np.arange(2))
+            linked = den * common >= num * (len(a) + len(b) - common)
+            assert pair.links or not linked
+            alone += not pair.links
+    assert alone > 50
+
+
+def test_only_what_may_link_moves_its_grams(spark, monkeypatch):
+    """Documents that share a passage share projections; regions held all of them, with all their grams."""
+    rng = random.Random(8)
+    shared = " ".join(f"s{n}" for n in range(40))
+    texts = [f"{shared} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(160)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate([*texts, f"{texts[7]} end"])), "doc_id bigint, text string")
+    moved, joined = [], jaccard_join._region_links
+
+    def seen(docs, meetings, *rest):
+        moved.extend((r["pivot"], r["node"]) for r in meetings.collect())
+        return joined(docs, meetings, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_region_links", seen)
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_join.similarity_components(docs, words=5).collect()}
+    assert found == {**{n: n for n in range(60)}, 60: 7}
+    assert moved == [(7, 60)]
+
+
 def test_jaccard_join_odd_rows(spark):
     same = " ".join(WORDS[:60])
     near = " ".join([*WORDS[:59], "other"])
